@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from knowloom.functions.layout import spread
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -22,7 +24,7 @@ class Tables:
 
     # --- texts -------------------------------------------------------------------------------
     def documents(self) -> DataFrame:
-        return self.raw("documents").select(
+        return spread(self.raw("documents")).select(
             F.col("doc_id").alias("version_id"), F.col("source").alias("source_id"), F.col("lang").alias("owner_id"), "text"
         )
 
