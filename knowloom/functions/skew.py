@@ -8,6 +8,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_SALTS = 16
+BROADCAST_ROWS = 200_000
+
+
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Checked size bound of a small side. The count stops at ``rows`` + 1."""
+    return df.limit(rows + 1).count() <= rows
+
+
+def small_side(df: DataFrame, small: bool) -> DataFrame:
+    """Broadcast a side whose bound was checked, else leave the choice to the optimizer."""
+    return F.broadcast(df) if small else df
 
 
 def salted_join(

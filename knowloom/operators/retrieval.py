@@ -12,9 +12,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from knowloom.functions.hashing import stable_id
-from knowloom.functions.skew import salted_join, top_k
+from knowloom.functions.layout import once
+from knowloom.functions.skew import is_small, salted_join, small_side, top_k
 
 # Common English words that carry no search meaning.
 STOP_WORDS = (
@@ -25,6 +27,7 @@ STOP_WORDS = (
 K1, B = 1.2, 0.75
 SCORE_DIGITS = 6
 QUERY_BLOCK = 4096
+QUESTION_BOUND = 20_000
 CHUNK_BLOCK = 20000
 
 
@@ -35,11 +38,17 @@ def terms(text: Column, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
     return F.filter(words, lambda w: (w != "") & ~F.array_contains(stop, w))
 
 
-def term_statistics(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Document frequency of the queried terms. Rows of other terms are dropped before the shuffle."""
-    rows = tokens.select("owner_id", F.explode(F.array_distinct("tokens")).alias("term"))
-    return rows.join(vocabulary, ["owner_id", "term"], "left_semi").groupBy("owner_id", "term").agg(
-        F.count(F.lit(1)).alias("df")
+def term_statistics(tokens: DataFrame, vocabulary: DataFrame, small: bool = False) -> DataFrame:
+    """Per owner and queried term: chunks with the term and mean chunk length, in one pass.
+
+    The empty term stands for the whole corpus. Other terms are dropped before the shuffle.
+    """
+    listed = F.array_append(F.array_distinct("tokens"), F.lit(""))
+    rows = tokens.select("owner_id", F.size("tokens").alias("length"), F.explode(listed).alias("term"))
+    asked = vocabulary.unionByName(vocabulary.select("owner_id", F.lit("").alias("term")).distinct())
+    kept = rows.join(small_side(asked, small), ["owner_id", "term"], "left_semi")
+    return kept.groupBy("owner_id", "term").agg(
+        F.count(F.lit(1)).alias("chunks"), F.avg("length").alias("avg_len")
     )
 
 
@@ -49,36 +58,37 @@ def keyword_search(
     """Chunks of the question's owner that contain every question term, best BM25 first.
 
     Candidates come from the rarest term only; the other terms are tested inside the row. Questions
-    with the same terms are searched once. Score is s / (1 + s), so it lies in [0, 1).
+    with the same terms are searched once. Score is s / (1 + s), so it lies in [0, 1). With a checked
+    number of questions the question side is broadcast and chunk rows are only scanned, not shuffled.
     """
-    tokens = chunks.select("owner_id", "chunk_id", terms(F.col("text"), stop_words).alias("tokens"))
     asked = questions.select(
         "query_id", "owner_id", F.array_sort(F.array_distinct(terms(F.col("question"), stop_words))).alias("q_terms")
     ).filter(F.size("q_terms") > 0)
+    small = is_small(questions.select("query_id"), QUESTION_BOUND)
+    tokens = once(chunks.select("owner_id", "chunk_id", "text"), tokens=terms(F.col("text"), stop_words)).drop("text")
     distinct = asked.select("owner_id", "q_terms").distinct().withColumn("q_key", F.xxhash64("owner_id", "q_terms"))
-    per_term = distinct.select("owner_id", "q_key", F.explode("q_terms").alias("term"))
-    stats = term_statistics(tokens, per_term.select("owner_id", "term").distinct())
-    corpus = tokens.groupBy("owner_id").agg(
-        F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("avg_len")
-    )
-    # A question is searchable when all its terms occur; term count is at most the question's length.
-    weighted = (
-        per_term.join(stats, ["owner_id", "term"]).join(corpus, "owner_id")
+    per_term = distinct.select("owner_id", "q_key", F.size("q_terms").alias("wanted"), F.explode("q_terms").alias("term"))
+    stats = term_statistics(tokens, per_term.select("owner_id", "term").distinct(), small)
+    corpus = stats.filter("term = ''").select("owner_id", F.col("chunks").alias("n"), "avg_len")
+    frequency = stats.filter("term <> ''").select("owner_id", "term", F.col("chunks").alias("df"))
+    # One array entry per question term: a group is as long as its question.
+    drivers = (
+        per_term.join(frequency, ["owner_id", "term"]).join(corpus, "owner_id")
         .withColumn("idf", F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-        .groupBy("owner_id", "q_key", "avg_len")
+        .groupBy("owner_id", "q_key", "avg_len", "wanted")
         .agg(
             F.min(F.struct("df", "term")).alias("rarest"),
             F.sort_array(F.collect_list(F.struct("term", "idf"))).alias("weights"),
         )
+        .filter(F.size("weights") == F.col("wanted"))
+        .select("owner_id", F.col("rarest.term").alias("term"), "q_key", "weights", "avg_len")
     )
-    full = weighted.join(distinct.select("q_key", F.size("q_terms").alias("wanted")), "q_key").filter(
-        F.size("weights") == F.col("wanted")
-    )
-    drivers = full.select("owner_id", F.col("rarest.term").alias("term"), "q_key", "weights", "avg_len")
-    wanted_terms = drivers.select("owner_id", "term").distinct()
     postings = tokens.select("owner_id", "chunk_id", "tokens", F.explode(F.array_distinct("tokens")).alias("term"))
-    postings = postings.join(wanted_terms, ["owner_id", "term"], "left_semi")
-    met = salted_join(postings, drivers, ["owner_id", "term"])
+    if small:
+        met = postings.join(F.broadcast(drivers), ["owner_id", "term"])
+    else:
+        listed = postings.join(drivers.select("owner_id", "term").distinct(), ["owner_id", "term"], "left_semi")
+        met = salted_join(listed, drivers, ["owner_id", "term"])
     met = met.filter(F.size(F.array_except(F.transform("weights", lambda w: w["term"]), F.col("tokens"))) == 0)
 
     def weight(w: Column) -> Column:
@@ -87,10 +97,10 @@ def keyword_search(
         return w["idf"] * tf * (K1 + 1) / (tf + norm)
 
     raw = F.aggregate(F.transform("weights", weight), F.lit(0.0), lambda a, x: a + x)
-    scored = met.select("q_key", "chunk_id", raw.alias("raw")).withColumn(
-        "score", F.round(F.col("raw") / (F.col("raw") + 1), SCORE_DIGITS)
+    scored = once(met.select("q_key", "chunk_id", "weights", "tokens", "avg_len"), raw=raw).select(
+        "q_key", "chunk_id", F.round(F.col("raw") / (F.col("raw") + 1), SCORE_DIGITS).alias("score")
     )
-    best = top_k(scored.drop("raw"), ["q_key"], [F.desc("score"), F.col("chunk_id")], limit)
+    best = top_k(scored, ["q_key"], [F.desc("score"), F.col("chunk_id")], limit)
     keyed = asked.select("query_id", F.xxhash64("owner_id", "q_terms").alias("q_key"))
     return keyed.join(best, "q_key").select("query_id", "chunk_id", "score", "rank", F.lit("keyword").alias("match_type"))
 
@@ -157,16 +167,18 @@ def semantic_search(
     if len(head) > query_block:
         local = _grid_search(rows, asked, limit, query_block, out_schema)
     else:
-        local = _matrix_search(rows, head, limit, out_schema, chunks.sparkSession)
+        query_type = asked.schema["query_id"].dataType
+        local = _matrix_search(rows, head, limit, out_schema, chunks.sparkSession, query_type)
     best = top_k(local, ["query_id"], [F.desc("score"), F.col("chunk_id")], limit)
     return best.withColumn("match_type", F.lit("semantic"))
 
 
-def _matrix_search(rows: DataFrame, head: list, k: int, out_schema: str, spark) -> DataFrame:
+def _matrix_search(rows: DataFrame, head: list, k: int, out_schema: str, spark, query_type) -> DataFrame:
     block = (
         _block([r[0] for r in head], [r[1] for r in head], [r[2] for r in head]) if head else None
     )
     shared = spark.sparkContext.broadcast(block)
+    arrow_type = to_arrow_type(query_type)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = shared.value
@@ -182,7 +194,7 @@ def _matrix_search(rows: DataFrame, head: list, k: int, out_schema: str, spark)
             _local_top(ids, flat.reshape(batch.num_rows, -1), owners, b, k, held)
         for pos, (ids, scores) in held.items():
             yield pa.RecordBatch.from_arrays(
-                [pa.array([b["ids"][pos]] * len(ids)), pa.array(ids, type=id_type), pa.array(scores)],
+                [pa.array([b["ids"][pos]] * len(ids), type=arrow_type), pa.array(ids, type=id_type), pa.array(scores)],
                 names=["query_id", "chunk_id", "score"],
             )
 
@@ -262,15 +274,19 @@ def substring_matches(table: DataFrame, texts: Column, questions: DataFrame, len
     """Rows of ``table`` where one of ``texts`` contains the first ``length`` characters of the question.
 
     Case-insensitive. An equi-join on (owner, gram) with the question's head gram finds the
-    candidates, ``contains`` confirms them; rows without any asked gram are dropped before the join.
+    candidates, ``contains`` confirms them. A checked number of questions is broadcast; otherwise rows
+    without any asked gram are dropped first and hot grams are salted.
     """
     asked = questions.select(
         "query_id", "owner_id", F.lower(F.left("question", F.lit(length))).alias("needle")
     ).filter("needle <> ''").withColumn("gram", F.xxhash64(F.substring("needle", F.lit(1), _power(F.length("needle")))))
     rows = table.withColumn("_texts", F.transform(F.filter(texts, lambda t: t.isNotNull()), F.lower))
     keyed = rows.withColumn("gram", F.explode(F.array_distinct(F.flatten(F.transform("_texts", lambda t: F.coalesce(_all_grams(t), F.array().cast("array<bigint>")))))))
-    keyed = keyed.join(asked.select("owner_id", "gram").distinct(), ["owner_id", "gram"], "left_semi")
-    met = keyed.join(asked, ["owner_id", "gram"])
+    if is_small(questions.select("query_id"), QUESTION_BOUND):
+        met = keyed.join(F.broadcast(asked), ["owner_id", "gram"])
+    else:
+        keyed = keyed.join(asked.select("owner_id", "gram").distinct(), ["owner_id", "gram"], "left_semi")
+        met = salted_join(keyed, asked, ["owner_id", "gram"])
     return met.filter(F.exists("_texts", lambda t: F.contains(t, F.col("needle")))).drop("_texts", "gram", "needle")
 
 

@@ -1,6 +1,6 @@
 """All named queries."""
 
-from knowloom.plans import ingest, knowledge  # noqa: F401
+from knowloom.plans import ingest, knowledge, retrieve  # noqa: F401
 from knowloom.plans.registry import ORACLES, QUERIES
 
 FLAGSHIP = "chunk_documents"
