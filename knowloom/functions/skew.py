@@ -6,8 +6,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
-DEFAULT_SALTS = 16
+SALTS = 16
 BROADCAST_ROWS = 200_000
 
 
@@ -21,30 +22,28 @@ def small_side(df: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(df) if small else df
 
 
-def salted_join(
-    big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", salts: int = DEFAULT_SALTS
-) -> DataFrame:
-    """Null-safe equi-join spreading each key of ``big`` over ``salts`` partitions.
+def hot_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", salts: int = 1) -> DataFrame:
+    """Null-safe equi-join whose left side may hold a large share of its rows under one key.
 
-    ``small`` holds few rows per key and is replicated once per salt. ``how`` keeps ``big`` on the
-    left, so inner, left, left_semi and left_anti are all exact.
+    With ``salts=1`` it is a plain shuffle join: adaptive execution splits the oversized partition of
+    ``big`` into several tasks, and neither side is replicated. Pass ``salts`` where ``small`` has few
+    rows (sources, owners, question terms): keys of ``big`` then spread over ``salts`` partitions up
+    front and ``small`` is replicated once per salt. ``how`` keeps ``big`` on the left, so inner, left,
+    left_semi and left_anti are all exact.
     """
-    left = big.withColumn(
-        "_salt", F.pmod(F.xxhash64(*[F.col(c) for c in _hashable(big)]), F.lit(salts)).cast("int")
-    )
-    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    renamed = right.select(
-        *[F.col(c).alias(f"_r_{c}") if c in on or c == "_salt" else F.col(c) for c in right.columns]
-    )
-    keys = [left[c].eqNullSafe(renamed[f"_r_{c}"]) for c in on]
-    cond = reduce(lambda a, b: a & b, [*keys, left["_salt"] == renamed["_r__salt"]])
-    joined = left.join(renamed, cond, how)
-    return joined.drop("_salt", "_r__salt", *[f"_r_{c}" for c in on])
-
-
-def _hashable(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if "map" not in f.dataType.simpleString()
-            and "variant" not in f.dataType.simpleString()]
+    keys = list(on)
+    if salts > 1:
+        cols = [F.col(f.name) for f in big.schema.fields if _is_atomic(f)]
+        big = big.withColumn("_salt", F.pmod(F.xxhash64(*cols), F.lit(salts)).cast("int"))
+        small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        keys.append("_salt")
+    right = small.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in small.columns])
+    cond = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in keys])
+    return big.join(right, cond, how).drop("_salt", *[f"_r_{c}" for c in keys])
+
+
+def _is_atomic(f) -> bool:
+    return isinstance(f.dataType, AtomicType)
 
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from knowloom.functions import jsonx
 from knowloom.functions.hashing import stable_id
-from knowloom.functions.skew import salted_join, top_k
+from knowloom.functions.skew import hot_join, top_k
 from knowloom.operators.resolution import gather_names, merged_aliases
 from knowloom.sources.sinks import cut_lineage, newest_per_key, upsert
 
@@ -159,7 +159,7 @@ def resolve_refs(rows: DataFrame, ref: str, entity_proposals: DataFrame, entitie
         }
     )
     ids = entities.select("owner_id", "entity_type", "canonical_name", "entity_id")
-    found = salted_join(keyed, ids, ENTITY_KEY, "left")
+    found = hot_join(keyed, ids, ENTITY_KEY, "left")
     return found.drop("_ref", "_l", "entity_type", "canonical_name")
 
 
@@ -239,70 +239,67 @@ def claim_values(claims: DataFrame, multi_valued: tuple[str, ...] = MULTI_VALUED
     )
 
 
-def contradiction_topics(values: DataFrame) -> DataFrame:
-    """Topics with at least two values, their totals and their two earliest values."""
+def contradiction_topics(values: DataFrame, min_values: int = 2) -> DataFrame:
+    """Topics with their totals and their two earliest values (``v2`` is null for a single value).
+
+    The rank limit of two runs before the shuffle, so a topic of many values sends two rows per
+    partition.
+    """
     opener = F.struct(F.col("first_at"), F.col("first_claim_id"), F.col("first_value"), F.col("value_key"))
     totals = values.groupBy(*TOPIC).agg(
-        F.count(F.lit(1)).alias("topic_values"), F.sum("claims").alias("topic_claims"), F.min(opener).alias("v1")
-    ).filter("topic_values > 1")
-    later = values.join(
-        totals.select(*[F.col(c).alias(f"_{c}") for c in TOPIC], F.col("v1.value_key").alias("_k")),
-        [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in TOPIC],
-    ).filter("value_key <> _k")
-    second = later.groupBy(*TOPIC).agg(F.min(opener).alias("v2")).select(
-        *[F.col(c).alias(f"_{c}") for c in TOPIC], "v2"
+        F.count(F.lit(1)).alias("topic_values"), F.sum("claims").alias("topic_claims")
+    ).filter(F.col("topic_values") >= min_values)
+    firsts = top_k(values, TOPIC, [F.col("first_at"), F.col("first_claim_id")], 2, "place").groupBy(*TOPIC).agg(
+        F.min(opener).alias("v1"), F.when(F.count(F.lit(1)) > 1, F.max(opener)).alias("v2")
     )
-    joined = totals.join(second, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in TOPIC])
-    return joined.drop(*[f"_{c}" for c in TOPIC])
-
+    return hot_join(totals, firsts, TOPIC)
 
-def detect_contradictions(claims: DataFrame, multi_valued: tuple[str, ...] = MULTI_VALUED) -> DataFrame:
-    """A finding for every claim that contradicts an earlier one on the same topic.
 
-    It names the earliest contradicting claim and counts all claims of the topic that differ. Work and
-    output are linear in the claims; :func:`claim_values` lists the members behind each count.
-    """
-    values = claim_values(claims, multi_valued)
-    topics = contradiction_topics(values)
-    per_value = values.select(*TOPIC, "value_key", F.col("claims").alias("same_claims"))
-    rows = _comparable(claims, multi_valued)
-    rows = salted_join(rows, topics, TOPIC)
-    rows = salted_join(rows, per_value, [*TOPIC, "value_key"])
+def _value_facts(asked: DataFrame, stored: DataFrame, topics: DataFrame) -> DataFrame:
+    """Per asked (topic, value): the earliest stored claim that differs and how many differ."""
+    same = stored.select(*TOPIC, "value_key", F.col("claims").alias("_same"), F.lit(1).alias("_known"))
+    joined = hot_join(hot_join(asked, topics, TOPIC), same, [*TOPIC, "value_key"], "left")
     prior = F.when(F.col("value_key") == F.col("v1.value_key"), F.col("v2")).otherwise(F.col("v1"))
-    rows = rows.withColumn("_p", prior).filter(
-        F.struct(F.col("_p.first_at"), F.col("_p.first_claim_id")) < F.struct("created_at", "claim_id")
-    )
+    return joined.select(
+        *TOPIC, "value_key", prior.alias("_p"),
+        (F.col("topic_claims") - F.coalesce("_same", F.lit(0))).alias("differing_claims"),
+        (F.col("topic_values") - F.coalesce("_known", F.lit(0))).alias("differing_values"),
+    ).filter("_p is not null")
+
+
+def _findings(rows: DataFrame) -> DataFrame:
     return rows.select(
         stable_id("finding", F.col("_p.first_claim_id"), F.col("claim_id")).alias("finding_id"), *TOPIC,
         F.col("_p.first_claim_id").alias("existing_claim_id"), F.col("claim_id").alias("conflicting_claim_id"),
         F.col("_p.first_value").alias("existing_value"), F.col("object_value").alias("conflicting_value"),
-        (F.col("topic_claims") - F.col("same_claims")).alias("differing_claims"),
-        (F.col("topic_values") - 1).alias("differing_values"),
-        F.lit("open").alias("status"), "created_at", "source_proposal_id",
+        "differing_claims", "differing_values", F.lit("open").alias("status"), "created_at", "source_proposal_id",
     )
 
 
+def detect_contradictions(claims: DataFrame, multi_valued: tuple[str, ...] = MULTI_VALUED) -> DataFrame:
+    """A finding for every claim that contradicts an earlier one on the same topic.
+
+    It names the earliest contradicting claim and counts all claims of the topic that differ. Work and
+    output are linear in the claims; :func:`claim_values` lists the members behind each count. All
+    facts about a value are gathered on the aggregated values, so claims are joined once.
+    """
+    values = claim_values(claims, multi_valued)
+    facts = _value_facts(values.select(*TOPIC, "value_key"), values, contradiction_topics(values))
+    earlier = F.struct(F.col("_p.first_at"), F.col("_p.first_claim_id")) < F.struct("created_at", "claim_id")
+    return _findings(hot_join(_comparable(claims, multi_valued), facts, [*TOPIC, "value_key"]).filter(earlier))
+
+
 def compare_new_claims(
     new: DataFrame, existing: DataFrame, multi_valued: tuple[str, ...] = MULTI_VALUED
 ) -> DataFrame:
-    """A batch of new claims against the stored ones: one finding per new claim and contradicting value.
+    """A batch of new claims against the stored ones: one finding per new claim that contradicts any.
 
-    ``carriers`` counts the stored claims with that value; the first of them is named.
+    The earliest contradicting claim is named, all differing stored claims are counted.
     """
-    values = claim_values(existing, multi_valued).select(
-        *[F.col(c).alias(f"_{c}") for c in TOPIC], F.col("value_key").alias("_k"), "claims", "first_claim_id",
-        "first_value",
-    )
+    values = claim_values(existing, multi_valued)
     rows = _comparable(new, multi_valued)
-    met = rows.join(values, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in TOPIC]).filter(
-        (F.col("value_key") != F.col("_k")) & (F.col("claim_id") != F.col("first_claim_id"))
-    )
-    return met.select(
-        stable_id("finding", F.col("first_claim_id"), F.col("claim_id")).alias("finding_id"), *TOPIC,
-        F.col("first_claim_id").alias("existing_claim_id"), F.col("claim_id").alias("conflicting_claim_id"),
-        F.col("first_value").alias("existing_value"), F.col("object_value").alias("conflicting_value"),
-        F.col("claims").alias("carriers"), F.lit("open").alias("status"), "created_at", "source_proposal_id",
-    )
+    facts = _value_facts(rows.select(*TOPIC, "value_key").distinct(), values, contradiction_topics(values, 1))
+    return _findings(hot_join(rows, facts, [*TOPIC, "value_key"]))
 
 
 def with_finding_text(findings: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from knowloom.functions.hashing import stable_id
-from knowloom.functions.skew import salted_join, top_k
+from knowloom.functions.skew import SALTS, hot_join, top_k
 from knowloom.sources.sinks import absent, delete_where_in, upsert
 
 
@@ -159,4 +159,4 @@ def version_context(versions: DataFrame, objects: DataFrame, sources: DataFrame)
     """versions with their object's external id and their source's owner and configuration."""
     o = objects.select("object_id", "source_id", "external_id")
     s = sources.select("source_id", "owner_id", "configuration")
-    return salted_join(versions.join(o, "object_id"), s, ["source_id"])
+    return hot_join(versions.join(o, "object_id"), s, ["source_id"], salts=SALTS)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from knowloom.functions import jsonx
-from knowloom.functions.skew import salted_join, top_k
+from knowloom.functions.skew import SALTS, hot_join, top_k
 from knowloom.operators.canonical import claims_by_predicate, entities_by_type
 
 PROJECT_PREDICATES = (("decisions", "has_decision"), ("tasks", "has_task"), ("events", "has_event"))
@@ -48,7 +48,7 @@ def dashboard(
         _list_per("name").alias("source_names"), F.count(F.lit(1)).alias("sources_total"),
         F.count_if("enabled").alias("sources_enabled"),
     )
-    last_sync = salted_join(runs, sources.select("source_id", "owner_id"), ["source_id"]).groupBy("owner_id").agg(
+    last_sync = hot_join(runs, sources.select("source_id", "owner_id"), ["source_id"], salts=SALTS).groupBy("owner_id").agg(
         F.max("completed_at").alias("last_sync_at")
     )
     conflicts = findings.groupBy("owner_id").agg(F.count_if(F.col("status") == "open").alias("open_contradictions"))
@@ -72,7 +72,7 @@ def dashboard(
 
 def _citations(claims: DataFrame, provenance: DataFrame) -> DataFrame:
     """Sorted distinct proposal and chunk references of the listed claims, per owner."""
-    refs = salted_join(
+    refs = hot_join(
         provenance.select("claim_id", "proposal_id", "chunk_id"), claims.select("claim_id", "owner_id"), ["claim_id"]
     ).select(
         "owner_id",
@@ -134,7 +134,7 @@ def project_subgraphs(
     r = newest.groupBy("owner_id").agg(_list_per("summary").alias("risks"))
     out = projects.select("owner_id", F.col("entity_id").alias("project_id"), F.col("canonical_name").alias("project_name"))
     for part in (c, t, r, _citations(listed, provenance)):
-        out = salted_join(out, part, ["owner_id"], "left")
+        out = hot_join(out, part, ["owner_id"], "left", salts=SALTS)
 
     def scoped(name: str) -> Column:
         mine = F.filter(

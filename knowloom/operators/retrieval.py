@@ -16,7 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from knowloom.functions.hashing import stable_id
 from knowloom.functions.layout import once
-from knowloom.functions.skew import is_small, salted_join, small_side, top_k
+from knowloom.functions.skew import SALTS, hot_join, is_small, small_side, top_k
 
 # Common English words that carry no search meaning.
 STOP_WORDS = (
@@ -88,7 +88,7 @@ def keyword_search(
         met = postings.join(F.broadcast(drivers), ["owner_id", "term"])
     else:
         listed = postings.join(drivers.select("owner_id", "term").distinct(), ["owner_id", "term"], "left_semi")
-        met = salted_join(listed, drivers, ["owner_id", "term"])
+        met = hot_join(listed, drivers, ["owner_id", "term"], salts=SALTS)
     met = met.filter(F.size(F.array_except(F.transform("weights", lambda w: w["term"]), F.col("tokens"))) == 0)
 
     def weight(w: Column) -> Column:
@@ -286,7 +286,7 @@ def substring_matches(table: DataFrame, texts: Column, questions: DataFrame, len
         met = keyed.join(F.broadcast(asked), ["owner_id", "gram"])
     else:
         keyed = keyed.join(asked.select("owner_id", "gram").distinct(), ["owner_id", "gram"], "left_semi")
-        met = salted_join(keyed, asked, ["owner_id", "gram"])
+        met = hot_join(keyed, asked, ["owner_id", "gram"], salts=SALTS)
     return met.filter(F.exists("_texts", lambda t: F.contains(t, F.col("needle")))).drop("_texts", "gram", "needle")
 
 
@@ -310,7 +310,7 @@ def relationship_search(relationships: DataFrame, entities: DataFrame, questions
     e = entities.select("entity_id", "canonical_name")
     src = e.select(F.col("entity_id").alias("source_entity_id"), F.col("canonical_name").alias("source_name"))
     dst = e.select(F.col("entity_id").alias("target_entity_id"), F.col("canonical_name").alias("target_name"))
-    named = salted_join(salted_join(relationships, src, ["source_entity_id"]), dst, ["target_entity_id"])
+    named = hot_join(hot_join(relationships, src, ["source_entity_id"]), dst, ["target_entity_id"])
     hits = substring_matches(
         named.select("owner_id", "relationship_id", "relationship_type", "source_name", "target_name"),
         F.array("relationship_type", "source_name", "target_name"), questions,

@@ -478,13 +478,14 @@ def hot_topic_contradictions(t: Tables) -> DataFrame:
     return rows.groupBy("predicate", "conflicting_value").agg(F.count(F.lit(1)).alias("findings"), F.max("differing_claims").alias("differing_claims"))
 
 
-@query(f"""WITH {_ACTIVE}, e AS (SELECT subject_entity_id, predicate, v, count(*) AS carriers, min((created_at, claim_id, object_value)) AS f FROM act WHERE confidence > 0.95 GROUP BY ALL)
-SELECT n.claim_id AS conflicting_claim_id, struct_extract_at(e.f, 2) AS existing_claim_id, e.carriers, struct_extract_at(e.f, 3) AS existing_value, n.object_value AS conflicting_value
-FROM act n JOIN e ON e.subject_entity_id = n.subject_entity_id AND e.predicate = n.predicate AND e.v <> n.v WHERE n.confidence <= 0.95""")
+@query(f"""WITH {_ACTIVE}, old AS (SELECT * FROM act WHERE confidence > 0.95)
+SELECT n.claim_id AS conflicting_claim_id, arg_min(o.claim_id, (o.created_at, o.claim_id)) AS existing_claim_id, count(*) AS differing_claims, count(DISTINCT o.v) AS differing_values,
+  arg_min(o.object_value, (o.created_at, o.claim_id)) AS existing_value, n.object_value AS conflicting_value
+FROM act n JOIN old o ON o.subject_entity_id = n.subject_entity_id AND o.predicate = n.predicate AND o.v <> n.v WHERE n.confidence <= 0.95 GROUP BY n.claim_id, n.object_value""")
 def new_claim_findings(t: Tables) -> DataFrame:
     c = t.claims()
     rows = canonical.compare_new_claims(c.filter("confidence <= 0.95"), c.filter("confidence > 0.95"))
-    return rows.select("conflicting_claim_id", "existing_claim_id", "carriers", "existing_value", "conflicting_value")
+    return rows.select("conflicting_claim_id", "existing_claim_id", "differing_claims", "differing_values", "existing_value", "conflicting_value")
 
 
 @query("""SELECT o_orderkey AS finding_id, o_orderpriority AS predicate, nullif(CASE WHEN o_orderstatus = 'P' THEN '' ELSE o_orderstatus END, '') AS existing_value,

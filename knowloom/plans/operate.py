@@ -47,20 +47,19 @@ def projected_edges(t: Tables) -> DataFrame:
 
 @query(f"""WITH {CLAIMS}, ids AS (SELECT 'c' || c_custkey AS id FROM customer)
 SELECT 'entity' AS kind, count(*) AS n FROM customer UNION ALL SELECT 'claim', count(*) FROM claims WHERE status = 'active'
-UNION ALL SELECT 'finding', count(*) FROM orders WHERE o_orderstatus = 'O'
+UNION ALL SELECT 'finding', count(*) FROM claims WHERE confidence > 0.97
 UNION ALL SELECT 'KNOWS', count(*) FROM orders WHERE 'c' || o_custkey IN (SELECT id FROM ids) AND 'c' || o_orderkey IN (SELECT id FROM ids)
 UNION ALL SELECT 'HAS_CLAIM', count(*) FROM claims WHERE status = 'active' AND 'c' || subject_entity_id IN (SELECT id FROM ids)
-UNION ALL SELECT 'CONTRADICTS', count(*) FROM orders JOIN (SELECT DISTINCT claim_id FROM claims WHERE status = 'active') ON claim_id = o_orderkey || '-1-' || o_custkey || '-' || o_custkey
-WHERE o_orderstatus = 'O' HAVING count(*) > 0""")
+UNION ALL SELECT 'CONTRADICTS', count(*) FROM claims WHERE status = 'active' AND confidence > 0.97""")
 def rebuilt_graph(t: Tables) -> DataFrame:
     c = lambda x: F.concat(F.lit("c"), F.col(x).cast("string"))
     entities = t.raw("customer").select(c("c_custkey").alias("entity_id"), F.lit(1).alias("owner_id"), F.col("c_name").alias("canonical_name"), F.lit("person").alias("entity_type"))
     rel = t.raw("orders").select(F.col("o_orderkey").cast("string").alias("relationship_id"), F.lit(1).alias("owner_id"), c("o_custkey").alias("source_entity_id"),
                                  c("o_orderkey").alias("target_entity_id"), F.lit("knows").alias("relationship_type"), F.lit("active").alias("status"))
     claims = t.claims().withColumn("subject_entity_id", c("subject_entity_id"))
-    findings = t.raw("orders").select(F.concat(F.lit("f"), F.col("o_orderkey").cast("string")).alias("finding_id"), F.lit(1).alias("owner_id"),
-                                      F.when(F.col("o_orderstatus") == "O", "open").otherwise("closed").alias("status"), F.lit("s").alias("summary"),
-                                      F.concat_ws("-", "o_orderkey", F.lit(1), "o_custkey", "o_custkey").alias("existing_claim_id"))
+    findings = t.claims().select(
+        F.concat(F.lit("f"), F.col("claim_id")).alias("finding_id"), F.lit(1).alias("owner_id"), F.lit("s").alias("summary"),
+        F.when(F.col("confidence") > 0.97, "open").otherwise("closed").alias("status"), F.col("claim_id").alias("existing_claim_id"))
     nodes, edges = graph.rebuild(entities, rel, claims, findings)
     return graph.rebuild_counts(nodes, edges)
 

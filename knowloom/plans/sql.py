@@ -34,7 +34,7 @@ proposals AS (
     o_custkey < o_orderkey AS requires_review, 'Order ' || o_orderkey AS title,
     '{"name":"' || o_orderpriority || '","priority":"' || o_orderpriority || '"}' AS payload,
     o_orderpriority, o_orderdate AS created_at
-  FROM (SELECT *, round(least(o_totalprice / 500000, 1.0), 4) AS conf FROM orders)
+  FROM (SELECT *, least(floor(o_totalprice / 50) / 10000, 1.0) AS conf FROM orders)
 )"""
 
 EVIDENCE = """
@@ -60,7 +60,7 @@ versions AS (
     CASE o_orderpriority WHEN '1-URGENT' THEN 'completed' WHEN '2-HIGH' THEN 'skipped' ELSE 'pending' END AS knowledge_status,
     CASE o_orderpriority WHEN '5-LOW' THEN 'pending' ELSE 'completed' END AS triage_status,
     CASE WHEN o_orderstatus = 'F' THEN 'error in ' || o_orderpriority END AS extraction_error,
-    CASE WHEN o_orderpriority = '5-LOW' THEN 0.5 ELSE round(o_totalprice / 1000000, 4) END AS relevance,
+    CASE WHEN o_orderpriority = '5-LOW' THEN 0.5 ELSE floor(o_totalprice) / 1000000 END AS relevance,
     o_orderpriority = '1-URGENT' AS flagged
   FROM orders
 )"""

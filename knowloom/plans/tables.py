@@ -90,7 +90,7 @@ class Tables:
             F.when(pr == "5-LOW", "pending").otherwise("completed").alias("triage_status"),
             F.when(st == "F", F.concat(F.lit("error in "), pr)).alias("extraction_error"),
             F.when(pr == "5-LOW", "{}").otherwise(
-                F.concat(F.lit('{"relevance":'), F.round(F.col("o_totalprice") / 1000000, 4).cast("string"), F.lit("}"))
+                F.concat(F.lit('{"relevance":'), (F.floor("o_totalprice") / 1000000).cast("string"), F.lit("}"))
             ).alias("triage_metadata"),
             F.when(pr == "1-URGENT", '{"embedding_model_mismatch":true}').otherwise("{}").alias("maintenance_flags"),
         )
@@ -113,7 +113,7 @@ class Tables:
             F.when(pr == "1-URGENT", "entity").when(pr == "2-HIGH", "claim").when(pr == "3-MEDIUM", "relationship")
             .when(pr == "4-NOT SPECIFIED", "entity_resolution").otherwise("task")
         )
-        confidence = F.round(F.least(F.col("o_totalprice") / 500000, F.lit(1.0)), 4)
+        confidence = F.least(F.floor(F.col("o_totalprice") / 50) / 10000, F.lit(1.0))
         return self.raw("orders").select(
             F.col("o_orderkey").alias("proposal_id"), F.col("o_custkey").alias("owner_id"), kind.alias("proposal_type"),
             F.when(st == "O", "pending").when(st == "F", "approved").otherwise("deferred").alias("status"),
