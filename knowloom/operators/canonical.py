@@ -89,17 +89,18 @@ def materialize_entities(entities: DataFrame, entity_proposals: DataFrame) -> Da
     return upsert_entities(link_aliases(entities, linked), fresh)
 
 
-def merge_targets(merges: DataFrame, rounds: int = 32) -> DataFrame:
+def merge_targets(merges: DataFrame) -> DataFrame:
     """``merges(source, target, created_at, merge_id)`` -> final target of every source.
 
     The first merge of a source counts. Chains collapse by pointer jumping, which doubles the reach
-    per round; each round is checkpointed. Sources on or behind a cycle have no target and are dropped.
+    per round, so log2 of the number of merges bounds the rounds; each round is checkpointed. Sources on
+    or behind a cycle have no target and are dropped.
     """
     first = merges.filter("source <> target").groupBy("source").agg(
         F.min_by("target", F.struct("created_at", "merge_id")).alias("target")
     )
     step = cut_lineage(first)
-    for _ in range(rounds):
+    for _ in range(step.count().bit_length()):
         nxt = step.select(F.col("source").alias("target"), F.col("target").alias("_t2"))
         jumped = cut_lineage(
             step.join(nxt, "target", "left").select("source", F.coalesce("_t2", "target").alias("target"),
