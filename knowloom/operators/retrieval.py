@@ -218,7 +218,7 @@ def _grid_search(rows: DataFrame, asked: DataFrame, k: int, query_block: int, ou
 
     def cell(c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         held: dict[int, tuple] = {}
-        empty = pd.DataFrame({"query_id": [], "chunk_id": [], "score": []})
+        empty = pd.DataFrame(columns=["query_id", "chunk_id", "score"])
         if c.empty or q.empty:
             return empty
         b = _block(q["query_id"].tolist(), q["owner_id"].tolist(), np.stack(q["vector"].to_list()))
