@@ -41,7 +41,8 @@ def extractive_answers(questions: DataFrame, citations: DataFrame) -> DataFrame:
         F.lit("Based on "), F.size(c).cast("string"), F.lit(" retrieved evidence item(s):\n\n"), bullets,
         F.lit("\n\nThis is a heuristic summary for: "), F.col("question"),
     )
-    confidence = F.least(F.array_max(F.transform(c, lambda x: x["score"])), F.lit(1.0))
+    best = F.array_max(F.transform(c, lambda x: x["score"]))
+    confidence = F.when(best > 1.0, F.lit(1.0)).otherwise(best)
     claims = F.transform(
         F.slice(c, 1, 3),
         lambda x: F.struct(

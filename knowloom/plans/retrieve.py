@@ -214,7 +214,7 @@ notes AS (SELECT query_id, string_agg(conflict, '|' ORDER BY conflict) AS confli
 
 
 @query(f"""WITH {_ANSWERS} SELECT a.query_id, CASE WHEN n IS NULL THEN '{answers.NO_EVIDENCE}' ELSE 'Based on ' || n || ' retrieved evidence item(s):' || chr(10) || chr(10) || bullets || chr(10) || chr(10) || 'This is a heuristic summary for: ' || question END AS answer,
-  coalesce(least(best, 1.0), 0.0) AS confidence, coalesce(best < 0.3, true) AS insufficient_evidence, coalesce(least(n, 3), 0)::INT AS claims, '' AS warnings, coalesce(conflicts, '') AS conflicts
+  coalesce(CASE WHEN best > 1.0 THEN 1.0 ELSE best END, 0.0) AS confidence, coalesce(best < 0.3, true) AS insufficient_evidence, coalesce(least(n, 3), 0)::INT AS claims, '' AS warnings, coalesce(conflicts, '') AS conflicts
 FROM ask a LEFT JOIN agg USING (query_id) LEFT JOIN notes USING (query_id)""")
 def cited_answers(t: Tables) -> DataFrame:
     a = answers.answer(_part_questions(t), _citations(t))
