@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from knowloom.functions import jsonx
 from knowloom.functions.hashing import stable_id
-from knowloom.functions.skew import hot_join, top_k
+from knowloom.functions.skew import blocked_lists, hot_join, top_k
 from knowloom.operators.resolution import gather_names, merged_aliases
 from knowloom.sources.sinks import cut_lineage, newest_per_key, upsert
 
@@ -377,10 +377,9 @@ def outbox_events(
     return out
 
 
-def claims_with_provenance(claims: DataFrame, provenance: DataFrame) -> DataFrame:
-    cols = [c for c in provenance.columns if c != "claim_id"]
-    spans = provenance.groupBy("claim_id").agg(F.sort_array(F.collect_list(F.struct(*cols))).alias("provenance"))
-    return claims.join(spans, "claim_id", "left")
+def claims_with_provenance(claims: DataFrame, provenance: DataFrame, block: int = 1000) -> DataFrame:
+    """Claims with their provenance rows; more than ``block`` of them are spread over several rows."""
+    return claims.join(blocked_lists(provenance, "claim_id", "provenance", block), "claim_id", "left")
 
 
 def entities_by_type(entities: DataFrame, limit: int = 20, types: tuple[str, ...] | None = None) -> DataFrame:

@@ -262,7 +262,8 @@ FROM proposals p LEFT JOIN evidence e USING (proposal_id) GROUP BY 1""")
 def proposals_with_evidence(t: Tables) -> DataFrame:
     rows = review.with_evidence(t.proposals(), t.evidence())
     n = F.when(F.col("evidence").isNull(), 0).otherwise(F.size("evidence")).cast("bigint")
-    return rows.select("proposal_id", n.alias("spans"), F.get("evidence", F.lit(0))["anchor_start"].alias("first_anchor"))
+    return rows.groupBy("proposal_id").agg(
+        F.sum(n).alias("spans"), F.min(F.get("evidence", F.lit(0))["anchor_start"]).alias("first_anchor"))
 
 
 _RANK = "CASE proposal_type WHEN 'entity' THEN 0 WHEN 'task' THEN 1 WHEN 'decision' THEN 2 WHEN 'event' THEN 3 WHEN 'claim' THEN 4 WHEN 'relationship' THEN 5 ELSE 99 END"
@@ -508,12 +509,13 @@ def outbox_rows(t: Tables) -> DataFrame:
     return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.max(F.length(body)).alias("longest"))
 
 
-@query(f"""WITH {CLAIMS}, {EVIDENCE} SELECT claim_id, (SELECT count(*) FROM evidence e WHERE e.proposal_id = claims.subject_entity_id) AS spans FROM claims""")
+@query(f"""WITH {CLAIMS}, {EVIDENCE} SELECT claim_id, sum((SELECT count(*) FROM evidence e WHERE e.proposal_id = claims.subject_entity_id))::BIGINT AS spans FROM claims GROUP BY 1""")
 def claims_with_provenance(t: Tables) -> DataFrame:
     prov = t.claims().select("claim_id", F.col("subject_entity_id").alias("proposal_id")).join(
         t.evidence().select("proposal_id", "chunk_id", "evidence_id"), "proposal_id")
     rows = canonical.claims_with_provenance(t.claims(), prov)
-    return rows.select("claim_id", F.when(F.col("provenance").isNull(), 0).otherwise(F.size("provenance")).cast("bigint").alias("spans"))
+    n = F.when(F.col("provenance").isNull(), 0).otherwise(F.size("provenance")).cast("bigint")
+    return rows.groupBy("claim_id").agg(F.sum(n).alias("spans"))
 
 
 @query("""SELECT owner_id, entity_type, canonical_name, rank FROM (SELECT c_nationkey AS owner_id, lower(c_mktsegment) AS entity_type, c_name AS canonical_name,

@@ -229,3 +229,14 @@ def test_ontology_proposal(spark):
     assert new.count() == 1 and json.loads(row["proposed_definition"])["id"] == "project"
     assert json.loads(row["evidence"])["sample_proposal_ids"] == [2, 1, 0]
     assert ontology.without_pending(new, new).count() == 0
+
+
+def test_hot_proposal_evidence_comes_in_blocks(spark):
+    p = spark.createDataFrame([("hot",), ("cold",), ("none",)], "proposal_id string")
+    e = spark.createDataFrame([("hot", f"e{i}") for i in range(95)] + [("cold", "x"), ("cold", "y")], "proposal_id string, evidence_id string")
+    rows = review.with_evidence(p, e, block=10).collect()
+    spans = {}
+    for r in rows:
+        spans.setdefault(r["proposal_id"], []).extend(x["evidence_id"] for x in r["evidence"] or [])
+    assert sorted(spans["hot"]) == sorted(f"e{i}" for i in range(95)) and spans["cold"] == ["x", "y"] and spans["none"] == []
+    assert len([r for r in rows if r["proposal_id"] == "hot"]) > 5 and max(len(r["evidence"] or []) for r in rows) < 40
