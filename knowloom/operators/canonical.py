@@ -256,15 +256,14 @@ def contradiction_topics(values: DataFrame, min_values: int = 2) -> DataFrame:
     return hot_join(totals, firsts, TOPIC)
 
 
-def _value_facts(asked: DataFrame, stored: DataFrame, topics: DataFrame) -> DataFrame:
-    """Per asked (topic, value): the earliest stored claim that differs and how many differ."""
-    same = stored.select(*TOPIC, "value_key", F.col("claims").alias("_same"), F.lit(1).alias("_known"))
-    joined = hot_join(hot_join(asked, topics, TOPIC), same, [*TOPIC, "value_key"], "left")
+def _value_facts(asked: DataFrame, topics: DataFrame) -> DataFrame:
+    """``asked(topic, value_key, same_claims, same_values)`` -> the earliest stored claim that differs
+    and how many stored claims and values differ."""
     prior = F.when(F.col("value_key") == F.col("v1.value_key"), F.col("v2")).otherwise(F.col("v1"))
-    return joined.select(
+    return hot_join(asked, topics, TOPIC).select(
         *TOPIC, "value_key", prior.alias("_p"),
-        (F.col("topic_claims") - F.coalesce("_same", F.lit(0))).alias("differing_claims"),
-        (F.col("topic_values") - F.coalesce("_known", F.lit(0))).alias("differing_values"),
+        (F.col("topic_claims") - F.col("same_claims")).alias("differing_claims"),
+        (F.col("topic_values") - F.col("same_values")).alias("differing_values"),
     ).filter("_p is not null")
 
 
@@ -285,7 +284,8 @@ def detect_contradictions(claims: DataFrame, multi_valued: tuple[str, ...] = MUL
     facts about a value are gathered on the aggregated values, so claims are joined once.
     """
     values = claim_values(claims, multi_valued)
-    facts = _value_facts(values.select(*TOPIC, "value_key"), values, contradiction_topics(values))
+    own = values.select(*TOPIC, "value_key", F.col("claims").alias("same_claims"), F.lit(1).alias("same_values"))
+    facts = _value_facts(own, contradiction_topics(values))
     earlier = F.struct(F.col("_p.first_at"), F.col("_p.first_claim_id")) < F.struct("created_at", "claim_id")
     return _findings(hot_join(_comparable(claims, multi_valued), facts, [*TOPIC, "value_key"]).filter(earlier))
 
@@ -299,7 +299,12 @@ def compare_new_claims(
     """
     values = claim_values(existing, multi_valued)
     rows = _comparable(new, multi_valued)
-    facts = _value_facts(rows.select(*TOPIC, "value_key").distinct(), values, contradiction_topics(values, 1))
+    same = values.select(*TOPIC, "value_key", F.col("claims").alias("_same"), F.lit(1).alias("_known"))
+    asked = hot_join(rows.select(*TOPIC, "value_key").distinct(), same, [*TOPIC, "value_key"], "left").select(
+        *TOPIC, "value_key", F.coalesce("_same", F.lit(0)).alias("same_claims"),
+        F.coalesce("_known", F.lit(0)).alias("same_values"),
+    )
+    facts = _value_facts(asked, contradiction_topics(values, 1))
     return _findings(hot_join(rows, facts, [*TOPIC, "value_key"]))
 
 

@@ -29,13 +29,10 @@ class Tables:
         )
 
     def questions(self) -> DataFrame:
-        """Benchmark passages asked in every owner's (language's) documents."""
-        return self.raw("benchmark").select(
-            F.col("item_id").alias("query_id"), F.lit("en").alias("owner_id"), F.col("text").alias("question")
-        )
-
-    def labelled(self) -> DataFrame:
-        return self.raw("labels").join(self.raw("documents").select("doc_id", "source", "lang", "n_chars"), "doc_id")
+        """Every owner (language) asks for every benchmark passage in its own documents."""
+        owners = F.array(*[F.lit(x) for x in ("de", "en", "es", "fr")])
+        asked = self.raw("benchmark").select("item_id", F.explode(owners).alias("owner_id"), F.col("text").alias("question"))
+        return asked.select(F.concat_ws("-", "owner_id", F.col("item_id").cast("string")).alias("query_id"), "owner_id", "question")
 
     # --- change capture ----------------------------------------------------------------------
     def pages(self) -> DataFrame:
