@@ -509,11 +509,12 @@ def outbox_rows(t: Tables) -> DataFrame:
     return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.max(F.length(body)).alias("longest"))
 
 
-@query(f"""WITH {CLAIMS}, {EVIDENCE} SELECT claim_id, sum((SELECT count(*) FROM evidence e WHERE e.proposal_id = claims.subject_entity_id))::BIGINT AS spans FROM claims GROUP BY 1""")
+@query(f"""WITH {CLAIMS}, {EVIDENCE} SELECT claim_id, (SELECT count(*) FROM evidence e WHERE e.proposal_id = c.subject_entity_id) AS spans
+FROM (SELECT DISTINCT claim_id, subject_entity_id FROM claims) c""")
 def claims_with_provenance(t: Tables) -> DataFrame:
-    prov = t.claims().select("claim_id", F.col("subject_entity_id").alias("proposal_id")).join(
-        t.evidence().select("proposal_id", "chunk_id", "evidence_id"), "proposal_id")
-    rows = canonical.claims_with_provenance(t.claims(), prov)
+    claims = t.claims().select("claim_id", F.col("subject_entity_id").alias("proposal_id")).distinct()
+    prov = claims.join(t.evidence().select("proposal_id", "chunk_id", "evidence_id"), "proposal_id")
+    rows = canonical.claims_with_provenance(claims, prov)
     n = F.when(F.col("provenance").isNull(), 0).otherwise(F.size("provenance")).cast("bigint")
     return rows.groupBy("claim_id").agg(F.sum(n).alias("spans"))
 
