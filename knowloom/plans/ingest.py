@@ -75,7 +75,7 @@ def source_previews(t: Tables) -> DataFrame:
     parsed = t.raw("orders").select(F.col("o_orderkey").alias("version_id"), F.col("o_orderpriority").alias("text"))
     rows = chunking.source_preview(parsed, t.version_chunks())
     n = F.when(F.col("chunks").isNull(), 0).otherwise(F.size("chunks"))
-    return rows.select("version_id", "text", n.alias("chunks"), F.get("chunks", F.lit(0))["chunk_index"].alias("first_index"))
+    return rows.select("version_id", "text", n.cast("bigint").alias("chunks"), F.get("chunks", F.lit(0))["chunk_index"].alias("first_index"))
 
 
 @query("""SELECT CASE WHEN regexp_matches(lower(url), '[.]pdf$') THEN 'failed' WHEN regexp_matches(html, '[^ ]') THEN 'completed'
@@ -237,7 +237,7 @@ triaged AS (SELECT version_id, 'text' AS extractor_hint,
 risky AS (SELECT *, CASE WHEN sensitivity = 'high' THEN 'high' WHEN relevance >= 0.85 THEN 'low' ELSE 'medium' END AS review_risk FROM triaged)"""
 
 
-@query(f"""WITH {_TRIAGE} SELECT version_id, extractor_hint, sensitivity, relevance, review_risk, 'site' AS project_hint,
+@query(f"""WITH {_TRIAGE} SELECT version_id, extractor_hint, sensitivity, relevance::DOUBLE AS relevance, review_risk, 'site' AS project_hint,
   sensitivity = 'high' OR review_risk = 'high' AS needs_review,
   CASE WHEN sensitivity = 'high' THEN 'high' WHEN review_risk = 'high' THEN 'medium' ELSE 'low' END AS floored_risk FROM risky""")
 def triage_pages(t: Tables) -> DataFrame:
@@ -245,7 +245,7 @@ def triage_pages(t: Tables) -> DataFrame:
     rows = triage.with_triage(pages, markers=(*triage.SENSITIVE_MARKERS, "spam-farm"))
     s, r = F.col("sensitivity"), F.col("review_risk")
     return rows.select(
-        "version_id", "extractor_hint", "sensitivity", F.col("relevance").cast("decimal(3,2)").alias("relevance"), "review_risk", "project_hint",
+        "version_id", "extractor_hint", "sensitivity", "relevance", "review_risk", "project_hint",
         triage.requires_review(s, r).alias("needs_review"), triage.floor_risk(F.lit("low"), s, r).alias("floored_risk"),
     )
 

@@ -8,7 +8,7 @@ def strip(x: str) -> str:
 
 
 def tokens(x: str) -> str:
-    return rf"greatest(1, len(list_filter(regexp_split_to_array({x}, '{WS}+'), lambda w: w <> '')))"
+    return rf"greatest(1, len(list_filter(regexp_split_to_array({x}, '{WS}+'), lambda w: w <> '')))::INT"
 
 
 # Chunk windows of the documents: one every 700 characters, 800 long.

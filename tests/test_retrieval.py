@@ -93,3 +93,15 @@ def test_golden_scores(spark):
     g = spark.createDataFrame([("g", ["technology", "postgresql"], 1), ("h", ["task"], 0)], "query_id string, expected_signals array<string>, min_citations int")
     got = {r["query_id"]: (r["signals_found"], r["any_signal"], r["enough_citations"]) for r in answers.score_golden(a, g).collect()}
     assert got == {"g": (1, True, True), "h": (0, False, True)}
+
+
+def test_embedder_falls_back_per_row(spark, chunks):
+    from knowloom.operators import embedding
+
+    def broken(text):
+        return F.when(F.contains(text, F.lit("only")), F.lit(None)).otherwise(F.array(*[F.lit(0.5)] * 4)).cast("array<double>")
+
+    rows = {r["chunk_id"]: r for r in embedding.embed(chunks, 4, broken, "mine").collect()}
+    assert rows["c1"]["embedding_model"] == "mine" and rows["c1"]["embedding"] == [0.5] * 4
+    plain = {r["chunk_id"]: r["embedding"] for r in embedding.embed(chunks, 4).collect()}
+    assert rows["c4"]["embedding_model"] == embedding.HASH_MODEL and rows["c4"]["embedding"] == plain["c4"]
