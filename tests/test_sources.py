@@ -13,13 +13,13 @@ from knowloom.sources import content, folder, landed, sinks
 def test_folder_scan(spark, tmp_path):
     root = tmp_path / "docs"
     (root / "a" / "node_modules" / "deep").mkdir(parents=True)
-    (root / "readme.md").write_text("hello knowledge base")
+    (root / "readme.md").write_text("hello plain text")
     (root / "a" / "x y.TXT").write_text("text")
     (root / "a" / "skip.bin").write_text("no")
     (root / "a" / "node_modules" / "deep" / "n.md").write_text("no")
     rows = {r["external_id"]: r for r in folder.scan_folder(spark, [str(root)]).collect()}
     assert set(rows) == {"readme.md", "a/x y.TXT"}
-    assert rows["readme.md"]["content_hash"] == hashlib.sha256(b"hello knowledge base").hexdigest()
+    assert rows["readme.md"]["content_hash"] == hashlib.sha256(b"hello plain text").hexdigest()
     assert rows["readme.md"]["mime_type"] == "text/markdown" and rows["a/x y.TXT"]["mime_type"] == "text/plain"
     two = folder.scan_folder(spark, [str(root), str(root / "a")], exclude_globs=("*node_modules*",))
     assert {r["external_id"] for r in two.select("external_id").collect()} == {"0/readme.md", "0/a/x y.TXT", "1/x y.TXT"}
