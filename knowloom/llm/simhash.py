@@ -42,8 +42,15 @@ def simhash(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, words: int, seeds: tuple[int, ...]) -> DataFrame:
-    """doc_id, f0, f1, ...: one SimHash for each seed, as signed longs."""
+def word_hashes(text: bytes, seed: int) -> np.ndarray:
+    """XXH64 of the different words of a lower-cased text."""
+    found = set(text.lower().split())
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(w, seed) for w in found), np.uint64, len(found))
+
+
+def fingerprints(docs: DataFrame, words: int | None, seeds: tuple[int, ...]) -> DataFrame:
+    """doc_id, f0, f1, ...: one SimHash for each seed, as signed longs; of word shingles, or of the different words for None."""
     names = ["doc_id", *[f"f{i}" for i in range(len(seeds))]]
 
     def run(batches):
@@ -52,7 +59,7 @@ def fingerprints(docs: DataFrame, words: int, seeds: tuple[int, ...]) -> DataFra
             for j, text in enumerate(batch.column(1)):
                 data = text.as_py() or b""
                 for i, seed in enumerate(seeds):
-                    out[i, j] = simhash(shingle_hashes(data, words, seed))
+                    out[i, j] = simhash(word_hashes(data, seed) if words is None else shingle_hashes(data, words, seed))
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x.view(np.int64)) for x in out]], names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
@@ -192,23 +199,25 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("node", F.col("text").cast("binary")).mapInArrow(run, "node long, shingles array<int>")
 
 
-def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, words: int = 2, radius: int = 4,
+def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 4,
                          seeds: tuple[int, ...] = (42, 43, 44, 45), max_bucket: int = MAX_BUCKET) -> DataFrame:
     """The rows of ``docs`` without near copies: of each group the document with the smallest doc_id stays.
 
     Two documents are linked if the sets of their ``shingle``-word shingles have a Jaccard similarity of ``similarity``
     or more; groups are the connected parts. A 64-bit SimHash of five-word shingles differs in about ten bits at
-    similarity 0.8, beyond any covering with a sane number of tables. Candidates therefore come from ``words``-word
-    SimHashes, of which an edit changes fewer features, under several seeds, each covered to ``radius`` bits; every
-    candidate is then compared by its whole shingle sets, so unlike documents are never dropped. Of documents with one
-    fingerprint each is compared with the first, of a bucket of over 16 fingerprints enough pairs to connect it.
+    similarity 0.8, beyond any covering with a sane number of tables. Candidates therefore come from SimHashes of the
+    different words, of which an edit changes one where it changes five shingles, under several seeds, each covered to
+    ``radius`` bits; every candidate is then compared by its whole shingle sets, so unlike documents are never dropped.
+    With four seeds and four bits 93 % of pairs at similarity 0.80 to 0.82 are candidates (600 edited documents of the
+    samples), and practically all from 0.9 on. Of documents with one fingerprint each is compared with the first, of a
+    bucket of over 16 fingerprints enough pairs to connect it.
 
     Null and wordless texts have an empty set and are never near copies. Rows that repeat id and text share their fate;
     null ids count as the largest. The columns of ``docs`` are returned as they are; an empty table stays empty.
     """
     node = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")))
     base = docs.select(node.alias("doc_id"), "text")
-    prints = materialize(fingerprints(base, words, seeds).withColumnRenamed("doc_id", "node"), "near-prints")
+    prints = materialize(fingerprints(base, None, seeds).withColumnRenamed("doc_id", "node"), "near-prints")
     found: list[DataFrame] = []
     for i in range(len(seeds)):
         one = prints.select("node", F.col(f"f{i}").alias("fp")).filter("fp <> 0")
