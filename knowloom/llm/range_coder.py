@@ -16,7 +16,7 @@ import numpy as np
 ONE = 1 << 15
 _LOW32 = np.uint64((1 << 32) - 1)
 _STATE = np.uint64((1 << 48) - 1)
-_SLOTS2, _SLOTS1 = 1 << 12, 1 << 11
+_SLOTS2, _SLOTS1 = 1 << 10, 1 << 9
 
 
 class _Coder:
@@ -117,71 +117,77 @@ _GOALS = (16 * np.arange(17)[None, :] + (np.arange(17)[None, :] > np.arange(16)[
 
 
 def _run(coder: Encoder | Decoder, counts: np.ndarray, ids: np.ndarray | None, width: int) -> np.ndarray:
-    """The one model loop of both directions: ``ids`` (lanes, longest) or None; returns the ids."""
+    """The one model loop of both directions: ``ids`` (lanes, longest) or None; returns the ids.
+
+    A table entry is 4 * guess + record, or -1 while it is empty; tables are small enough to stay in a core's cache.
+    """
     lanes, longest = len(counts), int(counts.max(initial=0))
     every = np.arange(lanes)
     nibbles = 4 if width == 2 else 8
-    out = np.zeros((lanes, longest), np.int64) if ids is None else ids
-    guess2, guess1 = np.full((lanes, _SLOTS2), -1, np.int32), np.full((lanes, _SLOTS1), -1, np.int32)
-    record2, record1 = np.zeros((lanes, _SLOTS2), np.uint8), np.zeros((lanes, _SLOTS1), np.uint8)
-    chance2 = np.full((lanes, 4), ONE // 2, np.int32)
-    chance1 = np.full((lanes, 4), ONE // 2, np.int32)
-    agreed = np.full((lanes, 2), ONE // 2, np.int32)
-    weight = np.full(lanes, 128, np.int32)
-    spell = [np.broadcast_to(_STEPS, (lanes, 16 if i else 1, 17)).copy() for i in range(nibbles)]
+    out = np.zeros((longest, lanes), np.int64) if ids is None else np.ascontiguousarray(ids.T)
+    kind = np.int32 if width == 2 else np.int64
+    table2, table1 = np.full(lanes * _SLOTS2, -1, kind), np.full(lanes * _SLOTS1, -1, kind)
+    base2, base1, base4 = every * _SLOTS2, every * _SLOTS1, every * 4
+    chance2 = np.full(lanes * 4, ONE // 2, np.int64)
+    chance1 = np.full(lanes * 4, ONE // 2, np.int64)
+    agreed = np.full(lanes * 2, ONE // 2, np.int64)
+    weight = np.full(lanes, 128, np.int64)
+    spell = [np.tile(_STEPS, (lanes * (16 if i else 1), 1)) for i in range(nibbles)]
+    base16 = every * 16
     last = np.zeros(lanes, np.int64)
     before = np.zeros(lanes, np.int64)
     for t in range(longest):
         live = t < counts
-        true = None if ids is None else ids[:, t]
-        slot2 = ((before * 40503 + last * 2654435761) >> 7) % _SLOTS2
-        slot1 = (last * 2654435761 >> 9) % _SLOTS1
-        c2, c1 = guess2[every, slot2].astype(np.int64), guess1[every, slot1].astype(np.int64)
-        n2, n1 = record2[every, slot2], record1[every, slot1]
+        true = None if ids is None else out[t]
+        mixed = last * 2654435761
+        slot2 = base2 + (((before * 40503 + mixed) >> 7) & (_SLOTS2 - 1))
+        slot1 = base1 + ((mixed >> 9) & (_SLOTS1 - 1))
+        e2, e1 = table2[slot2].astype(np.int64), table1[slot1].astype(np.int64)
+        c2, c1 = e2 >> 2, e1 >> 2
+        has2 = e2 >= 0
+        at2, at1 = base4 + (e2 & 3), base4 + (e1 & 3)
         # First decision: the order-2 guess, or the order-1 guess where order 2 has none.
-        first = np.where(c2 >= 0, c2, c1)
+        first = np.where(has2, c2, c1)
         asked = live & (first >= 0)
-        same = (c1 == first).astype(np.int64)
-        own = np.where(c2 >= 0, chance2[every, n2], chance1[every, n1])
-        other = agreed[every, same]
+        same = 2 * every + (c1 == first)
+        p2, p1 = chance2[at2], chance1[at1]
+        own = np.where(has2, p2, p1)
+        other = agreed[same]
         p = np.clip((own * weight + other * (256 - weight)) >> 8, 32, ONE - 32)
         hit = coder.flag(p, None if true is None else asked & (true == first), asked)
-        goal = np.where(hit, ONE, 0)
+        goal = hit * ONE
         better = np.abs(goal - own) <= np.abs(goal - other)
-        weight = np.where(asked, np.clip(weight + np.where(better, 4, -4), 16, 240), weight)
-        two = asked & (c2 >= 0)
-        one = asked & (c2 < 0)
-        chance2[every, n2] += np.where(two, (goal - chance2[every, n2]) >> 4, 0)
-        chance1[every, n1] += np.where(one, (goal - chance1[every, n1]) >> 4, 0)
-        agreed[every, same] += np.where(asked, (goal - other) >> 5, 0)
+        weight = np.where(asked, np.clip(weight + 8 * better - 4, 16, 240), weight)
+        chance2[at2] = p2 + ((goal - p2) >> 4) * (asked & has2)
+        p1 = p1 + ((goal - p1) >> 4) * (asked & ~has2)
+        agreed[same] = other + ((goal - other) >> 5) * asked
         # Second decision: the order-1 guess where it differs.
-        again = live & ~hit & (c2 >= 0) & (c1 >= 0) & (c1 != c2)
-        p1 = np.clip(chance1[every, n1], 32, ONE - 32)
-        hit1 = coder.flag(p1, None if true is None else again & (true == c1), again)
-        chance1[every, n1] += np.where(again, (np.where(hit1, ONE, 0) - chance1[every, n1]) >> 4, 0)
-        # Else the id is spelled.
+        again = live & ~hit & has2 & (c1 >= 0) & (c1 != c2)
+        hit1 = coder.flag(np.clip(p1, 32, ONE - 32), None if true is None else again & (true == c1), again)
+        chance1[at1] = p1 + ((hit1 * ONE - p1) >> 4) * again
+        # Else the id is spelled. The order-0 distributions learn every id.
         open_ = live & ~hit & ~hit1
+        seen, ctx = [], every
         value = np.zeros(lanes, np.int64)
-        ctx = np.zeros(lanes, np.int64)
         for i in range(nibbles):
-            cdf = spell[i][every, ctx]
+            cdf = spell[i][ctx]
             s = coder.symbol(cdf, None if true is None else (true >> (4 * (nibbles - 1 - i))) & 15, open_)
-            step = (_GOALS[s] - cdf) >> 5
-            step[:, 0] = 0
-            step[:, 16] = 0
-            step[~open_] = 0
-            spell[i][every, ctx] = cdf + step
-            value = value * 16 + s
-            ctx = s
-        x = np.where(hit, first, np.where(hit1, c1, value)) if true is None else true
+            seen.append(cdf)
+            value = (value << 4) | s
+            ctx = base16 + s
+        x = value if true is not None else np.where(hit, first, np.where(hit1, c1, value))
+        ctx = every
+        for i in range(nibbles):
+            s = (x >> (4 * (nibbles - 1 - i))) & 15
+            cdf = seen[i] if true is not None or not i else spell[i][ctx]
+            spell[i][ctx] = cdf + ((_GOALS[s] - cdf) >> 5)
+            ctx = base16 + s
         if true is None:
-            out[:, t] = np.where(live, x, 0)
-        record2[every, slot2] = np.where(x == c2, np.minimum(n2 + 1, 3), 0)
-        record1[every, slot1] = np.where(x == c1, np.minimum(n1 + 1, 3), 0)
-        guess2[every, slot2] = x
-        guess1[every, slot1] = x
+            out[t] = np.where(live, x, 0)
+        table2[slot2] = 4 * x + np.where(x == c2, np.minimum((e2 & 3) + 1, 3), 0)
+        table1[slot1] = 4 * x + np.where(x == c1, np.minimum((e1 & 3) + 1, 3), 0)
         before, last = last, x
-    return out
+    return out.T
 
 
 # Block: magic, id width, 3 spare bytes, ids, bytes of payload, CRC-32 of the ids (little-endian, of the width).

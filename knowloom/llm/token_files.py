@@ -17,7 +17,7 @@ from knowloom.functions.skew import is_small, small_side
 from knowloom.llm import range_coder, tokens
 from knowloom.llm.shared import work_dir
 
-BLOCK_IDS = 2048
+BLOCK_IDS = 1024
 WAVE_BLOCKS = 2048
 _FILE = "shard int, block long, doc_no array<long>, doc_id array<long>, at array<long>, length array<long>, begin array<long>, data binary"
 _PARTS = "shard int, doc_no long, doc_id long, at long, length long, begin long, crc long"
