@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from knowloom.functions.skew import hot_join, is_small, small_side
 from knowloom.llm.shared import connected_components, materialize
 
-MAX_BUCKET = 1024
+MAX_BUCKET = 8192
 _STEP = 65_536
 
 
