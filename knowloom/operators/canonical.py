@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from knowloom.functions import jsonx
+from knowloom.functions import jsonx, text
 from knowloom.functions.hashing import stable_id
 from knowloom.functions.skew import blocked_lists, hot_join, top_k
 from knowloom.operators.resolution import gather_names, merged_aliases
@@ -146,13 +146,18 @@ def apply_merges(entities: DataFrame, merges: DataFrame) -> DataFrame:
 def resolve_refs(rows: DataFrame, ref: str, entity_proposals: DataFrame, entities: DataFrame) -> DataFrame:
     """Adds ``entity_id`` for the local reference in column ``ref`` of ``rows(owner_id, run_id, ...)``.
 
-    A reference is the local id of an entity proposal of the same run, else the name of a concept.
+    A reference is the local id of an entity proposal of the same run, else the name of a concept. A proposal that
+    was linked carries the entity's id in ``resolved_entity_id`` (column or payload), which goes before a lookup by name.
     """
+    linked = jsonx.field(F.col("payload"), "resolved_entity_id")
+    if "resolved_entity_id" in entity_proposals.columns:
+        linked = F.coalesce(F.col("resolved_entity_id").cast("string"), linked)
+    id_type = entities.schema["entity_id"].dataType
     named = _named(entity_proposals)
     local = entity_proposals.select(
-        "proposal_id", F.col("run_id"), jsonx.field(F.col("payload"), "local_id").alias("_ref")
+        "proposal_id", F.col("run_id"), jsonx.field(F.col("payload"), "local_id").alias("_ref"), linked.cast(id_type).alias("_linked")
     ).join(named.select("proposal_id", "entity_type", F.col("canonical_name").alias("_name")), "proposal_id")
-    local = local.groupBy("run_id", "_ref").agg(F.min(F.struct("entity_type", "_name")).alias("_l"))
+    local = local.groupBy("run_id", "_ref").agg(F.min(F.struct("entity_type", "_name")).alias("_l"), F.min("_linked").alias("_linked"))
     keyed = rows.withColumn("_ref", F.col(ref)).join(local, ["run_id", "_ref"], "left").withColumns(
         {
             "entity_type": F.coalesce("_l.entity_type", F.lit("concept")),
@@ -160,8 +165,8 @@ def resolve_refs(rows: DataFrame, ref: str, entity_proposals: DataFrame, entitie
         }
     )
     ids = entities.select("owner_id", "entity_type", "canonical_name", "entity_id")
-    found = hot_join(keyed, ids, ENTITY_KEY, "left")
-    return found.drop("_ref", "_l", "entity_type", "canonical_name")
+    found = hot_join(keyed, ids, ENTITY_KEY, "left").withColumn("entity_id", F.coalesce("_linked", "entity_id"))
+    return found.drop("_ref", "_l", "_linked", "entity_type", "canonical_name")
 
 
 def materialize_relationships(
@@ -221,7 +226,7 @@ TOPIC = ["owner_id", "subject_entity_id", "predicate"]
 
 def _comparable(claims: DataFrame, multi_valued: tuple[str, ...]) -> DataFrame:
     active = claims.filter((F.col("status") == "active") & ~F.col("predicate").isin(*multi_valued))
-    return active.withColumn("value_key", F.lower(F.trim("object_value")))
+    return active.withColumn("value_key", F.lower(text.strip(F.col("object_value"))))
 
 
 def claim_values(claims: DataFrame, multi_valued: tuple[str, ...] = MULTI_VALUED) -> DataFrame:
@@ -423,10 +428,17 @@ def canonical_counts(entities: DataFrame, claims: DataFrame, findings: DataFrame
 def list_rows(
     table: DataFrame, id_col: str, limit: int = 50, status: str | None = None, cursor=None, newest_first: bool = False
 ) -> DataFrame:
-    """One page per owner of entities, claims or findings."""
+    """One page per owner of entities, claims or findings.
+
+    ``cursor`` is the last row of the page before: its id, or with ``newest_first`` its (created_at, id).
+    """
     if status is not None:
         table = table.filter(F.col("status") == status)
-    if cursor is not None:
+    if cursor is not None and newest_first:
+        at, last = cursor
+        at = F.lit(at).cast(table.schema["created_at"].dataType)
+        table = table.filter((F.col("created_at") < at) | ((F.col("created_at") == at) & (F.col(id_col) < F.lit(last))))
+    elif cursor is not None:
         table = table.filter(F.col(id_col) > F.lit(cursor))
     order = [F.desc("created_at"), F.desc(id_col)] if newest_first else [F.col(id_col)]
     return top_k(table, ["owner_id"], order, limit)
@@ -436,13 +448,15 @@ def provenance_trace(
     claims: DataFrame, provenance: DataFrame, evidence: DataFrame, chunks: DataFrame, versions: DataFrame,
     objects: DataFrame,
 ) -> DataFrame:
-    """claim -> proposal -> evidence span -> chunk -> version -> object and source, one row per span."""
+    """claim -> proposal -> evidence span -> chunk -> version -> object and source, one row per span.
+
+    A span belongs to the provenance of its own version and chunk; claims without provenance keep a row of nulls.
+    """
     out = claims.select("claim_id", F.col("source_proposal_id").alias("proposal_id"))
     p = provenance.select("claim_id", "version_id", "chunk_id").distinct()
-    e = evidence.select("proposal_id", F.col("version_id").alias("_ev"), "evidence_id", "excerpt")
-    out = out.join(p, "claim_id", "left")
-    out = out.join(e, ["proposal_id"], "left").filter(F.col("_ev").isNull() | F.col("_ev").eqNullSafe(F.col("version_id")))
-    out = out.drop("_ev").join(chunks.select("chunk_id", "chunk_index"), "chunk_id", "left")
+    e = evidence.select("proposal_id", "version_id", "chunk_id", "evidence_id", "excerpt")
+    out = out.join(p, "claim_id", "left").join(e, ["proposal_id", "version_id", "chunk_id"], "left")
+    out = out.join(chunks.select("chunk_id", "chunk_index"), "chunk_id", "left")
     out = out.join(versions.select("version_id", "object_id"), "version_id", "left")
     return out.join(objects.select("object_id", "source_id", "external_id"), "object_id", "left")
 

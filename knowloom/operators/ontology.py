@@ -40,11 +40,11 @@ def _recurring(rows: DataFrame, keys: list[str], min_occurrences: int, cap: int
 
 def unmapped_entities(
     proposals: DataFrame, known: tuple[str, ...] = ENTITY_TYPES, min_occurrences: int = MIN_OCCURRENCES,
-    cap: int | None = 100,
+    cap: int | None = None,
 ) -> DataFrame:
     """Recurring (type, name) pairs of entity proposals whose type is not in the ontology.
 
-    The cap applies before known types are dropped; ``cap=None`` keeps all.
+    ``cap`` is a page size per owner, most frequent first.
     """
     p = F.col("payload")
     rows = proposals.filter(
@@ -52,23 +52,21 @@ def unmapped_entities(
         & jsonx.has_key(p, "entity_type") & jsonx.has_key(p, "name")
     ).select("owner_id", "proposal_id", "created_at", jsonx.field(p, "entity_type").alias("entity_type"),
              jsonx.field(p, "name").alias("name"))
-    found = _recurring(rows, ["entity_type", "name"], min_occurrences, cap)
-    return found.filter(F.coalesce("entity_type", F.lit("")) != "").filter(~F.col("entity_type").isin(*known))
+    rows = rows.filter(F.coalesce("entity_type", F.lit("")) != "").filter(~F.col("entity_type").isin(*known))
+    return _recurring(rows, ["entity_type", "name"], min_occurrences, cap)
 
 
 def unmapped_relationships(
     proposals: DataFrame, known: tuple[str, ...] = tuple(r[0] for r in RELATION_TYPES),
-    min_occurrences: int = MIN_OCCURRENCES, cap: int | None = 50,
+    min_occurrences: int = MIN_OCCURRENCES, cap: int | None = None,
 ) -> DataFrame:
     p = F.col("payload")
     rows = proposals.filter(
         (F.col("proposal_type") == "relationship") & F.col("status").isin("pending", "approved")
         & jsonx.has_key(p, "relationship_type")
     ).select("owner_id", "proposal_id", "created_at", jsonx.field(p, "relationship_type").alias("relationship_type"))
-    found = _recurring(rows, ["relationship_type"], min_occurrences, cap)
-    return found.filter(F.coalesce("relationship_type", F.lit("")) != "").filter(
-        ~F.col("relationship_type").isin(*known)
-    )
+    rows = rows.filter(F.coalesce("relationship_type", F.lit("")) != "").filter(~F.col("relationship_type").isin(*known))
+    return _recurring(rows, ["relationship_type"], min_occurrences, cap)
 
 
 def best_examples(candidates: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ Keyword, semantic and hybrid chunk search, entity and claim search, and the rank
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -163,6 +164,14 @@ def semantic_search(
     asked = questions.filter("vector is not null").select("query_id", "owner_id", "vector")
     schema = {f.name: f.dataType.simpleString() for f in [*chunks.schema.fields, *questions.schema.fields]}
     out_schema = f"query_id {schema['query_id']}, chunk_id {schema['chunk_id']}, score double"
+    # Vectors of different models have different dimensions: each question meets the chunks of its own.
+    rows = rows.filter(F.forall("embedding", lambda x: x.isNotNull()))
+    asked = asked.filter(F.forall("vector", lambda x: x.isNotNull()))
+    sizes = [r[0] for r in asked.select(F.size("vector")).distinct().collect()]  # one for each dimension in use
+    if len(sizes) > 1:
+        parts = [semantic_search(rows.filter(F.size("embedding") == n), asked.filter(F.size("vector") == n), limit, query_block) for n in sizes]
+        return reduce(DataFrame.unionByName, parts)
+    rows = rows.filter(F.size("embedding").isin(*sizes)) if sizes else rows.limit(0)
     head = asked.limit(query_block + 1).collect()
     if len(head) > query_block:
         local = _grid_search(rows, asked, limit, query_block, out_schema)
@@ -270,15 +279,15 @@ def _all_grams(text: Column) -> Column:
     return F.when(n > 0, F.array_distinct(F.flatten(grams)))
 
 
-def substring_matches(table: DataFrame, texts: Column, questions: DataFrame, length: int = 80) -> DataFrame:
-    """Rows of ``table`` where one of ``texts`` contains the first ``length`` characters of the question.
+def substring_matches(table: DataFrame, texts: Column, questions: DataFrame) -> DataFrame:
+    """Rows of ``table`` where one of ``texts`` contains the whole question.
 
     Case-insensitive. An equi-join on (owner, gram) with the question's head gram finds the
     candidates, ``contains`` confirms them. A checked number of questions is broadcast; otherwise rows
     without any asked gram are dropped first and hot grams are salted.
     """
     asked = questions.select(
-        "query_id", "owner_id", F.lower(F.left("question", F.lit(length))).alias("needle")
+        "query_id", "owner_id", F.lower("question").alias("needle")
     ).filter("needle <> ''").withColumn("gram", F.xxhash64(F.substring("needle", F.lit(1), _power(F.length("needle")))))
     rows = table.withColumn("_texts", F.transform(F.filter(texts, lambda t: t.isNotNull()), F.lower))
     keyed = rows.withColumn("gram", F.explode(F.array_distinct(F.flatten(F.transform("_texts", lambda t: F.coalesce(_all_grams(t), F.array().cast("array<bigint>")))))))

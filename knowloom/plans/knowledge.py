@@ -275,8 +275,8 @@ def review_list(t: Tables) -> DataFrame:
     return review.display_order(t.proposals(), limit=500).select("proposal_id", "type_rank", "confidence")
 
 
-@query(f"""WITH {PROPOSALS}, f AS (SELECT *, row_number() OVER (PARTITION BY owner_id ORDER BY proposal_id) AS rn FROM proposals WHERE status = 'pending' AND confidence >= 0.8)
-SELECT proposal_id, owner_id, proposal_type FROM f WHERE rn <= 100 AND proposal_type NOT IN ('entity_resolution', 'relationship', 'merge')""")
+@query(f"""WITH {PROPOSALS}, f AS (SELECT * FROM proposals WHERE status = 'pending' AND confidence >= 0.8)
+SELECT proposal_id, owner_id, proposal_type FROM f WHERE proposal_type NOT IN ('entity_resolution', 'relationship', 'merge')""")
 def auto_approvals(t: Tables) -> DataFrame:
     return review.auto_approvable(t.proposals()).select("proposal_id", "owner_id", "proposal_type")
 
@@ -449,7 +449,7 @@ def claim_provenance(t: Tables) -> DataFrame:
     return rows.select("claim_id", "version_id", "chunk_id", "proposal_id", "run_id")
 
 
-_ACTIVE = f"{CLAIMS}, act AS (SELECT *, lower(trim(object_value)) AS v FROM claims WHERE status = 'active')"
+_ACTIVE = f"{CLAIMS}, act AS (SELECT *, lower(regexp_replace(object_value, '^\\s+|\\s+$', '', 'g')) AS v FROM claims WHERE status = 'active')"
 _VALUES = f"{_ACTIVE}, vals AS (SELECT owner_id, subject_entity_id, predicate, v, count(*) AS claims, min((created_at, claim_id, object_value)) AS f FROM act GROUP BY ALL)"
 
 
@@ -548,14 +548,14 @@ def newest_claims(t: Tables) -> DataFrame:
 
 
 @query("""WITH li AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem),
-prov AS (SELECT DISTINCT l_orderkey AS k, l_suppkey AS version_id, l_partkey AS chunk_id FROM lineitem),
-ev AS (SELECT l_orderkey AS k, l_suppkey AS version_id, l_linenumber AS span, l_partkey AS excerpt FROM lineitem)
+prov AS (SELECT DISTINCT l_orderkey AS k, l_suppkey AS version_id, l_partkey AS chunk_id FROM lineitem WHERE l_orderkey % 3 <> 0),
+ev AS (SELECT l_orderkey AS k, l_suppkey AS version_id, l_partkey AS chunk_id, l_linenumber AS span, l_partkey AS excerpt FROM lineitem)
 SELECT o_orderkey AS claim_id, p.version_id, p.chunk_id, e.span, s_nationkey AS source_id, s_name AS external_id FROM orders LEFT JOIN prov p ON p.k = o_orderkey
-LEFT JOIN ev e ON e.k = o_orderkey AND e.version_id = p.version_id LEFT JOIN supplier ON s_suppkey = p.version_id""")
+LEFT JOIN ev e ON e.k = o_orderkey AND e.version_id = p.version_id AND e.chunk_id = p.chunk_id LEFT JOIN supplier ON s_suppkey = p.version_id""")
 def provenance_trace(t: Tables) -> DataFrame:
     claims = t.raw("orders").select(F.col("o_orderkey").alias("claim_id"), F.col("o_orderkey").alias("source_proposal_id"))
-    prov = t.evidence().select(F.col("proposal_id").alias("claim_id"), "version_id", "chunk_id")
-    ev = t.evidence().select("proposal_id", "version_id", F.col("anchor_start").alias("evidence_id"), F.col("chunk_id").alias("excerpt"))
+    prov = t.evidence().filter("proposal_id % 3 <> 0").select(F.col("proposal_id").alias("claim_id"), "version_id", "chunk_id")
+    ev = t.evidence().select("proposal_id", "version_id", "chunk_id", F.col("anchor_start").alias("evidence_id"), F.col("chunk_id").alias("excerpt"))
     chunks = t.raw("part").select(F.col("p_partkey").alias("chunk_id"), F.col("p_size").alias("chunk_index"))
     versions = t.raw("supplier").select(F.col("s_suppkey").alias("version_id"), F.col("s_suppkey").alias("object_id"))
     objects = t.raw("supplier").select(F.col("s_suppkey").alias("object_id"), F.col("s_nationkey").alias("source_id"), F.col("s_name").alias("external_id"))

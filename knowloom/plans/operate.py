@@ -117,8 +117,7 @@ def node_views(t: Tables) -> DataFrame:
 _ONT = """
 props_t AS (SELECT p_partkey AS proposal_id, p_brand AS owner_id, lower(p_type) AS entity_type, p_name AS name, p_partkey AS created_at FROM part WHERE p_size <= 40),
 groups_t AS (SELECT owner_id, entity_type, name, count(*) AS n, list(proposal_id ORDER BY created_at DESC) AS ids FROM props_t GROUP BY ALL HAVING count(*) >= 3),
-capped AS (SELECT *, row_number() OVER (PARTITION BY owner_id ORDER BY n DESC, entity_type, name) AS rn FROM groups_t),
-unmapped AS (SELECT * FROM capped WHERE rn <= 100 AND entity_type <> 'promo')"""
+unmapped AS (SELECT * FROM groups_t WHERE entity_type <> 'promo')"""
 
 
 def _typed_proposals(t: Tables) -> DataFrame:

@@ -6,8 +6,6 @@ is written to a new path.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,11 +63,11 @@ def append_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder the session names; survives the loss of executors.
 
-    Where ``spark.checkpoint.dir`` is unset and no folder was chosen yet (tests), a temporary one is used.
+    Where ``spark.checkpoint.dir`` is unset and no folder was chosen yet (tests), one in the warehouse is used.
     """
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="knowloom-checkpoint-"))
+        context.setCheckpointDir(folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
     return df.checkpoint()

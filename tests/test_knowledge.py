@@ -184,7 +184,8 @@ def test_decisions_once_and_idempotent(spark):
 def test_auto_approval_order(spark):
     rows = [(i, "o", "pending", 0.9, "relationship" if i < 3 else "task", i == 4) for i in range(6)]
     p = spark.createDataFrame(rows, "proposal_id int, owner_id string, status string, confidence double, proposal_type string, requires_review boolean")
-    assert {r[0] for r in review.auto_approvable(p, limit=4).select("proposal_id").collect()} == {3}
+    assert {r[0] for r in review.auto_approvable(p).select("proposal_id").collect()} == {3, 4, 5}
+    assert {r[0] for r in review.auto_approvable(p, limit=2).select("proposal_id").collect()} == {3, 4}
     assert {r[0] for r in review.auto_approvable(p, limit=None, respect_review=True).select("proposal_id").collect()} == {3, 5}
 
 
@@ -240,3 +241,33 @@ def test_hot_proposal_evidence_comes_in_blocks(spark):
         spans.setdefault(r["proposal_id"], []).extend(x["evidence_id"] for x in r["evidence"] or [])
     assert sorted(spans["hot"]) == sorted(f"e{i}" for i in range(95)) and spans["cold"] == ["x", "y"] and spans["none"] == []
     assert len([r for r in rows if r["proposal_id"] == "hot"]) > 5 and max(len(r["evidence"] or []) for r in rows) < 40
+
+
+def test_auto_approval_and_ontology_reach_rows_beyond_any_page(spark):
+    rows = [(i, "o", "pending", 0.9, "relationship" if i < 300 else "task", False) for i in range(310)]
+    p = spark.createDataFrame(rows, "proposal_id int, owner_id string, status string, confidence double, proposal_type string, requires_review boolean")
+    assert review.auto_approvable(p).count() == 10
+    assert review.proposal_queue(p, limit=250).count() == 250
+    rows = [(i, "o", "entity", "pending", f'{{"entity_type":"{"technology" if i < 900 else "gadget"}","name":"n{i // 3}"}}', i) for i in range(903)]
+    p = spark.createDataFrame(rows, "proposal_id int, owner_id string, proposal_type string, status string, payload string, created_at int")
+    assert {r["entity_type"] for r in ontology.unmapped_entities(p, known=("technology",)).collect()} == {"gadget"}
+
+
+def test_newest_first_pages_continue(spark):
+    df = spark.createDataFrame([("o", "a", 1), ("o", "b", 2), ("o", "c", 3), ("o", "d", 2)], "owner_id string, claim_id string, created_at int")
+    pages, cursor = [], None
+    for _ in range(3):
+        page = sorted(canonical.list_rows(df, "claim_id", 2, cursor=cursor, newest_first=True).collect(), key=lambda r: r["rank"])
+        pages.append([r["claim_id"] for r in page])
+        cursor = (page[-1]["created_at"], page[-1]["claim_id"]) if page else cursor
+    assert pages == [["c", "d"], ["b", "a"], []]
+
+
+def test_linked_entities_keep_their_facts(spark):
+    payload = '{"local_id":"e1","name":"Postgres","entity_type":"technology"}'
+    proposals = spark.createDataFrame(
+        [(1, "o", "r", payload, "entity", "Postgres", 1, 99)], "proposal_id long, owner_id string, run_id string, payload string, "
+        "proposal_type string, title string, created_at int, resolved_entity_id long")
+    entities = spark.createDataFrame([(99, "o", "technology", "PostgreSQL")], "entity_id long, owner_id string, entity_type string, canonical_name string")
+    rows = spark.createDataFrame([("o", "r", "e1"), ("o", "r", "other")], "owner_id string, run_id string, ref string")
+    assert {r["ref"]: r["entity_id"] for r in canonical.resolve_refs(rows, "ref", proposals, entities).collect()} == {"e1": 99, "other": None}

@@ -105,3 +105,12 @@ def test_embedder_falls_back_per_row(spark, chunks):
     assert rows["c1"]["embedding_model"] == "mine" and rows["c1"]["embedding"] == [0.5] * 4
     plain = {r["chunk_id"]: r["embedding"] for r in embedding.embed(chunks, 4).collect()}
     assert rows["c4"]["embedding_model"] == embedding.HASH_MODEL and rows["c4"]["embedding"] == plain["c4"]
+
+
+def test_semantic_search_with_two_models(spark):
+    chunks = spark.createDataFrame(
+        [(1, "a", [1.0, 0.0]), (1, "b", [0.0, 1.0, 0.0, 0.0]), (1, "c", [0.6, 0.8]), (1, "d", [0.0, 0.6, 0.8, 0.0]), (1, "e", [None, 1.0])],
+        "owner_id int, chunk_id string, embedding array<double>")
+    asked = spark.createDataFrame([(1, 1, [1.0, 0.0]), (2, 1, [0.0, 1.0, 0.0, 0.0])], "query_id int, owner_id int, vector array<double>")
+    got = {(r["query_id"], r["chunk_id"]): round(r["score"], 6) for r in retrieval.semantic_search(chunks, asked).collect()}
+    assert got == {(1, "a"): 1.0, (1, "c"): 0.6, (2, "b"): 1.0, (2, "d"): 0.6}
