@@ -48,7 +48,8 @@ def source_rates(docs: DataFrame, temperature: float = 0.7, targets: dict[str, f
     total = shares.filter("weight is not null").agg(
         F.coalesce(F.sum("weight"), F.lit(1.0)).alias("w"), F.coalesce(F.sum("amount"), F.lit(1.0)).alias("a")).first()
     rate = F.lit(growth * total["a"] / total["w"]) * F.col("weight") / F.col("amount")
-    return shares.select("source", "amount", F.least(F.coalesce(rate, F.lit(1.0)), F.lit(max_rate)).alias("rate"))
+    # Rounded, so that the order in which weights were summed never decides a draw.
+    return shares.select("source", "amount", F.round(F.least(F.coalesce(rate, F.lit(1.0)), F.lit(max_rate)), 9).alias("rate"))
 
 
 def poisson_mixture(docs: DataFrame, seed: int = 1, **shares) -> DataFrame:

@@ -116,7 +116,7 @@ ORACLES: dict[str, str] = {
     "op8_mixing": """
         WITH RECURSIVE a AS (SELECT source, greatest(sum(length(coalesce(text, ''))), 1)::DOUBLE AS amount FROM documents GROUP BY 1),
         t AS (SELECT sum(pow(amount, 0.7)) AS w, sum(amount) AS a FROM a),
-        r AS (SELECT source, least((t.a / t.w) * pow(amount, 0.7) / amount, 16.0) AS rate FROM a, t),
+        r AS (SELECT source, round(least((t.a / t.w) * pow(amount, 0.7) / amount, 16.0), 9) AS rate FROM a, t),
         terms(source, rate, k, p, c) AS (
             SELECT source, rate, 0, exp(-rate), exp(-rate) FROM r
             UNION ALL SELECT source, rate, k + 1, p * rate / (k + 1), c + p * rate / (k + 1) FROM terms WHERE k < 80),
