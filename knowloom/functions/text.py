@@ -68,16 +68,56 @@ def extension(c: Column) -> Column:
     return F.when(F.contains(low, F.lit(".")), F.substring_index(low, ".", -1)).otherwise("")
 
 
+def first_positions(keys: Column) -> Column:
+    """Zero-based places of the first occurrence of each key, ascending. Sorting keeps it n log n."""
+
+    def firsts(ordered: Column) -> Column:
+        return F.filter(
+            ordered, lambda x, i: (i == 0) | ~x["key"].eqNullSafe(F.get(ordered, i - 1)["key"])
+        )
+
+    pairs = F.array_sort(F.transform(keys, lambda k, i: F.struct(k.alias("key"), i.alias("at"))))
+    return F.array_sort(F.transform(bind(pairs, firsts), lambda x: x["at"]))
+
+
+def running_totals(numbers: Column) -> Column:
+    """Inclusive prefix sums of an int array.
+
+    Arrays are immutable, so one fold would copy its result at every step. Blocks of about the square
+    root of the length are folded on their own and shifted by the totals before them.
+    """
+
+    def fold(values: Column) -> Column:
+        start = F.struct(F.lit(0).alias("total"), F.array().cast("array<int>").alias("sums"))
+
+        def step(acc: Column, x: Column) -> Column:
+            total = (acc["total"] + x).cast("int")
+            return F.struct(total.alias("total"), F.array_append(acc["sums"], total).alias("sums"))
+
+        return F.aggregate(values, start, step, lambda acc: acc["sums"])
+
+    def of(all_numbers: Column) -> Column:
+        width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(all_numbers))).cast("int"))
+        count = F.ceil(F.size(all_numbers) / width).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))),
+                             lambda b: fold(F.slice(all_numbers, b * width + 1, width)))
+        return bind(blocks, joined)
+
+    def joined(sums: Column) -> Column:
+        ends = fold(F.transform(sums, lambda s: F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit(0))))
+        return bind(ends, lambda e: F.flatten(F.transform(
+            sums, lambda s, b: bind(F.when(b == 0, F.lit(0)).otherwise(F.get(e, b - 1)),
+                                    lambda base: F.transform(s, lambda x: x + base)))))
+
+    return bind(numbers, of)
+
+
 def dedupe_names(names: Column) -> Column:
     """Case/space-insensitive ordered distinct; the first spelling wins, blanks are dropped."""
 
     def first_spellings(kept: Column) -> Column:
-        return bind(
-            F.transform(kept, normalize_name),
-            lambda keys: F.transform(
-                F.array_distinct(keys),
-                lambda k: F.element_at(kept, F.array_position(keys, k).cast("int")),
-            ),
+        return F.transform(
+            first_positions(F.transform(kept, normalize_name)), lambda i: F.get(kept, i)
         )
 
     kept = F.filter(F.transform(names, strip), lambda x: x != "")
@@ -91,18 +131,13 @@ def find_spans(text: Column, pattern: str) -> Column:
     """
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern)
-    zero = F.struct(
-        F.lit(0).alias("pos"), F.array().cast("array<struct<match:string,start:int,end:int>>").alias("spans")
-    )
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["pos"] + F.length(x["gap"])
-        end = start + F.length(x["match"])
-        span = F.struct(
-            x["match"].alias("match"), start.cast("int").alias("start"), end.cast("int").alias("end")
+    def spans(found: Column) -> Column:
+        lengths = F.zip_with(
+            F.slice(gaps, F.lit(1), F.size(found)), found, lambda gap, match: F.length(gap) + F.length(match)
         )
-        return F.struct(end.cast("int").alias("pos"), F.array_append(acc["spans"], span).alias("spans"))
+        return F.zip_with(found, running_totals(lengths), lambda match, end: F.struct(
+            match.alias("match"), (end - F.length(match)).cast("int").alias("start"), end.alias("end")))
 
-    pairs = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(matches)).alias("gap"), matches.alias("match"))
-    folded = F.aggregate(pairs, zero, step, lambda acc: acc["spans"])
-    return F.when(F.size(matches) > 0, folded).otherwise(zero["spans"])
+    none = F.array().cast("array<struct<match:string,start:int,end:int>>")
+    return bind(matches, lambda found: F.when(F.size(found) > 0, spans(found)).otherwise(none))

@@ -225,7 +225,10 @@ TOPIC = ["owner_id", "subject_entity_id", "predicate"]
 
 
 def _comparable(claims: DataFrame, multi_valued: tuple[str, ...]) -> DataFrame:
-    active = claims.filter((F.col("status") == "active") & ~F.col("predicate").isin(*multi_valued))
+    """Active claims with a value; a claim without one states nothing that could differ."""
+    active = claims.filter(
+        (F.col("status") == "active") & F.col("object_value").isNotNull() & ~F.col("predicate").isin(*multi_valued)
+    )
     return active.withColumn("value_key", F.lower(text.strip(F.col("object_value"))))
 
 
@@ -288,13 +291,48 @@ def detect_contradictions(claims: DataFrame, multi_valued: tuple[str, ...] = MUL
     output are linear in the claims; :func:`claim_values` lists the members behind each count. All
     facts about a value are gathered on the aggregated values, so claims are joined once.
     """
-    values = claim_values(claims, multi_valued)
+    return findings_of(claims, claim_values(claims, multi_valued), multi_valued)
+
+
+def merged_values(parts: DataFrame) -> DataFrame:
+    """Value tables of several batches as one: counts add up, the earliest claim stays."""
+    first = F.min(F.struct("first_at", "first_claim_id", "first_value"))
+    return (
+        parts.groupBy(*TOPIC, "value_key").agg(F.sum("claims").alias("claims"), first.alias("_f"))
+        .select(*TOPIC, "value_key", "claims", "_f.*")
+    )
+
+
+def moved_topics(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Topics known ``before`` whose two earliest values changed: only there can findings of stored claims change.
+
+    With claims in order of time this happens once per topic, when its second value comes.
+    """
+    old = contradiction_topics(before, 1).select(*TOPIC, F.col("v1").alias("_o1"), F.col("v2").alias("_o2"))
+    both = hot_join(contradiction_topics(after, 1), old, TOPIC)
+    return both.filter(~F.col("v1").eqNullSafe(F.col("_o1")) | ~F.col("v2").eqNullSafe(F.col("_o2"))).select(*TOPIC)
+
+
+def findings_of(
+    claims: DataFrame, values: DataFrame, multi_valued: tuple[str, ...] = MULTI_VALUED
+) -> DataFrame:
+    """Findings of ``claims`` against all claims behind the value table ``values``, which include them."""
     own = values.select(*TOPIC, "value_key", F.col("claims").alias("same_claims"), F.lit(1).alias("same_values"))
     facts = _value_facts(own, contradiction_topics(values))
     earlier = F.struct(F.col("_p.first_at"), F.col("_p.first_claim_id")) < F.struct("created_at", "claim_id")
     return _findings(hot_join(_comparable(claims, multi_valued), facts, [*TOPIC, "value_key"]).filter(earlier))
 
 
+def refreshed_counts(findings: DataFrame, values: DataFrame) -> DataFrame:
+    """Findings with the counts that hold now: both follow from the value table alone."""
+    totals = values.groupBy(*TOPIC).agg(F.sum("claims").alias("_claims"), F.count(F.lit(1)).alias("_values"))
+    same = values.select(*TOPIC, "value_key", F.col("claims").alias("_same"))
+    rows = findings.withColumn("value_key", F.lower(text.strip(F.col("conflicting_value"))))
+    return hot_join(hot_join(rows, totals, TOPIC), same, [*TOPIC, "value_key"]).withColumns(
+        {"differing_claims": F.col("_claims") - F.col("_same"), "differing_values": F.col("_values") - 1}
+    ).select(*findings.columns)
+
+
 def compare_new_claims(
     new: DataFrame, existing: DataFrame, multi_valued: tuple[str, ...] = MULTI_VALUED
 ) -> DataFrame:

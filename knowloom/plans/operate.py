@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knowloom.operators import graph, ontology, reports
-from knowloom.plans.registry import query
+from knowloom.operators import canonical, graph, ontology, reports
+from knowloom.plans import knowledge  # noqa: F401  (registers the SQL shared below)
+from knowloom.plans.registry import ORACLES, query
 from knowloom.plans.sql import CLAIMS, PROPOSALS, VERSIONS
 from knowloom.plans.tables import Tables, joined
 from knowloom.streaming import jobs
@@ -405,13 +406,12 @@ def streamed_ingest(t: Tables) -> DataFrame:
     return count(read(f"{out}/chunks"), "chunk").unionByName(count(read(f"{out}/triage").filter("review_risk = 'high'"), "high risk"))
 
 
-@query("SELECT 0 AS findings, count(*) AS stored FROM lineitem")
+@query(ORACLES["contradictions"])
 def streamed_contradictions(t: Tables) -> DataFrame:
-    """The sample is one file, so one batch: no stored claims yet, and all of them stored afterwards."""
+    """The claims dealt by hash into several files, one file a batch: the rows of the batch operator."""
     out = jobs.work_folder(t.spark, "claims")
-    jobs.find_contradictions(_Streamed(t.spark, t.dir).claims(), out, out, f"{out}/checkpoint").awaitTermination()
-    found = t.spark.read.parquet(f"{out}/findings")
-    stored = t.spark.read.parquet(f"{out}/claims").agg(F.count(F.lit(1)).alias("stored"))
-    return stored.withColumn("findings", found.agg(F.count(F.lit(1)).alias("n")).scalar().cast("int")).select("findings", "stored")
-
-
+    t.claims().repartition(4, "claim_id").write.parquet(f"{out}/arriving")
+    stream = jobs.read_files(t.spark, f"{out}/arriving", t.claims().schema, max_files=1)
+    jobs.find_contradictions(stream, out, out, f"{out}/checkpoint").awaitTermination()
+    rows = canonical.with_finding_text(jobs.read_findings(t.spark, out, out))
+    return rows.select("conflicting_claim_id", "existing_claim_id", "predicate", "conflicting_value", "differing_claims", "summary")

@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from knowloom.operators import canonical
@@ -41,13 +42,21 @@ def test_changes_keep_state_across_batches(spark, tmp_path):
     assert {r["object_id"]: r["content_hash"] for r in jobs.latest_snapshot(log).collect()} == {"o": "A", "p": "A"}
 
 
-def test_contradictions_over_batches(spark, tmp_path):
-    schema = "claim_id string, owner_id string, subject_entity_id string, predicate string, object_value string, status string, created_at int, source_proposal_id string"
+CLAIM = "claim_id string, owner_id string, subject_entity_id string, predicate string, object_value string, status string, created_at int, source_proposal_id string"
+CLAIMS = [("1", "o", "s", "p", "A", "active", 1, "x"), ("2", "o", "s", "p", "B", "active", 2, "x"), ("3", "o", "s", "p", "a", "active", 3, "x"),
+          ("4", "o", None, "p", "A", "active", 4, "x"), ("5", "o", None, "p", "\tB\n", "active", 5, "x"), ("6", "o", "s", "p", "c", "active", 6, "x"),
+          ("7", "o", "s", "p", None, "active", 7, "x"), ("8", "o", "s", "p", "c", "superseded", 0, "x"), ("9", "o", "t", "p", "b ", "active", 2, "x"),
+          ("10", "o", "t", "p", "B", "active", 1, "x")]
+
+
+@pytest.mark.parametrize("packing", [[[0], [1], [2], [3, 4], [5, 6, 7, 8, 9]], [list(range(10))], [[9, 6, 5], [4, 2], [8, 7], [3, 1], [0]]])
+def test_contradictions_do_not_depend_on_batches(spark, tmp_path, packing):
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
-    for i, rows in enumerate(([("1", "o", "s", "p", "A", "active", 1, "x")], [("2", "o", "s", "p", "B", "active", 2, "x")], [("3", "o", "s", "p", "a", "active", 3, "x")])):
-        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{src}/p{i}")
-        jobs.find_contradictions(jobs.read_files(spark, f"{src}/*", schema, max_files=1), out, out, str(tmp_path / "cp")).awaitTermination()
-    found = {(r["existing_claim_id"], r["conflicting_claim_id"]) for r in spark.read.parquet(f"{out}/findings").collect()}
-    assert found == {("1", "2"), ("2", "3")}
+    for i, picked in enumerate(packing):
+        spark.createDataFrame([CLAIMS[k] for k in picked], CLAIM).coalesce(1).write.parquet(f"{src}/p{i}")
+        jobs.find_contradictions(jobs.read_files(spark, f"{src}/*", CLAIM, max_files=1), out, out, str(tmp_path / "cp")).awaitTermination()
+    names = ("existing_claim_id", "conflicting_claim_id", "differing_claims", "differing_values")
+    found = sorted(tuple(r[n] for n in names) for r in jobs.read_findings(spark, out, out).collect())
     whole = canonical.detect_contradictions(spark.read.parquet(f"{src}/*"))
-    assert {(r["existing_claim_id"], r["conflicting_claim_id"]) for r in whole.collect()} == found
+    assert found == sorted(tuple(r[n] for n in names) for r in whole.collect())
+    assert {f[:2] for f in found} == {("1", "2"), ("2", "3"), ("4", "5"), ("1", "6")}

@@ -119,3 +119,17 @@ def test_hash_embedding_forms_agree(spark, dimension):
             continue
         assert len(r["a"]) == dimension and math.isclose(sum(x * x for x in r["a"]), 1.0)
         assert all(math.isclose(x, y, abs_tol=1e-12) for x, y in zip(r["a"], r["b"], strict=True))
+
+
+def test_spans_and_totals_of_many_matches(spark):
+    many = spark.createDataFrame([("Ab Cd, " * 20000,), ("",), (None,)], "t string").select(text.find_spans(F.col("t"), "Ab Cd").alias("s"))
+    sizes = [(len(r["s"]), r["s"][-1]["start"], r["s"][-1]["end"]) if r["s"] else r["s"] for r in many.collect()]
+    assert sizes == [(20000, 139993, 139998), [], None] or sizes == [(20000, 139993, 139998), [], []]
+    for n in (0, 1, 2, 3, 10, 101):
+        got = spark.range(1).select(text.running_totals(F.expr(f"slice(sequence(1, 200), 1, {n})")).alias("x")).first()["x"]
+        assert got == [i * (i + 1) // 2 for i in range(1, n + 1)]
+
+
+def test_first_positions(spark):
+    keys = spark.createDataFrame([(["b", "a", "b", None, "a", None, "c"],), ([],)], "k array<string>")
+    assert [r["x"] for r in keys.select(text.first_positions(F.col("k")).alias("x")).collect()] == [[0, 1, 3, 6], []]
