@@ -437,17 +437,23 @@ def entities_by_type(entities: DataFrame, limit: int = 20, types: tuple[str, ...
     return top_k(entities, ["owner_id", "entity_type"], [F.col("canonical_name"), F.col("entity_id")], limit)
 
 
+def active_in(claims: DataFrame, since=None, until=None) -> DataFrame:
+    """Active claims of an optional period, both ends included."""
+    out = claims.filter(F.col("status") == "active")
+    if since is not None:
+        out = out.filter(F.col("created_at") >= F.lit(since))
+    if until is not None:
+        out = out.filter(F.col("created_at") <= F.lit(until))
+    return out
+
+
 def claims_by_predicate(
     claims: DataFrame, limit: int = 20, predicates: tuple[str, ...] | None = None, since=None, until=None
 ) -> DataFrame:
     """Newest active claims per owner and predicate inside an optional period."""
-    out = claims.filter(F.col("status") == "active")
+    out = active_in(claims, since, until)
     if predicates is not None:
         out = out.filter(F.col("predicate").isin(*predicates))
-    if since is not None:
-        out = out.filter(F.col("created_at") >= F.lit(since))
-    if until is not None:
-        out = out.filter(F.col("created_at") <= F.lit(until))
     return top_k(out, ["owner_id", "predicate"], [F.desc("created_at"), F.desc("claim_id")], limit)
 
 

@@ -113,19 +113,14 @@ def chunk_documents(
     documents: DataFrame,
     size: int = CHUNK_SIZE,
     overlap: int = CHUNK_OVERLAP,
-    paragraphs: bool = True,
 ) -> DataFrame:
     """``documents(version_id, text, [parser_type, source_id, owner_id])`` -> chunk rows.
 
-    ``paragraphs=False`` promises texts without empty lines or headings and stays in the JVM. The
-    only data movement is the explode; a small input of large texts can be repartitioned before.
+    The only data movement is the explode; a small input of large texts can be repartitioned before.
     """
     text = F.col("text")
-    if paragraphs:
-        md = F.col("parser_type") == "markdown" if "parser_type" in documents.columns else None
-        segs = segments(text, md, size, overlap)
-    else:
-        segs = fixed_segments(text, size, overlap)
+    md = F.col("parser_type") == "markdown" if "parser_type" in documents.columns else None
+    segs = segments(text, md, size, overlap)
     carried = [c for c in ("version_id", "source_id", "owner_id") if c in documents.columns]
     rows = documents.select(*carried, F.posexplode(segs).alias("chunk_index", "seg"))
     return rows.select(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from knowloom.functions import jsonx
 from knowloom.functions.skew import SALTS, hot_join, top_k
-from knowloom.operators.canonical import claims_by_predicate, entities_by_type
+from knowloom.operators.canonical import active_in, claims_by_predicate, entities_by_type
 
 PROJECT_PREDICATES = (("decisions", "has_decision"), ("tasks", "has_task"), ("events", "has_event"))
 DASHBOARD_TYPES = (("projects", "project"), ("people", "person"), ("repositories", "repository"),
@@ -35,7 +35,7 @@ def dashboard(
 ) -> DataFrame:
     """One row per owner: short entity and claim lists, source coverage and health counts.
 
-    Every list is cut per owner before rows are gathered.
+    Every list is cut per owner before rows are gathered; the counts are over all rows.
     """
     e = entities_by_type(entities, limit, tuple(t for _, t in DASHBOARD_TYPES)).groupBy("owner_id").agg(
         *[_list_per("canonical_name", F.col("entity_type") == t).alias(n) for n, t in DASHBOARD_TYPES]
@@ -43,57 +43,70 @@ def dashboard(
     c = claims_by_predicate(claims, limit, tuple(p for _, p in PROJECT_PREDICATES)).groupBy("owner_id").agg(
         *[_list_per("object_value", F.col("predicate") == p).alias(n) for n, p in PROJECT_PREDICATES]
     )
-    listed = top_k(sources, ["owner_id"], [F.col("source_id")], source_limit)
-    s = listed.groupBy("owner_id").agg(
-        _list_per("name").alias("source_names"), F.count(F.lit(1)).alias("sources_total"),
-        F.count_if("enabled").alias("sources_enabled"),
+    s = top_k(sources, ["owner_id"], [F.col("source_id")], source_limit).groupBy("owner_id").agg(
+        _list_per("name").alias("source_names")
     )
+    totals = sources.groupBy("owner_id").agg(
+        F.count(F.lit(1)).alias("sources_total"), F.count_if("enabled").alias("sources_enabled")
+    )
+    e_counts = entities.groupBy("owner_id").agg(
+        *[F.count_if(F.col("entity_type") == t).alias(f"{n}_total") for n, t in DASHBOARD_TYPES]
+    )
+    c_counts = _claim_counts(claims.filter(F.col("status") == "active"))
     last_sync = hot_join(runs, sources.select("source_id", "owner_id"), ["source_id"], salts=SALTS).groupBy("owner_id").agg(
         F.max("completed_at").alias("last_sync_at")
     )
     conflicts = findings.groupBy("owner_id").agg(F.count_if(F.col("status") == "open").alias("open_contradictions"))
     waiting = proposals.groupBy("owner_id").agg(F.count_if(F.col("status") == "pending").alias("pending_proposals"))
     queued = outbox.agg(F.count_if(F.col("status") == "pending").alias("n")).scalar()
-    owners = s.select("owner_id").unionByName(e.select("owner_id")).unionByName(c.select("owner_id")).distinct()
-    out = owners
-    for part in (e, c, s, last_sync, conflicts, waiting):
-        out = out.join(part, "owner_id", "left")
+    out = e_counts
+    for part in (c_counts, totals, e, c, s, last_sync, conflicts, waiting):
+        out = out.join(part, "owner_id", "full_outer")
+    out = out.filter("owner_id is not null")
     lists = [n for n, _ in (*DASHBOARD_TYPES, *PROJECT_PREDICATES)] + ["source_names"]
-    counts = ["sources_total", "sources_enabled", "open_contradictions", "pending_proposals"]
+    counts = ["sources_total", "sources_enabled", "open_contradictions", "pending_proposals",
+              *[f"{n}_total" for n, _ in (*DASHBOARD_TYPES, *PROJECT_PREDICATES)]]
     out = out.withColumns(_or_empty(*lists)).na.fill(0, counts).withColumn("pending_outbox_events", queued)
     return out.withColumn(
         "summary",
         F.format_string(
             "%d projects, %d repositories, %d open tasks, %d contradictions",
-            F.size("projects"), F.size("repositories"), F.size("tasks"), F.col("open_contradictions"),
+            "projects_total", "repositories_total", "tasks_total", "open_contradictions",
         ),
     )
 
 
+def _claim_counts(claims: DataFrame, key: str = "owner_id") -> DataFrame:
+    """Claims per owner (or project) and kind, as ``<kind>_total``."""
+    return claims.groupBy(key).agg(
+        *[F.count_if(F.col("predicate") == p).alias(f"{n}_total") for n, p in PROJECT_PREDICATES]
+    )
+
+
+def _claim_refs(provenance: DataFrame) -> DataFrame:
+    """Proposal and chunk references, one per row: (claim_id, ref)."""
+    kinds = [F.concat(F.lit(f"{kind}:"), F.col(f"{kind}_id").cast("string")) for kind in ("proposal", "chunk")]
+    return provenance.select("claim_id", F.explode(F.array_compact(F.array(*kinds))).alias("ref"))
+
+
 def _citations(claims: DataFrame, provenance: DataFrame) -> DataFrame:
     """Sorted distinct proposal and chunk references of the listed claims, per owner."""
-    refs = hot_join(
-        provenance.select("claim_id", "proposal_id", "chunk_id"), claims.select("claim_id", "owner_id"), ["claim_id"]
-    ).select(
-        "owner_id",
-        F.explode(
-            F.array_compact(
-                F.array(
-                    F.concat(F.lit("proposal:"), F.col("proposal_id").cast("string")),
-                    F.concat(F.lit("chunk:"), F.col("chunk_id").cast("string")),
-                )
-            )
-        ).alias("ref"),
-    ).distinct()
-    return refs.groupBy("owner_id").agg(F.sort_array(F.collect_list("ref")).alias("citations"))
+    refs = hot_join(_claim_refs(provenance), claims.select("claim_id", "owner_id"), ["claim_id"])
+    return refs.select("owner_id", "ref").distinct().groupBy("owner_id").agg(
+        F.sort_array(F.collect_list("ref")).alias("citations")
+    )
 
 
 def status_report(
     entities: DataFrame, claims: DataFrame, provenance: DataFrame, since=None, until=None,
     limit: int = 50, technologies: int = 30,
 ) -> DataFrame:
-    """Per owner: newest decisions, tasks and events of the period, technologies, citations, summary."""
+    """Per owner: newest decisions, tasks and events of the period, technologies, citations, summary.
+
+    ``*_total`` and the summary count all claims of the period; lists show the newest ``limit``.
+    """
     listed = claims_by_predicate(claims, limit, tuple(p for _, p in PROJECT_PREDICATES), since, until)
+    totals = _claim_counts(active_in(claims, since, until))
     c = listed.groupBy("owner_id").agg(
         *[_list_per("object_value", F.col("predicate") == p).alias(n) for n, p in PROJECT_PREDICATES]
     )
@@ -101,6 +114,7 @@ def status_report(
         _list_per("canonical_name").alias("technologies")
     )
     out = c.join(t, "owner_id", "full_outer").join(_citations(listed, provenance), "owner_id", "left")
+    out = out.join(totals, "owner_id", "left").na.fill(0, [f"{n}_total" for n, _ in PROJECT_PREDICATES])
     out = out.withColumns(_or_empty("decisions", "tasks", "events", "technologies", "citations"))
     period = ""
     if since is not None:
@@ -108,7 +122,7 @@ def status_report(
     if until is not None:
         period += f" to {str(until)[:10]}"
     summary = F.format_string(
-        "%d decisions, %d tasks, %d events in the selected period.", F.size("decisions"), F.size("tasks"), F.size("events")
+        "%d decisions, %d tasks, %d events in the selected period.", "decisions_total", "tasks_total", "events_total"
     )
     return out.withColumn("title", F.lit(f"Project status report{period}")).withColumn("summary", summary)
 
@@ -117,34 +131,59 @@ def project_subgraphs(
     projects: DataFrame, entities: DataFrame, claims: DataFrame, provenance: DataFrame, findings: DataFrame,
     since=None, until=None, limit: int = 50, technologies: int = 30, risks: int = 20,
 ) -> DataFrame:
-    """One row per project: claim lists of the project or without subject, risks, technologies, citations.
+    """One row per project: claims of the project or without subject, risks, technologies, citations.
 
-    The newest ``limit`` claims per owner and predicate are taken first and then scoped to the project;
-    citations stay owner wide.
+    Lists hold the newest ``limit`` claims per project and predicate and citations are those of the listed
+    claims; ``*_total`` counts all claims and open findings. Claims without subject are cut per owner before
+    they meet the owner's projects, so rows stay within projects x predicates x ``limit``.
     """
-    listed = claims_by_predicate(claims, limit, tuple(p for _, p in PROJECT_PREDICATES), since, until)
-    item = F.struct("rank", "object_value", "subject_entity_id")
-    c = listed.groupBy("owner_id").agg(
-        *[F.sort_array(F.collect_list(F.when(F.col("predicate") == p, item))).alias(f"_{n}") for n, p in PROJECT_PREDICATES]
+    predicates = tuple(p for _, p in PROJECT_PREDICATES)
+    active = active_in(claims, since, until).filter(F.col("predicate").isin(*predicates))
+    named = projects.select("owner_id", F.col("entity_id").alias("project_id"), F.col("canonical_name").alias("project_name"))
+    keys = named.select("owner_id", "project_id")
+    newest = [F.desc("created_at"), F.desc("claim_id")]
+    fields = ["owner_id", "predicate", "claim_id", "created_at", "object_value"]
+    own = hot_join(
+        active.select(*fields, F.col("subject_entity_id").alias("project_id")).filter("project_id is not null"),
+        keys, ["owner_id", "project_id"],
+    )
+    common = active.filter("subject_entity_id is null").select(*fields)
+    shared = hot_join(
+        top_k(common, ["owner_id", "predicate"], newest, limit).drop("rank"), keys, ["owner_id"]
+    )
+    listed = top_k(
+        top_k(own, ["project_id", "predicate"], newest, limit).drop("rank").unionByName(shared),
+        ["project_id", "predicate"], newest, limit,
+    )
+    c = listed.groupBy("project_id").agg(
+        *[_list_per("object_value", F.col("predicate") == p).alias(n) for n, p in PROJECT_PREDICATES]
+    )
+    cited = hot_join(_claim_refs(provenance), listed.select("claim_id", "project_id"), ["claim_id"])
+    refs = cited.select("project_id", "ref").distinct().groupBy("project_id").agg(
+        F.sort_array(F.collect_list("ref")).alias("citations")
     )
+    totals = [f"{n}_total" for n, _ in PROJECT_PREDICATES]
+    own_counts = _claim_counts(own, "project_id")
+    shared_counts = _claim_counts(common).withColumnsRenamed({t: f"_{t}" for t in totals})
     t = entities_by_type(entities, technologies, ("technology",)).groupBy("owner_id").agg(
         _list_per("canonical_name").alias("technologies")
     )
-    newest = top_k(findings.filter(F.col("status") == "open"), ["owner_id"], [F.desc("created_at"), F.desc("finding_id")], risks)
-    r = newest.groupBy("owner_id").agg(_list_per("summary").alias("risks"))
-    out = projects.select("owner_id", F.col("entity_id").alias("project_id"), F.col("canonical_name").alias("project_name"))
-    for part in (c, t, r, _citations(listed, provenance)):
+    open_findings = findings.filter(F.col("status") == "open")
+    r = top_k(open_findings, ["owner_id"], [F.desc("created_at"), F.desc("finding_id")], risks).groupBy("owner_id").agg(
+        _list_per("summary").alias("risks")
+    )
+    risk_counts = open_findings.groupBy("owner_id").agg(F.count(F.lit(1)).alias("risks_total"))
+    out = named
+    for part in (c, refs, own_counts):
+        out = out.join(part, "project_id", "left")
+    for part in (shared_counts, t, r, risk_counts):
         out = hot_join(out, part, ["owner_id"], "left", salts=SALTS)
-
-    def scoped(name: str) -> Column:
-        mine = F.filter(
-            f"_{name}", lambda x: x["subject_entity_id"].isNull() | (x["subject_entity_id"] == F.col("project_id"))
-        )
-        return F.coalesce(F.transform(mine, lambda x: x["object_value"]), F.array().cast(STRINGS)).alias(name)
-
+    out = out.na.fill(0, [*totals, *[f"_{t}" for t in totals], "risks_total"])
+    lists = [n for n, _ in PROJECT_PREDICATES]
     return out.select(
-        "owner_id", "project_id", "project_name", *[scoped(n) for n, _ in PROJECT_PREDICATES],
-        *[c.alias(n) for n, c in _or_empty("technologies", "risks", "citations").items()],
+        "owner_id", "project_id", "project_name",
+        *[v.alias(n) for n, v in _or_empty(*lists, "technologies", "risks", "citations").items()],
+        *[(F.col(t) + F.col(f"_{t}")).alias(t) for t in totals], "risks_total",
     )
 
 
@@ -168,9 +207,9 @@ def render_reports(subgraphs: DataFrame, since=None, until=None) -> DataFrame:
     """Summary line and Markdown per project; sections without items say so."""
     name = F.col("project_name")
     summary = F.concat(
-        F.lit("A(z) „"), name, F.lit("” projekthez "), F.size("decisions").cast("string"), F.lit(" döntés, "),
-        F.size("tasks").cast("string"), F.lit(" feladat, "), F.size("events").cast("string"), F.lit(" esemény és "),
-        F.size("risks").cast("string"), F.lit(" kockázat tartozik a kiválasztott időszakban."),
+        F.lit("A(z) „"), name, F.lit("” projekthez "), F.col("decisions_total").cast("string"), F.lit(" döntés, "),
+        F.col("tasks_total").cast("string"), F.lit(" feladat, "), F.col("events_total").cast("string"), F.lit(" esemény és "),
+        F.col("risks_total").cast("string"), F.lit(" kockázat tartozik a kiválasztott időszakban."),
     )
     technologies = F.when(
         F.size("technologies") > 0,

@@ -20,7 +20,7 @@ _DICT = r"(?i)\b(?:the|and|tion|der|que)\b"
 
 def _cue(words: str) -> str:
     hits = f"regexp_extract_all(text, '(?i)(?:{words})[:\\s\\x0b\\x85\\p{{Z}}]+(.+)', 1)"
-    return f"list_transform({hits}, lambda x: left({strip('x')}, 200))"
+    return f"list_transform({hits}, lambda x: {strip('x')})"
 
 
 # Non-ASCII letters become '_' so that ASCII word boundaries fall where Unicode ones do.
@@ -109,10 +109,10 @@ built AS (SELECT version_id, kind, title, CASE WHEN sensitivity = 'high' THEN 'h
   review OR coalesce(sensitivity = 'high', false) OR coalesce(review_risk = 'high', false) AS requires_review FROM base)"""
 
 
-@query(f"""WITH {_BUILT} SELECT kind AS proposal_type, risk_level, requires_review, count(*) AS n, count(DISTINCT title) AS titles FROM built GROUP BY ALL""")
+@query(f"""WITH {_BUILT} SELECT kind AS proposal_type, risk_level, requires_review, count(*) AS n, count(DISTINCT title) AS texts FROM built GROUP BY ALL""")
 def built_proposals(t: Tables) -> DataFrame:
     return _proposals(t).groupBy("proposal_type", "risk_level", "requires_review").agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("title").alias("titles")
+        F.count(F.lit(1)).alias("n"), F.count_distinct("excerpt").alias("texts")
     )
 
 
@@ -139,7 +139,7 @@ def located_evidence(t: Tables) -> DataFrame:
         F.concat_ws("-", F.col("version_id").cast("string"), F.col("i").cast("string")).alias("evidence_id"), "version_id",
         F.col("e.name").alias("name"), F.col("e.start").alias("anchor_start"),
     )
-    chunks = chunking.chunk_documents(t.documents(), paragraphs=False)
+    chunks = chunking.chunk_documents(t.documents())
     found = extraction.locate_chunks(spans, chunks)
     return found.join(chunks.select(F.col("chunk_id").alias("located_chunk_id"), "chunk_index"), "located_chunk_id").select(
         "version_id", "name", "anchor_start", "chunk_index")

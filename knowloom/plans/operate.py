@@ -90,23 +90,21 @@ def owner_subgraph(t: Tables) -> DataFrame:
 
 
 _HOPS = """
-h0 AS (SELECT 's' || s_suppkey AS root_id, 's' || s_suppkey AS node, 0 AS distance FROM supplier),
+h0 AS (SELECT node_id AS root_id, node_id AS node, 0 AS distance FROM nodes WHERE node_type = 'entity'),
 h1 AS (SELECT DISTINCT root_id, other AS node FROM h0 JOIN views USING (node)), r1 AS (SELECT root_id, node, min(distance) AS distance FROM (SELECT * FROM h0 UNION ALL SELECT *, 1 FROM h1) GROUP BY 1, 2),
 h2 AS (SELECT DISTINCT root_id, other AS node FROM r1 JOIN views USING (node)), r2 AS (SELECT root_id, node, min(distance) AS distance FROM (SELECT * FROM r1 UNION ALL SELECT *, 2 FROM h2) GROUP BY 1, 2),
 h3 AS (SELECT DISTINCT root_id, other AS node FROM r2 JOIN views USING (node)), r3 AS (SELECT root_id, node, min(distance)::INT AS distance FROM (SELECT * FROM r2 UNION ALL SELECT *, 3 FROM h3) GROUP BY 1, 2)"""
 
 
-@query(f"WITH {_EDGES}, {_HOPS} SELECT root_id, distance, count(*) AS nodes, min(node) AS first_node, max(node) AS last_node FROM r3 GROUP BY 1, 2")
+@query(f"WITH {_EDGES}, {_HOPS} SELECT root_id, distance, count(*) AS nodes, min(node) AS first_node, max(node) AS last_node FROM (SELECT *, row_number() OVER (PARTITION BY root_id ORDER BY distance, node) AS rank FROM r3) WHERE rank <= 200 GROUP BY 1, 2")
 def expanded_graph(t: Tables) -> DataFrame:
-    roots = t.nodes().filter("node_id like 's%'").select(F.col("node_id").alias("root_id"))
-    return graph.expand(t.edges(), roots, depth=3).groupBy("root_id", "distance").agg(
+    return graph.expand(t.edges(), _entity_roots(t), depth=3).groupBy("root_id", "distance").agg(
         F.count(F.lit(1)).alias("nodes"), F.min("node").alias("first_node"), F.max("node").alias("last_node"))
 
 
 @query(f"WITH {_EDGES}, {_HOPS} SELECT root_id, node, distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY root_id ORDER BY distance, node)::INT AS rank FROM r2) WHERE rank <= 50")
 def bounded_expansion(t: Tables) -> DataFrame:
-    roots = t.nodes().filter("node_id like 's%'").select(F.col("node_id").alias("root_id"))
-    return graph.expand(t.edges(), roots, depth=2, limit=50)
+    return graph.expand(t.edges(), _entity_roots(t), depth=2, limit=50)
 
 
 @query(f"WITH {_EDGES} SELECT CASE node_type WHEN 'entity' THEN 'entity' ELSE 'claim' END AS node_type, count(*) AS n FROM nodes GROUP BY 1")
@@ -227,10 +225,10 @@ def _list(source: str, value: str, cond: str, limit: int) -> str:
 @query(f"""WITH {_REPORT}, {_OUTBOX}, o AS (SELECT owner_id FROM ent UNION SELECT owner_id FROM clm UNION SELECT s_nationkey FROM supplier),
 d AS (SELECT owner_id, {_list('etop', 'canonical_name', "entity_type = 'project'", 20)} AS projects, {_list('etop', 'canonical_name', "entity_type = 'person'", 20)} AS people,
   {_list('ctop', 'object_value', "predicate = 'has_task'", 20)} AS tasks, {_list('ctop', 'object_value', "predicate = 'has_decision'", 20)} AS decisions,
-  least(20, (SELECT count(*) FROM ent x WHERE x.owner_id = o.owner_id AND entity_type = 'project')) AS np, least(20, (SELECT count(*) FROM ent x WHERE x.owner_id = o.owner_id AND entity_type = 'repository')) AS nr,
-  least(20, (SELECT count(*) FROM ctop x WHERE x.owner_id = o.owner_id AND predicate = 'has_task')) AS nt,
+  (SELECT count(*) FROM ent x WHERE x.owner_id = o.owner_id AND entity_type = 'project') AS np, (SELECT count(*) FROM ent x WHERE x.owner_id = o.owner_id AND entity_type = 'repository') AS nr,
+  (SELECT count(*) FROM ctop x WHERE x.owner_id = o.owner_id AND predicate = 'has_task') AS nt,
   (SELECT count(*) FROM fnd x WHERE x.owner_id = o.owner_id AND status = 'open') AS open_contradictions, (SELECT count(*) FROM fnd x WHERE x.owner_id = o.owner_id AND status = 'open') AS pending_proposals,
-  (SELECT least(50, count(*)) FROM supplier WHERE s_nationkey = o.owner_id) AS sources_total, (SELECT count(*) FROM outbox WHERE status = 'pending') AS pending_outbox_events,
+  (SELECT count(*) FROM supplier WHERE s_nationkey = o.owner_id) AS sources_total, (SELECT count(*) FROM outbox WHERE status = 'pending') AS pending_outbox_events,
   (SELECT strftime(max(l_shipdate), '%Y-%m-%d') FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE s_nationkey = o.owner_id) AS last_sync FROM o)
 SELECT owner_id, projects, people, tasks, decisions, open_contradictions, pending_proposals, sources_total, pending_outbox_events, last_sync,
   np || ' projects, ' || nr || ' repositories, ' || nt || ' open tasks, ' || open_contradictions || ' contradictions' AS summary FROM d""")
@@ -249,8 +247,8 @@ _PERIOD = _REPORT.replace("predicate <> 'mentions')", "predicate <> 'mentions' A
 @query(f"""WITH {_PERIOD}, {_CITES}, o AS (SELECT DISTINCT owner_id FROM ent)
 SELECT owner_id, 'Project status report from 1996-01-01 to 1998-06-30' AS title, {_list('ctop', 'object_value', "predicate = 'has_task'", 50)} AS tasks, {_list('ctop', 'object_value', "predicate = 'has_event'", 50)} AS events,
   {_list('etop', 'canonical_name', "entity_type = 'technology'", 30)} AS technologies, coalesce(citations, '') AS citations,
-  least(50, (SELECT count(*) FROM ctop x WHERE x.owner_id = o.owner_id AND predicate = 'has_decision')) || ' decisions, ' || least(50, (SELECT count(*) FROM ctop x WHERE x.owner_id = o.owner_id AND predicate = 'has_task')) || ' tasks, '
-  || least(50, (SELECT count(*) FROM ctop x WHERE x.owner_id = o.owner_id AND predicate = 'has_event')) || ' events in the selected period.' AS summary FROM o LEFT JOIN cites USING (owner_id)""")
+  (SELECT count(*) FROM ctop x WHERE x.owner_id = o.owner_id AND predicate = 'has_decision') || ' decisions, ' || (SELECT count(*) FROM ctop x WHERE x.owner_id = o.owner_id AND predicate = 'has_task') || ' tasks, '
+  || (SELECT count(*) FROM ctop x WHERE x.owner_id = o.owner_id AND predicate = 'has_event') || ' events in the selected period.' AS summary FROM o LEFT JOIN cites USING (owner_id)""")
 def status_reports(t: Tables) -> DataFrame:
     import datetime as dt
 
@@ -263,14 +261,20 @@ def _sec(title: str, items: str) -> str:
     return f"'## {title}' || chr(10) || chr(10) || coalesce({items}, '{reports.NOTHING}') || chr(10)"
 
 
-@query(f"""WITH {_REPORT}, {_CITES},
-p AS (SELECT entity_id, owner_id, canonical_name AS name FROM ent WHERE entity_type = 'project'),
-sc AS (SELECT p.entity_id, c.predicate, count(*) AS n, string_agg('- ' || object_value, chr(10) ORDER BY rn) AS lines FROM p JOIN ctop c ON c.owner_id = p.owner_id AND rn <= 50 AND (subject_entity_id IS NULL OR subject_entity_id = p.entity_id) GROUP BY 1, 2),
-rk AS (SELECT owner_id, count(*) AS n, string_agg('- ' || summary, chr(10) ORDER BY rn) AS lines FROM (SELECT *, row_number() OVER (PARTITION BY owner_id ORDER BY created_at DESC, finding_id DESC) AS rn FROM fnd WHERE status = 'open') WHERE rn <= 20 GROUP BY 1),
+_PROJECT = """p AS (SELECT entity_id, owner_id, canonical_name AS name FROM ent WHERE entity_type = 'project'),
+pc AS (SELECT p.entity_id, c.*, row_number() OVER (PARTITION BY p.entity_id, c.predicate ORDER BY created_at DESC, claim_id DESC) AS place
+  FROM p JOIN clm c ON c.owner_id = p.owner_id AND (subject_entity_id IS NULL OR subject_entity_id = p.entity_id) WHERE status = 'active' AND predicate <> 'mentions'),
+cites AS (SELECT entity_id, string_agg(ref, '|' ORDER BY ref) AS citations, count(*) AS n FROM (SELECT DISTINCT entity_id, unnest(['proposal:' || l_partkey, 'chunk:' || l_suppkey]) AS ref
+  FROM pc JOIN lineitem ON l_orderkey = pc.claim_id WHERE place <= 50) GROUP BY 1)"""
+
+
+@query(f"""WITH {_REPORT}, {_PROJECT},
+sc AS (SELECT entity_id, predicate, count(*) AS n, string_agg('- ' || object_value, chr(10) ORDER BY place) FILTER (place <= 50) AS lines FROM pc GROUP BY 1, 2),
+rk AS (SELECT owner_id, count(*) AS n, string_agg('- ' || summary, chr(10) ORDER BY rn) FILTER (rn <= 20) AS lines FROM (SELECT *, row_number() OVER (PARTITION BY owner_id ORDER BY created_at DESC, finding_id DESC) AS rn FROM fnd WHERE status = 'open') GROUP BY 1),
 te AS (SELECT owner_id, '- Technológiák: ' || string_agg(canonical_name, ', ' ORDER BY rn) AS line FROM etop WHERE entity_type = 'technology' AND rn <= 30 GROUP BY 1),
 x AS (SELECT p.*, coalesce(d.n, 0) AS nd, d.lines AS dl, coalesce(k.n, 0) AS nk, k.lines AS kl, coalesce(e.n, 0) AS ne, e.lines AS el, coalesce(rk.n, 0) AS nr, rk.lines AS rl, te.line, citations
   FROM p LEFT JOIN sc d ON d.entity_id = p.entity_id AND d.predicate = 'has_decision' LEFT JOIN sc k ON k.entity_id = p.entity_id AND k.predicate = 'has_task' LEFT JOIN sc e ON e.entity_id = p.entity_id AND e.predicate = 'has_event'
-  LEFT JOIN rk ON rk.owner_id = p.owner_id LEFT JOIN te ON te.owner_id = p.owner_id LEFT JOIN cites ON cites.owner_id = p.owner_id)
+  LEFT JOIN rk ON rk.owner_id = p.owner_id LEFT JOIN te ON te.owner_id = p.owner_id LEFT JOIN cites ON cites.entity_id = p.entity_id)
 SELECT entity_id AS project_id, '# Projektjelentés: ' || name || chr(10) || chr(10) || '**Időszak:** teljes időszak' || chr(10) || chr(10) || '## Összefoglaló' || chr(10) || chr(10)
   || 'A(z) „' || name || '” projekthez ' || nd || ' döntés, ' || nk || ' feladat, ' || ne || ' esemény és ' || nr || ' kockázat tartozik a kiválasztott időszakban.' || chr(10) || chr(10)
   || {_sec("Változások", "nullif(concat_ws(chr(10), el, line), '')")} || {_sec("Kockázatok", "rl")} || {_sec("Döntések", "dl")} || {_sec("Nyitott feladatok", "kl")}
@@ -285,9 +289,9 @@ def _rendered(t: Tables) -> DataFrame:
     return reports.render_reports(reports.project_subgraphs(projects, r["entities"], r["claims"], r["provenance"], r["findings"]))
 
 
-@query(f"""WITH {_REPORT}, {_CITES}
+@query(f"""WITH {_REPORT}, {_PROJECT}
 SELECT c.c_custkey AS project_id, CASE WHEN e.entity_id IS NULL THEN 'failed' ELSE 'completed' END AS status, CASE WHEN e.entity_id IS NULL THEN 'Project not found' END AS error_summary,
-  CASE WHEN e.entity_id IS NOT NULL THEN coalesce(n, 0) END AS citation_count FROM customer c LEFT JOIN ent e ON e.entity_id = c.c_custkey AND e.entity_type = 'project' LEFT JOIN cites ON cites.owner_id = c.c_nationkey""")
+  CASE WHEN e.entity_id IS NOT NULL THEN coalesce(n, 0) END AS citation_count FROM customer c LEFT JOIN ent e ON e.entity_id = c.c_custkey AND e.entity_type = 'project' LEFT JOIN cites ON cites.entity_id = e.entity_id""")
 def report_ledger(t: Tables) -> DataFrame:
     asked = t.raw("customer").select(F.col("c_nationkey").alias("owner_id"), F.col("c_custkey").alias("project_id"))
     return reports.report_ledger(asked, _rendered(t)).select("project_id", "status", "error_summary", F.col("citation_count").cast("bigint").alias("citation_count"))

@@ -22,7 +22,7 @@ def _terms(x: str) -> str:
 _KEYWORD = f"""{CHUNKS},
 tok AS (SELECT sha256('chunk|' || version_id || '|' || chunk_index) AS chunk_id, owner_id, text, {_terms("text")} AS tokens FROM chunks),
 corpus AS (SELECT owner_id, count(*) AS n, avg(len(tokens)) AS avg_len FROM tok GROUP BY 1),
-ask AS (SELECT lang || '-' || item_id AS query_id, lang AS owner_id, text AS question, list_distinct({_terms("text")}) AS terms FROM benchmark, (SELECT unnest(['de', 'en', 'es', 'fr']) AS lang)),
+ask AS (SELECT lang || '-' || item_id AS query_id, lang AS owner_id, text AS question, list_distinct({_terms("text")}) AS terms FROM benchmark, (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL)),
 df AS (SELECT owner_id, term, count(*) AS df FROM (SELECT owner_id, unnest(list_distinct(tokens)) AS term FROM tok) WHERE term IN (SELECT unnest(terms) FROM ask) GROUP BY 1, 2),
 met AS (SELECT query_id, chunk_id, a.owner_id, tokens, unnest(terms) AS term FROM ask a JOIN tok t ON t.owner_id = a.owner_id AND len(terms) > 0 AND list_has_all(tokens, terms)),
 part_s AS (SELECT query_id, chunk_id, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf, len(list_filter(tokens, lambda x: x = m.term)) AS tf, len(tokens) / avg_len AS rel
@@ -32,7 +32,7 @@ keyword AS (SELECT query_id, chunk_id, round(s / (s + 1), 6) AS score, row_numbe
 
 
 def _chunks(t: Tables) -> DataFrame:
-    return chunking.chunk_documents(t.documents(), paragraphs=False)
+    return chunking.chunk_documents(t.documents())
 
 
 @query(f"WITH {_KEYWORD} SELECT query_id, chunk_id, score, rank FROM keyword WHERE rank <= 20")
@@ -93,7 +93,7 @@ def hybrid_search(t: Tables) -> DataFrame:
     return retrieval.search(chunks, asked, "hybrid", 20).drop("match_type")
 
 
-@query(r"""SELECT lang || '-' || item_id AS query_id, array_to_string(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]+'), lambda w: length(w) > 2), '|') AS tokens FROM benchmark, (SELECT unnest(['de', 'en', 'es', 'fr']) AS lang)""")
+@query(r"""SELECT lang || '-' || item_id AS query_id, array_to_string(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]+'), lambda w: length(w) > 2), '|') AS tokens FROM benchmark, (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL)""")
 def question_tokens(t: Tables) -> DataFrame:
     return t.questions().select("query_id", joined(query_tokens(F.col("question"))).alias("tokens"))
 

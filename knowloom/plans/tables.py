@@ -30,7 +30,7 @@ class Tables:
 
     def questions(self) -> DataFrame:
         """Every owner (language) asks for every benchmark passage in its own documents."""
-        owners = F.array(*[F.lit(x) for x in ("de", "en", "es", "fr")])
+        owners = self.raw("documents").agg(F.collect_set("lang")).scalar()
         asked = self.raw("benchmark").select("item_id", F.explode(owners).alias("owner_id"), F.col("text").alias("question"))
         return asked.select(F.concat_ws("-", "owner_id", F.col("item_id").cast("string")).alias("query_id"), "owner_id", "question")
 

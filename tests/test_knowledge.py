@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from knowloom import schemas
-from knowloom.operators import canonical, extraction, graph, ontology, resolution, review
+from knowloom.operators import canonical, extraction, graph, ontology, reports, resolution, review
 
 SAMPLE = """# Demo Project
 
@@ -218,6 +218,22 @@ def test_expand_depth(spark):
     assert {n for r, n in got if r == "0"} == {"0", "1", "2", "3"} and got[("3", "6")] == 3 and got[("3", "0")] == 3
     with pytest.raises(ValueError):
         graph.expand(edges, roots, 4)
+    rng = random.Random(3)
+    pairs = sorted({(rng.randrange(40), rng.randrange(40)) for _ in range(150)} | {(0, k) for k in range(30)})
+    mesh = spark.createDataFrame([(f"{a}-{b}", f"{a:02}", f"{b:02}", "X", "o") for a, b in pairs], edges.schema)
+    around = {f"{n:02}": {f"{x:02}" for p in pairs if n in p for x in p} for n in range(40)}
+    for limit in (1, 7, 200):
+        got = graph.expand(mesh, mesh.selectExpr("src root_id"), 3, limit).collect()
+        found = {}
+        for r in sorted(got, key=lambda r: r["rank"]):
+            found.setdefault(r["root_id"], []).append((r["distance"], r["node"]))
+        for root, nodes in found.items():
+            reached = {root: 0}
+            for hop in (1, 2, 3):
+                for n in [n for n, d in reached.items() if d == hop - 1]:
+                    for x in around[n]:
+                        reached.setdefault(x, hop)
+            assert nodes == sorted((d, n) for n, d in reached.items())[:limit]
     near = graph.neighborhood(edges, roots, 1).collect()
     assert {(r["root_id"], r["truncated"]) for r in near} == {("0", True), ("3", True)}
 
@@ -271,3 +287,28 @@ def test_linked_entities_keep_their_facts(spark):
     entities = spark.createDataFrame([(99, "o", "technology", "PostgreSQL")], "entity_id long, owner_id string, entity_type string, canonical_name string")
     rows = spark.createDataFrame([("o", "r", "e1"), ("o", "r", "other")], "owner_id string, run_id string, ref string")
     assert {r["ref"]: r["entity_id"] for r in canonical.resolve_refs(rows, "ref", proposals, entities).collect()} == {"e1": 99, "other": None}
+
+
+def test_reports_count_all_claims_and_scope_before_the_cut(spark):
+    claim = "claim_id int, owner_id int, subject_entity_id int, predicate string, object_value string, status string, created_at int"
+    rows = [(i, 1, 2, "has_task", f"t{i}", "active", 100 + i) for i in range(60)] + [(900, 1, 1, "has_task", "old", "active", 1), (901, 1, None, "has_task", "all", "active", 2)]
+    claims = spark.createDataFrame(rows, claim)
+    entities = spark.createDataFrame([(1, 1, "project", "P1"), (2, 1, "project", "P2")], "entity_id int, owner_id int, entity_type string, canonical_name string")
+    provenance = spark.createDataFrame([(900, 7, None), (901, 8, 9), (0, 5, 5)], "claim_id int, proposal_id int, chunk_id int")
+    findings = spark.createDataFrame([(i, 1 if i < 30 else 3, f"f{i}", "open", i) for i in range(31)], "finding_id int, owner_id int, summary string, status string, created_at int")
+    got = {r["project_name"]: r for r in reports.project_subgraphs(entities, entities, claims, provenance, findings).collect()}
+    assert got["P1"]["tasks"] == ["all", "old"] and got["P1"]["tasks_total"] == 2 and got["P1"]["citations"] == ["chunk:9", "proposal:7", "proposal:8"]
+    assert len(got["P2"]["tasks"]) == 50 and got["P2"]["tasks_total"] == 61 and got["P2"]["risks_total"] == 30 and len(got["P2"]["risks"]) == 20
+    assert reports.status_report(entities, claims, provenance).first()["summary"].startswith("0 decisions, 62 tasks")
+    sources = spark.createDataFrame([(i, 1, f"s{i}", i % 2 == 0) for i in range(60)], "source_id int, owner_id int, name string, enabled boolean")
+    none = findings.filter("false")
+    d = {r["owner_id"]: r for r in reports.dashboard(entities, claims, sources, findings, none, none, none.selectExpr("finding_id source_id", "created_at completed_at")).collect()}
+    assert d[1]["sources_total"] == 60 and d[1]["sources_enabled"] == 30 and len(d[1]["source_names"]) == 50 and "62 open tasks" in d[1]["summary"]
+    assert d[3]["open_contradictions"] == 1
+
+
+def test_long_cue_lines_are_kept_whole(spark):
+    line = "x" * 5000
+    facts = extraction.extract_facts(spark.createDataFrame([("v", f"TODO: {line}")], "version_id string, text string"))
+    p = extraction.build_proposals(facts).filter("proposal_type = 'task'").first()
+    assert len(p["title"]) == 200 and line in p["payload"] and p["excerpt"] == line
