@@ -56,17 +56,15 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
 
 
-def blocked_lists(rows: DataFrame, key: str, name: str, size: int = 1000) -> DataFrame:
-    """Rows per key as arrays of about ``size`` entries: (key, block, name).
+def attach_rows(parents: DataFrame, rows: DataFrame, key: str, name: str) -> DataFrame:
+    """One row per parent and attached row, which becomes the struct ``name``; null for a parent without any.
 
-    Almost every key has the single block 0. A key with more rows gets as many blocks as it needs, each
-    built by its own task, so no array and no task holds an unbounded group and no row is left out.
+    The shape is the same at every size and no group is gathered. ``rows`` stands on the splittable side of
+    an inner join, so a key with a large share of them does not end in one task.
     """
     items = [c for c in rows.columns if c != key]
-    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > size)
-    blocks = counts.select(key, F.ceil(F.col("_n") / size).cast("int").alias("_blocks"))
-    atoms = [F.col(f.name) for f in rows.schema.fields if _is_atomic(f)]
-    spread = hot_join(rows, blocks, [key], "left").withColumn(
-        "block", F.pmod(F.xxhash64(*atoms), F.coalesce("_blocks", F.lit(1))).cast("int")
-    )
-    return spread.groupBy(key, "block").agg(F.sort_array(F.collect_list(F.struct(*items))).alias(name))
+    packed = rows.select(key, F.struct(*items).alias(name))
+    met = hot_join(packed, parents, [key])
+    alone = hot_join(parents, rows.select(key).distinct(), [key], "left_anti")
+    columns = [*parents.columns, name]
+    return met.select(*columns).unionByName(alone.withColumn(name, F.lit(None).cast(packed.schema[name].dataType)).select(*columns))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from knowloom.functions import jsonx, text
 from knowloom.functions.hashing import stable_id
-from knowloom.functions.skew import blocked_lists, hot_join, top_k
+from knowloom.functions.skew import attach_rows, hot_join, top_k
 from knowloom.operators.resolution import gather_names, merged_aliases
 from knowloom.sources.sinks import cut_lineage, newest_per_key, upsert
 
@@ -425,9 +425,9 @@ def outbox_events(
     return out
 
 
-def claims_with_provenance(claims: DataFrame, provenance: DataFrame, block: int = 1000) -> DataFrame:
-    """Claims with their provenance rows; more than ``block`` of them are spread over several rows."""
-    return claims.join(blocked_lists(provenance, "claim_id", "provenance", block), "claim_id", "left")
+def claims_with_provenance(claims: DataFrame, provenance: DataFrame) -> DataFrame:
+    """One row per claim and provenance row (struct ``provenance``, null without any)."""
+    return attach_rows(claims, provenance, "claim_id", "provenance")
 
 
 def entities_by_type(entities: DataFrame, limit: int = 20, types: tuple[str, ...] | None = None) -> DataFrame:

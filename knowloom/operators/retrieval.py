@@ -30,6 +30,7 @@ SCORE_DIGITS = 6
 QUERY_BLOCK = 4096
 QUESTION_BOUND = 20_000
 CHUNK_BLOCK = 20000
+TERM_BOUND = 200_000
 
 
 def terms(text: Column, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
@@ -60,12 +61,13 @@ def keyword_search(
 
     Candidates come from the rarest term only; the other terms are tested inside the row. Questions
     with the same terms are searched once. Score is s / (1 + s), so it lies in [0, 1). With a checked
-    number of questions the question side is broadcast and chunk rows are only scanned, not shuffled.
+    number of question terms the question side is broadcast and chunk rows are only scanned, not
+    shuffled. Beyond it only (term, chunk id) rows meet the questions and token arrays move once per chunk.
     """
     asked = questions.select(
         "query_id", "owner_id", F.array_sort(F.array_distinct(terms(F.col("question"), stop_words))).alias("q_terms")
     ).filter(F.size("q_terms") > 0)
-    small = is_small(questions.select("query_id"), QUESTION_BOUND)
+    small = is_small(asked.select(F.explode("q_terms")), TERM_BOUND)
     tokens = once(chunks.select("owner_id", "chunk_id", "text"), tokens=terms(F.col("text"), stop_words)).drop("text")
     distinct = asked.select("owner_id", "q_terms").distinct().withColumn("q_key", F.xxhash64("owner_id", "q_terms"))
     per_term = distinct.select("owner_id", "q_key", F.size("q_terms").alias("wanted"), F.explode("q_terms").alias("term"))
@@ -88,8 +90,9 @@ def keyword_search(
     if small:
         met = postings.join(F.broadcast(drivers), ["owner_id", "term"])
     else:
-        listed = postings.join(drivers.select("owner_id", "term").distinct(), ["owner_id", "term"], "left_semi")
-        met = hot_join(listed, drivers, ["owner_id", "term"], salts=SALTS)
+        asked_terms = drivers.select("owner_id", "term").distinct()
+        listed = postings.drop("tokens").join(asked_terms, ["owner_id", "term"], "left_semi")
+        met = hot_join(listed, drivers, ["owner_id", "term"], salts=SALTS).join(tokens.select("chunk_id", "tokens"), "chunk_id")
     met = met.filter(F.size(F.array_except(F.transform("weights", lambda w: w["term"]), F.col("tokens"))) == 0)
 
     def weight(w: Column) -> Column:

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import base64
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from knowloom.functions.hashing import fingerprint
 from knowloom.functions.text import strip
@@ -50,39 +56,54 @@ def repository_objects(
         .filter(_ends_with_any(F.col("path"), extensions))
     )
     bodies = contents.filter(F.col("encoding") == "base64").select(
-        "owner", "repo", "branch", "path", F.sha2(F.unbase64("content"), 256).alias("hash")
+        "owner", "repo", "branch", "path", F.sha2(F.try_to_binary("content", F.lit("base64")), 256).alias("hash")
     )
     joined = blobs.join(bodies, ["owner", "repo", "branch", "path"])
     ref = F.concat(F.lit("github://"), F.concat_ws("/", "owner", "repo", "branch", "path"))
     return _discovered(joined, F.col("path"), "file", F.col("hash"), F.lit(None).cast("string"), ref)
 
 
-def _part_type(depth: int) -> str:
-    inner = f",parts:array<{_part_type(depth - 1)}>" if depth else ""
-    return f"struct<mimeType:string,body:struct<data:string>{inner}>"
-
-
-def message_schema(depth: int = 4) -> str:
-    payload = _part_type(depth)[:-1] + ",headers:array<struct<name:string,value:string>>>"
-    return f"id string, historyId string, payload {payload}"
-
-
-def _body_texts(part: Column, depth: int) -> Column:
-    """Decoded text parts; a part precedes its children and children run last to first."""
-    data = part["body"]["data"]
-    text = F.make_valid_utf8(F.unbase64(F.translate(data, "-_", "+/")).cast("string"))
-    own = F.when(
-        (F.coalesce(data, F.lit("")) != "") & F.startswith(part["mimeType"], F.lit("text/")), F.array(text)
-    ).otherwise(F.array().cast("array<string>"))
-    if depth == 0:
-        return own
-    nested = F.flatten(F.transform(F.reverse(part["parts"]), lambda p: _body_texts(p, depth - 1)))
-    return F.concat(own, F.coalesce(nested, F.array().cast("array<string>")))
-
-
-def mail_objects(messages: DataFrame, column: str = "value", depth: int = 4) -> DataFrame:
-    """One message JSON per row -> text document with subject, sender and body (nesting up to ``depth``)."""
-    m = messages.select(F.from_json(column, message_schema(depth)).alias("m")).select("m.*")
+MESSAGE_SCHEMA = "id string, historyId string, payload struct<headers:array<struct<name:string,value:string>>>"
+
+
+def _walk_text_parts(payload: str | None) -> str | None:
+    """Decoded text parts of one message, joined by line ends, to any depth.
+
+    A part precedes its children and children run last to first. Parts that are no base64 are left out.
+    """
+    try:
+        waiting = [json.loads(payload)] if payload else []
+    except (ValueError, RecursionError):
+        return None
+    texts = []
+    while waiting:
+        part = waiting.pop()
+        if not isinstance(part, dict):
+            continue
+        body = part.get("body")
+        data = body.get("data") if isinstance(body, dict) else None
+        if isinstance(data, str) and data and str(part.get("mimeType")).startswith("text/"):
+            try:
+                texts.append(base64.urlsafe_b64decode(data + "=" * (-len(data) % 4)).decode("utf-8", "replace"))
+            except ValueError:
+                pass
+        parts = part.get("parts")
+        waiting.extend(parts if isinstance(parts, list) else [])
+    return "\n".join(texts)
+
+
+@F.pandas_udf(StringType())
+def text_parts(payloads: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Arrow-batched walk over message payloads: nesting has no fixed depth, which column types would need."""
+    for batch in payloads:
+        yield batch.map(_walk_text_parts, na_action="ignore").astype(object)
+
+
+def mail_objects(messages: DataFrame, column: str = "value") -> DataFrame:
+    """One message JSON per row -> text document with subject, sender and the text of all nested parts."""
+    m = messages.select(
+        F.from_json(column, MESSAGE_SCHEMA).alias("m"), text_parts(F.get_json_object(column, "$.payload")).alias("body")
+    ).select("m.*", "body")
     headers = F.coalesce(F.col("payload.headers"), F.array().cast("array<struct<name:string,value:string>>"))
 
     def header(name: str, default: str) -> Column:
@@ -91,7 +112,7 @@ def mail_objects(messages: DataFrame, column: str = "value", depth: int = 4) ->
             F.size(found) > 0, F.coalesce(F.try_element_at(found, F.lit(-1))["value"], F.lit(""))
         ).otherwise(default)
 
-    body = strip(F.array_join(_body_texts(F.col("payload"), depth), "\n"))
+    body = strip(F.col("body"))
     text = strip(
         F.concat(
             F.lit("Subject: "), header("Subject", "(no subject)"), F.lit("\nFrom: "), header("From", ""),

@@ -248,15 +248,11 @@ def test_ontology_proposal(spark):
     assert ontology.without_pending(new, new).count() == 0
 
 
-def test_hot_proposal_evidence_comes_in_blocks(spark):
-    p = spark.createDataFrame([("hot",), ("cold",), ("none",)], "proposal_id string")
-    e = spark.createDataFrame([("hot", f"e{i}") for i in range(95)] + [("cold", "x"), ("cold", "y")], "proposal_id string, evidence_id string")
-    rows = review.with_evidence(p, e, block=10).collect()
-    spans = {}
-    for r in rows:
-        spans.setdefault(r["proposal_id"], []).extend(x["evidence_id"] for x in r["evidence"] or [])
-    assert sorted(spans["hot"]) == sorted(f"e{i}" for i in range(95)) and spans["cold"] == ["x", "y"] and spans["none"] == []
-    assert len([r for r in rows if r["proposal_id"] == "hot"]) > 5 and max(len(r["evidence"] or []) for r in rows) < 40
+def test_evidence_has_one_shape_at_every_size(spark):
+    p = spark.createDataFrame([("hot", 1), ("cold", 2), ("none", 3), (None, 4)], "proposal_id string, n int")
+    e = spark.createDataFrame([("hot", f"e{i}") for i in range(1500)] + [("cold", "x"), ("cold", "y"), ("lost", "z")], "proposal_id string, evidence_id string")
+    rows = [(r["proposal_id"], r["n"], r["evidence"] and r["evidence"]["evidence_id"]) for r in review.with_evidence(p, e).collect()]
+    assert sorted(rows, key=str) == sorted([("hot", 1, f"e{i}") for i in range(1500)] + [("cold", 2, "x"), ("cold", 2, "y"), ("none", 3, None), (None, 4, None)], key=str)
 
 
 def test_auto_approval_and_ontology_reach_rows_beyond_any_page(spark):

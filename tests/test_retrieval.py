@@ -25,6 +25,7 @@ def test_keyword_needs_all_terms_and_stays_with_owner(chunks, questions, monkeyp
     assert set(found) == {("q1", "c1"), ("q1", "c2"), ("q2", "c3")}
     assert found[("q1", "c2")] > found[("q1", "c1")] and all(0 <= s < 1 for s in found.values())
     monkeypatch.setattr(retrieval, "QUESTION_BOUND", 0)
+    monkeypatch.setattr(retrieval, "TERM_BOUND", 0)
     assert hits() == found
 
 

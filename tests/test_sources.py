@@ -57,6 +57,16 @@ def test_mail_walks_nested_parts(spark):
     assert base64.b64decode(rows["m2"]["content_ref"].removeprefix("inline:")).decode() == "Subject: (no subject)\nFrom:"
 
 
+def test_mail_reads_any_depth_and_survives_broken_parts(spark):
+    part = {"mimeType": "text/plain", "body": {"data": base64.urlsafe_b64encode(b"deep").decode()}}
+    for _ in range(40):
+        part = {"mimeType": "multipart/mixed", "parts": [part]}
+    broken = {"mimeType": "multipart/mixed", "parts": [{"mimeType": "text/plain", "body": {"data": "A"}}, {"mimeType": "text/html", "body": {"data": "b2s="}}, None, {"mimeType": None, "body": 3}]}
+    rows = [(json.dumps({"id": str(i), "payload": p}),) for i, p in enumerate((part, broken, None))]
+    got = {r["external_id"]: base64.b64decode(r["content_ref"].removeprefix("inline:")).decode() for r in landed.mail_objects(spark.createDataFrame(rows, "value string")).collect()}
+    assert got["0"].endswith("deep") and got["1"].endswith("\n\nok") and got["2"] == "Subject: (no subject)\nFrom:"
+
+
 def test_calendar_horizon(spark):
     def event(i, **start):
         return ("cal", json.dumps({"id": i, "etag": "e", "summary": "S", "start": start, "location": "L"}))
