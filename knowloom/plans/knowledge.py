@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from knowloom.operators import canonical, chunking, extraction, resolution, review
 from knowloom.plans.registry import query
-from knowloom.plans.sql import CHUNKS, CLAIMS, DECISIONS, EVIDENCE, PROPOSALS, strip
+from knowloom.plans.sql import CHUNKS, CLAIMS, DECISIONS, EVIDENCE, PROPOSALS, VERSIONS, strip
 from knowloom.plans.tables import Tables, joined
 
 # Words of the sample corpus, so that every extractor has matches.
@@ -145,6 +147,47 @@ def located_evidence(t: Tables) -> DataFrame:
         "version_id", "name", "anchor_start", "chunk_index")
 
 
+@query(f"""WITH {VERSIONS} SELECT version_id, relevance FROM versions WHERE extraction_status = 'completed' AND knowledge_status = 'pending'
+ORDER BY relevance DESC, observed_at, version_id LIMIT 10""")
+def knowledge_queue(t: Tables) -> DataFrame:
+    """The next ten versions for knowledge extraction (the batch size is the feature)."""
+    relevance = F.coalesce(F.get_json_object("triage_metadata", "$.relevance").cast("double"), F.lit(0.5))
+    return extraction.knowledge_queue(t.versions()).select("version_id", relevance.alias("relevance"))
+
+
+@query("""WITH e AS (SELECT l_orderkey AS version_id, l_linenumber AS line, l_partkey, l_suppkey, 'p' || (l_partkey % 3) AS local_id, 'p' || (l_suppkey % 4) AS subject FROM lineitem),
+r AS (SELECT *, row_number() OVER (PARTITION BY version_id ORDER BY line, l_partkey, l_suppkey) AS i FROM e), o AS (SELECT *, row_number() OVER (PARTITION BY version_id, local_id ORDER BY i) AS again FROM r),
+m AS (SELECT version_id, 1 AS phase, i, 'duplicate local_id: ' || local_id AS message FROM o WHERE again > 1
+  UNION ALL SELECT version_id, 2, i, 'claim c' || (i - 1) || ' references unknown subject ' || subject FROM o WHERE NOT EXISTS (SELECT 1 FROM e x WHERE x.version_id = o.version_id AND x.local_id = o.subject))
+SELECT v.version_id, coalesce(errors, '') AS errors, errors IS NULL AS is_valid FROM (SELECT DISTINCT version_id FROM e) v
+LEFT JOIN (SELECT version_id, string_agg(message, '|' ORDER BY phase, i) AS errors FROM m GROUP BY 1) USING (version_id)""")
+def validated_results(t: Tables) -> DataFrame:
+    """Line items as extraction results of an order, with repeated ids and claims about unknown subjects."""
+    item = F.struct("l_linenumber", "l_partkey", "l_suppkey")
+    lines = t.raw("lineitem").groupBy(F.col("l_orderkey").alias("version_id")).agg(F.sort_array(F.collect_list(item)).alias("x"))
+
+    def local(x: Column) -> Column:
+        return F.concat(F.lit("p"), (x["l_partkey"] % 3).cast("string"))
+
+    claims = F.transform("x", lambda x, i: F.struct(
+        F.concat(F.lit("c"), i.cast("string")).alias("local_id"),
+        F.concat(F.lit("p"), (x["l_suppkey"] % 4).cast("string")).alias("subject_local_id")))
+    none = "cast(array() as array<struct<local_id:string,source_local_id:string,target_local_id:string>>)"
+    results = lines.select(
+        "version_id", F.lit(extraction.SCHEMA_VERSION).alias("schema_version"),
+        F.transform("x", lambda x: F.struct(local(x).alias("local_id"))).alias("entities"), claims.alias("claims"),
+        *[F.expr(none).alias(c) for c in ("relationships", "tasks", "decisions", "events")],
+    )
+    return extraction.validate(results).select("version_id", F.array_join("errors", "|").alias("errors"), "is_valid")
+
+
+@query(f"""WITH {PROPOSALS} SELECT proposal_id, CASE WHEN proposal_type IN ('entity', 'entity_resolution') THEN 'entity' WHEN proposal_type = 'relationship' THEN 'relationship' ELSE 'claim' END AS branch
+FROM proposals WHERE status = 'approved'""")
+def routed_proposals(t: Tables) -> DataFrame:
+    parts = [rows.select("proposal_id", F.lit(name).alias("branch")) for name, rows in canonical.route(t.proposals()).items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 # --- entity resolution -------------------------------------------------------------------------
 def _sim(a: str, b: str) -> str:
     return f"""CASE WHEN {a} = {b} THEN 1.0 WHEN contains({a}, {b}) OR contains({b}, {a})

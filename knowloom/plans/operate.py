@@ -157,6 +157,16 @@ def ontology_proposals(t: Tables) -> DataFrame:
     return rows.select("owner_id", "kind", "title", "proposed_definition", "evidence", "rationale")
 
 
+@query(f"""WITH {PROPOSALS}, g AS (SELECT owner_id, o_orderpriority AS kind_id, count(*) AS n, list(proposal_id ORDER BY created_at DESC, proposal_id DESC) AS ids FROM proposals
+  WHERE status IN ('pending', 'approved') GROUP BY ALL HAVING count(*) >= 3)
+SELECT owner_id, 'Új kapcsolattípus: ' || kind_id AS title, '{{"relationship_type":"' || kind_id || '","occurrence_count":' || n || ',"sample_proposal_ids":[' || array_to_string(ids[1:3], ',') || ']}}' AS evidence,
+  'A(z) „' || kind_id || '” kapcsolat ' || n || ' alkalommal szerepelt, de nincs a normatív ontológiában.' AS rationale FROM g WHERE kind_id <> '5-LOW'""")
+def relationship_type_proposals(t: Tables) -> DataFrame:
+    p = t.proposals().withColumns({"proposal_type": F.lit("relationship"), "payload": F.regexp_replace("payload", "priority", "relationship_type")})
+    rows = ontology.relationship_type_proposals(ontology.unmapped_relationships(p, known=("5-LOW",)))
+    return rows.select("owner_id", "title", "evidence", "rationale")
+
+
 @query(f"""WITH {_BEST}, d AS (SELECT *, entity_type = 'economy' AS pending FROM best)
 SELECT owner_id, entity_type, CASE WHEN pending THEN 'approved' ELSE 'pending' END AS status, CASE WHEN pending THEN 'fits' END AS decision_rationale FROM d""")
 def decided_ontology(t: Tables) -> DataFrame:

@@ -26,6 +26,7 @@ def test_outbox_batches_and_restart(spark, tmp_path):
         jobs.project_outbox(stream, out, str(tmp_path / "cp")).awaitTermination()
     nodes, edges = jobs.read_projection(spark, out)
     assert {r["node_id"] for r in nodes.collect()} == {"a", "b"} and edges.count() == 1
+    assert {r["status"] for r in spark.read.parquet(f"{out}/projected").collect()} == {"processed"}
     dead = spark.read.parquet(f"{out}/dead_letters").collect()
     assert [(r["event_id"], r["status"], r["retry_count"]) for r in dead] == [("4", "failed", 1)]
 
