@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import numpy as np
@@ -164,103 +165,195 @@ def near_duplicate_classes(docs: DataFrame, words: int = 3, radius: int = 3, see
     return prints.join(named, "fp").select("doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def _pairs(radius: int, all_up_to: int):
-    """All close pairs of small buckets; of larger ones enough to connect what is close, plus each one's nearest successor."""
-    connect = _bucket_links(radius)
+def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    """node, shingles: sorted different 32-bit hashes of the word shingles of ``docs`` (node, text)."""
 
     def run(batches):
         for batch in batches:
-            a, b, rest = [], [], []
-            for members in batch.column(0):
-                x = np.sort(np.array(members.as_py(), np.int64)).view(np.uint64)
-                if len(x) > all_up_to:
-                    rest.append(members.as_py())
-                    near = np.flatnonzero(np.bitwise_count(x[1:] ^ x[:-1]) <= radius)
-                    i, j = near, near + 1
-                else:
-                    i, j = np.nonzero(np.triu(np.bitwise_count(x[:, None] ^ x[None, :]) <= radius, 1))
-                a += x[i].view(np.int64).tolist()
-                b += x[j].view(np.int64).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-            if rest:
-                yield from connect([pa.RecordBatch.from_arrays([pa.array(rest, pa.list_(pa.int64()))], ["fps"])])
+            sets = [np.unique(shingle_hashes(t.as_py() or b"", words, 1).astype(np.uint32)).view(np.int32) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int32()))], ["node", "shingles"])
+
+    return docs.select("node", F.col("text").cast("binary")).mapInArrow(run, "node long, shingles array<int>")
+
+
+def _frequent(base: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes (sorted) and counts of those that recur within a task. They only order shingles: any order is exact, rare first is fast."""
+
+    def run(batches):
+        held, size = [], 0
+
+        def flush():
+            tokens, counts = np.unique(np.concatenate(held), return_counts=True)
+            often = counts >= 3
+            return pa.RecordBatch.from_arrays([pa.array(tokens[often].view(np.int32)), pa.array(counts[often].astype(np.int64))], ["token", "n"])
+
+        for batch in batches:
+            for t in batch.column(0):
+                held.append(np.unique(shingle_hashes(t.as_py() or b"", words, 1).astype(np.uint32)))
+                size += len(held[-1])
+            if size > 1 << 22:
+                yield flush()
+                held, size = [], 0
+        if held:
+            yield flush()
+
+    counted = base.select(F.col("text").cast("binary")).mapInArrow(run, "token int, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    top = counted.orderBy(F.desc("n"), "token").limit(1 << 20).toArrow()
+    tokens, counts = top.column("token").to_numpy().view(np.uint32), top.column("n").to_numpy()
+    order = np.argsort(tokens)
+    return tokens[order], counts[order]
+
+
+def _prefixes(base: DataFrame, words: int, similarity: float) -> DataFrame:
+    """node, id, digest of the shingle set (null if empty), its size n, and the first n - ceil(similarity n) + 1 shingles, rare ones first."""
+    common = base.sparkSession.sparkContext.broadcast(_frequent(base, words))
+
+    def run(batches):
+        tokens, counts = common.value
+        for batch in batches:
+            digests, sizes, heads = [], [], []
+            for t in batch.column(2):
+                x = np.unique(shingle_hashes(t.as_py() or b"", words, 1).astype(np.uint32))
+                rank = np.zeros(len(x), np.int64)
+                if len(tokens) and len(x):
+                    at = np.minimum(np.searchsorted(tokens, x), len(tokens) - 1)
+                    rank = np.where(tokens[at] == x, counts[at], 0)
+                keep = len(x) - math.ceil(similarity * len(x) - 1e-9) + 1 if len(x) else 0
+                digests.append(np.uint64(xxhash.xxh64_intdigest(x.tobytes(), 9)).astype(np.int64).item() if len(x) else None)
+                sizes.append(len(x))
+                heads.append(x[np.lexsort((x, rank))[:keep]].view(np.int32))
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), batch.column(1), pa.array(digests, pa.int64()), pa.array(sizes, pa.int32()), pa.array(heads, pa.list_(pa.int32()))],
+                ["node", "id", "digest", "n", "head"])
+
+    rows = base.select("node", "id", F.col("text").cast("binary"))
+    return materialize(rows.mapInArrow(run, "node long, id long, digest long, n int, head array<int>"), "near-heads")
+
+
+def _possible(n1, p1, n2, p2, similarity: float):
+    """Whether sets of n1 and n2 shingles whose first shared one stands at p1 and p2 can still be alike."""
+    most = np.minimum(n1 - p1, n2 - p2)
+    return most >= similarity * (n1 + n2 - most) - 1e-9
+
+
+def _meet(similarity: float, all_up_to: int):
+    """Rows sorted by token -> possible pairs (a, b) of tokens in up to ``all_up_to`` sets; the rows of others as token, a, n, p without b."""
+    names = ["token", "a", "b", "n", "p"]
+
+    def out(token, a, b, n, p):
+        return pa.RecordBatch.from_arrays([pa.array(token, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int32()), pa.array(p, pa.int32())], names)
+
+    def whole(token, node, n, p):
+        starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        lengths = np.diff(np.concatenate([starts, [len(token)]]))
+        for length in np.unique(lengths[(lengths > 1) & (lengths <= all_up_to)]).tolist():
+            i, j = np.triu_indices(length, 1)
+            for part in np.array_split(starts[lengths == length], max(1, int((lengths == length).sum()) * len(i) >> 20)):
+                x, y = (part[:, None] + i).ravel(), (part[:, None] + j).ravel()
+                ok = (node[x] != node[y]) & _possible(n[x], p[x], n[y], p[y], similarity)
+                a, b = node[x[ok]], node[y[ok]]
+                if len(a):
+                    none = np.full(len(a), None)
+                    yield out(none, np.minimum(a, b), np.maximum(a, b), none, none)
+        for s, length in zip(starts[lengths > all_up_to].tolist(), lengths[lengths > all_up_to].tolist(), strict=True):
+            yield out(token[s:s + length], node[s:s + length], np.full(length, None), n[s:s + length], p[s:s + length])
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            now = [np.asarray(c) for c in batch.columns]
+            if not len(now[0]):
+                continue
+            held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
+            cut = int(np.searchsorted(held[0], held[0][-1]))  # the last token may go on
+            if cut:
+                yield from whole(*[c[:cut] for c in held])
+                held = [c[cut:] for c in held]
+        if held is not None:
+            yield from whole(*held)
 
     return run
 
 
-def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """node, shingles: sorted different 32-bit hashes of the word shingles of ``docs`` (node, text)."""
+def _block_pairs(similarity: float):
+    """Possible pairs of different parts in two blocks of one token's sets."""
 
     def run(batches):
         for batch in batches:
-            sets = [np.unique(shingle_hashes(t.as_py() or b"", words, 1).astype(np.uint32)).view(np.int32) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int32()))], ["node", "shingles"])
+            for blocks in batch.column(0):
+                rows = blocks.as_py()
+                node, part, n, p = (np.array([r[k] for r in rows], np.int64) for k in ("a", "part", "n", "p"))
+                for i in range(len(node) - 1):
+                    ok = (part[i + 1:] != part[i]) & _possible(n[i], p[i], n[i + 1:], p[i + 1:], similarity)
+                    b = node[i + 1:][ok]
+                    if len(b):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(b, node[i])), pa.array(np.maximum(b, node[i]))], ["a", "b"])
 
-    return docs.select("node", F.col("text").cast("binary")).mapInArrow(run, "node long, shingles array<int>")
+    return run
+
+
+def _verified(pairs: DataFrame, base: DataFrame, heads: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Of pairs (a, b) of set digests those whose whole sets have the similarity."""
+    pairs = materialize(pairs.distinct(), "near-pairs")
+    asked = pairs.select(F.col("a").alias("digest")).union(pairs.select(F.col("b").alias("digest"))).distinct()
+    first = heads.filter("digest is not null").groupBy("digest").agg(F.min("node").alias("_node"))
+    asked = materialize(first.join(small_side(asked, is_small(asked)), "digest"), "near-asked")
+    texts = base.join(small_side(asked, is_small(asked)), F.col("node") == F.col("_node")).select(F.col("digest").alias("node"), "text")
+    sets = materialize(shingle_sets(texts, words).dropDuplicates(["node"]), "near-sets")
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    compared = pairs.join(left, "a").join(right, "b")
+    both = F.size(F.array_intersect("x", "y"))
+    return materialize(compared.filter(both >= F.lit(similarity) * (F.size("x") + F.size("y") - both)).select("a", "b"), "near-links")
+
+
+def _open_tokens(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows, with their part, of tokens whose sets are not yet all in one connected part."""
+    parts = connected_components(links)
+    named = rows.join(parts, rows["a"] == parts["node"], "left").select("token", "a", "n", "p", F.coalesce("component", "a").alias("part"))
+    named = materialize(named, "near-parts")
+    several = named.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("part").alias("_x"), F.max("part").alias("_y")).filter("_x < _y").select("token", "m")
+    return materialize(hot_join(named, several, ["token"]), "near-open")
 
 
-def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 4,
-                         seeds: tuple[int, ...] = (42, 43, 44, 45), max_bucket: int = MAX_BUCKET) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, all_up_to: int = 64, block: int = 256) -> DataFrame:
     """The rows of ``docs`` without near copies: of each group the document with the smallest doc_id stays.
 
     Two documents are linked if the sets of their ``shingle``-word shingles have a Jaccard similarity of ``similarity``
-    or more; groups are the connected parts. A 64-bit SimHash of five-word shingles differs in about ten bits at
-    similarity 0.8, beyond any covering with a sane number of tables. Candidates therefore come from SimHashes of the
-    different words, of which an edit changes one where it changes five shingles, under several seeds, each covered to
-    ``radius`` bits; every candidate is then compared by its whole shingle sets, so unlike documents are never dropped.
-    With four seeds and four bits 93 % of pairs at similarity 0.80 to 0.82 are candidates (600 edited documents of the
-    samples), and practically all from 0.9 on; texts of some dozen words, of which one word is a larger share, are found
-    less often. Of documents with one fingerprint each is compared with the first, of a
-    bucket of over 16 fingerprints enough pairs to connect it.
+    or more; groups are the connected parts. The search is exact at every length: in any order of all shingles, two such
+    sets share one among the first n - ceil(similarity n) + 1 of each (prefix filter). The order puts rare shingles
+    first. Equal sets are one node. Every possible pair of a shingle in up to ``all_up_to`` sets is compared by whole
+    sets. The sets of a more common one are first compared with up to four random members; pairs that this already
+    joins need no comparison, and all pairs of parts not yet joined are then compared, in blocks of about ``block`` sets.
 
     Null and wordless texts have an empty set and are never near copies. Rows that repeat id and text share their fate;
     null ids count as the largest. The columns of ``docs`` are returned as they are; an empty table stays empty.
     """
     node = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")))
-    base = docs.select(node.alias("doc_id"), "text")
-    prints = materialize(fingerprints(base, None, seeds).withColumnRenamed("doc_id", "node"), "near-prints")
-    found: list[DataFrame] = []
-    for i in range(len(seeds)):
-        one = prints.select("node", F.col(f"f{i}").alias("fp")).filter("fp <> 0")
-        distinct = materialize(one.groupBy("fp").agg(F.min("node").alias("first")), "near-firsts")
-        found.append(hot_join(one, distinct, ["fp"]).filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")))
-        rows, key = distinct.select("fp"), []
-        for level in range(6):
-            rows = _tables(rows, radius, level, key)
-            key = [*key, f"t{level}", f"k{level}"]
-            sizes = materialize(rows.groupBy(*key).agg(
-                F.count(F.lit(1)).alias("_n"), F.min("fp").alias("_a"), F.max("fp").alias("_b")).filter("_n > 1"), "near-sizes")
-            two = sizes.filter("_n = 2").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
-            two = two.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
-            middle = sizes.filter(F.col("_n").between(3, max_bucket)).select(*key)
-            lists = hot_join(rows, middle, key, "left_semi").groupBy(*key).agg(F.collect_list("fp").alias("fps")).select("fps")
-            close = two.union(lists.mapInArrow(_pairs(radius, 16), "a long, b long")).distinct()
-            names = distinct.select(F.col("fp").alias("_fp"), "first")
-            close = close.join(names, F.col("a") == F.col("_fp")).select(F.col("first").alias("x"), "b")
-            close = close.join(names, F.col("b") == F.col("_fp")).select(F.col("x").alias("a"), F.col("first").alias("b"))
-            found.append(close)
-            large = sizes.filter(F.col("_n") > max_bucket).select(*key)
-            if large.isEmpty():
-                break
-            rows = materialize(hot_join(rows, large, key, "left_semi"), "near-rows")
-        else:
-            raise RuntimeError("buckets did not shrink")
-    pairs = found[0]
-    for p in found[1:]:
-        pairs = pairs.union(p)
-    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "near-pairs")
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = base.withColumnRenamed("doc_id", "node").join(small_side(asked, is_small(asked)), "node", "left_semi")
-    sets = materialize(shingle_sets(texts, shingle).dropDuplicates(["node"]), "near-sets")
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    compared = pairs.join(left, "a").join(right, "b")
-    both = F.size(F.array_intersect("x", "y"))
-    links = compared.filter(both >= F.lit(similarity) * (F.size("x") + F.size("y") - both)).filter("size(x) > 0").select("a", "b")
+    base = docs.select(node.alias("node"), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id"), "text")
+    heads = _prefixes(base, shingle, similarity)
+    each = heads.filter("digest is not null").select("digest", "n", F.posexplode("head").alias("p", "token")).select("token", "digest", "n", "p")
+    # Shingles of one set meet nothing, so most rows end here; they are sorted, not aggregated.
+    met = materialize(each.repartition("token").sortWithinPartitions("token").mapInArrow(_meet(similarity, all_up_to), "token int, a long, b long, n int, p int"), "near-met")
+    links = _verified(met.filter("b is not null").select("a", "b"), base, heads, shingle, similarity)
+    large = met.filter("b is null").select("token", "a", "n", "p").distinct()
+    if not large.isEmpty():
+        rows = _open_tokens(large, links)
+        pivots = rows.groupBy("token").agg(F.min_by("a", F.xxhash64("a", "token")).alias("b"))
+        some = hot_join(rows, pivots, ["token"]).filter("a <> b").groupBy("a", F.pmod(F.xxhash64("token"), F.lit(4))).agg(F.min("b").alias("b"))
+        links = links.union(_verified(some.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), base, heads, shingle, similarity))
+        rows = _open_tokens(rows.select("token", "a", "n", "p"), links)
+        blocks = F.ceil(F.col("m") / block).cast("int")
+        mine = rows.withColumn("i", F.pmod(F.xxhash64("a"), blocks).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        met = mine.groupBy("token", F.least("i", "j").alias("u"), F.greatest("i", "j").alias("v")).agg(F.collect_list(F.struct("a", "part", "n", "p")).alias("rows"))
+        links = links.union(_verified(met.select("rows").mapInArrow(_block_pairs(similarity), "a long, b long"), base, heads, shingle, similarity))
     parts = connected_components(links)
-    ids = docs.select(node.alias("node"), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("_id"))
-    members = ids.join(small_side(parts, is_small(parts)), "node").distinct()
-    first = members.groupBy("component").agg(F.min(F.struct("_id", "node")).alias("_keep"))
-    lost = materialize(members.join(first, "component").filter(F.col("node") != F.col("_keep.node")).select(F.col("node").alias("_node")), "near-lost")
+    names = heads.filter("digest is not null").select("node", "id", "digest")
+    members = names.join(small_side(parts, is_small(parts)), names["digest"] == parts["node"], "left").select(
+        names["node"], F.col("id").alias("_id"), F.coalesce("component", "digest").alias("component"))
+    several = members.groupBy("component").agg(F.min(F.struct("_id", "node")).alias("_keep"), F.min("node").alias("_x"), F.max("node").alias("_y")).filter("_x < _y")
+    several = materialize(several.select("component", "_keep"), "near-groups")
+    lost = members.join(small_side(several, is_small(several)), "component").filter(F.col("node") != F.col("_keep.node"))
+    lost = materialize(lost.select(F.col("node").alias("_node")).distinct(), "near-lost")
     rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), node.alias("_key"))
     return rows.join(small_side(lost, is_small(lost)), F.col("_key") == F.col("_node"), "left_anti").select("_row.*")

@@ -248,6 +248,32 @@ def test_near_copies_at_the_threshold_are_candidates(spark):
     assert set(range(150)) <= left and len(left) <= 165
 
 
+def near_copy_parts(texts):
+    """First ids of the groups by brute force over all pairs."""
+    data = [set(shingles(t, 5)) for t in texts]
+    alike = [(i, j) for i, j in combinations(range(len(data)), 2) if data[i] and len(data[i] & data[j]) >= 0.8 * len(data[i] | data[j])]
+    part = components(len(data), alike)
+    return {part.index(x) for x in part}
+
+
+@pytest.mark.parametrize("all_up_to, block", [(64, 256), (4, 3)])
+def test_near_copies_are_found_beside_representatives(spark, all_up_to, block):
+    """Equal word sets in another order, and groups of over 16 sets that share their words or a passage."""
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(words[::-1]), " ".join(words), " ".join([*words[:39], "w39", "w39"])]
+    for g in range(3):
+        start = prose(60, 70 + g).split(" ")
+        for i in range(24):
+            own = list(start)
+            own[5 + i // 2] = f"e{g}x{i}"
+            texts.append(" ".join(own))
+        texts += [" ".join([*start[:30], *prose(30, 900 + 40 * g + i).split(" ")]) for i in range(20)]
+        texts += [" ".join(np.random.default_rng(i).permutation(start)) for i in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r[0] for r in simhash.drop_near_duplicates(df, all_up_to=all_up_to, block=block).select("doc_id").collect()}
+    assert got == near_copy_parts(texts)
+
+
 def test_connected_components(spark):
     rng = np.random.default_rng(1)
     edges = [(i, i + 1) for i in range(0, 300)] + [(1000, 1000 + i) for i in range(1, 200)] + [tuple(map(int, rng.integers(2000, 2200, 2))) for _ in range(120)]
