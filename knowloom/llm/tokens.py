@@ -21,6 +21,7 @@ _LOADED: dict[tuple[str, str], WordEncoder] = {}
 class WordEncoder:
     """Encodes texts as the tokenizer would, word by word where its pre-tokenizer cannot reach across a space.
 
+    A text that holds the literal of an added token ('<|endoftext|>') is encoded whole: the literal splits what is around it.
     Words recur within and across tasks of a worker process, so their ids are kept, up to ``CACHE_WORDS`` words.
     """
 
@@ -29,7 +30,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.spaces = spaces
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.known: dict[str, bytes] = {"": b""}
@@ -48,7 +49,7 @@ class WordEncoder:
         return out + self._group(group)
 
     def _words(self, text: str) -> list[str]:
-        if self.spaces == WHOLE:
+        if self.spaces == WHOLE or any(a in text for a in self.added):
             return [text]
         words = text.split(" ")
         if self.spaces == LEADING:

@@ -379,6 +379,16 @@ def test_word_encoder_equals_whole_text(monkeypatch, name, spaces):
     assert [np.frombuffer(x, e.code).tolist() for x in e.encode(texts)] == [w.ids for w in want]
 
 
+@pytest.mark.parametrize("name, spaces", [(queries.WORD_BPE, tokens.DROPPED), (queries.BYTE_BPE, tokens.LEADING), (queries.BYTE_BPE, tokens.WHOLE)])
+def test_added_tokens_are_encoded_as_by_a_fresh_tokenizer(name, spaces):
+    from tokenizers import Tokenizer
+
+    texts = ["see <|endoftext|> here", "a<|startoftext|>b c", "<|endoftext|>", "x <|endoftext|><|endoftext|>  y ", "<|ENDOFTEXT|> z", "<|endof text|> see here"]
+    plain, e = Tokenizer.from_file(queries.vocabulary(name)), tokens.WordEncoder(queries.vocabulary(name), spaces)
+    for _ in range(2):  # the second time from kept words
+        assert [np.frombuffer(x, e.code).tolist() for x in e.encode(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_poisson_mixture(spark, docs, nothing):
     rates = {r["source"]: r["rate"] for r in mixing.source_rates(docs).collect()}
     want = Counter()
