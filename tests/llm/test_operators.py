@@ -413,6 +413,19 @@ def test_poisson_mixture(spark, docs, nothing):
         mixing.source_rates(docs, max_rate=100.0)
 
 
+def test_poisson_mixture_reaches_targets_of_rare_sources(spark):
+    """A source with 1 % of the text and a target of 40 % needs 40 repetitions; one with 0.05 % and 5 % needs 100."""
+    df = spark.createDataFrame([(i, "x" * 100, "big" if i >= 210 else "rare" if i >= 10 else "tiny") for i in range(20_000)], "doc_id long, text string, source string")
+    targets = {"big": 0.55, "rare": 0.4, "tiny": 0.05}
+    rates = {r["source"]: r["rate"] for r in mixing.source_rates(df, targets=targets).collect()}
+    assert abs(rates["rare"] - 40) < 0.01 and abs(rates["tiny"] - 100) < 0.01
+    got = mixing.poisson_mixture(df, targets=targets).groupBy("row.source", "row.doc_id").count().collect()
+    total = sum(r["count"] for r in got)
+    assert all(abs(sum(r["count"] for r in got if r["source"] == s) / total - w) < 0.01 for s, w in targets.items())
+    rare = np.array([r["count"] for r in got if r["source"] == "rare"])
+    assert len(rare) == 200 and 0.6 < rare.var() / 40 < 1.5
+
+
 def test_poisson_mixture_reaches_targets(spark):
     df = spark.range(30_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 3).alias("source"), F.lit("x" * 50).alias("text"))
     counts = dict(mixing.poisson_mixture(df, targets={"s0": 0.5, "s1": 0.4, "s2": 0.1}).groupBy("row.source").count().collect())
