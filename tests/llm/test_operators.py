@@ -274,6 +274,20 @@ def test_near_copies_are_found_beside_representatives(spark, all_up_to, block):
     assert got == near_copy_parts(texts)
 
 
+def test_near_copies_of_short_texts_are_all_found(spark):
+    """Texts of 9 to 60 words whose last word is another: each pair of similarity 0.8 or more loses its copy, no other text goes."""
+    data, lost = [], set()
+    for i in range(200):
+        words = prose(9 + i % 52, 70_000 + i).split(" ")
+        edited = [*words[:-1], f"edit{i}"]
+        data += [(i, " ".join(words)), (1000 + i, " ".join(edited))]
+        a, b = set(shingles(data[-2][1], 5)), set(shingles(data[-1][1], 5))
+        lost |= {1000 + i} if len(a & b) >= 0.8 * len(a | b) else set()
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    left = {r[0] for r in simhash.drop_near_duplicates(df).select("doc_id").collect()}
+    assert len(lost) > 150 and left == {d for d, _ in data} - lost
+
+
 def test_connected_components(spark):
     rng = np.random.default_rng(1)
     edges = [(i, i + 1) for i in range(0, 300)] + [(1000, 1000 + i) for i in range(1, 200)] + [tuple(map(int, rng.integers(2000, 2200, 2))) for _ in range(120)]
