@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from importlib.resources import files
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +17,7 @@ SPELLINGS = (
     ("whilst", "while"), ("wilful", "willful"), ("noncommercial", "non commercial"), ("per cent", "percent"),
     ("copyright holder", "copyright owner"), ("https", "http"),
 )
-NOTICES = (
+_LINES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("MIT", "Released under the MIT License."),
     ("MIT", "This project is licensed under the MIT License."),
@@ -49,6 +52,10 @@ NOTICES = (
         "altered from any source distribution.")),
 )
 
+# Whole texts, file headers and title variants: one {license_id, notice} a line.
+_SHIPPED = files(__package__).joinpath("licenses.jsonl").read_text(encoding="utf-8").splitlines()
+NOTICES = (*_LINES, *((r["license_id"], r["notice"]) for r in map(json.loads, _SHIPPED)))
+
 COPYRIGHT_LINE = r"(?m)^[ \t*/#;-]*(copyright|\(c\)|©)[^\n]*$|^[ \t*/#;-]*all rights reserved\.?[ \t]*$"
 
 

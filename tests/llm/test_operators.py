@@ -167,6 +167,25 @@ def test_url_verdicts(spark):
     assert {r[0] for r in url_filters.url_verdicts(df, table.limit(0)).select("verdict").collect()} == {"allow"}
 
 
+def test_whole_licenses_are_known(spark):
+    by = defaultdict(list)
+    for name, text in license_scan.NOTICES:
+        by[name].append(text)
+    mit = next(t for t in by["MIT"] if t.startswith("MIT License")).split("\n\n", 1)[1]
+    apache = max(by["Apache-2.0"], key=len)
+    header = ("Copyright 2020 Someone\n\nLicensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\n"
+              "You may obtain a copy of the License at\n\n    https://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software\n"
+              "distributed under the License is distributed on an \"AS IS\" BASIS,\nWITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\n"
+              "See the License for the specific language governing permissions and\nlimitations under the License.\n")
+    texts = [("MIT", "The MIT License (MIT)\n\nCopyright (c) 2021 A\n\n" + mit), ("MIT", "Copyright (c) 2021 A\n\n" + mit), ("Apache-2.0", apache), ("Apache-2.0", header)]
+    for name in ("BSD-2-Clause", "BSD-3-Clause", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "MPL-2.0", "CC0-1.0", "Unlicense", "GPL-3.0-or-later"):
+        texts.append((name, "Copyright (c) 2021 A. All rights reserved.\n\n" + max(by[name], key=len)))
+    texts.append((None, apache + " and more"))
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    got = dict(license_scan.scan_licenses(df, license_scan.known_licenses(spark)).select("doc_id", "text_license").collect())
+    assert got == {i: name for i, (name, _) in enumerate(texts)}
+
+
 def shingles(t, n):
     w = (t or "").encode().lower().split()
     return [b" ".join(w[i:i + n]) for i in range(max(1, len(w) - n + 1))] if w else []
