@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from knowloom.llm import ann, exact_dedup, license_scan, mixing, packing, quality, repeats, simhash, token_files, tokens, url_filters
+from knowloom.llm import (
+    ann, circulant, exact_dedup, license_scan, mixing, packing, prefix_trie, quality, repeats, simhash, spelling, token_files, tokens, url_filters,
+)
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -65,6 +67,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_read(spark, sf_dir, "conversations"))
+
+
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return circulant.minhash_classes(_read(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -73,7 +87,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_packing, op2_license_scan, op3_suffix_dedup, op4_url_filters, op5_simhash, op6_exact_dedup, op7_token_files, op8_mixing,
-    op9_nearest_neighbours, op10_quality, pipeline)}
+    op9_nearest_neighbours, op10_quality, op11_prefix_trie, op12_minhash, op13_spelling_variants, pipeline)}
 
 _SPACE = r"'[\x20\x09-\x0D]+'"
 
