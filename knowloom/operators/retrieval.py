@@ -18,6 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from knowloom.functions.hashing import stable_id
 from knowloom.functions.layout import once
 from knowloom.functions.skew import SALTS, hot_join, is_small, small_side, top_k
+from knowloom.functions.text import bind
 
 # Common English words that carry no search meaning.
 STOP_WORDS = (
@@ -31,6 +32,7 @@ QUERY_BLOCK = 4096
 QUESTION_BOUND = 20_000
 CHUNK_BLOCK = 20000
 TERM_BOUND = 200_000
+GRAM = 8
 
 
 def terms(text: Column, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
@@ -268,43 +270,50 @@ def search(chunks: DataFrame, questions: DataFrame, mode: str = "hybrid", limit:
     return merge_hits(keyword_search(chunks, questions, limit), semantic_search(chunks, questions, limit), limit)
 
 
-def _power(n: Column) -> Column:
-    return F.pow(F.lit(2), F.floor(F.log2(n))).cast("int")
+def _gram_hash(letters: Column, start: Column, n: Column | int) -> Column:
+    return F.xxhash64(F.slice(letters, start, n))
 
 
-def _all_grams(text: Column) -> Column:
-    """Distinct hashes of all substrings whose length is a power of two."""
-    n = F.length(text)
-    sizes = F.transform(F.sequence(F.lit(0), F.floor(F.log2(n)).cast("int")), lambda e: F.pow(F.lit(2), e).cast("int"))
-    grams = F.transform(
-        sizes, lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.xxhash64(F.substring(text, i, k)))
-    )
-    return F.when(n > 0, F.array_distinct(F.flatten(grams)))
-
+def substring_matches(table: DataFrame, key: str, texts: Column, questions: DataFrame) -> DataFrame:
+    """Rows of ``table`` (unique by ``key``) where one of ``texts`` contains the whole question, with its query_id.
 
-def substring_matches(table: DataFrame, texts: Column, questions: DataFrame) -> DataFrame:
-    """Rows of ``table`` where one of ``texts`` contains the whole question.
-
-    Case-insensitive. An equi-join on (owner, gram) with the question's head gram finds the
-    candidates, ``contains`` confirms them. A checked number of questions is broadcast; otherwise rows
-    without any asked gram are dropped first and hot grams are salted.
+    Case-insensitive. A question asks with the hash of its first ``GRAM`` letters (all of a shorter one); a text emits
+    the different hashes of its runs of the asked lengths, at most ``GRAM`` for each letter. Only (key, hash) rows meet the
+    questions, texts and questions join the pairs afterwards and ``contains`` confirms them. Hashes of a checked
+    number of questions are broadcast; otherwise rows without any asked hash are dropped first and hot ones are salted.
     """
-    asked = questions.select(
-        "query_id", "owner_id", F.lower("question").alias("needle")
-    ).filter("needle <> ''").withColumn("gram", F.xxhash64(F.substring("needle", F.lit(1), _power(F.length("needle")))))
+    asked = questions.select("query_id", "owner_id", F.lower("question").alias("needle")).filter("needle <> ''")
+    letters = F.split("needle", "")
+    head = F.least(F.length("needle"), F.lit(GRAM))
+    grams = asked.select("query_id", "owner_id", head.alias("n"), F.xxhash64(F.slice(letters, F.lit(1), head)).alias("gram"))
+    lengths = sorted(r[0] for r in grams.select("n").distinct().collect())  # at most GRAM numbers
     rows = table.withColumn("_texts", F.transform(F.filter(texts, lambda t: t.isNotNull()), F.lower))
-    keyed = rows.withColumn("gram", F.explode(F.array_distinct(F.flatten(F.transform("_texts", lambda t: F.coalesce(_all_grams(t), F.array().cast("array<bigint>")))))))
-    if is_small(questions.select("query_id"), QUESTION_BOUND):
-        met = keyed.join(F.broadcast(asked), ["owner_id", "gram"])
+
+    def runs(text: Column) -> Column:
+        def of(parts: Column) -> Column:
+            found = [
+                F.when(F.size(parts) >= n, F.transform(F.sequence(F.lit(1), F.size(parts) - (n - 1)), lambda i: _gram_hash(parts, i, n)))
+                .otherwise(F.array().cast("array<bigint>")) for n in lengths
+            ]
+            return F.array_distinct(F.concat(*found)) if found else F.array().cast("array<bigint>")
+
+        return bind(F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, "")), of)
+
+    hashes = F.array_distinct(F.flatten(F.transform("_texts", runs)))
+    keyed = rows.select(key, "owner_id", F.explode(hashes).alias("gram"))
+    if is_small(grams, QUESTION_BOUND):
+        met = keyed.join(F.broadcast(grams.drop("n")), ["owner_id", "gram"])
     else:
-        keyed = keyed.join(asked.select("owner_id", "gram").distinct(), ["owner_id", "gram"], "left_semi")
-        met = hot_join(keyed, asked, ["owner_id", "gram"], salts=SALTS)
-    return met.filter(F.exists("_texts", lambda t: F.contains(t, F.col("needle")))).drop("_texts", "gram", "needle")
+        keyed = keyed.join(grams.select("owner_id", "gram").distinct(), ["owner_id", "gram"], "left_semi")
+        met = hot_join(keyed, grams.drop("n"), ["owner_id", "gram"], salts=SALTS)
+    pairs = hot_join(met.select(key, "query_id"), asked.select("query_id", "needle"), ["query_id"])
+    found = hot_join(pairs, rows, [key])
+    return found.filter(F.exists("_texts", lambda t: F.contains(t, F.col("needle")))).drop("_texts", "needle")
 
 
 def entity_search(entities: DataFrame, questions: DataFrame, limit: int = 5) -> DataFrame:
     names = F.concat(F.array("canonical_name"), F.coalesce("aliases", F.array().cast("array<string>")))
-    hits = substring_matches(entities.select("owner_id", "entity_id", "canonical_name", "aliases"), names, questions)
+    hits = substring_matches(entities.select("owner_id", "entity_id", "canonical_name", "aliases"), "entity_id", names, questions)
     return top_k(hits.select("query_id", "entity_id", "canonical_name"), ["query_id"],
                  [F.col("canonical_name"), F.col("entity_id")], limit)
 
@@ -313,7 +322,7 @@ def claim_search(claims: DataFrame, questions: DataFrame, limit: int = 20) -> Da
     active = claims.filter(F.col("status") == "active").select(
         "owner_id", "claim_id", "subject_entity_id", "predicate", "object_value", "confidence"
     )
-    hits = substring_matches(active, F.array("predicate", "object_value"), questions).drop("owner_id")
+    hits = substring_matches(active, "claim_id", F.array("predicate", "object_value"), questions).drop("owner_id")
     return top_k(hits, ["query_id"], [F.desc("confidence"), F.col("claim_id")], limit)
 
 
@@ -325,7 +334,7 @@ def relationship_search(relationships: DataFrame, entities: DataFrame, questions
     named = hot_join(hot_join(relationships, src, ["source_entity_id"]), dst, ["target_entity_id"])
     hits = substring_matches(
         named.select("owner_id", "relationship_id", "relationship_type", "source_name", "target_name"),
-        F.array("relationship_type", "source_name", "target_name"), questions,
+        "relationship_id", F.array("relationship_type", "source_name", "target_name"), questions,
     )
     return top_k(hits.drop("owner_id"), ["query_id"], [F.col("relationship_id")], limit)
 

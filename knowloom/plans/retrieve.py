@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from knowloom.functions.text import query_tokens
 from knowloom.functions.vectors import hash_embedding, hash_embedding_sql
-from knowloom.operators import answers, chunking, retrieval
+from knowloom.operators import answers, approximate, chunking, question_plan, retrieval, search_index
 from knowloom.plans.registry import query
 from knowloom.plans.sql import CHUNKS
 from knowloom.plans.tables import Tables, joined
+from knowloom.sources.sinks import work_folder
 
 _STOP = ", ".join(f"'{w}'" for w in retrieval.STOP_WORDS)
 
@@ -19,10 +20,14 @@ def _terms(x: str) -> str:
     return rf"list_filter(regexp_split_to_array(lower({x}), '[^\p{{L}}\p{{M}}\p{{Nd}}\p{{Nl}}\p{{Pc}}]+'), lambda w: w <> '' AND w NOT IN ({_STOP}))"
 
 
-_KEYWORD = f"""{CHUNKS},
+_BENCHMARK_ASK = f"""ask AS (SELECT lang || '-' || item_id AS query_id, lang AS owner_id, text AS question, list_distinct({_terms("text")}) AS terms FROM benchmark, (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL))"""
+
+
+def _keyword_sql(ask: str) -> str:
+    return f"""{CHUNKS},
 tok AS (SELECT sha256('chunk|' || version_id || '|' || chunk_index) AS chunk_id, owner_id, text, {_terms("text")} AS tokens FROM chunks),
 corpus AS (SELECT owner_id, count(*) AS n, avg(len(tokens)) AS avg_len FROM tok GROUP BY 1),
-ask AS (SELECT lang || '-' || item_id AS query_id, lang AS owner_id, text AS question, list_distinct({_terms("text")}) AS terms FROM benchmark, (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL)),
+{ask},
 df AS (SELECT owner_id, term, count(*) AS df FROM (SELECT owner_id, unnest(list_distinct(tokens)) AS term FROM tok) WHERE term IN (SELECT unnest(terms) FROM ask) GROUP BY 1, 2),
 met AS (SELECT query_id, chunk_id, a.owner_id, tokens, unnest(terms) AS term FROM ask a JOIN tok t ON t.owner_id = a.owner_id AND len(terms) > 0 AND list_has_all(tokens, terms)),
 part_s AS (SELECT query_id, chunk_id, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf, len(list_filter(tokens, lambda x: x = m.term)) AS tf, len(tokens) / avg_len AS rel
@@ -31,15 +36,41 @@ raw_s AS (SELECT query_id, chunk_id, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.
 keyword AS (SELECT query_id, chunk_id, round(s / (s + 1), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(s / (s + 1), 6) DESC, chunk_id)::INT AS rank FROM raw_s)"""
 
 
+_KEYWORD = _keyword_sql(_BENCHMARK_ASK)
+
+
 def _chunks(t: Tables) -> DataFrame:
     return chunking.chunk_documents(t.documents())
 
 
+def _index(t: Tables, chunks: DataFrame) -> str:
+    folder = work_folder(t.spark, "index")
+    search_index.write_index(chunks, folder)
+    return folder
+
+
 @query(f"WITH {_KEYWORD} SELECT query_id, chunk_id, score, rank FROM keyword WHERE rank <= 20")
 def keyword_search(t: Tables) -> DataFrame:
     return retrieval.keyword_search(_chunks(t), t.questions()).drop("match_type")
 
 
+@query(f"WITH {_KEYWORD} SELECT query_id, chunk_id, score, rank FROM keyword WHERE rank <= 20")
+def indexed_keyword_search(t: Tables) -> DataFrame:
+    """The corpus is tokenised once into a stored index; questions open the postings of their own terms."""
+    return search_index.keyword_search(t.spark, _index(t, _chunks(t)), t.questions()).drop("match_type")
+
+
+_WORD_ASK = f"""ask AS (SELECT DISTINCT lang || '/' || w AS query_id, lang AS owner_id, w AS question, list_distinct({_terms("w")}) AS terms FROM (SELECT unnest(string_split(text, ' ')) AS w FROM benchmark), (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL))"""
+
+
+@query(f"WITH {_keyword_sql(_WORD_ASK)} SELECT query_id, chunk_id, score, rank FROM keyword WHERE rank <= 10")
+def indexed_word_search(t: Tables) -> DataFrame:
+    """Every word of the benchmark as a question: most blocks of frequent words cannot enter the list and stay closed."""
+    words = t.questions().select("owner_id", F.explode(F.split("question", " ")).alias("question")).distinct()
+    asked = words.select(F.concat_ws("/", "owner_id", "question").alias("query_id"), "owner_id", "question")
+    return search_index.keyword_search(t.spark, _index(t, _chunks(t)), asked, 10, probes=1).drop("match_type")
+
+
 @query("""WITH c AS (SELECT label, i, avg(x::DOUBLE) AS a FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY 1, 2),
 q AS (SELECT label AS query_id, list(a ORDER BY i) AS vec FROM c GROUP BY 1),
 s AS (SELECT query_id, vec_id AS chunk_id, round(list_cosine_similarity(vec, embedding::DOUBLE[]), 6) AS score FROM q, embeddings)
@@ -62,6 +93,14 @@ def owned_semantic_search(t: Tables) -> DataFrame:
     return retrieval.semantic_search(chunks, asked, limit=10, query_block=4).drop("match_type")
 
 
+@query()
+def approximate_search(t: Tables) -> DataFrame:
+    """Every twentieth vector as a question, without the blocks of the exact search; tests measure its recall against that."""
+    e = t.raw("embeddings").select(F.col("vec_id").alias("chunk_id"), F.lit(1).alias("owner_id"), "embedding")
+    asked = e.filter("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), "owner_id", F.col("embedding").alias("vector"))
+    return approximate.approximate_search(e, asked).drop("match_type")
+
+
 def _vectors(t: Tables) -> tuple[DataFrame, DataFrame]:
     e = t.raw("embeddings")
     mean = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("a"))
@@ -75,7 +114,7 @@ def _words(x: str) -> str:
     return f"list_transform(range(8), lambda i: list_sum(list_transform(range(8), lambda j: {nibble})) / 4294967296.0 * 2 - 1)"
 
 
-_HYBRID = f"""{_KEYWORD},
+_MERGED = f"""
 vt AS (SELECT chunk_id, owner_id, {_words("text")} AS v FROM tok), vq AS (SELECT query_id, owner_id, {_words("question")} AS v FROM ask),
 sem_s AS (SELECT query_id, chunk_id, round(list_cosine_similarity(q.v, t.v), 6) AS score FROM vq q JOIN vt t USING (owner_id)),
 semantic AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sem_s),
@@ -83,14 +122,21 @@ both_s AS (SELECT query_id, chunk_id, score, 1 AS k FROM keyword WHERE rank <= 2
 merged AS (SELECT query_id, chunk_id, max((score, k)) AS b FROM both_s GROUP BY 1, 2),
 hybrid AS (SELECT query_id, chunk_id, struct_extract_at(b, 1) AS score, CASE WHEN struct_extract_at(b, 2) = 1 THEN 'keyword' ELSE 'semantic' END AS signal,
   row_number() OVER (PARTITION BY query_id ORDER BY struct_extract_at(b, 1) DESC, chunk_id)::INT AS rank FROM merged)"""
+_HYBRID = f"{_KEYWORD},{_MERGED}"
 
 
 @query(f"WITH {_HYBRID} SELECT query_id, chunk_id, score, signal, rank FROM hybrid WHERE rank <= 20")
 def hybrid_search(t: Tables) -> DataFrame:
-    embed = hash_embedding(8)
-    chunks = _chunks(t).withColumn("embedding", embed(F.col("text")))
-    asked = t.questions().withColumn("vector", hash_embedding_sql(F.col("question"), 8))
-    return retrieval.search(chunks, asked, "hybrid", 20).drop("match_type")
+    index = _index(t, _embedded(_chunks(t)))
+    return search_index.search(t.spark, index, _with_vectors(t.questions()), "hybrid", 20).drop("match_type")
+
+
+def _embedded(chunks: DataFrame) -> DataFrame:
+    return chunks.withColumn("embedding", hash_embedding(8)(F.col("text")))
+
+
+def _with_vectors(questions: DataFrame) -> DataFrame:
+    return questions.withColumn("vector", hash_embedding_sql(F.col("question"), 8))
 
 
 @query(r"""SELECT lang || '-' || item_id AS query_id, array_to_string(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]+'), lambda w: length(w) > 2), '|') AS tokens FROM benchmark, (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL)""")
@@ -99,15 +145,16 @@ def question_tokens(t: Tables) -> DataFrame:
 
 
 # --- parts as knowledge: every word of a brand's part names is a question ---------------------------
-_PARTS = """
-ask AS (SELECT DISTINCT p_brand || '/' || w AS query_id, p_brand AS owner_id, w AS question FROM (SELECT p_brand, unnest(string_split(p_name, ' ')) AS w FROM part)),
-ent AS (SELECT 'p' || p_partkey AS entity_id, p_brand AS owner_id, p_name AS canonical_name, lower(p_type) || ' ' || p_name AS alias FROM part),
+_PART_ASK = """
+ask AS (SELECT DISTINCT p_brand || '/' || w AS query_id, p_brand AS owner_id, w AS question FROM (SELECT p_brand, unnest(string_split(p_name, ' ')) AS w FROM part))"""
+_PART_HITS = """ent AS (SELECT 'p' || p_partkey AS entity_id, p_brand AS owner_id, p_name AS canonical_name, lower(p_type) || ' ' || p_name AS alias FROM part),
 eh AS (SELECT query_id, entity_id, canonical_name, row_number() OVER (PARTITION BY query_id ORDER BY canonical_name, entity_id)::INT AS rank
   FROM ask JOIN ent USING (owner_id) WHERE contains(lower(canonical_name), question) OR contains(lower(alias), question)),
 cl AS (SELECT p_partkey AS claim_id, p_brand AS owner_id, 'p' || p_partkey AS subject_entity_id, p_type AS predicate, p_name AS object_value, round(p_size / 50.0, 2) AS confidence FROM part WHERE p_retailprice < 1500),
 ch AS (SELECT query_id, claim_id, subject_entity_id, predicate, object_value, confidence, row_number() OVER (PARTITION BY query_id ORDER BY confidence DESC, claim_id)::INT AS rank
   FROM ask JOIN cl USING (owner_id) WHERE contains(lower(predicate), question) OR contains(lower(object_value), question)),
 eh5 AS (SELECT * FROM eh WHERE rank <= 5), ch10 AS (SELECT * FROM ch WHERE rank <= 10)"""
+_PARTS = f"{_PART_ASK},\n{_PART_HITS}"
 
 
 def _part_questions(t: Tables) -> DataFrame:
@@ -206,11 +253,12 @@ def retrieval_audit(t: Tables) -> DataFrame:
     return rows.select("object_id", "actor_id", "metadata")
 
 
-_ANSWERS = f"""{_CITED},
+_EVIDENCE = """
 agg AS (SELECT query_id, count(*) AS n, string_agg('- ' || left(excerpt, 300), chr(10) || chr(10) ORDER BY rank) FILTER (rank <= 5) AS bullets, max(score) AS best FROM top GROUP BY 1),
 conf AS (SELECT query_id, lower(trim(split_part(excerpt, ': ', 1))) AS predicate, trim(substring(excerpt, strpos(excerpt, ': ') + 2)) AS v FROM top WHERE signal = 'canonical'),
 conflicts AS (SELECT query_id, predicate, 'Ellentmondó bizonyíték a(z) ''' || predicate || ''' predikátumra: ' || string_agg(DISTINCT v, ' vs ' ORDER BY v) AS conflict FROM conf GROUP BY 1, 2 HAVING count(DISTINCT v) > 1),
 notes AS (SELECT query_id, string_agg(conflict, '|' ORDER BY conflict) AS conflicts FROM conflicts GROUP BY 1)"""
+_ANSWERS = f"{_CITED},{_EVIDENCE}"
 
 
 @query(f"""WITH {_ANSWERS} SELECT a.query_id, CASE WHEN n IS NULL THEN '{answers.NO_EVIDENCE}' ELSE 'Based on ' || n || ' retrieved evidence item(s):' || chr(10) || chr(10) || bullets || chr(10) || chr(10) || 'This is a heuristic summary for: ' || question END AS answer,
@@ -256,3 +304,83 @@ def golden_scores(t: Tables) -> DataFrame:
     golden = _part_questions(t).select("query_id", F.array(F.col("question"), F.lit("Graph Entity")).alias("expected_signals"), F.lit(3).alias("min_citations"))
     rows = answers.score_golden(answers.answer(_part_questions(t), _citations(t)), golden)
     return rows.select("query_id", "signals_expected", "signals_found", "enough_citations")
+
+
+# --- catalogues of parts: one question set meets their text, their entities, the suppliers around them and their claims -----------
+_CATALOGUE = f"""documents AS (SELECT p_brand || '-' || p_size % 5 AS doc_id, p_brand AS lang, 'catalogue' AS source,
+  string_agg(p_name || ', ' || lower(p_type), '. ' ORDER BY p_partkey) AS text FROM part GROUP BY 1, 2),
+said AS (SELECT DISTINCT p_brand AS owner_id, unnest(string_split(p_name, ' ')) AS question FROM part
+  UNION SELECT DISTINCT p_brand, p_name FROM part UNION SELECT DISTINCT p_brand, 'nobody wrote about this' FROM part)"""
+_CATALOGUE_ASK = f"""ask AS (SELECT owner_id || '/' || question AS query_id, owner_id, question, list_distinct({_terms("question")}) AS terms FROM said)"""
+_PLAN = f"""{_CATALOGUE}, {_keyword_sql(_CATALOGUE_ASK)}, {_MERGED},
+{_PART_HITS},
+node AS (SELECT entity_id AS id, canonical_name AS label, 'entity' AS kind FROM ent UNION ALL SELECT 's' || s_suppkey, s_name, 'entity' FROM supplier
+  UNION ALL SELECT 'c' || claim_id, predicate, 'claim' FROM cl),
+edge AS (SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem UNION ALL SELECT subject_entity_id, 'c' || claim_id FROM cl),
+seen AS (SELECT DISTINCT query_id, other FROM eh5 JOIN (SELECT src, dst AS other, row_number() OVER (PARTITION BY src ORDER BY src || '>' || dst) AS k FROM edge) ON src = entity_id AND k <= 6
+  UNION SELECT query_id, entity_id FROM eh5),
+cit AS (SELECT query_id, 'chunk-' || chunk_id AS citation_id, left(text, 500) AS excerpt, h.score, 'keyword' AS signal FROM hybrid h JOIN tok t USING (chunk_id) WHERE h.rank <= 10
+  UNION ALL SELECT query_id, 'graph-' || other, 'Graph entity: ' || label, 0.5, 'graph' FROM seen JOIN node ON id = other AND kind = 'entity'
+  UNION ALL SELECT query_id, 'claim-' || claim_id, predicate || ': ' || object_value, confidence, 'canonical' FROM ch10),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, citation_id)::INT AS rank FROM cit),
+top AS (SELECT * FROM ranked WHERE rank <= 10),
+steps AS (SELECT query_id, 0 AS step, 'keyword' AS signal, 'hybrid chunk search' AS description, (SELECT count(*) FROM hybrid h WHERE h.rank <= 10 AND h.query_id = ask.query_id) AS n FROM ask
+  UNION ALL SELECT query_id, 1, 'graph', 'entity neighborhood expansion', (SELECT count(*) FROM eh5 WHERE eh5.query_id = ask.query_id) FROM ask
+  UNION ALL SELECT query_id, 2, 'canonical', 'canonical claim lookup', (SELECT count(*) FROM ch10 WHERE ch10.query_id = ask.query_id) FROM ask)"""
+
+
+def _plan(t: Tables) -> question_plan.QuestionPlan:
+    part = t.raw("part")
+    line = F.concat("p_name", F.lit(", "), F.lower("p_type"))
+    texts = part.groupBy(F.concat_ws("-", "p_brand", F.col("p_size") % 5).alias("version_id"), F.col("p_brand").alias("owner_id")).agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", line.alias("line")))), lambda x: x["line"]), ". ").alias("text"))
+    index = _index(t, _embedded(chunking.chunk_documents(texts.withColumn("source_id", F.lit("catalogue")))))
+    said = _part_questions(t).select("owner_id", "question").union(part.select("p_brand", "p_name")).union(part.select("p_brand", F.lit("nobody wrote about this"))).distinct()
+    asked = _with_vectors(said.select(F.concat_ws("/", "owner_id", "question").alias("query_id"), "owner_id", "question"))
+    claims = _part_claims(t)
+
+    def c(prefix: str, key: str) -> Column:
+        return F.concat(F.lit(prefix), F.col(key).cast("string"))
+
+    nodes = t.entities().select(F.col("entity_id").alias("node_id"), F.lit("entity").alias("node_type"), F.col("canonical_name").alias("label"))
+    nodes = nodes.unionByName(t.nodes().filter("node_id like 's%'")).unionByName(
+        claims.filter("status = 'active'").select(c("c", "claim_id").alias("node_id"), F.lit("claim").alias("node_type"), F.col("predicate").alias("label")))
+    ends = t.raw("lineitem").select(c("p", "l_partkey").alias("src"), c("s", "l_suppkey").alias("dst")).distinct().union(
+        claims.filter("status = 'active'").select("subject_entity_id", c("c", "claim_id")))
+    edges = ends.select(F.concat_ws(">", "src", "dst").alias("edge_id"), F.lit("NEAR").alias("edge_type"), "src", "dst")
+    return question_plan.run(t.spark, index, t.entities(), claims, nodes, edges, asked, limit=10, edge_limit=6)
+
+
+@query(f"WITH {_PLAN} SELECT query_id, citation_id, excerpt, score, signal, rank FROM top")
+def planned_citations(t: Tables) -> DataFrame:
+    """Chunks, neighbourhoods and claims of one question set, ranked together."""
+    return _plan(t).citations
+
+
+@query(f"WITH {_PLAN} SELECT query_id, step, signal, description, n AS result_count FROM steps")
+def planned_steps(t: Tables) -> DataFrame:
+    return _plan(t).steps
+
+
+_PLAN_ANSWERS = f"{_PLAN},{_EVIDENCE}"
+
+
+@query(f"""WITH {_PLAN_ANSWERS} SELECT a.query_id, CASE WHEN n IS NULL THEN '{answers.NO_EVIDENCE}' ELSE 'Based on ' || n || ' retrieved evidence item(s):' || chr(10) || chr(10) || bullets || chr(10) || chr(10) || 'This is a heuristic summary for: ' || question END AS answer,
+  coalesce(CASE WHEN best > 1.0 THEN 1.0 ELSE best END, 0.0) AS confidence, coalesce(best < 0.3, true) AS insufficient_evidence, coalesce(least(n, 3), 0)::INT AS claims, '' AS warnings, coalesce(conflicts, '') AS conflicts
+FROM ask a LEFT JOIN agg USING (query_id) LEFT JOIN notes USING (query_id)""")
+def planned_answers(t: Tables) -> DataFrame:
+    a = _plan(t).answers
+    return a.select("query_id", "answer", "confidence", "insufficient_evidence", F.size("claims").alias("claims"), joined("warnings").alias("warnings"), joined("conflicts").alias("conflicts"))
+
+
+@query(f"""WITH {_PLAN}, u AS (SELECT query_id, 0 AS part, rank, entity_id AS id FROM eh5 UNION ALL SELECT query_id, 1, rank, subject_entity_id FROM ch10),
+f AS (SELECT query_id, id, min((part, rank)) AS o FROM u GROUP BY 1, 2), r AS (SELECT query_id, string_agg(id, '|' ORDER BY o) AS related FROM f GROUP BY 1),
+c AS (SELECT query_id, '["' || string_agg(citation_id, '","' ORDER BY rank) || '"]' AS ids FROM top GROUP BY 1),
+p AS (SELECT query_id, '[' || string_agg('{{"step":' || step || ',"signal":"' || signal || '","description":"' || description || '","result_count":' || n || '}}', ',' ORDER BY step) || ']' AS plan FROM steps GROUP BY 1)
+SELECT query_id AS object_id, owner_id AS actor_id, coalesce(related, '') AS related, '{{"question":"' || question || '","mode":"hybrid","citation_ids":' || coalesce(ids, '[]') || ',"plan":' || plan || '}}' AS metadata
+FROM ask LEFT JOIN c USING (query_id) LEFT JOIN r USING (query_id) JOIN p USING (query_id)""")
+def planned_audit(t: Tables) -> DataFrame:
+    plan = _plan(t)
+    related = plan.related.select(F.col("query_id").alias("object_id"), joined("related_entity_ids").alias("related"))
+    rows = plan.audit.join(related, "object_id", "left")
+    return rows.select("object_id", "actor_id", F.coalesce("related", F.lit("")).alias("related"), "metadata")

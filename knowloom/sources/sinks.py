@@ -6,7 +6,9 @@ is written to a new path.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -16,11 +18,6 @@ def newest_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataF
     return df.groupBy(*keys).agg(F.max_by(row, F.struct(*order)).alias("_row")).select("_row.*")
 
 
-def insert_if_absent(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """``old`` plus the rows of ``new`` whose key is unknown; duplicate keys inside ``new`` collapse."""
-    return old.unionByName(absent(old, new, keys), allowMissingColumns=True)
-
-
 def absent(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return new.dropDuplicates(keys).join(old.select(*keys).distinct(), keys, "left_anti")
 
@@ -60,6 +57,22 @@ def append_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """Fresh folder of this application below ``spark.checkpoint.dir``; below the warehouse only where that is unset (tests).
+
+    Remove ``<folder>/knowloom-<application id>`` with the application.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
+    return f"{base.rstrip('/')}/knowloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` into a work folder and read it back: a cut lineage and a table for several readers."""
+    path = work_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder the session names; survives the loss of executors.
 

@@ -1,8 +1,10 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from knowloom.operators import answers, retrieval
+from knowloom.operators import answers, approximate, question_plan, retrieval, search_index
 
 CHUNKS = [("o1", "c1", "The graph database stores entities and claims"), ("o1", "c2", "graph graph graph of claims"), ("o2", "c3", "a graph with claims of another owner"), ("o1", "c4", "claims only")]
 
@@ -115,3 +117,96 @@ def test_semantic_search_with_two_models(spark):
     asked = spark.createDataFrame([(1, 1, [1.0, 0.0]), (2, 1, [0.0, 1.0, 0.0, 0.0])], "query_id int, owner_id int, vector array<double>")
     got = {(r["query_id"], r["chunk_id"]): round(r["score"], 6) for r in retrieval.semantic_search(chunks, asked).collect()}
     assert got == {(1, "a"): 1.0, (1, "c"): 0.6, (2, "b"): 1.0, (2, "d"): 0.6}
+
+
+CHUNK = "owner_id string, chunk_id string, text string"
+
+
+def _corpus(seed, n):
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(40)]
+    return [(rng.choice("ab"), f"{rng.random():.12f}", " ".join(rng.choices(vocabulary, weights=[1 / (i + 1) for i in range(40)], k=rng.randint(0, 30)))) for _ in range(n)] + [
+        ("a", f"same{i:03d}", "w39 w38 w37") for i in range(60)] + [("b", "null", None), (None, "nobody", "w1 w2"), ("a", "empty", "")]
+
+
+@pytest.mark.parametrize("block, limit, probes", [(4096, 5, 8), (16, 5, 1), (16, 3, 2), (7, 100, 3)])
+def test_stored_index_equals_exhaustive_search(spark, tmp_path, monkeypatch, block, limit, probes):
+    monkeypatch.setattr(search_index, "BLOCK", block)
+    rows = _corpus(block, 400)
+    chunks = spark.createDataFrame(rows, CHUNK).repartition(3)
+    asked = [(f"q{i}", o, q) for i, (o, q) in enumerate([("a", "w0"), ("a", "w39 w38"), ("a", "w0 w1 w2"), ("b", "w5 the w0"), ("b", "w39"), ("a", "nowhere"), ("b", "the of"), ("b", "w1 w1"), ("c", "w1"), ("a", "w37 w39 w38")])]
+    questions = spark.createDataFrame(asked, "query_id string, owner_id string, question string")
+    folder = str(tmp_path / "index")
+    search_index.write_index(chunks, folder)
+    got = search_index.keyword_search(spark, folder, questions, limit, probes=probes)
+    want = retrieval.keyword_search(chunks, questions, limit)
+    columns = ["query_id", "rank", "chunk_id", "score"]
+    assert sorted(map(tuple, got.select(*columns).collect())) == sorted(map(tuple, want.select(*columns).collect()))
+    # Beyond the broadcast bound the same rows come from shuffle joins.
+    monkeypatch.setattr(search_index, "TERM_BOUND", 1)
+    got = search_index.keyword_search(spark, folder, questions, limit, probes=probes)
+    assert sorted(map(tuple, got.select(*columns).collect())) == sorted(map(tuple, want.select(*columns).collect()))
+
+
+def test_index_skips_blocks_and_takes_an_empty_corpus(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(search_index, "BLOCK", 8)
+    opened = []
+    score = search_index._score
+    monkeypatch.setattr(search_index, "_score", lambda limit: opened.append(limit) or score(limit))
+    rows = [("a", f"{i:04d}", "rare common" if i < 4 else "common " + "filler " * 20) for i in range(400)]
+    chunks = spark.createDataFrame(rows, CHUNK).coalesce(1)
+    search_index.write_index(chunks, str(tmp_path / "i"))
+    asked = spark.createDataFrame([("q", "a", "common")], "query_id string, owner_id string, question string")
+    got = search_index.keyword_search(spark, str(tmp_path / "i"), asked, 4, probes=1).collect()
+    # The short chunks of the first block have the best scores; the bounds of the other blocks stay below them.
+    assert sorted(r["chunk_id"] for r in got) == ["0000", "0001", "0002", "0003"] and len(opened) == 1
+    search_index.write_index(chunks.limit(0), str(tmp_path / "none"))
+    assert search_index.keyword_search(spark, str(tmp_path / "none"), asked).count() == 0
+
+
+def test_question_plan_joins_all_signals(spark, tmp_path):
+    chunks = spark.createDataFrame([("o", "c1", "Python runs the loom", [1.0, 0.0]), ("o", "c2", "nothing", [0.0, 1.0])], CHUNK + ", embedding array<double>")
+    search_index.write_index(chunks, str(tmp_path / "i"))
+    entities = spark.createDataFrame([("e1", "o", "Python", ["Py"])], "entity_id string, owner_id string, canonical_name string, aliases array<string>")
+    claims = spark.createDataFrame([("k1", "o", "e1", "uses", "python 3", 0.4, "active"), ("k2", "o", "e1", "uses", "python 2", 0.3, "active")],
+                                   "claim_id string, owner_id string, subject_entity_id string, predicate string, object_value string, confidence double, status string")
+    nodes = spark.createDataFrame([("e1", "entity", "Python"), ("e2", "entity", "Loom"), ("k1", "claim", "uses")], "node_id string, node_type string, label string")
+    edges = spark.createDataFrame([("x", "T", "e1", "e2"), ("y", "HAS_CLAIM", "e1", "k1")], "edge_id string, edge_type string, src string, dst string")
+    asked = spark.createDataFrame([("q1", "o", "python", [1.0, 0.1]), ("q2", "o", "unheard of", None)], "query_id string, owner_id string, question string, vector array<double>")
+    plan = question_plan.run(spark, str(tmp_path / "i"), entities, claims, nodes, edges, asked)
+    steps = {(r["query_id"], r["signal"]): r["result_count"] for r in plan.steps.collect()}
+    assert steps == {("q1", "keyword"): 2, ("q1", "graph"): 1, ("q1", "canonical"): 2, ("q2", "keyword"): 0, ("q2", "graph"): 0, ("q2", "canonical"): 0}
+    cited = {r["citation_id"]: r["excerpt"] for r in plan.citations.collect()}
+    assert set(cited) == {"chunk-c1", "chunk-c2", "graph-e1", "graph-e2", "claim-k1", "claim-k2"} and cited["graph-e2"] == "Graph entity: Loom"
+    answers_ = {r["query_id"]: r for r in plan.answers.collect()}
+    assert answers_["q2"]["answer"] == answers.NO_EVIDENCE and answers_["q2"]["confidence"] == 0.0 and answers_["q2"]["insufficient_evidence"]
+    assert not answers_["q1"]["insufficient_evidence"] and answers_["q1"]["conflicts"] == ["Ellentmondó bizonyíték a(z) 'uses' predikátumra: python 2 vs python 3"]
+    assert {r["object_id"] for r in plan.audit.collect()} == {"q1", "q2"} and plan.related.first()["related_entity_ids"] == ["e1"]
+
+
+def test_approximate_search_recall_and_blocks(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((30, 24))
+    vectors = [(centres[i % 30] + 0.6 * rng.standard_normal(24)).tolist() for i in range(6000)]
+    rows = [("o" if i % 2 else "p", i, v) for i, v in enumerate(vectors)] + [("o", 7000 + i, vectors[1]) for i in range(50)] + [("o", 8000, None), ("o", 8001, [1.0, 2.0]), ("o", 8002, [None] * 24)]
+    chunks = spark.createDataFrame(rows, "owner_id string, chunk_id long, embedding array<double>").repartition(4)
+    asked = spark.createDataFrame([(f"q{i}", "o", vectors[i]) for i in range(1, 400, 4)] + [("other", "o", [2.0, 1.0]), ("none", "o", None)], "query_id string, owner_id string, vector array<double>")
+    exact = retrieval.semantic_search(chunks, asked)
+    for blocks in ({}, {"query_block": 10, "chunk_block": 40}):
+        found = approximate.approximate_search(chunks, asked, **blocks).cache()
+        recalls = approximate.recall(found, exact)
+        assert recalls.agg({"recall": "avg"}).first()[0] >= 0.9 and recalls.count() == exact.select("query_id").distinct().count()
+    columns = ["query_id", "chunk_id", "score", "rank"]
+    whole = approximate.approximate_search(chunks, asked, share=1.0)
+    assert sorted(map(tuple, whole.select(*columns).collect())) == sorted(map(tuple, exact.select(*columns).collect()))
+
+
+def test_substring_search_of_long_values(spark):
+    long = "".join(random.Random(1).choices("abc é", k=100_000))
+    claims = spark.createDataFrame([("k1", "o", None, "p", long, 0.5, "active"), ("k2", "o", None, "p", "漢字 and é", 0.4, "active"), ("k3", "o", None, "p", None, 0.4, "active"), ("k4", "x", None, "p", long, 0.4, "active")],
+                                   "claim_id string, owner_id string, subject_entity_id string, predicate string, object_value string, confidence double, status string")
+    questions = [("head", long[:300]), ("tail", long[-9:].upper()), ("letter", "É"), ("two", "漢字"), ("whole", long), ("percent", "%"), ("empty", ""), ("gone", long[:40] + "#"), ("p", "P")]
+    asked = spark.createDataFrame([(q, "o", x) for q, x in questions], "query_id string, owner_id string, question string")
+    texts = {"k1": ["p", long], "k2": ["p", "漢字 and é"], "k3": ["p"]}
+    want = {(q, k) for q, x in questions if x for k, ts in texts.items() if any(x.lower() in t.lower() for t in ts)}
+    assert {(r["query_id"], r["claim_id"]) for r in retrieval.claim_search(claims, asked).collect()} == want
