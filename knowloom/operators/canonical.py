@@ -46,15 +46,19 @@ def _named(entity_proposals: DataFrame) -> DataFrame:
     )
 
 
-def upsert_entities(entities: DataFrame, entity_proposals: DataFrame) -> DataFrame:
-    """Last proposal per (owner, type, name) overwrites the stored row; id and created_at stay."""
+def entity_rows(entity_proposals: DataFrame) -> DataFrame:
+    """The entity of each (owner, type, name) as its last proposal states it."""
     last = newest_per_key(_named(entity_proposals), ENTITY_KEY, [F.col("created_at"), F.col("proposal_id")])
-    rows = last.select(
+    return last.select(
         stable_id("entity", *[F.col(c) for c in ENTITY_KEY]).alias("entity_id"), *ENTITY_KEY, "aliases",
         "description", F.lit("active").alias("status"), F.col("proposal_id").alias("source_proposal_id"),
         "created_at", F.col("created_at").alias("updated_at"),
     )
-    return upsert(entities, rows, ENTITY_KEY, keep=("entity_id", "created_at"))
+
+
+def upsert_entities(entities: DataFrame, entity_proposals: DataFrame) -> DataFrame:
+    """Last proposal per (owner, type, name) overwrites the stored row; id and created_at stay."""
+    return upsert(entities, entity_rows(entity_proposals), ENTITY_KEY, keep=("entity_id", "created_at"))
 
 
 def link_aliases(entities: DataFrame, entity_proposals: DataFrame) -> DataFrame:
@@ -143,45 +147,54 @@ def apply_merges(entities: DataFrame, merges: DataFrame) -> DataFrame:
     ).select(*entities.columns)
 
 
-def resolve_refs(rows: DataFrame, ref: str, entity_proposals: DataFrame, entities: DataFrame) -> DataFrame:
-    """Adds ``entity_id`` for the local reference in column ``ref`` of ``rows(owner_id, run_id, ...)``.
+def referenced_keys(rows: DataFrame, ref: str, entity_proposals: DataFrame, id_type) -> DataFrame:
+    """Adds the key (entity_type, canonical_name) that column ``ref`` of ``rows(owner_id, run_id, ...)`` means, and ``_linked``.
 
     A reference is the local id of an entity proposal of the same run, else the name of a concept. A proposal that
-    was linked carries the entity's id in ``resolved_entity_id`` (column or payload), which goes before a lookup by name.
+    was linked carries the entity's id in ``resolved_entity_id`` (column or payload).
     """
     linked = jsonx.field(F.col("payload"), "resolved_entity_id")
     if "resolved_entity_id" in entity_proposals.columns:
         linked = F.coalesce(F.col("resolved_entity_id").cast("string"), linked)
-    id_type = entities.schema["entity_id"].dataType
     named = _named(entity_proposals)
     local = entity_proposals.select(
         "proposal_id", F.col("run_id"), jsonx.field(F.col("payload"), "local_id").alias("_ref"), linked.cast(id_type).alias("_linked")
     ).join(named.select("proposal_id", "entity_type", F.col("canonical_name").alias("_name")), "proposal_id")
     local = local.groupBy("run_id", "_ref").agg(F.min(F.struct("entity_type", "_name")).alias("_l"), F.min("_linked").alias("_linked"))
-    keyed = rows.withColumn("_ref", F.col(ref)).join(local, ["run_id", "_ref"], "left").withColumns(
+    return rows.withColumn("_ref", F.col(ref)).join(local, ["run_id", "_ref"], "left").withColumns(
         {
             "entity_type": F.coalesce("_l.entity_type", F.lit("concept")),
             "canonical_name": F.coalesce("_l._name", "_ref"),
         }
-    )
+    ).drop("_ref", "_l")
+
+
+def resolve_refs(rows: DataFrame, ref: str, entity_proposals: DataFrame, entities: DataFrame) -> DataFrame:
+    """Adds ``entity_id`` for the reference in column ``ref``; the id of a linked proposal goes before a lookup by name."""
+    keyed = referenced_keys(rows, ref, entity_proposals, entities.schema["entity_id"].dataType)
     ids = entities.select("owner_id", "entity_type", "canonical_name", "entity_id")
     found = hot_join(keyed, ids, ENTITY_KEY, "left").withColumn("entity_id", F.coalesce("_linked", "entity_id"))
-    return found.drop("_ref", "_l", "_linked", "entity_type", "canonical_name")
+    return found.drop("_linked", "entity_type", "canonical_name")
 
 
-def materialize_relationships(
-    relationship_proposals: DataFrame, entity_proposals: DataFrame, entities: DataFrame
-) -> DataFrame:
-    """Relationships whose two ends are known entities."""
+def referenced_ids(rows: DataFrame, ref: str, entity_proposals: DataFrame) -> DataFrame:
+    """Adds ``entity_id``, the id that the referenced entity has or will have: ids follow from keys alone. Null without a reference."""
+    keyed = referenced_keys(rows, ref, entity_proposals, "string")
+    key = stable_id("entity", *[F.col(c) for c in ENTITY_KEY])
+    return keyed.withColumn("entity_id", F.coalesce("_linked", F.when(F.col(ref).isNotNull(), key))).drop("_linked", "entity_type", "canonical_name")
+
+
+def relationship_rows(relationship_proposals: DataFrame) -> DataFrame:
+    """Type and end references of relationship proposals."""
     p = F.col("payload")
-    rows = relationship_proposals.select(
+    return relationship_proposals.select(
         "proposal_id", "owner_id", "run_id", "created_at",
         jsonx.field(p, "source_local_id").alias("_source"), jsonx.field(p, "target_local_id").alias("_target"),
         F.coalesce(jsonx.field(p, "relationship_type"), F.lit("RELATES_TO")).alias("relationship_type"),
     )
-    src = resolve_refs(rows, "_source", entity_proposals, entities).withColumnRenamed("entity_id", "source_entity_id")
-    both = resolve_refs(src.filter("source_entity_id is not null"), "_target", entity_proposals, entities)
-    both = both.withColumnRenamed("entity_id", "target_entity_id").filter("target_entity_id is not null")
+
+
+def _relationships(both: DataFrame) -> DataFrame:
     return both.select(
         stable_id("relationship", F.col("proposal_id")).alias("relationship_id"), "owner_id", "source_entity_id",
         "target_entity_id", "relationship_type", F.lit("active").alias("status"),
@@ -189,6 +202,23 @@ def materialize_relationships(
     )
 
 
+def referenced_relationships(relationship_proposals: DataFrame, entity_proposals: DataFrame) -> DataFrame:
+    """Relationships by the ids of their ends, whether these entities exist yet or not."""
+    src = referenced_ids(relationship_rows(relationship_proposals), "_source", entity_proposals).withColumnRenamed("entity_id", "source_entity_id")
+    both = referenced_ids(src.filter("source_entity_id is not null"), "_target", entity_proposals)
+    return _relationships(both.withColumnRenamed("entity_id", "target_entity_id").filter("target_entity_id is not null"))
+
+
+def materialize_relationships(
+    relationship_proposals: DataFrame, entity_proposals: DataFrame, entities: DataFrame
+) -> DataFrame:
+    """Relationships whose two ends are known entities."""
+    rows = relationship_rows(relationship_proposals)
+    src = resolve_refs(rows, "_source", entity_proposals, entities).withColumnRenamed("entity_id", "source_entity_id")
+    both = resolve_refs(src.filter("source_entity_id is not null"), "_target", entity_proposals, entities)
+    return _relationships(both.withColumnRenamed("entity_id", "target_entity_id").filter("target_entity_id is not null"))
+
+
 def claim_rows(claim_proposals: DataFrame) -> DataFrame:
     """Predicate, value and subject reference of claim, task, decision and event proposals."""
     p, kind = F.col("payload"), F.col("proposal_type")

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from knowloom.operators import canonical, graph, ontology, reports
 from knowloom.plans import knowledge  # noqa: F401  (registers the SQL shared below)
 from knowloom.plans.registry import ORACLES, query
-from knowloom.plans.sql import CLAIMS, PROPOSALS, VERSIONS
+from knowloom.plans.sql import CLAIMS, PROPOSALS, VERSIONS, strip
 from knowloom.plans.tables import Tables, joined
+from knowloom.sources.sinks import work_folder
 from knowloom.streaming import jobs
 
 # --- graph -------------------------------------------------------------------------------------
@@ -380,40 +381,52 @@ class _Streamed(Tables):
         return _stream(Tables(self.spark, self.dir), name)
 
 
-@query(f"""WITH {_graph(False)} SELECT 'node ' || node_type AS kind, count(*) AS n FROM nodes GROUP BY 1 UNION ALL SELECT 'edge ' || edge_type, count(*) FROM edges GROUP BY 1
-UNION ALL SELECT 'dead letter', count(*) FROM outbox WHERE kind = 'error' AND status = 'pending'""")
+@query(f"""WITH {_graph(False)} SELECT 'node' AS kind, node_id AS id, node_type AS a, label AS b FROM nodes UNION ALL SELECT 'edge', edge_id, src, dst FROM edges
+UNION ALL SELECT 'dead letter', event_id::VARCHAR, 'failed', '1' FROM outbox WHERE kind = 'error' AND status = 'pending'
+UNION ALL SELECT 'processed', event_id::VARCHAR, 'processed', '' FROM outbox WHERE kind <> 'error' AND status = 'pending'""")
 def streamed_outbox(t: Tables) -> DataFrame:
-    out = jobs.work_folder(t.spark, "outbox")
-    jobs.project_outbox(_Streamed(t.spark, t.dir).outbox(), out, f"{out}/checkpoint").awaitTermination()
-    nodes, edges = jobs.read_projection(t.spark, out)
-    n = nodes.groupBy(F.concat(F.lit("node "), F.col("node_type")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
-    e = edges.groupBy(F.concat(F.lit("edge "), F.col("edge_type")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
-    dead = t.spark.read.parquet(f"{out}/dead_letters").filter("status = 'failed' and retry_count = 1")
-    return n.unionByName(e).unionByName(dead.groupBy(F.lit("dead letter").alias("kind")).agg(F.count(F.lit(1)).alias("n")))
+    """Outbox rows in three files, one a batch: edges often come before their ends."""
+    out = work_folder(t.spark, "outbox")
+    t.outbox().repartition(3, F.xxhash64("event_id")).write.parquet(f"{out}/arriving")
+    events = jobs.read_files(t.spark, f"{out}/arriving", t.outbox().schema, max_files=1)
+    jobs.project_outbox(events, out, f"{out}/checkpoint").awaitTermination()
+    nodes, edges = jobs.read_projection(events, out)
+    dead, done = t.spark.read.parquet(f"{out}/dead_letters"), t.spark.read.parquet(f"{out}/projected")
+    return (
+        nodes.select(F.lit("node").alias("kind"), F.col("node_id").alias("id"), F.col("node_type").alias("a"), F.col("label").alias("b"))
+        .union(edges.select(F.lit("edge"), "edge_id", "src", "dst"))
+        .union(dead.select(F.lit("dead letter"), "event_id", "status", F.col("retry_count").cast("string")))
+        .union(done.select(F.lit("processed"), "event_id", "status", F.lit("")))
+    )
+
+
+def _track(t: Tables, out: str) -> None:
+    jobs.track_changes(_stream(t, "events"), "user_id", F.col("event_type"), "event_id", out, f"{out}/checkpoint").awaitTermination()
 
 
 @query("""SELECT user_id::VARCHAR AS object_id, event_type AS content_hash, event_id AS seq FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events)
 WHERE before IS DISTINCT FROM event_type""")
 def streamed_changes(t: Tables) -> DataFrame:
-    out = jobs.work_folder(t.spark, "changes")
-    changes = jobs.track_changes(_stream(t, "events"), "user_id", F.col("event_type"), "event_id")
-    jobs.write_changes(changes, f"{out}/log", f"{out}/checkpoint").awaitTermination()
-    return t.spark.read.parquet(f"{out}/log").select("object_id", "content_hash", "seq")
+    out = work_folder(t.spark, "changes")
+    _track(t, out)
+    return jobs.read_changes(t.spark, out)
 
 
 @query("""SELECT user_id::VARCHAR AS object_id, arg_max(event_type, event_id) AS content_hash FROM events GROUP BY 1""")
 def streamed_snapshot(t: Tables) -> DataFrame:
-    return jobs.latest_snapshot(streamed_changes(t)).select("object_id", "content_hash")
+    out = work_folder(t.spark, "snapshot")
+    _track(t, out)
+    return jobs.read_latest(t.spark, out).select("object_id", "content_hash")
 
 
 @query(r"""SELECT 'chunk' AS kind, sum(CASE WHEN n <= 800 THEN 1 ELSE ceil((n - 800) / 700.0)::BIGINT + 1 END)::BIGINT AS n FROM (SELECT length(text) AS n FROM conversations)
 UNION ALL SELECT 'high risk', count(*) FROM conversations WHERE role = 'system'""")
 def streamed_ingest(t: Tables) -> DataFrame:
-    out = jobs.work_folder(t.spark, "ingest")
+    out = work_folder(t.spark, "ingest")
     docs = _stream(t, "conversations").select(
         F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("version_id"), F.lit(1).alias("owner_id"),
         F.col("conv_id").alias("source_id"), F.when(F.col("role") == "system", ".env").otherwise("note.txt").alias("external_id"),
-        F.lit("text/plain").alias("mime_type"), F.lit(None).cast("string").alias("configuration"), "text")
+        F.lit("text/plain").alias("mime_type"), F.lit(None).cast("string").alias("configuration"), "text", F.col("turn").alias("created_at"))
     jobs.ingest_documents(docs, out, f"{out}/checkpoint").awaitTermination()
     count = lambda df, k: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("kind"), "n")
     read = t.spark.read.parquet
@@ -423,9 +436,57 @@ def streamed_ingest(t: Tables) -> DataFrame:
 @query(ORACLES["contradictions"])
 def streamed_contradictions(t: Tables) -> DataFrame:
     """The claims dealt by hash into several files, one file a batch: the rows of the batch operator."""
-    out = jobs.work_folder(t.spark, "claims")
+    out = work_folder(t.spark, "claims")
     t.claims().repartition(4, "claim_id").write.parquet(f"{out}/arriving")
     stream = jobs.read_files(t.spark, f"{out}/arriving", t.claims().schema, max_files=1)
-    jobs.find_contradictions(stream, out, out, f"{out}/checkpoint").awaitTermination()
-    rows = canonical.with_finding_text(jobs.read_findings(t.spark, out, out))
+    jobs.find_contradictions(stream, out, f"{out}/checkpoint").awaitTermination()
+    rows = canonical.with_finding_text(jobs.read_contradictions(stream, out))
     return rows.select("conflicting_claim_id", "existing_claim_id", "predicate", "conflicting_value", "differing_claims", "summary")
+
+
+_CLAIM_PARTS = [
+    ("claim", "'mentions'", "CASE WHEN len(names) >= 2 THEN [names[2]] ELSE [] END", "names[1]"), ("task", "'has_task'", "tasks", "NULL"),
+    ("decision", "'has_decision'", "decisions", "NULL"), ("event", "'has_event'", "events", "NULL")]
+_STATED = " UNION ALL ".join(
+    f"SELECT version_id, owner_id, {predicate} AS predicate, {values}[i + 1] AS v, {subject} AS lead, len(tech) AS n_tech, "
+    f"sha256('claim|' || sha256('proposal|' || version_id || '|{kind}|' || i)) AS claim_id FROM (SELECT *, unnest(range(0, len({values}))) AS i FROM n)"
+    for kind, predicate, values, subject in _CLAIM_PARTS)
+_STREAMED = f"""{knowledge._FACTS}, n AS (SELECT *, list_concat(tech, persons) AS names FROM g),
+named AS (SELECT DISTINCT owner_id, 'technology' AS t, unnest(tech) AS name FROM n UNION SELECT DISTINCT owner_id, 'person', unnest(persons) FROM n),
+ent AS (SELECT sha256('entity|' || owner_id || '|' || t || '|' || name) AS id, t, name FROM named),
+claims AS (SELECT *, CASE WHEN lead IS NOT NULL THEN sha256('entity|' || owner_id || '|' || CASE WHEN n_tech > 0 THEN 'technology' ELSE 'person' END || '|' || lead) END AS subject,
+  lower({strip("v")}) AS value_key FROM ({_STATED})),
+vals AS (SELECT owner_id, coalesce(subject, '') AS s, predicate, value_key, min((version_id, claim_id)) AS f FROM claims GROUP BY ALL),
+placed AS (SELECT *, row_number() OVER (PARTITION BY owner_id, s, predicate ORDER BY f) AS place FROM vals),
+finds AS (SELECT c.claim_id, struct_extract_at(p.f, 2) AS existing FROM claims c JOIN placed p ON p.owner_id = c.owner_id AND p.s = coalesce(c.subject, '') AND p.predicate = c.predicate AND p.value_key <> c.value_key
+  AND p.place = (SELECT min(place) FROM placed q WHERE q.owner_id = c.owner_id AND q.s = coalesce(c.subject, '') AND q.predicate = c.predicate AND q.value_key <> c.value_key AND q.place <= 2)
+  WHERE p.f < (c.version_id, c.claim_id)),
+rel AS (SELECT sha256('relationship|' || sha256('proposal|' || version_id || '|relationship|0')) AS id,
+  sha256('entity|' || owner_id || '|' || CASE WHEN len(tech) > 0 THEN 'technology' ELSE 'person' END || '|' || names[1]) AS src,
+  sha256('entity|' || owner_id || '|' || CASE WHEN len(tech) > 1 THEN 'technology' ELSE 'person' END || '|' || names[2]) AS dst FROM n WHERE len(names) >= 2),
+fnd AS (SELECT sha256('finding|' || existing || '|' || claim_id) AS id, existing, claim_id FROM finds)
+SELECT 'entity' AS kind, id, t AS a, name AS b FROM ent UNION ALL SELECT 'claim', claim_id, predicate, v FROM claims UNION ALL SELECT 'finding', id, existing, claim_id FROM fnd
+UNION ALL SELECT 'node', id, 'entity', '' FROM ent UNION ALL SELECT 'node', claim_id, 'claim', '' FROM claims UNION ALL SELECT 'node', id, 'finding', '' FROM fnd
+UNION ALL SELECT 'edge', id, src, dst FROM rel UNION ALL SELECT 'edge', sha256('edge|' || subject || '|HAS_CLAIM|' || claim_id), subject, claim_id FROM claims WHERE subject IS NOT NULL
+UNION ALL SELECT 'edge', sha256('edge|' || id || '|CONTRADICTS|' || existing), id, existing FROM fnd"""
+
+
+@query(f"WITH {_STREAMED}")
+def streamed_knowledge(t: Tables) -> DataFrame:
+    """Documents in two files, one a batch: the entities, claims, findings, nodes and edges of all of them together."""
+    out = work_folder(t.spark, "knowledge")
+    docs = t.documents().select(
+        "version_id", "owner_id", "source_id", F.lit("note.txt").alias("external_id"), F.lit("text/plain").alias("mime_type"),
+        F.lit(None).cast("string").alias("configuration"), "text", F.col("version_id").alias("created_at"))
+    docs.repartition(2, F.xxhash64("version_id")).write.parquet(f"{out}/arriving")
+    stream = jobs.read_files(t.spark, f"{out}/arriving", docs.schema, max_files=1)
+    jobs.ingest_documents(
+        stream, out, f"{out}/checkpoint", knowledge.PATTERNS, lambda p: p.filter("confidence >= 0.6"), multi_valued=()).awaitTermination()
+    got = jobs.read_knowledge(jobs.knowledge_tables(t.spark, out, docs.schema["owner_id"].dataType, docs.schema["created_at"].dataType))
+    return (
+        got["entities"].select(F.lit("entity").alias("kind"), F.col("entity_id").alias("id"), F.col("entity_type").alias("a"), F.col("canonical_name").alias("b"))
+        .union(got["claims"].select(F.lit("claim"), "claim_id", "predicate", "object_value"))
+        .union(got["findings"].select(F.lit("finding"), "finding_id", "existing_claim_id", "conflicting_claim_id"))
+        .union(got["nodes"].select(F.lit("node"), "node_id", "node_type", F.lit("")))
+        .union(got["edges"].select(F.lit("edge"), "edge_id", "src", "dst"))
+    )

@@ -1,9 +1,11 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType
 
-from knowloom.operators import canonical
+from knowloom.operators import canonical, extraction, graph, triage
 from knowloom.streaming import jobs
 
 
@@ -24,7 +26,7 @@ def test_outbox_batches_and_restart(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{src}/p{i}")
         stream = jobs.read_files(spark, f"{src}/*", schema, max_files=1)
         jobs.project_outbox(stream, out, str(tmp_path / "cp")).awaitTermination()
-    nodes, edges = jobs.read_projection(spark, out)
+    nodes, edges = jobs.read_projection(stream, out)
     assert {r["node_id"] for r in nodes.collect()} == {"a", "b"} and edges.count() == 1
     assert {r["status"] for r in spark.read.parquet(f"{out}/projected").collect()} == {"processed"}
     dead = spark.read.parquet(f"{out}/dead_letters").collect()
@@ -36,11 +38,10 @@ def test_changes_keep_state_across_batches(spark, tmp_path):
     for i, rows in enumerate(([("o", "A", 1), ("o", "A", 2), ("p", "A", 1)], [("o", "A", 3), ("o", "B", 4), ("p", "A", 2), ("o", "A", 5)])):
         spark.createDataFrame(rows, "id string, h string, seq int").coalesce(1).write.parquet(f"{src}/p{i}")
         stream = jobs.read_files(spark, f"{src}/*", "id string, h string, seq int", max_files=1)
-        changes = jobs.track_changes(stream, "id", F.col("h"), "seq")
-        jobs.write_changes(changes, str(tmp_path / "log"), str(tmp_path / "cp")).awaitTermination()
-    log = spark.read.parquet(str(tmp_path / "log"))
+        jobs.track_changes(stream, "id", F.col("h"), "seq", str(tmp_path), str(tmp_path / "cp")).awaitTermination()
+    log = jobs.read_changes(spark, str(tmp_path))
     assert sorted((r["object_id"], r["content_hash"], r["seq"]) for r in log.collect()) == [("o", "A", 1), ("o", "A", 5), ("o", "B", 4), ("p", "A", 1)]
-    assert {r["object_id"]: r["content_hash"] for r in jobs.latest_snapshot(log).collect()} == {"o": "A", "p": "A"}
+    assert {r["object_id"]: r["content_hash"] for r in jobs.read_latest(spark, str(tmp_path)).collect()} == {"o": "A", "p": "A"}
 
 
 CLAIM = "claim_id string, owner_id string, subject_entity_id string, predicate string, object_value string, status string, created_at int, source_proposal_id string"
@@ -55,9 +56,108 @@ def test_contradictions_do_not_depend_on_batches(spark, tmp_path, packing):
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
     for i, picked in enumerate(packing):
         spark.createDataFrame([CLAIMS[k] for k in picked], CLAIM).coalesce(1).write.parquet(f"{src}/p{i}")
-        jobs.find_contradictions(jobs.read_files(spark, f"{src}/*", CLAIM, max_files=1), out, out, str(tmp_path / "cp")).awaitTermination()
+        stream = jobs.read_files(spark, f"{src}/*", CLAIM, max_files=1)
+        jobs.find_contradictions(stream, out, str(tmp_path / "cp"), buckets=3).awaitTermination()
     names = ("existing_claim_id", "conflicting_claim_id", "differing_claims", "differing_values")
-    found = sorted(tuple(r[n] for n in names) for r in jobs.read_findings(spark, out, out).collect())
+    found = sorted(tuple(r[n] for n in names) for r in jobs.read_contradictions(stream, out, buckets=3).collect())
     whole = canonical.detect_contradictions(spark.read.parquet(f"{src}/*"))
     assert found == sorted(tuple(r[n] for n in names) for r in whole.collect())
     assert {f[:2] for f in found} == {("1", "2"), ("2", "3"), ("4", "5"), ("1", "6")}
+
+
+EVENT = "event_id string, event_type string, payload string, status string, retry_count int, created_at int"
+
+
+def _outbox():
+    """Entities, relationships and claims in an order where ends come late and edges change their ends."""
+    def ev(i, kind, **p):
+        return (f"{i:03d}", kind, json.dumps(p), "pending", 0, i)
+
+    rows = [ev(i, "relationship.materialized", relationship_id=f"r{i % 12}", owner_id="o", source_entity_id=f"e{i % 5}", target_entity_id=f"e{i % 7}") for i in range(30)]
+    rows += [ev(30 + i, "claim.materialized", claim_id=f"c{i}", owner_id="o", subject_entity_id=f"e{i % 9}", predicate="p", object_value="v") for i in range(20)]
+    rows += [ev(50 + i, "entity.materialized", entity_id=f"e{i % 6}", owner_id="o", entity_type="t", canonical_name=f"E{i}") for i in range(9)]
+    return rows
+
+
+@pytest.mark.parametrize("packing", [1, 4, 11])
+def test_incremental_projection_equals_rebuild(spark, tmp_path, packing):
+    rows = _outbox()
+    random.Random(packing).shuffle(rows)
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for i in range(packing):
+        spark.createDataFrame(rows[i::packing], EVENT).coalesce(1).write.parquet(f"{src}/p{i:02d}")
+    stream = jobs.read_files(spark, f"{src}/*", EVENT, max_files=1)
+    jobs.project_outbox(stream, out, str(tmp_path / "cp"), buckets=3).awaitTermination()
+    nodes, edges = jobs.read_projection(stream, out, buckets=3)
+    events = spark.createDataFrame(rows, EVENT)
+    want_nodes = graph.project_nodes(events)
+    want_edges = graph.project_edges(events, want_nodes)
+    assert sorted(map(tuple, nodes.select(*want_nodes.columns).collect())) == sorted(map(tuple, want_nodes.collect()))
+    assert sorted(map(tuple, edges.select(*want_edges.columns).collect())) == sorted(map(tuple, want_edges.collect()))
+
+
+DOC = "version_id string, owner_id string, source_id string, external_id string, mime_type string, configuration string, text string, created_at int"
+TEXTS = ["Anna Smith uses Python.\nTODO: write tests", "Anna Smith uses Redis and Docker\ndecision: go", "# Project Loom\nBob Jones\nTASK ship it", "nothing here",
+         "Redis then Python", "# Project Loom\nRedis", "Bob Jones met Anna Smith\nmeeting today"]
+
+
+def _whole(spark, docs, approve):
+    """The same knowledge by the batch operators; claims and relationships about entities nobody approved are left out."""
+    rows = triage.with_triage(docs)
+    facts = extraction.validate(extraction.extract_facts(rows)).join(rows.select("version_id", "owner_id", "source_id", "sensitivity", "review_risk"), "version_id")
+    built = extraction.build_proposals(facts).join(rows.select("version_id", "created_at"), "version_id")
+    sure = approve(built).select("proposal_id")
+    routes = canonical.route(built.join(sure, "proposal_id", "left_semi").withColumn("status", F.lit("approved")))
+    every = built.filter("proposal_type = 'entity'")
+    rows = canonical.entity_rows(routes["entity"])
+    claims = canonical.materialize_claims(routes["claim"], every, rows)
+    claims = canonical.claim_rows(routes["claim"]).select("claim_id", "subject_ref").join(claims, "claim_id").filter("subject_ref is null or subject_entity_id is not null").drop("subject_ref")
+    relations = canonical.materialize_relationships(routes["relationship"], every, rows)
+    findings = canonical.with_finding_text(canonical.detect_contradictions(claims, ()))
+    nodes, edges = graph.rebuild(rows, relations, claims, findings)
+    return {"entities": rows, "claims": claims, "findings": findings, "nodes": nodes, "edges": edges}
+
+
+@pytest.mark.parametrize("packing, least", [([[0, 1, 2, 3, 4, 5, 6]], 0.6), ([[4, 1], [6, 2, 0], [3, 5]], 0.6), ([[6], [0, 1, 2], [5, 4, 3]], 0.7)])
+def test_staged_stream_equals_batch_also_after_a_failure(spark, tmp_path, monkeypatch, packing, least):
+    docs = [(f"v{i}", "o", "s", "a.md", "text/plain", None, t, i) for i, t in enumerate(TEXTS)]
+    approve = lambda p: p.filter((F.col("confidence") >= least) | F.col("proposal_type").isin("claim", "relationship"))
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for i, picked in enumerate(packing):
+        spark.createDataFrame([docs[k] for k in picked], DOC).coalesce(1).write.parquet(f"{src}/p{i}")
+
+    def start():
+        stream = jobs.read_files(spark, f"{src}/*", DOC, max_files=1)
+        return jobs.ingest_documents(stream, out, str(tmp_path / "cp"), approve=approve, multi_valued=(), buckets=2)
+
+    compare, calls = jobs.compare_claims, []
+
+    def fails_once(tables, *args):
+        calls.append(tables.epoch)
+        if len(calls) == len(packing):
+            raise RuntimeError("executor lost between two stages")
+        return compare(tables, *args)
+
+    monkeypatch.setattr(jobs, "compare_claims", fails_once)
+    with pytest.raises(Exception, match="between two stages"):
+        start().awaitTermination()
+    start().awaitTermination()
+    got = jobs.read_knowledge(jobs.knowledge_tables(spark, out, StringType(), IntegerType(), buckets=2))
+    want = _whole(spark, spark.createDataFrame(docs, DOC), approve)
+    names = {"entities": ("entity_id", "entity_type", "canonical_name", "source_proposal_id"), "claims": ("claim_id", "subject_entity_id", "predicate", "object_value"),
+             "findings": ("finding_id", "differing_claims", "differing_values"), "nodes": ("node_id", "node_type", "label"), "edges": ("edge_id", "src", "dst", "edge_type")}
+    for table, columns in names.items():
+        rows = [sorted(map(repr, x[table].select(*columns).collect())) for x in (got, want)]
+        assert rows[0] == rows[1] and rows[0], table
+
+
+def test_change_log_of_a_hot_object_and_nulls(spark, tmp_path):
+    src = str(tmp_path / "in")
+    rows = [("hot", "A" if i % 5 else "B", i) for i in range(5000)] + [("n", None, 1), ("n", "A", 2), ("n", None, 3), ("n", None, 4)]
+    for i in range(2):
+        spark.createDataFrame(rows[i * 2500:(i + 1) * 2500] if i == 0 else rows[2500:], "id string, h string, seq int").coalesce(1).write.parquet(f"{src}/p{i}")
+    stream = jobs.read_files(spark, f"{src}/*", "id string, h string, seq int", max_files=1)
+    jobs.track_changes(stream, "id", F.col("h"), "seq", str(tmp_path), str(tmp_path / "cp"), buckets=2).awaitTermination()
+    got = jobs.read_changes(spark, str(tmp_path)).collect()
+    assert sum(r["object_id"] == "hot" for r in got) == 2000
+    assert sorted(r["seq"] for r in got if r["object_id"] == "n") == [1, 2, 3]
