@@ -135,13 +135,29 @@ def run_history(runs: DataFrame, source_id=None, cursor=None, limit: int = 20) -
     return top_k(runs, ["source_id"], [F.desc("run_id")], limit)
 
 
-def audit_rows(events: DataFrame, actor: Column, action: Column, object_type: str, object_id: Column,
-               metadata: Column) -> DataFrame:
-    return events.select(
-        stable_id("audit", object_type, object_id, action).alias("audit_id"),
-        actor.cast("string").alias("actor_id"), action.alias("action"), F.lit(object_type).alias("object_type"),
-        object_id.cast("string").alias("object_id"), F.to_json(metadata).alias("metadata"),
-    )
+def sync(objects: DataFrame, versions: DataFrame, listing: DataFrame, pipeline_version: str = "v1", incremental: bool = True) -> dict[str, DataFrame]:
+    """One run over complete listings: every table that it leaves.
+
+    ``listing(run_id, source_id, external_id, object_type, content_hash, version_id, observed_at, seq, error)``: one row per
+    object found, ``error`` for those that could not be read. An incremental run leaves an object whose latest hash is
+    the listed one alone; a full run compares with every stored hash, which keeps the same versions. Rows with an error
+    count as failed and store nothing. Returns the new snapshots of ``objects`` and ``versions``, the ``created``
+    versions, the ``removed`` objects (known ones of the listed sources that are not found), the run ``summary`` and its ``audit``.
+    """
+    found = listing.filter("error is null")
+    known = objects.unionByName(new_objects(objects, found), allowMissingColumns=True)
+    ids = known.select("source_id", "external_id", "object_id")
+    listed = hot_join(found, ids, ["source_id", "external_id"]).select(
+        "object_id", F.lit(pipeline_version).alias("pipeline_version"), "content_hash", "version_id", "observed_at")
+    # A content that is listed more than once for an object is stored at its first place.
+    first = listed.groupBy("object_id", "pipeline_version", "content_hash").agg(
+        F.min_by(F.struct("version_id", "observed_at"), F.struct("observed_at", "version_id")).alias("_v")
+    ).select("object_id", "pipeline_version", "content_hash", "_v.version_id", "_v.observed_at")
+    created = changed_versions(versions, first) if incremental else absent(versions, first, ["object_id", "content_hash", "pipeline_version"])
+    summary = sync_summary(listing.select("run_id", "seq", "external_id", "error"))
+    return {
+        "objects": known, "versions": versions.unionByName(created.select(*versions.columns)), "created": created,
+        "removed": removed_objects(objects, listing), "summary": summary, "audit": sync_audit(summary)}
 
 
 def upsert_sources(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import os
+import re
+import time
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from knowloom.functions.hashing import content_hash, fingerprint
+from knowloom.functions.hashing import content_hash, fingerprint, stable_id
 from knowloom.functions.vectors import hash_embedding
-from knowloom.operators import changes, chunking, triage
+from knowloom.operators import changes, chunking, embedding, triage
 from knowloom.plans.registry import query
 from knowloom.plans.sql import CHUNKS, VERSIONS, strip, tokens
 from knowloom.plans.tables import Tables
-from knowloom.sources import content, landed
+from knowloom.sources import content, discovery, landed
+from knowloom.sources.sinks import work_folder
+from knowloom.streaming import jobs
 
 
 @query(f"""WITH {CHUNKS}
@@ -61,6 +67,25 @@ def hash_embeddings(t: Tables) -> DataFrame:
     )
 
 
+def _toy_model(texts: list[str]) -> list[list[float]]:
+    """A model that cannot take a batch with a text whose length is divisible by three."""
+    if any(len(x) % 3 == 0 for x in texts):
+        raise ValueError("refused")
+    return [[float(len(x)), 0.0, 0.0, 0.0] for x in texts]
+
+
+_NIBBLES = "list_sum(list_transform(range(8), lambda j: (strpos('0123456789abcdef', substring(sha256(text), i * 8 + j + 1, 1)) - 1) * pow(16, 7 - j)))"
+
+
+@query(f"""WITH v AS (SELECT doc_id, length(text) AS n, list_transform(range(4), lambda i: {_NIBBLES} / 4294967296.0 * 2 - 1) AS v FROM documents)
+SELECT doc_id AS version_id, CASE WHEN n % 3 = 0 THEN 'hash-embedding-dev' ELSE 'toy' END AS embedding_model, 4 AS embedding_dimension,
+  round(CASE WHEN n % 3 = 0 THEN v[1] / sqrt(list_sum(list_transform(v, lambda x: x * x))) ELSE n END, 6) AS first_value FROM v""")
+def guarded_embeddings(t: Tables) -> DataFrame:
+    """A model that raises on part of the rows: these, and only these, get the hash embedding."""
+    rows = embedding.embed(t.documents(), 4, embedding.guarded(_toy_model, breaker=1 << 30), "toy")
+    return rows.select("version_id", "embedding_model", "embedding_dimension", F.round(F.element_at("embedding", 1), 6).alias("first_value"))
+
+
 @query(r"""WITH c AS (SELECT l_orderkey AS version_id, l_linenumber AS i,
   concat_ws(' ', l_returnflag, l_linestatus, l_partkey) AS text FROM lineitem)
 SELECT version_id, string_agg(text, chr(10) || chr(10) ORDER BY i, text) AS text, count(*) AS chunks FROM c GROUP BY version_id""")
@@ -354,3 +379,102 @@ def landed_repositories(t: Tables) -> DataFrame:
     return landed.repository_objects(trees, bodies).select("external_id", "content_hash", "content_ref")
 
 
+
+
+# --- pages as mounted files: two looks at the same folder --------------------------------------------
+def _folder_path(t: Tables, name: str) -> str:
+    return re.sub(r"^file:(//)?(?=/)", "", work_folder(t.spark, name))
+
+
+def _write_files(rows: DataFrame, root: str) -> None:
+    """Every row's ``body`` to the file ``path`` below ``root``."""
+    def save(part):
+        for r in part:
+            path = os.path.join(root, r["path"])
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            with open(path, "w", encoding="utf-8", newline="") as f:
+                f.write(r["body"] or "")
+
+    rows.select("path", "body").foreachPartition(save)
+
+
+_FILES = """files AS (SELECT page_id, coalesce(html, '') AS html, CASE page_id % 5 WHEN 0 THEN 'site/node_modules/lib/' WHEN 1 THEN 'a/b/c/' WHEN 2 THEN '' ELSE 'd' || page_id % 3 || '/' END
+  || 'p' || page_id || CASE WHEN page_id % 7 = 0 THEN '.BIN' WHEN page_id % 2 = 0 THEN '.MD' ELSE '.txt' END AS path FROM pages),
+kept AS (SELECT * FROM files WHERE NOT contains(path, '/node_modules/') AND NOT ends_with(path, '.BIN'))"""
+
+
+def _files(t: Tables) -> DataFrame:
+    n = F.col("page_id")
+    number = n.cast("string")
+    folder = F.when(n % 5 == 0, "site/node_modules/lib/").when(n % 5 == 1, "a/b/c/").when(n % 5 == 2, "").otherwise(F.concat(F.lit("d"), (n % 3).cast("string"), F.lit("/")))
+    ending = F.when(n % 7 == 0, ".BIN").when(n % 2 == 0, ".MD").otherwise(".txt")
+    return t.raw("pages").select("page_id", F.concat(folder, F.lit("p"), number, ending).alias("path"), F.coalesce("html", F.lit("")).alias("body"))
+
+
+_MIME = "CASE WHEN ends_with(path, '.MD') THEN 'text/markdown' ELSE 'text/plain' END"
+
+
+@query(f"""WITH {_FILES} SELECT path AS external_id, 'file' AS object_type, sha256(html) AS content_hash, {_MIME} AS mime_type, strlen(html) AS size FROM kept""")
+def listed_files(t: Tables) -> DataFrame:
+    """Pages written as files and listed by the data source; excluded folders are not entered."""
+    root = _folder_path(t, "files")
+    _write_files(_files(t), root)
+    return discovery.list_folders(t.spark, [root], tasks=4).select("external_id", "object_type", "content_hash", "mime_type", "size")
+
+
+@query(f"""WITH {_FILES} SELECT 0 AS look, path AS external_id, sha256(html) AS content_hash FROM kept WHERE page_id % 4 <> 3
+UNION ALL SELECT 1, path, sha256(CASE WHEN page_id % 4 = 3 THEN html ELSE html || '!' END) FROM kept WHERE page_id % 4 = 3 OR page_id % 9 = 1""")
+def watched_files(t: Tables) -> DataFrame:
+    """The stream over a folder, stopped and started again: the second look brings new and changed files only."""
+    root, out = _folder_path(t, "watched"), work_folder(t.spark, "looks")
+    files = _files(t)
+    changed = files.filter("page_id % 9 = 1 and page_id % 4 <> 3").withColumn("body", F.concat("body", F.lit("!")))
+    looks = [files.filter("page_id % 4 <> 3"), changed.union(files.filter("page_id % 4 = 3"))]
+    parts = []
+    for i, rows in enumerate(looks):
+        _write_files(rows, root)
+        time.sleep(0.3)  # past the settling time of the source
+        stream = discovery.watch_folders(t.spark, [root], tasks=4, settle=0.2)
+        jobs.start(stream, lambda rows, epoch, i=i: rows.write.mode("overwrite").parquet(f"{out}/look{i}/{epoch}"), f"{out}/checkpoint", "watched_files").awaitTermination()
+        parts.append(t.spark.read.schema(discovery.SCHEMA).option("recursiveFileLookup", True).parquet(f"{out}/look{i}").select(F.lit(i).alias("look"), "external_id", "content_hash"))
+    return parts[0].union(parts[1])
+
+
+# --- one sync run over complete listings -------------------------------------------------------------
+_SYNC = """page AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS source_id, url, sha256(html) AS h FROM pages),
+known AS (SELECT DISTINCT source_id, url FROM page WHERE page_id % 3 = 0),
+stored AS (SELECT url, source_id, sha256('object|' || source_id || '|' || url) AS object_id, CASE WHEN page_id % 2 = 0 THEN h ELSE 'older' END AS h, page_id FROM page WHERE page_id % 3 = 0),
+latest AS (SELECT object_id, arg_max(h, page_id) AS h FROM stored GROUP BY 1),
+listed AS (SELECT *, sha256('object|' || source_id || '|' || url) AS object_id, page_id % 11 = 0 AS broken FROM page WHERE page_id % 13 <> 0),
+made AS (SELECT l.object_id, l.h, min(l.page_id) AS page_id FROM listed l LEFT JOIN latest t USING (object_id) WHERE NOT broken AND l.h IS DISTINCT FROM t.h
+  AND NOT EXISTS (SELECT 1 FROM stored s WHERE s.object_id = l.object_id AND s.h = l.h) GROUP BY 1, 2),
+runs AS (SELECT source_id, count(*) AS n, count(*) FILTER (NOT broken) AS ok, count(*) FILTER (broken) AS bad FROM listed GROUP BY 1),
+gone AS (SELECT * FROM known WHERE source_id IN (SELECT source_id FROM listed) AND (source_id, url) NOT IN (SELECT source_id, url FROM listed))"""
+
+
+@query(f"""WITH {_SYNC} SELECT 'version' AS kind, object_id AS id, h AS detail, page_id AS n FROM made
+UNION ALL SELECT 'object', sha256('object|' || source_id || '|' || url), source_id, 1 FROM (SELECT * FROM known UNION SELECT source_id, url FROM listed WHERE NOT broken)
+UNION ALL SELECT 'removed', sha256('object|' || source_id || '|' || url), source_id, 1 FROM gone
+UNION ALL SELECT 'run', source_id, CASE WHEN bad > 0 AND ok > 0 THEN 'partial' WHEN bad > 0 THEN 'failed' ELSE 'completed' END, n FROM runs
+UNION ALL SELECT 'audit', source_id, '{{"objects_discovered":' || n || ',"objects_processed":' || ok || ',"objects_failed":' || bad || '}}', 1 FROM runs""")
+def synced_listing(t: Tables) -> DataFrame:
+    """A listing of all hosts against stored objects and versions; one run per host."""
+    pages = t.pages().drop("html")
+    object_id = stable_id("object", F.col("source_id"), F.col("external_id"))
+    known = pages.filter("version_id % 3 = 0").withColumn("object_id", object_id)
+    objects = known.select("source_id", "external_id", F.lit("page").alias("object_type"), "object_id").distinct()
+    versions = known.select(
+        "object_id", F.lit("v1").alias("pipeline_version"), F.when(F.col("version_id") % 2 == 0, F.col("content_hash")).otherwise("older").alias("content_hash"),
+        "version_id", F.col("version_id").alias("observed_at"))
+    listing = pages.filter("version_id % 13 <> 0").select(
+        F.col("source_id").alias("run_id"), "source_id", "external_id", F.lit("page").alias("object_type"), "content_hash", "version_id",
+        F.col("version_id").alias("observed_at"), F.col("version_id").alias("seq"), F.when(F.col("version_id") % 11 == 0, "unreadable").alias("error"))
+    out = changes.sync(objects, versions, listing)
+    one = F.lit(1).cast("long")
+    return (
+        out["created"].select(F.lit("version").alias("kind"), F.col("object_id").alias("id"), F.col("content_hash").alias("detail"), F.col("version_id").alias("n"))
+        .union(out["objects"].select(F.lit("object"), "object_id", "source_id", one))
+        .union(out["removed"].select(F.lit("removed"), "object_id", "source_id", one))
+        .union(out["summary"].select(F.lit("run"), "run_id", "status", "objects_discovered"))
+        .union(out["audit"].select(F.lit("audit"), "object_id", "metadata", one))
+    )

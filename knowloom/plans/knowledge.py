@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from knowloom.operators import canonical, chunking, extraction, resolution, review
+from knowloom.operators import canonical, chunking, dictionary, extraction, resolution, review
 from knowloom.plans.registry import query
 from knowloom.plans.sql import CHUNKS, CLAIMS, DECISIONS, EVIDENCE, PROPOSALS, VERSIONS, strip
 from knowloom.plans.tables import Tables, joined
@@ -54,6 +54,23 @@ def dictionary_mentions(t: Tables) -> DataFrame:
     return rows.select("version_id", F.lower("e.name").alias("term"), F.col("e.name").alias("name"))
 
 
+_W = r"\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}"
+
+
+@query(rf"""WITH b AS (SELECT list_filter(regexp_split_to_array(lower(text), '[^{_W}]+'), lambda w: w <> '') AS w FROM benchmark),
+names AS (SELECT unnest(w) AS name FROM b UNION SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM b),
+p AS (SELECT doc_id, regexp_extract_all(text, '[{_W}]+|[^{_W}]+') AS l FROM documents),
+said AS (SELECT doc_id, unnest(list_concat(list_transform(l, lambda x: lower(x)), list_transform(range(1, len(l) - 1), lambda i: CASE WHEN l[i + 1] = ' ' THEN lower(l[i]) || ' ' || lower(l[i + 2]) END))) AS name FROM p)
+SELECT doc_id AS version_id, name, count(*) AS n FROM said JOIN names USING (name) GROUP BY ALL""")
+def dictionary_names(t: Tables) -> DataFrame:
+    """Every word and every pair of neighbouring words of the benchmark as a dictionary of names."""
+    words = t.raw("benchmark").select(F.filter(F.split(F.lower("text"), r"(?U)\W+"), lambda w: w != "").alias("w"))
+    pairs = F.zip_with(F.expr("slice(w, 1, greatest(size(w) - 1, 0))"), F.expr("slice(w, 2, greatest(size(w) - 1, 0))"), lambda a, b: F.concat_ws(" ", a, b))
+    names = words.select(F.explode(F.concat("w", pairs)).alias("name"))
+    found = dictionary.dictionary_mentions(_texts(t), names)
+    return found.groupBy("version_id", "name").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(f"""WITH {_FACTS}, u AS (SELECT version_id, 'task' AS kind, unnest(tasks) AS title FROM g UNION ALL
 SELECT version_id, 'decision', unnest(decisions) FROM g UNION ALL SELECT version_id, 'event', unnest(events) FROM g)
 SELECT version_id, kind, title, count(*) AS n FROM u GROUP BY ALL""")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import mimetypes
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +17,15 @@ DEFAULT_EXCLUDES = (
     "**/__pycache__/**",
     "**/temp_uploads/**",
 )
+# Registered MIME types of text, office and picture files.
+MIME_TYPES = {
+    ".css": "text/css", ".csv": "text/csv", ".doc": "application/msword",
+    ".docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", ".gif": "image/gif", ".htm": "text/html",
+    ".html": "text/html", ".ics": "text/calendar", ".jpeg": "image/jpeg", ".jpg": "image/jpeg", ".js": "text/javascript",
+    ".json": "application/json", ".md": "text/markdown", ".pdf": "application/pdf", ".png": "image/png", ".py": "text/x-python",
+    ".rtf": "application/rtf", ".svg": "image/svg+xml", ".tsv": "text/tab-separated-values", ".txt": "text/plain",
+    ".xml": "text/xml", ".zip": "application/zip",
+}
 
 
 def glob_regex(glob: str) -> str:
@@ -44,8 +52,7 @@ def matches_any_glob(path: Column, globs: list[str] | tuple[str, ...]) -> Column
 
 
 def guess_mime(ext: Column, extensions: tuple[str, ...]) -> Column:
-    known = [(e, mimetypes.guess_type("x" + e)[0]) for e in extensions]
-    pairs = [F.lit(v) for e, m in known if m for v in (e, m)]
+    pairs = [F.lit(v) for e in extensions if e in MIME_TYPES for v in (e, MIME_TYPES[e])]
     if not pairs:
         return F.lit(None).cast("string")
     return F.try_element_at(F.create_map(*pairs), ext)
@@ -73,7 +80,7 @@ def scan_folder(
             "relative", F.substring(F.col("path"), len(base) + 2, 1 << 30)
         )
         ext = F.lower(F.regexp_extract("relative", r"[^/]+(\.[^./]*)$", 1))
-        # The tests only need the path, so they run before any content is hashed.
+        # The tests only need the path; discovery.list_folders does not even open what they drop.
         kept = files.filter(
             ext.isin(*exts)
             & ~matches_any_glob(F.concat(F.lit(prefix), F.col("relative")), exclude_globs)

@@ -3,10 +3,12 @@ import random
 import re
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from knowloom import schemas
-from knowloom.operators import canonical, extraction, graph, ontology, reports, resolution, review
+from knowloom.functions import text
+from knowloom.operators import canonical, dictionary, embedding, extraction, graph, ontology, reports, resolution, review
 
 SAMPLE = """# Demo Project
 
@@ -308,3 +310,63 @@ def test_long_cue_lines_are_kept_whole(spark):
     facts = extraction.extract_facts(spark.createDataFrame([("v", f"TODO: {line}")], "version_id string, text string"))
     p = extraction.build_proposals(facts).filter("proposal_type = 'task'").first()
     assert len(p["title"]) == 200 and line in p["payload"] and p["excerpt"] == line
+
+
+def test_dictionary_join_equals_expression(spark):
+    texts = ["Python, python and POSTGRESQL; Next.js with nextjs, Next-js, next.js!", "xPython Python3 Python", "", None, "FastAPI" * 3, "GitHub GitHub redis\nRedis Neo4j docker-compose", "ünîcode Celery\u00a0LangGraph é Docker"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "version_id long, text string")
+    names = spark.createDataFrame([(n,) for n in extraction.TECHNOLOGIES], "name string")
+    got = dictionary.dictionary_entities(docs, names)
+    want = docs.filter("text is not null").select("version_id", F.posexplode(extraction.technology_entities(F.col("text"))).alias("i", "e"))
+    assert sorted((r["version_id"], r["i"], r["name"], r["start"], r["end"]) for r in got.collect()) == sorted(
+        (r["version_id"], r["i"], r["e"]["name"], r["e"]["start"], r["e"]["end"]) for r in want.collect())
+
+
+def test_dictionary_of_many_overlapping_names(spark):
+    rng = random.Random(2)
+    names = {" ".join(rng.choices(["red", "blue", "big", "new", "old"] + [f"n{i}" for i in range(3000)], k=rng.randint(1, 4))) for _ in range(60_000)}
+    names |= {"red", "red blue", "red blue big", "blue big new old", "big", "C++", "  ", "e-mail"}
+    said = "Red blue big new old. red  blue BIG c++ x E-MAIL e mail " + " ".join(rng.choices(["red", "blue", "big", "n5", "n6"], k=400))
+    docs = spark.createDataFrame([(1, said), (2, "big"), (3, "nothing here")], "version_id long, text string")
+    got = dictionary.dictionary_entities(docs, spark.createDataFrame([(n,) for n in names], "name string"))
+    low = sorted({re.sub(r"^\W+|\W+$", "", n.lower()) for n in names} - {""}, key=lambda n: (-len(n), n))
+    expression = re.compile(r"\b(?:" + "|".join(map(re.escape, low)) + r")\b", re.I)
+    want = []
+    for d, t in ((1, said), (2, "big"), (3, "nothing here")):
+        firsts = {}
+        for m in expression.finditer(t):
+            firsts.setdefault(m.group().lower(), m)
+        want += [(d, m.group(), m.start(), m.end()) for m in firsts.values()]
+    assert sorted((r["version_id"], r["name"], r["start"], r["end"]) for r in got.collect()) == sorted(want)
+    assert dictionary.dictionary_entities(docs, spark.createDataFrame([], "name string")).count() == 0
+
+
+def test_guarded_embedder_gives_up_row_by_row(spark):
+    def model(texts):
+        if any("bad" in t for t in texts):
+            raise RuntimeError("down")
+        return [[1.0, 0.0] for _ in texts]
+
+    chunks = spark.createDataFrame([(i, "bad" if i % 10 == 3 else None if i == 5 else f"t{i}") for i in range(40)], "i int, text string").coalesce(1)
+    rows = embedding.embed(chunks, 2, embedding.guarded(model), "model").collect()
+    assert {r["i"] for r in rows if r["embedding_model"] != "model"} == {3, 5, 13, 23, 33}
+    # Five failures in a row: the task stops asking, and its later rows are hashed.
+    down = spark.createDataFrame([(i, "bad" if i < 8 else f"t{i}") for i in range(40)], "i int, text string").coalesce(1)
+    rows = embedding.embed(down, 2, embedding.guarded(model), "model").collect()
+    assert {r["embedding_model"] for r in rows} == {embedding.HASH_MODEL}
+
+
+def test_fuzzy_matches_of_every_length_equal_brute_force(spark):
+    rng = random.Random(5)
+    words = ["al", "be", "ga", "delta", "eps", "zet", "eta", "theta"]
+    base = [" ".join(rng.choices(words, k=k)) for k in (1, 1, 2, 3, 5, 9, 20, 60, 300)] + ["a", "ab", "x" * 2000]
+    names = base + [b[rng.randint(0, len(b) // 4):][: max(1, int(len(b) * rng.uniform(0.4, 1)))].strip() or "q" for b in base for _ in range(3)]
+    index = spark.createDataFrame([("o", "t", i, n, []) for i, n in enumerate(sorted(set(names[::2])))], "owner_id string, entity_type string, index_id int, canonical_name string, aliases array<string>")
+    asked = spark.createDataFrame([("o", "t", n) for n in sorted(set(names))], "owner_id string, entity_type string, name string")
+    got = resolution.find_matches(asked, index)
+    a, b = F.col("q"), text.normalize_name(F.col("canonical_name"))
+    pairs = asked.withColumn("q", text.normalize_name(F.col("name"))).crossJoin(index.select("index_id", "canonical_name"))
+    scored = pairs.withColumn("score", text.normalized_similarity(a, b)).filter("score > 0.4")
+    want = scored.withColumn("rank", F.row_number().over(Window.partitionBy("name").orderBy(F.desc("score"), "canonical_name", "index_id"))).filter("rank <= 5")
+    columns = ["name", "index_id", "rank"]
+    assert sorted(map(tuple, got.select(*columns).collect())) == sorted(map(tuple, want.select(*columns).collect()))

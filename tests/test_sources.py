@@ -2,12 +2,14 @@ import base64
 import fnmatch
 import hashlib
 import json
+import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from knowloom.functions.hashing import fingerprint
 from knowloom.operators import changes, chunking, triage
-from knowloom.sources import content, folder, landed, sinks
+from knowloom.sources import content, discovery, folder, landed, sinks
 
 
 def test_folder_scan(spark, tmp_path):
@@ -25,6 +27,62 @@ def test_folder_scan(spark, tmp_path):
     assert {r["external_id"] for r in two.select("external_id").collect()} == {"0/readme.md", "0/a/x y.TXT", "1/x y.TXT"}
 
 
+@pytest.mark.parametrize("tasks", [1, 3, 64])
+def test_folder_listing_source(spark, tmp_path, tasks):
+    root = tmp_path / "docs"
+    (root / "a" / "node_modules" / "deep").mkdir(parents=True)
+    (root / "a" / "empty").mkdir()
+    (root / "readme.md").write_text("hello plain text")
+    (root / "a" / "x y.TXT").write_text("text" * 500_000)
+    (root / "a" / "skip.bin").write_text("no")
+    (root / "a" / "link.md").symlink_to(root / "readme.md")
+    (root / "a" / "node_modules" / "n.md").write_text("no")
+    locked = root / "a" / "node_modules" / "deep"
+    (locked / "n.md").write_text("no")
+    locked.chmod(0)
+    (root / "a" / "node_modules").chmod(0)
+    try:
+        rows = {r["external_id"]: r for r in discovery.list_folders(spark, [str(root)], tasks=tasks).collect()}
+    finally:
+        (root / "a" / "node_modules").chmod(0o755)
+        locked.chmod(0o755)
+    assert set(rows) == {"readme.md", "a/x y.TXT"}
+    assert rows["readme.md"]["content_hash"] == hashlib.sha256(b"hello plain text").hexdigest() and rows["readme.md"]["size"] == 16
+    assert rows["readme.md"]["mime_type"] == "text/markdown" and rows["a/x y.TXT"]["mime_type"] == "text/plain"
+    two = discovery.list_folders(spark, [str(root), str(root / "a")], excludes=("*node_modules*",), tasks=tasks)
+    assert {r["external_id"] for r in two.collect()} == {"0/readme.md", "0/a/x y.TXT", "1/x y.TXT"}
+
+
+def test_folder_walk_enters_no_excluded_folder(tmp_path, monkeypatch):
+    (tmp_path / "a" / "node_modules" / "deep").mkdir(parents=True)
+    (tmp_path / "a" / "node_modules" / "deep" / "n.md").write_text("no")
+    (tmp_path / "a" / "y.md").write_text("yes")
+    entered, opened = [], []
+    scandir, digest = os.scandir, discovery._digest
+    monkeypatch.setattr(discovery.os, "scandir", lambda p: entered.append(p) or scandir(p))
+    monkeypatch.setattr(discovery, "_digest", lambda p: opened.append(p) or digest(p))
+    walker = discovery._Walker({"roots": json.dumps([str(tmp_path)]), "tasks": "2"})
+    rows = [r for part in walker.folders() for batch in walker.read(part) for r in batch.to_pylist()]
+    assert [r["external_id"] for r in rows] == ["a/y.md"] and len(opened) == 1
+    assert not [p for p in entered if "node_modules" in p]
+
+
+def test_sync_run(spark):
+    objects = spark.createDataFrame([("s", "known", "file", "o-known"), ("s", "gone", "file", "o-gone"), ("t", "other", "file", "o-t")], "source_id string, external_id string, object_type string, object_id string")
+    versions = spark.createDataFrame([("o-known", "v1", "A", "1", 1), ("o-known", "v1", "B", "2", 2)], "object_id string, pipeline_version string, content_hash string, version_id string, observed_at int")
+    schema = "run_id string, source_id string, external_id string, object_type string, content_hash string, version_id string, observed_at int, seq int, error string"
+    listing = [("r", "s", "known", "file", "A", "3", 3, 0, None), ("r", "s", "new", "file", "C", "4", 3, 1, None), ("r", "s", "new", "file", "C", "5", 3, 2, None), ("r", "s", "bad", "file", None, "6", 3, 3, "unreadable")]
+    for incremental in (True, False):
+        out = changes.sync(objects, versions, spark.createDataFrame(listing, schema), incremental=incremental)
+        # An older content that comes back is stored already.
+        assert [(r["content_hash"], r["version_id"]) for r in out["created"].collect()] == [("C", "4")]
+        assert {r["external_id"] for r in out["removed"].collect()} == {"gone"}
+        assert {r["external_id"] for r in out["objects"].collect()} == {"known", "gone", "other", "new"} and out["versions"].count() == 3
+        s = out["summary"].first()
+        assert (s["status"], s["objects_discovered"], s["objects_processed"], s["objects_failed"], s["error_summary"]) == ("partial", 4, 3, 1, "bad: unreadable")
+        assert out["audit"].first()["action"] == "sync_completed"
+
+
 def test_globs_match_fnmatch(spark):
     globs = ["*.md", "a/?.txt", "**/tmp/**", "x[0-9].md", "x[!0-9].md", "a.b"]
     paths = ["r.md", "a/b.txt", "a/bb.txt", "q/tmp/z", "tmp/z", "x1.md", "xa.md", "a.b", "aXb"]
