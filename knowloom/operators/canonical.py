@@ -116,11 +116,8 @@ def merge_targets(merges: DataFrame) -> DataFrame:
     return step.join(first.select(F.col("source").alias("target")), "target", "left_anti").select("source", "target")
 
 
-def apply_merges(entities: DataFrame, merges: DataFrame) -> DataFrame:
-    """Targets collect the names of everything merged into them; sources get status ``merged``.
-
-    Only pairs of one owner and entity type merge.
-    """
+def merge_map(entities: DataFrame, merges: DataFrame) -> DataFrame:
+    """(source, target) of the merges that count: pairs of one owner and entity type, chains followed to their end."""
     e = entities.select("entity_id", "owner_id", "entity_type", "canonical_name", "aliases")
     s = e.select(*[F.col(c).alias(f"s_{c}") for c in e.columns])
     t = e.select(*[F.col(c).alias(f"t_{c}") for c in e.columns])
@@ -129,7 +126,17 @@ def apply_merges(entities: DataFrame, merges: DataFrame) -> DataFrame:
         .join(t, F.col("target") == F.col("t_entity_id"))
         .filter((F.col("s_owner_id") == F.col("t_owner_id")) & (F.col("s_entity_type") == F.col("t_entity_type")))
     )
-    final = merge_targets(valid.select("source", "target", "created_at", "merge_id"))
+    return merge_targets(valid.select("source", "target", "created_at", "merge_id"))
+
+
+def apply_merges(entities: DataFrame, merges: DataFrame, final: DataFrame | None = None) -> DataFrame:
+    """Targets collect the names of everything merged into them; sources get status ``merged``.
+
+    Claims and relationships follow by :func:`repoint_claims` and :func:`repoint_relationships` with the same ``final``
+    map (:func:`merge_map`), references of later proposals by ``resolve_refs(..., merged=final)``.
+    """
+    final = merge_map(entities, merges) if final is None else final
+    s = entities.select(*[F.col(c).alias(f"s_{c}") for c in ("entity_id", "canonical_name", "aliases")])
     moved = final.join(s, F.col("source") == F.col("s_entity_id")).select(
         F.col("target").alias("entity_id"), "source",
         F.posexplode(F.concat(F.array("s_canonical_name"), "s_aliases")).alias("i", "alias"),
@@ -147,6 +154,38 @@ def apply_merges(entities: DataFrame, merges: DataFrame) -> DataFrame:
     ).select(*entities.columns)
 
 
+def follow_merges(rows: DataFrame, columns: tuple[str, ...], final: DataFrame) -> DataFrame:
+    """Entity ids in ``columns`` become the ids that their entities were merged into."""
+    out = rows
+    for c in columns:
+        step = final.select(F.col("source").alias(c), F.col("target").alias("_into"))
+        out = hot_join(out, step, [c], "left").withColumn(c, F.coalesce("_into", c)).drop("_into")
+    return out.select(*rows.columns)
+
+
+def repoint_claims(claims: DataFrame, final: DataFrame) -> DataFrame:
+    """Claims about a merged entity become claims about its target; their topics and findings follow from there."""
+    return follow_merges(claims, ("subject_entity_id",), final)
+
+
+def repoint_relationships(relationships: DataFrame, final: DataFrame) -> DataFrame:
+    """Relationships of merged entities move to the targets.
+
+    One between two entities that are now the same gets status ``merged``. Of active ones that now say the same, the one
+    with the smallest id stays, the others are ``superseded``.
+    """
+    ends = ("source_entity_id", "target_entity_id")
+    was_loop = F.col("source_entity_id").eqNullSafe(F.col("target_entity_id"))
+    moved = follow_merges(relationships.withColumn("_loop", was_loop), ends, final)
+    collapsed = was_loop & ~F.col("_loop") & (F.col("status") == "active")
+    moved = moved.withColumn("status", F.when(collapsed, "merged").otherwise(F.col("status"))).drop("_loop")
+    same = ["owner_id", *ends, "relationship_type"]
+    first = moved.filter("status = 'active'").groupBy(*same).agg(F.min("relationship_id").alias("_first"))
+    kept = hot_join(moved, first, same, "left")
+    again = (F.col("status") == "active") & (F.col("relationship_id") != F.col("_first"))
+    return kept.withColumn("status", F.when(again, "superseded").otherwise(F.col("status"))).select(*relationships.columns)
+
+
 def referenced_keys(rows: DataFrame, ref: str, entity_proposals: DataFrame, id_type) -> DataFrame:
     """Adds the key (entity_type, canonical_name) that column ``ref`` of ``rows(owner_id, run_id, ...)`` means, and ``_linked``.
 
@@ -169,12 +208,18 @@ def referenced_keys(rows: DataFrame, ref: str, entity_proposals: DataFrame, id_t
     ).drop("_ref", "_l")
 
 
-def resolve_refs(rows: DataFrame, ref: str, entity_proposals: DataFrame, entities: DataFrame) -> DataFrame:
-    """Adds ``entity_id`` for the reference in column ``ref``; the id of a linked proposal goes before a lookup by name."""
+def resolve_refs(
+    rows: DataFrame, ref: str, entity_proposals: DataFrame, entities: DataFrame, merged: DataFrame | None = None
+) -> DataFrame:
+    """Adds ``entity_id`` for the reference in column ``ref``; the id of a linked proposal goes before a lookup by name.
+
+    With ``merged`` (:func:`merge_map`) a reference to a merged entity means its target.
+    """
     keyed = referenced_keys(rows, ref, entity_proposals, entities.schema["entity_id"].dataType)
     ids = entities.select("owner_id", "entity_type", "canonical_name", "entity_id")
     found = hot_join(keyed, ids, ENTITY_KEY, "left").withColumn("entity_id", F.coalesce("_linked", "entity_id"))
-    return found.drop("_linked", "entity_type", "canonical_name")
+    found = found.drop("_linked", "entity_type", "canonical_name")
+    return found if merged is None else follow_merges(found, ("entity_id",), merged)
 
 
 def referenced_ids(rows: DataFrame, ref: str, entity_proposals: DataFrame) -> DataFrame:
@@ -210,12 +255,12 @@ def referenced_relationships(relationship_proposals: DataFrame, entity_proposals
 
 
 def materialize_relationships(
-    relationship_proposals: DataFrame, entity_proposals: DataFrame, entities: DataFrame
+    relationship_proposals: DataFrame, entity_proposals: DataFrame, entities: DataFrame, merged: DataFrame | None = None
 ) -> DataFrame:
     """Relationships whose two ends are known entities."""
     rows = relationship_rows(relationship_proposals)
-    src = resolve_refs(rows, "_source", entity_proposals, entities).withColumnRenamed("entity_id", "source_entity_id")
-    both = resolve_refs(src.filter("source_entity_id is not null"), "_target", entity_proposals, entities)
+    src = resolve_refs(rows, "_source", entity_proposals, entities, merged).withColumnRenamed("entity_id", "source_entity_id")
+    both = resolve_refs(src.filter("source_entity_id is not null"), "_target", entity_proposals, entities, merged)
     return _relationships(both.withColumnRenamed("entity_id", "target_entity_id").filter("target_entity_id is not null"))
 
 
@@ -235,9 +280,11 @@ def claim_rows(claim_proposals: DataFrame) -> DataFrame:
     )
 
 
-def materialize_claims(claim_proposals: DataFrame, entity_proposals: DataFrame, entities: DataFrame) -> DataFrame:
+def materialize_claims(
+    claim_proposals: DataFrame, entity_proposals: DataFrame, entities: DataFrame, merged: DataFrame | None = None
+) -> DataFrame:
     rows = claim_rows(claim_proposals)
-    out = resolve_refs(rows, "subject_ref", entity_proposals, entities)
+    out = resolve_refs(rows, "subject_ref", entity_proposals, entities, merged)
     return out.withColumnRenamed("entity_id", "subject_entity_id").drop("subject_ref")
 
 

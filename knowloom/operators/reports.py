@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from knowloom.functions import jsonx
-from knowloom.functions.skew import SALTS, hot_join, top_k
+from knowloom.functions.skew import SALTS, hot_join, is_small, small_side, top_k
 from knowloom.operators.canonical import active_in, claims_by_predicate, entities_by_type
+from knowloom.sources.sinks import materialize
 
 PROJECT_PREDICATES = (("decisions", "has_decision"), ("tasks", "has_task"), ("events", "has_event"))
 DASHBOARD_TYPES = (("projects", "project"), ("people", "person"), ("repositories", "repository"),
@@ -155,12 +156,16 @@ def project_subgraphs(
         top_k(own, ["project_id", "predicate"], newest, limit).drop("rank").unionByName(shared),
         ["project_id", "predicate"], newest, limit,
     )
+    listed = materialize(listed.select("project_id", "predicate", "rank", "claim_id", "object_value"), "report-claims")
     c = listed.groupBy("project_id").agg(
         *[_list_per("object_value", F.col("predicate") == p).alias(n) for n, p in PROJECT_PREDICATES]
     )
-    cited = hot_join(_claim_refs(provenance), listed.select("claim_id", "project_id"), ["claim_id"])
-    refs = cited.select("project_id", "ref").distinct().groupBy("project_id").agg(
-        F.sort_array(F.collect_list("ref")).alias("citations")
+    # Only provenance of listed claims is opened, once per claim and not per project.
+    ids = listed.select("claim_id").distinct()
+    known = provenance.join(small_side(ids, is_small(ids)), "claim_id", "left_semi")
+    per_claim = _claim_refs(known).groupBy("claim_id").agg(F.collect_set("ref").alias("refs"))
+    refs = hot_join(listed.select("claim_id", "project_id"), per_claim, ["claim_id"]).groupBy("project_id").agg(
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list("refs")))).alias("citations")
     )
     totals = [f"{n}_total" for n, _ in PROJECT_PREDICATES]
     own_counts = _claim_counts(own, "project_id")
@@ -177,7 +182,7 @@ def project_subgraphs(
     for part in (c, refs, own_counts):
         out = out.join(part, "project_id", "left")
     for part in (shared_counts, t, r, risk_counts):
-        out = hot_join(out, part, ["owner_id"], "left", salts=SALTS)
+        out = hot_join(out, part, ["owner_id"], "left")
     out = out.na.fill(0, [*totals, *[f"_{t}" for t in totals], "risks_total"])
     lists = [n for n, _ in PROJECT_PREDICATES]
     return out.select(

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from knowloom.operators import canonical, chunking, dictionary, extraction, resolution, review
 from knowloom.plans.registry import query
 from knowloom.plans.sql import CHUNKS, CLAIMS, DECISIONS, EVIDENCE, PROPOSALS, VERSIONS, strip
 from knowloom.plans.tables import Tables, joined
+from knowloom.sources import snapshots
+from knowloom.sources.sinks import work_folder
 
 # Words of the sample corpus, so that every extractor has matches.
 PATTERNS = extraction.Patterns(
@@ -449,12 +451,38 @@ names AS (SELECT root, string_agg(c_name, '|' ORDER BY c_custkey) AS aliases FRO
 SELECT c_custkey AS entity_id, CASE WHEN c_custkey = g.root THEN 'active' ELSE 'merged' END AS status,
   CASE WHEN c_custkey = g.root THEN coalesce(aliases, '') ELSE '' END AS aliases FROM g LEFT JOIN names USING (root)""")
 def merged_entities(t: Tables) -> DataFrame:
-    from pyspark.sql import Window
+    return canonical.apply_merges(_people(t), _merges(t)).select("entity_id", "status", joined("aliases").alias("aliases"))
 
+
+def _merges(t: Tables) -> DataFrame:
+    """Every customer merges into the one before it in its nation and segment: chains that end at the first."""
     prior = F.lag("c_custkey").over(Window.partitionBy("c_nationkey", "c_mktsegment").orderBy("c_custkey"))
-    merges = t.raw("customer").select(F.col("c_custkey").alias("source"), prior.alias("target"), F.col("c_custkey").alias("created_at"),
-                                      F.col("c_custkey").alias("merge_id")).filter("target is not null")
-    return canonical.apply_merges(_people(t), merges).select("entity_id", "status", joined("aliases").alias("aliases"))
+    return t.raw("customer").select(F.col("c_custkey").alias("source"), prior.alias("target"), F.col("c_custkey").alias("created_at"),
+                                    F.col("c_custkey").alias("merge_id")).filter("target is not null")
+
+
+_ROOTS = "root AS (SELECT c_custkey AS id, min(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment) AS into_id FROM customer)"
+
+
+@query(f"""WITH {_ROOTS} SELECT o_orderkey AS claim_id, coalesce(into_id, o_custkey) AS subject_entity_id FROM orders LEFT JOIN root ON id = o_custkey""")
+def repointed_claims(t: Tables) -> DataFrame:
+    """Orders as claims about their customer, after the customers were merged."""
+    claims = t.raw("orders").select(F.col("o_orderkey").alias("claim_id"), F.col("o_custkey").alias("subject_entity_id"))
+    return canonical.repoint_claims(claims, canonical.merge_map(_people(t), _merges(t)))
+
+
+@query(f"""WITH {_ROOTS}, r AS (SELECT o_orderkey AS id, o_custkey AS s, 1 + o_orderkey % 100 AS d, o_orderstatus AS kind FROM orders),
+m AS (SELECT r.id, coalesce(a.into_id, s) AS src, coalesce(b.into_id, d) AS dst, kind, s = d AS was_loop FROM r LEFT JOIN root a ON a.id = s LEFT JOIN root b ON b.id = d),
+j AS (SELECT *, src = dst AND NOT was_loop AS gone FROM m), f AS (SELECT src, dst, kind, min(id) AS first_id FROM j WHERE NOT gone GROUP BY ALL)
+SELECT id AS relationship_id, src AS source_entity_id, dst AS target_entity_id, CASE WHEN gone THEN 'merged' WHEN id <> first_id THEN 'superseded' ELSE 'active' END AS status
+FROM j LEFT JOIN f USING (src, dst, kind)""")
+def repointed_relationships(t: Tables) -> DataFrame:
+    """Orders as relationships between customers, after the customers were merged."""
+    rows = t.raw("orders").select(
+        F.col("o_orderkey").alias("relationship_id"), F.lit(1).alias("owner_id"), F.col("o_custkey").alias("source_entity_id"),
+        (F.col("o_orderkey") % 100 + 1).cast("long").alias("target_entity_id"), F.col("o_orderstatus").alias("relationship_type"), F.lit("active").alias("status"))
+    out = canonical.repoint_relationships(rows, canonical.merge_map(_people(t), _merges(t)))
+    return out.select("relationship_id", "source_entity_id", "target_entity_id", "status")
 
 
 def _people_proposals(t: Tables) -> DataFrame:
@@ -625,3 +653,112 @@ def provenance_coverage(t: Tables) -> DataFrame:
     claims = t.raw("orders").select(F.col("o_orderkey").alias("claim_id"), F.col("o_custkey").alias("owner_id"))
     prov = t.raw("lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("claim_id"))
     return canonical.provenance_coverage(claims, prov).withColumn("coverage", F.round("coverage", 6))
+
+
+@query("""WITH old AS (SELECT c_custkey AS entity_id, c_name AS canonical_name, c_mktsegment AS entity_type, 'first' AS seen FROM customer WHERE c_custkey % 3 <> 0),
+new AS (SELECT o_custkey AS entity_id, 'from order ' || max(o_orderkey) AS canonical_name, 'BUYER' AS entity_type, 'second' AS seen FROM orders WHERE o_custkey % 2 = 0 GROUP BY 1)
+SELECT coalesce(n.entity_id, o.entity_id) AS entity_id, coalesce(n.canonical_name, o.canonical_name) AS canonical_name, coalesce(n.entity_type, o.entity_type) AS entity_type, coalesce(o.seen, n.seen) AS seen
+FROM old o FULL JOIN new n ON o.entity_id = n.entity_id""")
+def upserted_snapshot(t: Tables) -> DataFrame:
+    """A bucketed snapshot is written, upserted into a second one and read back; the stored side is not shuffled."""
+    out = work_folder(t.spark, "snapshot")
+    old = t.raw("customer").filter("c_custkey % 3 <> 0").select(
+        F.col("c_custkey").alias("entity_id"), F.col("c_name").alias("canonical_name"), F.col("c_mktsegment").alias("entity_type"), F.lit("first").alias("seen"))
+    new = t.raw("orders").filter("o_custkey % 2 = 0").groupBy(F.col("o_custkey").alias("entity_id")).agg(
+        F.concat(F.lit("from order "), F.max("o_orderkey").cast("string")).alias("canonical_name")).withColumns({"entity_type": F.lit("BUYER"), "seen": F.lit("second")})
+    first = snapshots.write(old, f"{out}/1", ("entity_id",), 8)
+    return snapshots.upserted(first, new, f"{out}/2", keep=("seen",)).read(t.spark)
+
+
+# --- conversations as Markdown: a heading and an empty line between turns -----------------------------
+_HEADING = "repeat('#', (turn % 3 + 1)::INT) || ' ' || CASE turn % 3 WHEN 0 THEN 'Project ' WHEN 1 THEN 'Repo ' ELSE '' END || role || ' ' || turn"
+_MARKDOWN = f"""piece AS (SELECT conv_id, turn, role, {_HEADING} AS heading, {_HEADING} || chr(10) || text AS body FROM conversations),
+placed AS (SELECT *, coalesce(sum(length(body) + 2) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS lo FROM piece),
+docs AS (SELECT conv_id, string_agg(body, chr(10) || chr(10) ORDER BY turn) AS text FROM piece GROUP BY 1),
+section AS (SELECT p.conv_id, lo, coalesce(lead(lo) OVER (PARTITION BY p.conv_id ORDER BY turn), length(text))::INT AS hi, text FROM placed p JOIN docs d ON d.conv_id = p.conv_id)"""
+
+
+def _markdown(t: Tables) -> DataFrame:
+    turn = F.col("turn")
+    kind = F.when(turn % 3 == 0, "Project ").when(turn % 3 == 1, "Repo ").otherwise("")
+    mark = F.repeat(F.lit("#"), (turn % 3 + 1).cast("int"))
+    body = F.concat(mark, F.lit(" "), kind, F.col("role"), F.lit(" "), turn.cast("string"), F.lit("\n"), F.col("text"))
+    rows = t.raw("conversations").groupBy(F.col("conv_id").alias("version_id")).agg(F.sort_array(F.collect_list(F.struct("turn", body.alias("b")))).alias("x"))
+    return rows.select("version_id", F.lit("markdown").alias("parser_type"), F.array_join(F.transform("x", lambda x: x["b"]), "\n\n").alias("text"))
+
+
+_END = "least(lo + 800, hi)"
+_BACK = f"strpos(reverse(substring(text, lo + 1, {_END} - lo)), chr(10) || chr(10))"
+_SNAP = f"CASE WHEN {_END} < hi AND {_BACK} > 0 AND {_END} - {_BACK} - 1 > lo + 400 THEN {_END} - {_BACK} - 1 ELSE {_END} END"
+
+
+@query(f"""WITH RECURSIVE {_MARKDOWN},
+win AS (SELECT conv_id, text, lo, hi, ({_SNAP})::INT AS e FROM section WHERE lo < hi
+  UNION ALL SELECT conv_id, text, lo, hi, ({_SNAP})::INT FROM (SELECT conv_id, text, greatest(e - 100, lo + 1)::INT AS lo, hi FROM win WHERE e < hi)),
+cut AS (SELECT conv_id, lo, e, {strip("substring(text, lo + 1, e - lo)")} AS txt FROM win)
+SELECT conv_id AS version_id, (row_number() OVER (PARTITION BY conv_id ORDER BY lo) - 1)::INT AS chunk_index, lo AS anchor_start, e AS anchor_end, sha256(txt) AS content_hash FROM cut WHERE txt <> ''""")
+def structured_chunks(t: Tables) -> DataFrame:
+    """Windows start anew at headings and end at empty lines where one stands in their second half."""
+    rows = chunking.chunk_documents(_markdown(t))
+    return rows.select("version_id", "chunk_index", "anchor_start", "anchor_end", "content_hash")
+
+
+@query(f"""WITH {_MARKDOWN} SELECT conv_id AS version_id, substring(heading, turn % 3 + 3) AS name,
+  CASE turn % 3 WHEN 0 THEN 'project' WHEN 1 THEN 'repository' ELSE 'concept' END AS entity_type, lo AS anchor_start, (lo + length(heading))::INT AS anchor_end FROM placed""")
+def heading_entities(t: Tables) -> DataFrame:
+    found = _markdown(t).select("version_id", F.explode(extraction.heading_entities(F.col("text"))).alias("e"))
+    return found.select(
+        "version_id", F.col("e.name").alias("name"), F.col("e.entity_type").alias("entity_type"), F.col("e.start").cast("int").alias("anchor_start"),
+        F.col("e.end").cast("int").alias("anchor_end"))
+
+
+_SPANS = " UNION ALL ".join(
+    f"SELECT version_id, '{kind}' AS kind, i, {values}[i + 1] AS excerpt FROM (SELECT *, unnest(range(0, len({values}))) AS i FROM n)"
+    for kind, values in (("entity", "names"), ("task", "tasks"), ("decision", "decisions"), ("event", "events")))
+
+
+@query(f"""WITH {_FACTS}, n AS (SELECT *, list_concat(tech, persons) AS names FROM g), span AS ({_SPANS}),
+p AS (SELECT *, sha256('proposal|' || version_id || '|' || kind || '|' || i) AS proposal_id FROM span)
+SELECT sha256('evidence|' || proposal_id || '|0') AS evidence_id, proposal_id, version_id, excerpt FROM p""")
+def evidence_spans(t: Tables) -> DataFrame:
+    """Evidence of every proposal for an entity, task, decision or event."""
+    stated = _proposals(t).filter(F.col("proposal_type").isin("entity", "task", "decision", "event"))
+    return extraction.evidence_rows(stated).select("evidence_id", "proposal_id", "version_id", "excerpt")
+
+
+def _json(**fields: str) -> str:
+    """SQL text of a JSON object whose values are given as SQL for their JSON text."""
+    return "'{' || " + " || ',' || ".join(f"'\"{k}\":' || {v}" for k, v in fields.items()) + " || '}'"
+
+
+def _text(x: str) -> str:
+    return f"'\"' || {x} || '\"'"
+
+
+_EVENTS = " UNION ALL ".join(
+    f"SELECT sha256('event|{kind}|' || {key}) AS event_id, '{kind}' AS event_type, {key}::VARCHAR AS aggregate_id, {payload} AS payload FROM {table}"
+    for kind, table, key, payload in (
+        ("entity.materialized", "supplier", "s_suppkey", _json(entity_id="s_suppkey", owner_id="s_nationkey", entity_type="'\"firm\"'", canonical_name=_text("s_name"), aliases="'[\"' || lower(s_name) || '\"]'")),
+        ("relationship.materialized", "nation", "n_nationkey", _json(relationship_id="n_nationkey", owner_id="1", source_entity_id="n_nationkey", target_entity_id="n_regionkey", relationship_type="'\"IN_REGION\"'")),
+        ("claim.materialized", "customer", "c_custkey", _json(claim_id="c_custkey", owner_id="c_nationkey", subject_entity_id="c_custkey", predicate="'\"segment\"'", object_value=_text("c_mktsegment"), status="'\"active\"'", confidence="(c_custkey % 10 / 10.0)::DOUBLE")),
+        ("contradiction.detected", "region", "r_regionkey", _json(finding_id="r_regionkey", owner_id="1", existing_claim_id="r_regionkey", conflicting_claim_id="r_regionkey + 1", summary=_text("r_name"), evidence="'\"{}\"'")),
+        ("entity.alias_added", "nation", "n_nationkey", _json(entity_id="n_nationkey", owner_id="1", alias=_text("n_name"), source_proposal_id="n_regionkey")),
+        ("entity.merged", "supplier", "s_suppkey", _json(target_entity_id="s_suppkey", source_entity_id="s_suppkey + 1", owner_id="s_nationkey"))))
+
+
+@query(_EVENTS)
+def outbox_payloads(t: Tables) -> DataFrame:
+    """Outbox rows of all six event types with their payloads."""
+    s, n, c, r = (t.raw(x) for x in ("supplier", "nation", "customer", "region"))
+    at, one = F.lit(0).alias("created_at"), F.lit(1).alias("owner_id")
+    key, nkey = F.col("s_suppkey"), F.col("n_nationkey")
+    rows = canonical.outbox_events(
+        s.select(key.alias("entity_id"), F.col("s_nationkey").alias("owner_id"), F.lit("firm").alias("entity_type"), F.col("s_name").alias("canonical_name"), F.array(F.lower("s_name")).alias("aliases"), at),
+        n.select(nkey.alias("relationship_id"), one, nkey.alias("source_entity_id"), F.col("n_regionkey").alias("target_entity_id"), F.lit("IN_REGION").alias("relationship_type"), at),
+        c.select(F.col("c_custkey").alias("claim_id"), F.col("c_nationkey").alias("owner_id"), F.col("c_custkey").alias("subject_entity_id"), F.lit("segment").alias("predicate"),
+                 F.col("c_mktsegment").alias("object_value"), F.lit("active").alias("status"), (F.col("c_custkey") % 10 / 10.0).alias("confidence"), at),
+        r.select(F.col("r_regionkey").alias("finding_id"), one, F.col("r_regionkey").alias("existing_claim_id"), (F.col("r_regionkey") + 1).alias("conflicting_claim_id"),
+                 F.col("r_name").alias("summary"), F.lit("{}").alias("evidence"), at),
+        n.select(nkey.alias("entity_id"), one, F.col("n_name").alias("alias"), F.col("n_regionkey").alias("source_proposal_id"), at),
+        s.select(key.alias("target_entity_id"), (key + 1).alias("source_entity_id"), F.col("s_nationkey").alias("owner_id"), at))
+    return rows.select("event_id", "event_type", "aggregate_id", "payload")

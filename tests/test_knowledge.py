@@ -370,3 +370,19 @@ def test_fuzzy_matches_of_every_length_equal_brute_force(spark):
     want = scored.withColumn("rank", F.row_number().over(Window.partitionBy("name").orderBy(F.desc("score"), "canonical_name", "index_id"))).filter("rank <= 5")
     columns = ["name", "index_id", "rank"]
     assert sorted(map(tuple, got.select(*columns).collect())) == sorted(map(tuple, want.select(*columns).collect()))
+
+
+def test_merges_move_claims_relationships_and_later_references(spark):
+    entities = spark.createDataFrame([(i, "o", "t", n, [], "active") for i, n in (("a", "A"), ("b", "B"), ("c", "C"), ("d", "D"))],
+                                     "entity_id string, owner_id string, entity_type string, canonical_name string, aliases array<string>, status string")
+    final = canonical.merge_map(entities, spark.createDataFrame([("c", "b", 1, "1"), ("b", "a", 2, "2")], "source string, target string, created_at int, merge_id string"))
+    claims = spark.createDataFrame([("1", "c"), ("2", "a"), ("3", None), ("4", "gone")], "claim_id string, subject_entity_id string")
+    assert {r["claim_id"]: r["subject_entity_id"] for r in canonical.repoint_claims(claims, final).collect()} == {"1": "a", "2": "a", "3": None, "4": "gone"}
+    rows = [("1", "o", "c", "d", "R", "active"), ("2", "o", "a", "d", "R", "active"), ("3", "o", "b", "c", "R", "active"), ("4", "o", "d", "d", "R", "active"), ("0", "o", "b", "d", "R", "deleted"), ("5", "o", "a", "d", "S", "active")]
+    relations = spark.createDataFrame(rows, "relationship_id string, owner_id string, source_entity_id string, target_entity_id string, relationship_type string, status string")
+    got = {r["relationship_id"]: (r["source_entity_id"], r["target_entity_id"], r["status"]) for r in canonical.repoint_relationships(relations, final).collect()}
+    assert got == {"0": ("a", "d", "deleted"), "1": ("a", "d", "active"), "2": ("a", "d", "superseded"), "3": ("a", "a", "merged"), "4": ("d", "d", "active"), "5": ("a", "d", "active")}
+    proposals = spark.createDataFrame([("p", "o", "r", 1, "C", json.dumps({"local_id": "x", "entity_type": "t", "name": "C"}))], "proposal_id string, owner_id string, run_id string, created_at int, title string, payload string")
+    refs = spark.createDataFrame([("o", "r", "x")], "owner_id string, run_id string, ref string")
+    assert canonical.resolve_refs(refs, "ref", proposals, entities).first()["entity_id"] == "c"
+    assert canonical.resolve_refs(refs, "ref", proposals, entities, final).first()["entity_id"] == "a"

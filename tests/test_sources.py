@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from knowloom.functions.hashing import fingerprint
 from knowloom.operators import changes, chunking, triage
-from knowloom.sources import content, discovery, folder, landed, sinks
+from knowloom.sources import content, discovery, folder, landed, sinks, snapshots
 
 
 def test_folder_scan(spark, tmp_path):
@@ -190,3 +190,22 @@ def test_upsert_and_snapshots(spark, tmp_path):
     sinks.write_snapshot(out, path)
     sinks.append_table(new, path)
     assert spark.read.parquet(path).count() == 5
+
+
+def test_bucketed_upsert_moves_changes_only(spark, tmp_path):
+    old = spark.createDataFrame([(i, f"n{i}", 1) for i in range(200)], "id long, name string, seen int")
+    first = snapshots.write(old, str(tmp_path / "1"), ("id",), 4)
+    new = spark.createDataFrame([(5, "five", 2), (500, "new", 2), (7, None, 2)], "id long, name string, seen int")
+    second = snapshots.upserted(first, new, str(tmp_path / "2"), keep=("seen",))
+    rows = {r["id"]: (r["name"], r["seen"]) for r in second.read(spark).collect()}
+    assert len(rows) == 201 and rows[5] == ("five", 1) and rows[500] == ("new", 2) and rows[7] == (None, 1) and rows[6] == ("n6", 1)
+    assert first.read(spark).count() == 200
+    merged = sinks.upsert(first.read(spark), new.repartition(4, "id"), ["id"])
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = merged._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning") == 1, plan
