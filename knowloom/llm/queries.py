@@ -130,14 +130,15 @@ ORACLES: dict[str, str] = {
     "op8_mixing": """
         WITH RECURSIVE a AS (SELECT source, greatest(sum(length(coalesce(text, ''))), 1)::DOUBLE AS amount FROM documents GROUP BY 1),
         t AS (SELECT sum(pow(amount, 0.7)) AS w, sum(amount) AS a FROM a),
-        r AS (SELECT source, round(least((t.a / t.w) * pow(amount, 0.7) / amount, 16.0), 9) AS rate FROM a, t),
+        w AS (SELECT source, round((t.a / t.w) * pow(amount, 0.7) / amount, 9) AS whole FROM a, t),
+        r AS (SELECT source, whole, greatest(ceil(whole / 16.0), 1)::BIGINT AS parts, whole / greatest(ceil(whole / 16.0), 1) AS rate FROM w),
         terms(source, rate, k, p, c) AS (
             SELECT source, rate, 0, exp(-rate), exp(-rate) FROM r
             UNION ALL SELECT source, rate, k + 1, p * rate / (k + 1), c + p * rate / (k + 1) FROM terms WHERE k < 80),
-        cdf AS (SELECT source, rate, list(c ORDER BY k) AS cs FROM terms GROUP BY 1, 2),
-        drawn AS (SELECT d.doc_id, d.source, rate,
-                         least(80, len(list_filter(cs, lambda c: c <= ('0x' || substr(md5('1|' || d.doc_id || '|' || d.source), 1, 13))::BIGINT / 4503599627370496.0))) AS n
-                  FROM documents d JOIN cdf ON d.source = cdf.source)
+        cdf AS (SELECT source, list(c ORDER BY k) AS cs FROM terms GROUP BY 1),
+        drawn AS (SELECT d.doc_id, d.source, whole AS rate, list_sum(list_transform(range(1, parts + 1), lambda i: least(80, len(list_filter(cs, lambda c:
+                         c <= ('0x' || substr(md5(CASE WHEN parts = 1 THEN '1' ELSE '1.' || i END || '|' || d.doc_id || '|' || d.source), 1, 13))::BIGINT / 4503599627370496.0))))) AS n
+                  FROM documents d JOIN cdf ON d.source = cdf.source JOIN r ON r.source = d.source)
         SELECT doc_id, source, copy::INTEGER AS copy, rate AS mix_rate, md5('1|' || doc_id || '|' || copy) AS mix_key
         FROM (SELECT doc_id, source, rate, unnest(range(1, n::BIGINT + 1)) AS copy FROM drawn)""",
 }
