@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from knowloom.operators import canonical, chunking, dictionary, extraction, resolution, review
+from knowloom.operators import canonical, chunking, dictionary, extraction, metrics, resolution, review
 from knowloom.plans.registry import query
 from knowloom.plans.sql import CHUNKS, CLAIMS, DECISIONS, EVIDENCE, PROPOSALS, VERSIONS, strip
 from knowloom.plans.tables import Tables, joined
@@ -762,3 +762,28 @@ def outbox_payloads(t: Tables) -> DataFrame:
         n.select(nkey.alias("entity_id"), one, F.col("n_name").alias("alias"), F.col("n_regionkey").alias("source_proposal_id"), at),
         s.select(key.alias("target_entity_id"), (key + 1).alias("source_entity_id"), F.col("s_nationkey").alias("owner_id"), at))
     return rows.select("event_id", "event_type", "aggregate_id", "payload")
+
+
+@query("""WITH e AS (SELECT l_orderkey AS version_id, l_partkey % 3 AS local_id, l_suppkey % 4 AS subject FROM lineitem WHERE l_orderkey % 5 <> 0),
+v AS (SELECT version_id, count(*) > count(DISTINCT local_id) OR bool_or(subject NOT IN (SELECT x.local_id FROM e x WHERE x.version_id = e.version_id)) AS bad FROM e GROUP BY 1),
+o AS (SELECT o_orderkey AS version_id, bad, CASE WHEN bad THEN 0 ELSE o_orderkey % 4 END AS n FROM orders LEFT JOIN v ON v.version_id = o_orderkey)
+SELECT 'nightly' AS run_id, CASE WHEN count(*) FILTER (bad) > 0 AND count(*) FILTER (NOT bad) > 0 THEN 'partial' WHEN count(*) FILTER (bad) > 0 THEN 'failed' ELSE 'completed' END AS status,
+  count(*) AS versions, count(*) FILTER (NOT bad) AS completed, count(*) FILTER (bad) AS failed, count(*) FILTER (bad IS NULL) AS skipped, true AS timed FROM o""")
+def measured_run(t: Tables) -> DataFrame:
+    """A run over the orders, of which some have no result and many an invalid one; counted and timed while its ledger is written."""
+    item = F.struct("l_linenumber", "l_partkey", "l_suppkey")
+    lines = t.raw("lineitem").filter("l_orderkey % 5 <> 0").groupBy(F.col("l_orderkey").alias("version_id")).agg(F.sort_array(F.collect_list(item)).alias("x"))
+
+    def name(c: Column) -> Column:
+        return F.concat(F.lit("p"), c.cast("string"))
+
+    claims = F.transform("x", lambda x, i: F.struct(F.concat(F.lit("c"), i.cast("string")).alias("local_id"), name(x["l_suppkey"] % 4).alias("subject_local_id")))
+    none = "cast(array() as array<struct<local_id:string,source_local_id:string,target_local_id:string>>)"
+    results = extraction.validate(lines.select(
+        "version_id", F.lit(extraction.SCHEMA_VERSION).alias("schema_version"), F.transform("x", lambda x: F.struct(name(x["l_partkey"] % 3).alias("local_id"))).alias("entities"),
+        claims.alias("claims"), *[F.expr(none).alias(c) for c in ("relationships", "tasks", "decisions", "events")]))
+    versions = t.raw("orders").select(F.col("o_orderkey").alias("version_id"))
+    proposals = versions.select("version_id", F.lit(True).alias("requires_review"))
+    out = work_folder(t.spark, "measured")
+    row = metrics.write_measured(extraction.run_ledger(versions, results, proposals), out, "nightly")
+    return row.select("run_id", "status", "versions", "completed", "failed", "skipped", (F.col("latency_ms") > 0).alias("timed"))

@@ -1,11 +1,12 @@
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType
 
-from knowloom.operators import canonical, extraction, graph, triage
+from knowloom.operators import canonical, extraction, graph, metrics, triage
 from knowloom.streaming import jobs
 
 
@@ -161,3 +162,34 @@ def test_change_log_of_a_hot_object_and_nulls(spark, tmp_path):
     got = jobs.read_changes(spark, str(tmp_path)).collect()
     assert sum(r["object_id"] == "hot" for r in got) == 2000
     assert sorted(r["seq"] for r in got if r["object_id"] == "n") == [1, 2, 3]
+
+
+LEDGER_ROW = "version_id string, status string, proposals_created long, requires_review_count long, error_summary string"
+
+
+def test_run_metrics_come_from_the_writing_pass(spark, tmp_path):
+    rows = [("a", "completed", 3, 1, None), ("b", "failed", 0, 0, "broken"), ("c", "skipped", 0, 0, None), ("d", "failed", 0, 0, "worse")]
+    row = metrics.write_measured(spark.createDataFrame(rows, LEDGER_ROW), str(tmp_path / "run"), "r1").first()
+    assert (row["status"], row["versions"], row["completed"], row["failed"], row["skipped"], row["proposals_created"], row["requires_review_count"]) == ("partial", 4, 1, 2, 1, 3, 1)
+    assert row["first_error"] == "b: broken" and row["latency_ms"] > 0 and spark.read.parquet(str(tmp_path / "run")).count() == 4
+    empty = metrics.write_measured(spark.createDataFrame([], LEDGER_ROW), str(tmp_path / "none"), "r2").first()
+    assert (empty["status"], empty["versions"], empty["first_error"]) == ("completed", 0, None)
+
+
+def test_stream_listener_writes_a_ledger_row_per_batch(spark, tmp_path):
+    src = str(tmp_path / "in")
+    for i, status in enumerate(("completed", "failed")):
+        spark.createDataFrame([(f"v{i}", status, 1, 0, "e")] * (i + 1), LEDGER_ROW).coalesce(1).write.parquet(f"{src}/p{i}")
+    listener = metrics.LedgerListener()
+    spark.streams.addListener(listener)
+    try:
+        stream = metrics.measured_stream(jobs.read_files(spark, f"{src}/*", LEDGER_ROW, max_files=1))
+        stream.writeStream.queryName("ledger").format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+        for _ in range(100):
+            if len(listener.rows) == 2:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    got = {(r["run_id"], r["status"], r["versions"]) for r in listener.ledger(spark).collect()}
+    assert got == {("ledger/0", "completed", 1), ("ledger/1", "failed", 2)} or got == {("ledger/0", "failed", 2), ("ledger/1", "completed", 1)}
