@@ -113,7 +113,7 @@ def token_rows(docs: DataFrame, path: str, end_id: int, spaces: str) -> DataFram
     def run(batches):
         part = TaskContext.get().partitionId()
         done: dict[str | None, int] = {}
-        for batch in batches:
+        for batch in tokens.slices(batches):
             ids, code = tokens.encode_all(path, batch.column(2).to_pylist(), spaces)
             end = array(code, [end_id]).tobytes()
             width = len(end)
