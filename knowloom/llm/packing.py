@@ -139,7 +139,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, window: int = WINDOW, targ
     Each source is a queue; ``targets`` are token shares (a source without one takes its own share of all tokens, the
     default for all, which keeps every window at the corpus mixture to the end). A queue that runs empty leaves its
     share to the others. More sources than ``max_queues`` are hashed onto that many queues, so the plan that tasks get
-    stays bounded. A null text is empty: its only id is ``end_id``. Null ids, null sources and repeated rows are packed
+    stays bounded; sources named in ``targets`` keep a queue of their own. A null text is empty: its only id is ``end_id``. Null ids, null sources and repeated rows are packed
     like any other; an empty table gives no piece. Whole texts are encoded once and written as ids; the second pass
     reads them, places each document by its queue position and cuts it, without a shuffle of ids.
     """
@@ -148,8 +148,10 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, window: int = WINDOW, targ
     sizes = rows.groupBy("source", "part").agg(F.sum("n").alias("n"))
     many = not is_small(sizes.select("source").distinct(), max_queues)
     queue = F.concat(F.lit("#"), F.pmod(F.xxhash64("source"), F.lit(max_queues))) if many else F.col("source")
+    if many and targets:
+        queue = F.when(F.col("source").isin(*targets), F.col("source")).otherwise(queue)
     sizes = materialize(sizes.withColumn("queue", queue), "packing-sizes")
-    found = sizes.groupBy("queue").agg(F.sum("n").alias("n")).orderBy("queue").collect()  # at most max_queues + 1 rows
+    found = sizes.groupBy("queue").agg(F.sum("n").alias("n")).orderBy("queue").collect()  # at most max_queues + 1 rows and one for each target
     names = [r["queue"] for r in found]
     totals = [int(r["n"]) for r in found]
     everything = max(1, sum(totals))

@@ -346,7 +346,7 @@ def plain_ids(name, end):
     return [(r[0], np.array([*t.encode(r[1] or "", add_special_tokens=False).ids, end], "<u4")) for r in rows()]
 
 
-@pytest.mark.parametrize("targets, max_queues", [(None, 1024), ({"s0": 0.2, "s1": 0.7, "s2": 0.1}, 1024), (None, 2)])
+@pytest.mark.parametrize("targets, max_queues", [(None, 1024), ({"s0": 0.2, "s1": 0.7, "s2": 0.1}, 1024), (None, 2), ({"s1": 0.6}, 2)])
 def test_packing(docs, nothing, targets, max_queues):
     path = queries.vocabulary(queries.WORD_BPE)
     got = packing.pack(docs, path, window=64, targets=targets, spaces=tokens.DROPPED, max_queues=max_queues).collect()
@@ -354,6 +354,17 @@ def test_packing(docs, nothing, targets, max_queues):
     assert packing.pack(nothing, path).count() == 0
 
 
+def test_targets_hold_beyond_the_queue_bound(spark):
+    rows = [(i, prose(30, 1000 + i % 7), f"s{i % 60}") for i in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = packing.pack(df, queries.vocabulary(queries.WORD_BPE), window=64, targets={"s3": 0.5}, spaces=tokens.DROPPED, max_queues=4).collect()
+    total = sum(r["length"] for r in got)
+    mine = sum(r["length"] for r in got if r["source"] == "s3")
+    share = 0.5 / (0.5 + 1 - mine / total)
+    early = [r for r in got if r["sequence_id"] < 0.8 * mine / (64 * share)]
+    assert abs(sum(r["length"] for r in early if r["source"] == "s3") / sum(r["length"] for r in early) - share) < 0.02
+
+
 def test_mixture_plan_keeps_to_targets():
     plan = packing.MixturePlan([50_000, 30_000, 400, 20_000], [0.5, 0.3, 0.05, 0.15], 128)
     position = np.concatenate([np.arange(0, t, 50) for t in (50_000, 30_000, 400, 20_000)])
