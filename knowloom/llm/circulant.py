@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from knowloom.functions.skew import hot_join, is_small, small_side
+from knowloom.llm.profiles import Profiles, set_profile
 from knowloom.llm.shared import connected_components, materialize
 from knowloom.llm.simhash import shingle_hashes
 
 BANDS, ROWS = 32, 4
 #: Of 128 pairs of 2-bit coordinates 112 or 114 agree on average at similarity 0.85; 44 or more differ with probability below 1e-15.
 MOST_DIFFER = 44
-BLOCK = 1024
+BLOCK = 512
 _SHIFTS = np.arange(1, BANDS * ROWS + 1, dtype=np.uint32)[:, None]
 _COLUMNS = 512
 _SIGMA = (np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35))
@@ -95,23 +96,30 @@ def _prints(base: DataFrame, words: int) -> DataFrame:
     return base.select("_id", "_row", F.col("_text").cast("binary")).mapInArrow(nonempty, schema)
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, base: DataFrame, words: int, percent: int) -> DataFrame:
-    """Of pairs (a, b) of nodes those whose whole sets have the similarity. Sets are made again from the texts of the asked nodes only."""
-    pairs = materialize(pairs, "circulant-pairs")
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    asked = materialize(hot_join(nodes, asked, ["node"], "left_semi").select("node", "row", "d0", "d1"), "circulant-asked")
-    texts = base.select("_row", "_text").join(small_side(asked, is_small(asked)), F.col("_row") == F.col("row"))
+def _of_nodes(asked: DataFrame, base: DataFrame, words: int, make, kind: str, name: str) -> DataFrame:
+    """node and ``make`` of its whole shingle set, which is made again from a text of the node. ``asked``: node, row, d0, d1."""
 
     def run(batches):
         for batch in batches:
             sets = [shingle_set(t.as_py(), words) for t in batch.column(3)]
             # Other rows may share the 64-bit row name; the digest tells whose text it is.
             mine = pa.array([_digest(x) == (a, b) for x, a, b in zip(sets, batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["node", "shingles"]).filter(mine)
+            made = pa.array([make(x) for x in sets], pa.list_(pa.int64()) if kind == "array<long>" else pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), made], ["node", "made"]).filter(mine)
+
+    asked = materialize(asked, "circulant-asked")
+    texts = base.select("_row", "_text").join(small_side(asked, is_small(asked)), F.col("_row") == F.col("row"))
+    made = texts.select("node", "d0", "d1", F.col("_text").cast("binary")).mapInArrow(run, f"node long, made {kind}")
+    return materialize(made.dropDuplicates(["node"]), name)
+
 
-    sets = texts.select("node", "d0", "d1", F.col("_text").cast("binary")).mapInArrow(run, "node long, shingles array<long>")
-    sets = materialize(sets.dropDuplicates(["node"]), "circulant-sets")
-    compared = hot_join(hot_join(pairs, sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), ["b"]), sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), ["a"])
+def _verified(pairs: DataFrame, nodes: DataFrame, base: DataFrame, words: int, percent: int) -> DataFrame:
+    """Of pairs (a, b) of nodes those whose whole sets have the similarity."""
+    pairs = materialize(pairs, "circulant-pairs")
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    asked = hot_join(nodes, asked, ["node"], "left_semi").select("node", "row", "d0", "d1")
+    sets = _of_nodes(asked, base, words, lambda x: x.view(np.int64), "array<long>", "circulant-sets")
+    compared = hot_join(hot_join(pairs, sets.select(F.col("node").alias("b"), F.col("made").alias("y")), ["b"]), sets.select(F.col("node").alias("a"), F.col("made").alias("x")), ["a"])
     both = F.size(F.array_intersect("x", "y"))
     return materialize(compared.filter(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b"), "circulant-links")
 
@@ -137,38 +145,51 @@ def _open(met: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _cells(percent: int):
-    """Pairs of different parts in a cell: of rows with side 0 among themselves, or of side 0 with side 1 where there is a side 1."""
+    """Pairs of different parts in a cell: of rows with side 0 among themselves, or of side 0 with side 1 where there is a side 1.
+
+    A pair leaves the bucket of the first band that its sets share, and no other.
+    """
 
     def run(batches):
         for batch in batches:
-            for cell in batch.column(0):
+            for key, cell in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 rows = cell.as_py()
+                keys = np.array([r["keys"] for r in rows], np.int64)
                 side, node, part, n = (np.array([r[k] for r in rows], np.int64) for k in ("side", "node", "part", "n"))
                 words = np.array([[r[s] for s in _SKETCH] for r in rows], np.int64).view(np.uint64)
+                profiles = Profiles([r["made"] for r in rows])
                 crossing = bool(side.any())
                 others = np.flatnonzero(side == 1) if crossing else np.arange(len(node))
                 for i in np.flatnonzero(side == 0).tolist():
                     to = others if crossing else others[i + 1:]
                     x = words[to] ^ words[i]
                     differ = np.bitwise_count(x[:, :2] | x[:, 2:]).sum(axis=1)
-                    ok = (part[to] != part[i]) & (differ <= MOST_DIFFER) & (100 * np.minimum(n[to], n[i]) >= percent * np.maximum(n[to], n[i]))
-                    b = node[to[ok]]
+                    to = to[(part[to] != part[i]) & (differ <= MOST_DIFFER) & (100 * np.minimum(n[to], n[i]) >= percent * np.maximum(n[to], n[i]))]
+                    same = keys[to] == keys[i]
+                    to = to[keys[i][same.argmax(axis=1)] == key]
+                    most = profiles.most_shared(i, to)
+                    b = node[to[100 * most >= percent * (n[to] + n[i] - most)]]
                     if len(b):
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(b, node[i])), pa.array(np.maximum(b, node[i]))], ["a", "b"])
 
     return run
 
 
-def _crossing(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """All possible pairs of different parts in open buckets; a bucket of over BLOCK members is cut into cells of two blocks."""
-    rows = hot_join(members, nodes.select("node", "n", *_SKETCH), ["node"])
+def _crossing(members: DataFrame, nodes: DataFrame, base: DataFrame, words: int, percent: int) -> DataFrame:
+    """All possible pairs of different parts in open buckets; a bucket of over BLOCK members is cut into cells of two blocks.
+
+    Profiles bound the intersections so closely that few pairs leave a cell which do not have the similarity.
+    """
+    asked = hot_join(nodes, members.select("node").distinct(), ["node"], "left_semi")
+    made = _of_nodes(asked.select("node", "row", "d0", "d1"), base, words, set_profile, "binary", "circulant-profiles")
+    rows = hot_join(members, hot_join(nodes.select("node", "n", *_SKETCH, "keys"), made, ["node"]), ["node"])
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     rows = rows.withColumn("i", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    row = F.struct(F.when(F.col("i") > F.col("j"), 1).otherwise(0).alias("side"), "node", "part", "n", *_SKETCH)
+    row = F.struct(F.when(F.col("i") > F.col("j"), 1).otherwise(0).alias("side"), "node", "part", "n", *_SKETCH, "keys", "made")
     cells = rows.groupBy("key", F.least("i", "j").alias("u"), F.greatest("i", "j").alias("v")).agg(F.collect_list(row).alias("rows"))
     # A cell of two different blocks needs both; one of a block with itself has side 0 alone.
     cells = cells.filter((F.col("u") == F.col("v")) | (F.exists("rows", lambda r: r["side"] == 0) & F.exists("rows", lambda r: r["side"] == 1)))
-    return cells.select("rows").mapInArrow(_cells(percent), "a long, b long").distinct()
+    return cells.select("key", "rows").mapInArrow(_cells(percent), "a long, b long").distinct()
 
 
 def minhash_classes(docs: DataFrame, words: int = 3, percent: int = 85) -> DataFrame:
@@ -180,8 +201,8 @@ def minhash_classes(docs: DataFrame, words: int = 3, percent: int = 85) -> DataF
 
     Equal sets are one node, named by a 128-bit digest. Circulant MinHash: one permutation places the shingles, a second
     one, shifted by k, gives coordinate k. 32 bands of 4 of the 128 coordinates miss a pair of similarity 0.85 with
-    probability 5e-11; pairs of a bucket are dropped early only by their set sizes or by 2-bit sketches that similar
-    pairs fail with probability below 1e-15. All links are confirmed on full sets. Members of a bucket are first compared
+    probability 5e-11; pairs of a bucket are dropped early only by bounds on their whole sets (sizes, profiles) or by
+    2-bit sketches that similar pairs fail with probability below 1e-15. All links are confirmed on full sets. Members of a bucket are first compared
     with one or two of them, so that a group of near copies joins with few comparisons; then all pairs of members that are
     not yet connected are compared.
 
@@ -208,7 +229,7 @@ def minhash_classes(docs: DataFrame, words: int = 3, percent: int = 85) -> DataF
         opened = _open(met, links)
         pivots = opened.groupBy("key").agg(F.max_by("node", F.xxhash64("node", "key")).alias("with"), F.max_by("part", F.xxhash64("node", "key")).alias("_with"))
         members = hot_join(opened, pivots, ["key"]).filter("part <> _with")
-    links = links.union(_verified(_crossing(opened, nodes, percent), nodes, base, words, percent))
+    links = links.union(_verified(_crossing(opened, nodes, base, words, percent), nodes, base, words, percent))
 
     parts = connected_components(links)
     classes = hot_join(nodes.select("node", "id", "d0", "d1"), parts, ["node"], "left").withColumn("part", F.coalesce("component", "node"))

@@ -164,7 +164,7 @@ def brute_classes(rows):
     return out
 
 
-@pytest.mark.parametrize("block", [1024, 8])
+@pytest.mark.parametrize("block", [512, 8])
 def test_minhash_classes(spark, monkeypatch, block):
     monkeypatch.setattr(circulant, "BLOCK", block)
     rng = random.Random(4)
@@ -198,6 +198,21 @@ def test_circulant_signatures_estimate_similarity():
     assert len(np.unique(circulant._permute(np.arange(1 << 20, dtype=np.uint32), circulant._PI))) == 1 << 20
 
 
+def test_profiles_bound_intersections():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (1, 5, 60, 64, 200, 3000)]
+    sets += [np.unique(np.concatenate([sets[4][:150], sets[2]])), np.unique(np.concatenate([sets[5][:2800], sets[4]])), np.arange(700, dtype=np.uint64) << np.uint64(32)]
+    profiles = circulant.Profiles([circulant.set_profile(x) for x in sets])
+    for i, x in enumerate(sets):
+        most = profiles.most_shared(i, np.arange(len(sets)))
+        real = np.array([len(np.intersect1d(x, y)) for y in sets])
+        assert (most >= real).all()
+        if i in (4, 5):
+            assert most[i + 2] <= real[i + 2] + 0.02 * len(x) + 20 and most[i] == len(x)
+
+
 def test_minhash_of_nothing(spark):
     assert circulant.minhash_classes(documents(spark, [])).count() == 0
 
