@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from knowloom.functions.skew import hot_join, is_small, small_side
+from knowloom.llm.profiles import Profiles, set_profile
 from knowloom.llm.shared import connected_components, materialize
 
 MAX_BUCKET = 8192
@@ -204,14 +205,15 @@ def _frequent(base: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], counts[order]
 
 
-def _prefixes(base: DataFrame, words: int, similarity: float) -> DataFrame:
-    """node, id, digest of the shingle set (null if empty), its size n, and the first n - ceil(similarity n) + 1 shingles, rare ones first."""
+def _prefixes(base: DataFrame, words: int, similarity: float, all_up_to: int) -> DataFrame:
+    """node, id, digest of the shingle set (null if empty), its size n and profile, and the first n - ceil(similarity n) + 1 shingles,
+    rare ones first; ``often`` marks those known to be in more than ``all_up_to`` sets."""
     common = base.sparkSession.sparkContext.broadcast(_frequent(base, words))
 
     def run(batches):
         tokens, counts = common.value
         for batch in batches:
-            digests, sizes, heads = [], [], []
+            digests, sizes, heads, often, profiles = [], [], [], [], []
             for t in batch.column(2):
                 x = np.unique(shingle_hashes(t.as_py() or b"", words, 1).astype(np.uint32))
                 rank = np.zeros(len(x), np.int64)
@@ -221,13 +223,16 @@ def _prefixes(base: DataFrame, words: int, similarity: float) -> DataFrame:
                 keep = len(x) - math.ceil(similarity * len(x) - 1e-9) + 1 if len(x) else 0
                 digests.append(np.uint64(xxhash.xxh64_intdigest(x.tobytes(), 9)).astype(np.int64).item() if len(x) else None)
                 sizes.append(len(x))
-                heads.append(x[np.lexsort((x, rank))[:keep]].view(np.int32))
+                first = np.lexsort((x, rank))[:keep]
+                heads.append(x[first].view(np.int32))
+                often.append(rank[first] > all_up_to)
+                profiles.append(set_profile(x))
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(1), pa.array(digests, pa.int64()), pa.array(sizes, pa.int32()), pa.array(heads, pa.list_(pa.int32()))],
-                ["node", "id", "digest", "n", "head"])
+                batch.column(0), batch.column(1), pa.array(digests, pa.int64()), pa.array(sizes, pa.int32()), pa.array(heads, pa.list_(pa.int32())),
+                pa.array(often, pa.list_(pa.bool_())), pa.array(profiles, pa.binary())], ["node", "id", "digest", "n", "head", "often", "profile"])
 
     rows = base.select("node", "id", F.col("text").cast("binary"))
-    return materialize(rows.mapInArrow(run, "node long, id long, digest long, n int, head array<int>"), "near-heads")
+    return materialize(rows.mapInArrow(run, "node long, id long, digest long, n int, head array<int>, often array<boolean>, profile binary"), "near-heads")
 
 
 def _possible(n1, p1, n2, p2, similarity: float):
@@ -259,39 +264,93 @@ def _meet(similarity: float, all_up_to: int):
             yield out(token[s:s + length], node[s:s + length], np.full(length, None), n[s:s + length], p[s:s + length])
 
     def run(batches):
-        held = None
+        held, passing = None, None
         for batch in batches:
             now = [np.asarray(c) for c in batch.columns]
             if not len(now[0]):
                 continue
             held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
+            if passing is not None:
+                # Rows of a token that is already known to be in many sets leave as they come.
+                more = int(np.searchsorted(held[0], passing, side="right"))
+                if more:
+                    token, node, n, p = (c[:more] for c in held)
+                    yield out(token, node, np.full(more, None), n, p)
+                held = [c[more:] for c in held]
+            if not len(held[0]):
+                continue
             cut = int(np.searchsorted(held[0], held[0][-1]))  # the last token may go on
             if cut:
                 yield from whole(*[c[:cut] for c in held])
                 held = [c[cut:] for c in held]
-        if held is not None:
+            passing = None
+            if len(held[0]) > all_up_to:
+                passing = held[0][0]
+                yield from whole(*held)
+                held = [c[:0] for c in held]
+        if held is not None and len(held[0]):
             yield from whole(*held)
 
     return run
 
 
-def _block_pairs(similarity: float):
-    """Possible pairs of different parts in two blocks of one token's sets."""
+def _cell_pairs(similarity: float):
+    """Possible pairs of different parts in a cell: among its rows of side 0, or of side 0 with side 1 where there is a side 1."""
 
     def run(batches):
         for batch in batches:
-            for blocks in batch.column(0):
-                rows = blocks.as_py()
-                node, part, n, p = (np.array([r[k] for r in rows], np.int64) for k in ("a", "part", "n", "p"))
-                for i in range(len(node) - 1):
-                    ok = (part[i + 1:] != part[i]) & _possible(n[i], p[i], n[i + 1:], p[i + 1:], similarity)
-                    b = node[i + 1:][ok]
+            for cell in batch.column(0):
+                rows = cell.as_py()
+                side, node, part, n, p = (np.array([r[k] for r in rows], np.int64) for k in ("side", "a", "part", "n", "p"))
+                profiles = Profiles([r["profile"] for r in rows])
+                crossing = bool(side.any())
+                for i in np.flatnonzero(side == 0).tolist():
+                    to = np.flatnonzero(side == 1) if crossing else np.arange(i + 1, len(node))
+                    to = to[(part[to] != part[i]) & _possible(n[i], p[i], n[to], p[to], similarity)]
+                    most = profiles.most_shared(i, to)
+                    b = node[to[most >= similarity * (n[i] + n[to] - most) - 1e-9]]
                     if len(b):
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(b, node[i])), pa.array(np.maximum(b, node[i]))], ["a", "b"])
 
     return run
 
 
+def _crossing(rows: DataFrame, heads: DataFrame, similarity: float, block: int) -> DataFrame:
+    """Possible pairs (a, b) of different parts under one token, from rows (token, a, n, p, part).
+
+    Alike sets differ in size by the similarity at most, so they fall into the same or adjacent size classes. The sets of a
+    token and class are dealt to blocks of about ``block``; a cell compares a block with itself, with a later block of its
+    class, or with one of the next class, so that every pair meets once a token. Pairs leave a cell only if the position of the
+    token and the profiles of both sets allow the similarity.
+    """
+    size_class = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(similarity)) + 1e-9).cast("int")
+    profiles = heads.filter("digest is not null").groupBy("digest").agg(F.first("profile").alias("profile"))
+    rows = hot_join(rows.select("token", "a", "n", "p", "part", size_class.alias("c")), profiles.withColumnRenamed("digest", "a"), ["a"])
+    blocks = rows.groupBy("token", "c").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("k"))
+    before = blocks.select("token", (F.col("c") + 1).alias("c"), F.col("k").alias("k_before"))
+    after = blocks.select("token", (F.col("c") - 1).alias("c"), F.col("k").alias("k_after"))
+    counted = blocks.join(before, ["token", "c"], "left").join(after, ["token", "c"], "left").na.fill(0, ["k_before", "k_after"])
+    mine = hot_join(rows, counted, ["token", "c"]).withColumn("i", F.pmod(F.xxhash64("a"), F.col("k")).cast("int"))
+
+    def cell(c, d, u, v, side):
+        return F.struct(c.cast("int").alias("c"), d.cast("int").alias("d"), u.cast("int").alias("u"), v.cast("int").alias("v"), side.cast("int").alias("side"))
+
+    def each(k, make):
+        return F.when(k > 0, F.transform(F.sequence(F.lit(0), k - 1), make)).otherwise(F.array().cast("array<struct<c:int,d:int,u:int,v:int,side:int>>"))
+
+    c, i = F.col("c"), F.col("i")
+    own = each(F.col("k"), lambda j: cell(c, c, F.least(i, j), F.greatest(i, j), (i > j)))
+    up = each(F.col("k_after"), lambda j: cell(c, c + 1, i, j, F.lit(0)))
+    down = each(F.col("k_before"), lambda j: cell(c - 1, c, j, i, F.lit(1)))
+    dealt = mine.select("token", "a", "n", "p", "part", "profile", F.explode(F.concat(own, up, down)).alias("e"))
+    row = F.struct(F.col("e.side").alias("side"), "a", "part", "n", "p", "profile")
+    cells = dealt.groupBy("token", "e.c", "e.d", "e.u", "e.v").agg(F.collect_list(row).alias("rows"))
+    # A cell of two blocks needs both sides.
+    alone = (F.col("c") == F.col("d")) & (F.col("u") == F.col("v"))
+    cells = cells.filter(alone | (F.exists("rows", lambda r: r["side"] == 0) & F.exists("rows", lambda r: r["side"] == 1)))
+    return cells.select("rows").mapInArrow(_cell_pairs(similarity), "a long, b long")
+
+
 def _verified(pairs: DataFrame, base: DataFrame, heads: DataFrame, words: int, similarity: float) -> DataFrame:
     """Of pairs (a, b) of set digests those whose whole sets have the similarity."""
     pairs = materialize(pairs.distinct(), "near-pairs")
@@ -324,29 +383,29 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int
     sets share one among the first n - ceil(similarity n) + 1 of each (prefix filter). The order puts rare shingles
     first. Equal sets are one node. Every possible pair of a shingle in up to ``all_up_to`` sets is compared by whole
     sets. The sets of a more common one are first compared with up to four random members; pairs that this already
-    joins need no comparison, and all pairs of parts not yet joined are then compared, in blocks of about ``block`` sets.
+    joins need no comparison. All pairs of parts not yet joined then meet in cells of two blocks of about ``block`` sets,
+    where size, position and profile drop those that cannot be alike before they leave the task (see ``_crossing``).
 
     Null and wordless texts have an empty set and are never near copies. Rows that repeat id and text share their fate;
     null ids count as the largest. The columns of ``docs`` are returned as they are; an empty table stays empty.
     """
     node = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")))
     base = docs.select(node.alias("node"), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id"), "text")
-    heads = _prefixes(base, shingle, similarity)
-    each = heads.filter("digest is not null").select("digest", "n", F.posexplode("head").alias("p", "token")).select("token", "digest", "n", "p")
-    # Shingles of one set meet nothing, so most rows end here; they are sorted, not aggregated.
-    met = materialize(each.repartition("token").sortWithinPartitions("token").mapInArrow(_meet(similarity, all_up_to), "token int, a long, b long, n int, p int"), "near-met")
+    heads = _prefixes(base, shingle, similarity, all_up_to)
+    each = heads.filter("digest is not null").select("digest", "n", F.posexplode(F.arrays_zip("head", "often")).alias("p", "h"))
+    each = each.select(F.col("h.head").alias("token"), "digest", "n", "p", F.col("h.often").alias("often"))
+    # Shingles of one set meet nothing, so most rows end here; they are sorted, not aggregated. Those known to be frequent need no meeting.
+    met = materialize(each.filter("not often").select("token", "digest", "n", "p").repartition("token").sortWithinPartitions("token").mapInArrow(_meet(similarity, all_up_to), "token int, a long, b long, n int, p int"), "near-met")
     links = _verified(met.filter("b is not null").select("a", "b"), base, heads, shingle, similarity)
-    large = met.filter("b is null").select("token", "a", "n", "p").distinct()
+    large = met.filter("b is null").select("token", "a", "n", "p").union(each.filter("often").select("token", F.col("digest").alias("a"), "n", "p"))
+    large = large.distinct()
     if not large.isEmpty():
         rows = _open_tokens(large, links)
         pivots = rows.groupBy("token").agg(F.min_by("a", F.xxhash64("a", "token")).alias("b"))
         some = hot_join(rows, pivots, ["token"]).filter("a <> b").groupBy("a", F.pmod(F.xxhash64("token"), F.lit(4))).agg(F.min("b").alias("b"))
         links = links.union(_verified(some.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), base, heads, shingle, similarity))
         rows = _open_tokens(rows.select("token", "a", "n", "p"), links)
-        blocks = F.ceil(F.col("m") / block).cast("int")
-        mine = rows.withColumn("i", F.pmod(F.xxhash64("a"), blocks).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        met = mine.groupBy("token", F.least("i", "j").alias("u"), F.greatest("i", "j").alias("v")).agg(F.collect_list(F.struct("a", "part", "n", "p")).alias("rows"))
-        links = links.union(_verified(met.select("rows").mapInArrow(_block_pairs(similarity), "a long, b long"), base, heads, shingle, similarity))
+        links = links.union(_verified(_crossing(rows, heads, similarity, block), base, heads, shingle, similarity))
     parts = connected_components(links)
     names = heads.filter("digest is not null").select("node", "id", "digest")
     members = names.join(small_side(parts, is_small(parts)), names["digest"] == parts["node"], "left").select(
