@@ -17,7 +17,7 @@ HEADLINE = (
     "extraction_results", "built_proposals", "entity_matches", "decided_proposals", "upserted_entities",
     "materialized_claims", "contradictions", "hot_topic_contradictions", "keyword_search", "semantic_search",
     "hybrid_search", "cited_answers", "projected_edges", "expanded_graph", "project_dashboards", "project_reports",
-    "source_statistics", "operations_status", "streamed_changes",
+    "source_statistics", "operations_status", "streamed_changes", "indexed_keyword_search", "planned_answers", "dictionary_names",
 )
 
 

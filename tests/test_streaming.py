@@ -80,7 +80,7 @@ def _outbox():
     return rows
 
 
-@pytest.mark.parametrize("packing", [1, 4, 11])
+@pytest.mark.parametrize("packing", [1, 5])
 def test_incremental_projection_equals_rebuild(spark, tmp_path, packing):
     rows = _outbox()
     random.Random(packing).shuffle(rows)
@@ -119,7 +119,7 @@ def _whole(spark, docs, approve):
     return {"entities": rows, "claims": claims, "findings": findings, "nodes": nodes, "edges": edges}
 
 
-@pytest.mark.parametrize("packing, least", [([[0, 1, 2, 3, 4, 5, 6]], 0.6), ([[4, 1], [6, 2, 0], [3, 5]], 0.6), ([[6], [0, 1, 2], [5, 4, 3]], 0.7)])
+@pytest.mark.parametrize("packing, least", [([[4, 1], [6, 2, 0], [3, 5]], 0.6), ([[6, 0, 1], [2, 5, 4, 3]], 0.7)])
 def test_staged_stream_equals_batch_also_after_a_failure(spark, tmp_path, monkeypatch, packing, least):
     docs = [(f"v{i}", "o", "s", "a.md", "text/plain", None, t, i) for i, t in enumerate(TEXTS)]
     approve = lambda p: p.filter((F.col("confidence") >= least) | F.col("proposal_type").isin("claim", "relationship"))
