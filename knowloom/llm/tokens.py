@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 DROPPED = "dropped"  # white space is removed: words are encoded on their own
 LEADING = "leading"  # the space belongs to the word that follows
 WHOLE = "whole"  # nothing is known: texts are encoded as they are
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 LONGEST_WORD = 48
 GROUP_CHARS = 1 << 22
 #: Letters whose class no Unicode version disputes; punctuation that every pre-tokenizer here splits off after them.
@@ -165,7 +165,7 @@ def encoder(path: str, spaces: str = WHOLE) -> WordEncoder:
     return _LOADED[key]
 
 
-def slices(batches: Iterable[pa.RecordBatch], rows: int = 2048) -> Iterable[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 1024) -> Iterable[pa.RecordBatch]:
     """Parts of few rows, so that texts and ids of a whole batch are never held together."""
     for batch in batches:
         for a in range(0, batch.num_rows, rows):
