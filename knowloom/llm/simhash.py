@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from knowloom.functions.skew import hot_join, is_small, small_side
-from knowloom.llm.profiles import Profiles, set_profile
 from knowloom.llm.shared import connected_components, materialize
 
 MAX_BUCKET = 8192
@@ -167,14 +166,14 @@ def near_duplicate_classes(docs: DataFrame, words: int = 3, radius: int = 3, see
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """node, shingles: sorted different 32-bit hashes of the word shingles of ``docs`` (node, text)."""
+    """node, shingles: sorted different 32-bit hashes of the word shingles of ``docs`` (node, text), as little-endian bytes."""
 
     def run(batches):
         for batch in batches:
-            sets = [np.unique(shingle_hashes(t.as_py() or b"", words, 1).astype(np.uint32)).view(np.int32) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int32()))], ["node", "shingles"])
+            sets = [np.unique(shingle_hashes(t.as_py() or b"", words, 1).astype(np.uint32)).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "shingles"])
 
-    return docs.select("node", F.col("text").cast("binary")).mapInArrow(run, "node long, shingles array<int>")
+    return docs.select("node", F.col("text").cast("binary")).mapInArrow(run, "node long, shingles binary")
 
 
 def _frequent(base: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -206,16 +205,17 @@ def _frequent(base: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(base: DataFrame, words: int, similarity: float, all_up_to: int) -> DataFrame:
-    """node, id, digest of the shingle set (null if empty), its size n and profile, and the first n - ceil(similarity n) + 1 shingles,
+    """node, id, digest of the shingle set (null if empty), its size n and SimHash fp, and the first n - ceil(similarity n) + 1 shingles,
     rare ones first; ``often`` marks those known to be in more than ``all_up_to`` sets."""
     common = base.sparkSession.sparkContext.broadcast(_frequent(base, words))
 
     def run(batches):
         tokens, counts = common.value
         for batch in batches:
-            digests, sizes, heads, often, profiles = [], [], [], [], []
+            digests, sizes, heads, often, prints = [], [], [], [], []
             for t in batch.column(2):
-                x = np.unique(shingle_hashes(t.as_py() or b"", words, 1).astype(np.uint32))
+                whole = np.unique(shingle_hashes(t.as_py() or b"", words, 1))
+                x = np.unique(whole.astype(np.uint32))
                 rank = np.zeros(len(x), np.int64)
                 if len(tokens) and len(x):
                     at = np.minimum(np.searchsorted(tokens, x), len(tokens) - 1)
@@ -226,13 +226,13 @@ def _prefixes(base: DataFrame, words: int, similarity: float, all_up_to: int) ->
                 first = np.lexsort((x, rank))[:keep]
                 heads.append(x[first].view(np.int32))
                 often.append(rank[first] > all_up_to)
-                profiles.append(set_profile(x))
+                prints.append(np.uint64(simhash(whole)).astype(np.int64).item())
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), batch.column(1), pa.array(digests, pa.int64()), pa.array(sizes, pa.int32()), pa.array(heads, pa.list_(pa.int32())),
-                pa.array(often, pa.list_(pa.bool_())), pa.array(profiles, pa.binary())], ["node", "id", "digest", "n", "head", "often", "profile"])
+                pa.array(often, pa.list_(pa.bool_())), pa.array(prints, pa.int64())], ["node", "id", "digest", "n", "head", "often", "fp"])
 
     rows = base.select("node", "id", F.col("text").cast("binary"))
-    return materialize(rows.mapInArrow(run, "node long, id long, digest long, n int, head array<int>, often array<boolean>, profile binary"), "near-heads")
+    return materialize(rows.mapInArrow(run, "node long, id long, digest long, n int, head array<int>, often array<boolean>, fp long"), "near-heads")
 
 
 def _possible(n1, p1, n2, p2, similarity: float):
@@ -242,20 +242,21 @@ def _possible(n1, p1, n2, p2, similarity: float):
 
 
 def _meet(similarity: float, all_up_to: int):
-    """Rows sorted by token -> possible pairs (a, b) of tokens in up to ``all_up_to`` sets; the rows of others as token, a, n, p without b."""
+    """Rows sorted by token -> possible pairs (a, b) of different parts, of tokens in up to ``all_up_to`` sets; the rows of others as
+    token, a, n, p without b."""
     names = ["token", "a", "b", "n", "p"]
 
     def out(token, a, b, n, p):
         return pa.RecordBatch.from_arrays([pa.array(token, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int32()), pa.array(p, pa.int32())], names)
 
-    def whole(token, node, n, p):
+    def whole(token, node, n, p, part):
         starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         lengths = np.diff(np.concatenate([starts, [len(token)]]))
         for length in np.unique(lengths[(lengths > 1) & (lengths <= all_up_to)]).tolist():
             i, j = np.triu_indices(length, 1)
-            for part in np.array_split(starts[lengths == length], max(1, int((lengths == length).sum()) * len(i) >> 20)):
-                x, y = (part[:, None] + i).ravel(), (part[:, None] + j).ravel()
-                ok = (node[x] != node[y]) & _possible(n[x], p[x], n[y], p[y], similarity)
+            for some in np.array_split(starts[lengths == length], max(1, int((lengths == length).sum()) * len(i) >> 20)):
+                x, y = (some[:, None] + i).ravel(), (some[:, None] + j).ravel()
+                ok = (part[x] != part[y]) & _possible(n[x], p[x], n[y], p[y], similarity)
                 a, b = node[x[ok]], node[y[ok]]
                 if len(a):
                     none = np.full(len(a), None)
@@ -274,7 +275,7 @@ def _meet(similarity: float, all_up_to: int):
                 # Rows of a token that is already known to be in many sets leave as they come.
                 more = int(np.searchsorted(held[0], passing, side="right"))
                 if more:
-                    token, node, n, p = (c[:more] for c in held)
+                    token, node, n, p, _ = (c[:more] for c in held)
                     yield out(token, node, np.full(more, None), n, p)
                 held = [c[more:] for c in held]
             if not len(held[0]):
@@ -294,38 +295,54 @@ def _meet(similarity: float, all_up_to: int):
     return run
 
 
-def _cell_pairs(similarity: float):
-    """Possible pairs of different parts in a cell: among its rows of side 0, or of side 0 with side 1 where there is a side 1."""
+def _cell_links(similarity: float):
+    """Links of a cell by its whole sets: among its rows of side 0, or of side 0 with side 1 where there is a side 1.
+
+    Only links that join parts not yet joined leave, so fewer than the cell has rows.
+    """
 
     def run(batches):
         for batch in batches:
             for cell in batch.column(0):
                 rows = cell.as_py()
-                side, node, part, n, p = (np.array([r[k] for r in rows], np.int64) for k in ("side", "a", "part", "n", "p"))
-                profiles = Profiles([r["profile"] for r in rows])
+                side, node, part, p = (np.array([r[k] for r in rows], np.int64) for k in ("side", "a", "part", "p"))
+                n = np.array([len(r["shingles"]) // 4 for r in rows], np.int64)
+                seen, flat = np.unique(np.concatenate([np.frombuffer(r["shingles"], np.uint32) for r in rows]), return_inverse=True)
+                sets = np.split(flat, np.cumsum(n)[:-1])
+                mine = np.zeros(len(seen), np.int64)
                 crossing = bool(side.any())
+                a, b = [], []
                 for i in np.flatnonzero(side == 0).tolist():
                     to = np.flatnonzero(side == 1) if crossing else np.arange(i + 1, len(node))
                     to = to[(part[to] != part[i]) & _possible(n[i], p[i], n[to], p[to], similarity)]
-                    most = profiles.most_shared(i, to)
-                    b = node[to[most >= similarity * (n[i] + n[to] - most) - 1e-9]]
-                    if len(b):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(b, node[i])), pa.array(np.maximum(b, node[i]))], ["a", "b"])
+                    if not len(to):
+                        continue
+                    mine[sets[i]] = 1
+                    both = np.add.reduceat(mine[np.concatenate([sets[j] for j in to.tolist()])], np.cumsum(n[to]) - n[to])
+                    mine[sets[i]] = 0
+                    for j in to[both >= similarity * (n[i] + n[to] - both)].tolist():
+                        if part[j] != part[i]:
+                            part[part == part[j]] = part[i]
+                            a.append(min(node[i], node[j]))
+                            b.append(max(node[i], node[j]))
+                if a:
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
 
-def _crossing(rows: DataFrame, heads: DataFrame, similarity: float, block: int) -> DataFrame:
-    """Possible pairs (a, b) of different parts under one token, from rows (token, a, n, p, part).
+def _crossing(rows: DataFrame, base: DataFrame, heads: DataFrame, words: int, similarity: float, block: int) -> DataFrame:
+    """Links (a, b) that join all parts with similar sets under one token, from rows (token, a, n, p, part).
 
     Alike sets differ in size by the similarity at most, so they fall into the same or adjacent size classes. The sets of a
     token and class are dealt to blocks of about ``block``; a cell compares a block with itself, with a later block of its
-    class, or with one of the next class, so that every pair meets once a token. Pairs leave a cell only if the position of the
-    token and the profiles of both sets allow the similarity.
+    class, or with one of the next class, so that every pair meets once a token. A cell holds whole sets and lets out only
+    links that join its parts (see ``_cell_links``), so what leaves follows the rows and not their pairs.
     """
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(similarity)) + 1e-9).cast("int")
-    profiles = heads.filter("digest is not null").groupBy("digest").agg(F.first("profile").alias("profile"))
-    rows = hot_join(rows.select("token", "a", "n", "p", "part", size_class.alias("c")), profiles.withColumnRenamed("digest", "a"), ["a"])
+    sets = _sets(rows.select(F.col("a").alias("digest")).distinct(), base, heads, words)
+    sets = sets.select(F.col("node").alias("a"), "shingles")
+    rows = rows.select("token", "a", "n", "p", "part", size_class.alias("c"))
     blocks = rows.groupBy("token", "c").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("k"))
     before = blocks.select("token", (F.col("c") + 1).alias("c"), F.col("k").alias("k_before"))
     after = blocks.select("token", (F.col("c") - 1).alias("c"), F.col("k").alias("k_after"))
@@ -342,28 +359,57 @@ def _crossing(rows: DataFrame, heads: DataFrame, similarity: float, block: int)
     own = each(F.col("k"), lambda j: cell(c, c, F.least(i, j), F.greatest(i, j), (i > j)))
     up = each(F.col("k_after"), lambda j: cell(c, c + 1, i, j, F.lit(0)))
     down = each(F.col("k_before"), lambda j: cell(c - 1, c, j, i, F.lit(1)))
-    dealt = mine.select("token", "a", "n", "p", "part", "profile", F.explode(F.concat(own, up, down)).alias("e"))
-    row = F.struct(F.col("e.side").alias("side"), "a", "part", "n", "p", "profile")
+    dealt = hot_join(mine.select("token", "a", "p", "part", F.concat(own, up, down).alias("cells")), sets, ["a"]).withColumn("e", F.explode("cells"))
+    row = F.struct(F.col("e.side").alias("side"), "a", "part", "p", "shingles")
     cells = dealt.groupBy("token", "e.c", "e.d", "e.u", "e.v").agg(F.collect_list(row).alias("rows"))
     # A cell of two blocks needs both sides.
     alone = (F.col("c") == F.col("d")) & (F.col("u") == F.col("v"))
     cells = cells.filter(alone | (F.exists("rows", lambda r: r["side"] == 0) & F.exists("rows", lambda r: r["side"] == 1)))
-    return cells.select("rows").mapInArrow(_cell_pairs(similarity), "a long, b long")
+    return materialize(cells.select("rows").mapInArrow(_cell_links(similarity), "a long, b long").distinct(), "near-crossing")
 
 
-def _verified(pairs: DataFrame, base: DataFrame, heads: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Of pairs (a, b) of set digests those whose whole sets have the similarity."""
-    pairs = materialize(pairs.distinct(), "near-pairs")
-    asked = pairs.select(F.col("a").alias("digest")).union(pairs.select(F.col("b").alias("digest"))).distinct()
+def _sets(asked: DataFrame, base: DataFrame, heads: DataFrame, words: int) -> DataFrame:
+    """node, shingles: the whole shingle sets of the asked digests, each made again from one text."""
     first = heads.filter("digest is not null").groupBy("digest").agg(F.min("node").alias("_node"))
     asked = materialize(first.join(small_side(asked, is_small(asked)), "digest"), "near-asked")
     texts = base.join(small_side(asked, is_small(asked)), F.col("node") == F.col("_node")).select(F.col("digest").alias("node"), "text")
-    sets = materialize(shingle_sets(texts, words).dropDuplicates(["node"]), "near-sets")
+    return materialize(shingle_sets(texts, words).dropDuplicates(["node"]), "near-sets")
+
+
+def _alike(similarity: float):
+    """Pairs (a, b) with both sets x and y -> those that have the similarity."""
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _verified(pairs: DataFrame, base: DataFrame, heads: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Of pairs (a, b) of set digests those whose whole sets have the similarity."""
+    pairs = materialize(pairs.distinct(), "near-pairs")
+    sets = _sets(pairs.select(F.col("a").alias("digest")).union(pairs.select(F.col("b").alias("digest"))).distinct(), base, heads, words)
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    compared = pairs.join(left, "a").join(right, "b")
-    both = F.size(F.array_intersect("x", "y"))
-    return materialize(compared.filter(both >= F.lit(similarity) * (F.size("x") + F.size("y") - both)).select("a", "b"), "near-links")
+    compared = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    return materialize(compared.mapInArrow(_alike(similarity), "a long, b long"), "near-links")
+
+
+def _close_pairs(heads: DataFrame, radius: int) -> DataFrame:
+    """Pairs (a, b) of set digests whose SimHashes differ in up to ``radius`` bits: each with the first of its fingerprint, the first
+    ones of fingerprints along the links of the covering tables. No more than rows and links."""
+    known = heads.filter("digest is not null").select("digest", "fp").distinct()
+    firsts = materialize(known.groupBy("fp").agg(F.min("digest").alias("first")), "near-prints")
+    same = hot_join(known, firsts, ["fp"]).filter("digest <> first").select(F.col("digest").alias("x"), F.col("first").alias("y"))
+    links = fingerprint_links(firsts, radius)
+    near = links.join(firsts.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
+    return same.union(near.select("x", "y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def _open_tokens(rows: DataFrame, links: DataFrame) -> DataFrame:
@@ -375,16 +421,19 @@ def _open_tokens(rows: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(hot_join(named, several, ["token"]), "near-open")
 
 
-def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, all_up_to: int = 64, block: int = 256) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, all_up_to: int = 64, block: int = 256, radius: int = 3) -> DataFrame:
     """The rows of ``docs`` without near copies: of each group the document with the smallest doc_id stays.
 
     Two documents are linked if the sets of their ``shingle``-word shingles have a Jaccard similarity of ``similarity``
-    or more; groups are the connected parts. The search is exact at every length: in any order of all shingles, two such
-    sets share one among the first n - ceil(similarity n) + 1 of each (prefix filter). The order puts rare shingles
-    first. Equal sets are one node. Every possible pair of a shingle in up to ``all_up_to`` sets is compared by whole
-    sets. The sets of a more common one are first compared with up to four random members; pairs that this already
-    joins need no comparison. All pairs of parts not yet joined then meet in cells of two blocks of about ``block`` sets,
-    where size, position and profile drop those that cannot be alike before they leave the task (see ``_crossing``).
+    or more; groups are the connected parts. Equal sets are one node.
+
+    SimHash with covering tables comes first: fingerprints within ``radius`` bits meet without a miss (``fingerprint_links``),
+    and links whose whole sets are similar join their documents. Similar sets may differ in more bits, most of all short ones,
+    so an exact check follows on all pairs that are not yet joined: in any order of all shingles, two such sets share one
+    among the first n - ceil(similarity n) + 1 of each (prefix filter). The order puts rare shingles first. Every possible pair of
+    a shingle in up to ``all_up_to`` sets is compared by whole sets. The sets of a more common one meet, while they are in
+    several parts, in cells of two blocks of about ``block`` sets, which compare whole sets and let out joining links only
+    (see ``_crossing``).
 
     Null and wordless texts have an empty set and are never near copies. Rows that repeat id and text share their fate;
     null ids count as the largest. The columns of ``docs`` are returned as they are; an empty table stays empty.
@@ -392,20 +441,19 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int
     node = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")))
     base = docs.select(node.alias("node"), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id"), "text")
     heads = _prefixes(base, shingle, similarity, all_up_to)
-    each = heads.filter("digest is not null").select("digest", "n", F.posexplode(F.arrays_zip("head", "often")).alias("p", "h"))
-    each = each.select(F.col("h.head").alias("token"), "digest", "n", "p", F.col("h.often").alias("often"))
+    links = _verified(_close_pairs(heads, radius), base, heads, shingle, similarity)
+    parts = connected_components(links)
+    joined = heads.filter("digest is not null").join(small_side(parts, is_small(parts)), F.col("digest") == parts["node"], "left")
+    each = joined.select("digest", "n", F.coalesce("component", "digest").alias("part"), F.posexplode(F.arrays_zip("head", "often")).alias("p", "h"))
+    each = each.select(F.col("h.head").alias("token"), "digest", "n", "p", "part", F.col("h.often").alias("often"))
     # Shingles of one set meet nothing, so most rows end here; they are sorted, not aggregated. Those known to be frequent need no meeting.
-    met = materialize(each.filter("not often").select("token", "digest", "n", "p").repartition("token").sortWithinPartitions("token").mapInArrow(_meet(similarity, all_up_to), "token int, a long, b long, n int, p int"), "near-met")
-    links = _verified(met.filter("b is not null").select("a", "b"), base, heads, shingle, similarity)
+    met = materialize(each.filter("not often").select("token", "digest", "n", "p", "part").repartition("token").sortWithinPartitions("token").mapInArrow(_meet(similarity, all_up_to), "token int, a long, b long, n int, p int"), "near-met")
+    links = links.union(_verified(met.filter("b is not null").select("a", "b"), base, heads, shingle, similarity))
     large = met.filter("b is null").select("token", "a", "n", "p").union(each.filter("often").select("token", F.col("digest").alias("a"), "n", "p"))
     large = large.distinct()
     if not large.isEmpty():
         rows = _open_tokens(large, links)
-        pivots = rows.groupBy("token").agg(F.min_by("a", F.xxhash64("a", "token")).alias("b"))
-        some = hot_join(rows, pivots, ["token"]).filter("a <> b").groupBy("a", F.pmod(F.xxhash64("token"), F.lit(4))).agg(F.min("b").alias("b"))
-        links = links.union(_verified(some.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), base, heads, shingle, similarity))
-        rows = _open_tokens(rows.select("token", "a", "n", "p"), links)
-        links = links.union(_verified(_crossing(rows, heads, similarity, block), base, heads, shingle, similarity))
+        links = links.union(_crossing(rows, base, heads, shingle, similarity, block))
     parts = connected_components(links)
     names = heads.filter("digest is not null").select("node", "id", "digest")
     members = names.join(small_side(parts, is_small(parts)), names["digest"] == parts["node"], "left").select(

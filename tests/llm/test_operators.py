@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -307,6 +308,40 @@ def test_near_copies_of_short_texts_are_all_found(spark):
     assert len(lost) > 150 and left == {d for d, _ in data} - lost
 
 
+def test_near_copies_meet_by_covering_simhash_first(spark):
+    """Long texts with one changed word are within three bits: the covering tables alone propose nearly all of them, in fewer pairs than rows."""
+    texts = []
+    for g in range(20):
+        words = prose(400, 30_000 + g).split(" ")
+        texts += [" ".join(words), " ".join([*words[:-1], f"edit{g}"]), " ".join([*words[:-1], f"other{g}"])]
+    df = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "node long, id long, text string")
+    heads = simhash._prefixes(df, 5, 0.8, 64)
+    digest = {r["node"]: r["digest"] for r in heads.collect()}
+    prints = {r["digest"]: r["fp"] & ((1 << 64) - 1) for r in heads.collect()}
+    pairs = {(r["a"], r["b"]) for r in simhash._close_pairs(heads, 3).distinct().collect()}
+    assert pairs and len(pairs) < len(texts) and all((prints[a] ^ prints[b]).bit_count() <= 3 for a, b in pairs)
+    at = {d: i for i, d in digest.items()}
+    close = [(i, j) for i, j in combinations(range(len(texts)), 2) if (prints[digest[i]] ^ prints[digest[j]]).bit_count() <= 3]
+    assert len(close) >= 30 and components(len(texts), [(at[a], at[b]) for a, b in pairs]) == components(len(texts), close)
+
+
+def test_cells_let_out_joining_links_only():
+    """A group of 120 alike sets leaves its cell in 119 links, not in its 7140 pairs; sets that are not alike leave none."""
+    rng = np.random.default_rng(2)
+
+    def row(i, group):
+        x = np.unique(np.concatenate([np.arange(1000 * group, 1000 * group + 60), [10_000_000 + i]]).astype(np.uint32))
+        return {"side": 0, "a": i, "part": i, "p": 0, "shingles": x.tobytes()}
+
+    cell = [row(i, 1) for i in range(120)] + [row(200 + i, 2 + i) for i in range(50)]
+    rng.shuffle(cell)
+    kind = pa.list_(pa.struct([("side", pa.int32()), ("a", pa.int64()), ("part", pa.int64()), ("p", pa.int32()), ("shingles", pa.binary())]))
+    for rows, sides in ((cell, None), ([r | {"side": r["a"] % 2} for r in cell], 2)):
+        batch = pa.RecordBatch.from_arrays([pa.array([rows], kind)], ["rows"])
+        links = [(r["a"], r["b"]) for out in simhash._cell_links(0.8)([batch]) for r in out.to_pylist()]
+        assert len(links) == 119 and len(set(components(120, links))) == 1 and (not sides or all(a % 2 != b % 2 for a, b in links))
+
+
 def test_connected_components(spark):
     rng = np.random.default_rng(1)
     edges = [(i, i + 1) for i in range(0, 300)] + [(1000, 1000 + i) for i in range(1, 200)] + [tuple(map(int, rng.integers(2000, 2200, 2))) for _ in range(120)]
