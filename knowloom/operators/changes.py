@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from knowloom.functions.hashing import stable_id
-from knowloom.functions.skew import SALTS, hot_join, top_k
+from knowloom.functions.skew import hot_join, top_k
 from knowloom.sources.sinks import absent, delete_where_in, upsert
 
 
@@ -172,7 +172,10 @@ def list_sources(sources: DataFrame, limit: int = 50, cursor=None) -> DataFrame:
 
 
 def version_context(versions: DataFrame, objects: DataFrame, sources: DataFrame) -> DataFrame:
-    """versions with their object's external id and their source's owner and configuration."""
+    """versions with their object's external id and their source's owner and configuration.
+
+    Sources may be many: both sides are shuffled once, and adaptive execution splits the partition of a large source.
+    """
     o = objects.select("object_id", "source_id", "external_id")
     s = sources.select("source_id", "owner_id", "configuration")
-    return hot_join(versions.join(o, "object_id"), s, ["source_id"], salts=SALTS)
+    return hot_join(versions.join(o.hint("merge"), "object_id"), s.hint("merge"), ["source_id"])

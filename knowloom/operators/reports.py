@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from knowloom.functions import jsonx
-from knowloom.functions.skew import SALTS, hot_join, is_small, small_side, top_k
+from knowloom.functions.skew import hot_join, is_small, small_side, top_k
 from knowloom.operators.canonical import active_in, claims_by_predicate, entities_by_type
 from knowloom.sources.sinks import materialize
 
@@ -54,7 +54,7 @@ def dashboard(
         *[F.count_if(F.col("entity_type") == t).alias(f"{n}_total") for n, t in DASHBOARD_TYPES]
     )
     c_counts = _claim_counts(claims.filter(F.col("status") == "active"))
-    last_sync = hot_join(runs, sources.select("source_id", "owner_id"), ["source_id"], salts=SALTS).groupBy("owner_id").agg(
+    last_sync = hot_join(runs, sources.select("source_id", "owner_id").hint("merge"), ["source_id"]).groupBy("owner_id").agg(
         F.max("completed_at").alias("last_sync_at")
     )
     conflicts = findings.groupBy("owner_id").agg(F.count_if(F.col("status") == "open").alias("open_contradictions"))

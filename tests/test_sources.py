@@ -165,6 +165,17 @@ def test_triage_cases(spark):
     assert got["d.pdf"]["relevance"] == 0.7 and got["noext"]["extractor_hint"] == "text"
 
 
+def test_version_context_neither_copies_nor_broadcasts_sources(spark):
+    """Sources may be as many as versions: a copy per salt, small by its estimate, would be gathered by the driver."""
+    versions = spark.range(50).selectExpr("id version_id", "id object_id")
+    objects = spark.range(50).selectExpr("id object_id", "id % 7 source_id", "cast(id as string) external_id")
+    sources = spark.range(7).selectExpr("id source_id", "id + 100 owner_id", "'{}' configuration")
+    out = changes.version_context(versions, objects, sources)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Generate" not in plan, plan
+    assert sorted((r["version_id"], r["owner_id"]) for r in out.collect()) == [(i, 100 + i % 7) for i in range(50)]
+
+
 def test_reruns_converge(spark):
     old = spark.createDataFrame([("s", "a", "file")], "source_id string, external_id string, object_type string")
     listed = spark.createDataFrame([("s", "a", "file"), ("s", "b", "file"), ("s", "b", "file")], "source_id string, external_id string, object_type string")
