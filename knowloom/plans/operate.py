@@ -371,7 +371,8 @@ def recovery_decision(t: Tables) -> DataFrame:
 
 # --- streaming ---------------------------------------------------------------------------------
 def _stream(t: Tables, table: str) -> DataFrame:
-    return jobs.read_files(t.spark, t.dir, t.raw(table).schema, max_files=1, pattern=f"{table}.parquet")
+    """The table as a file stream, whether it is one file or a folder of files; the braces make Spark resolve either as a pattern."""
+    return jobs.read_files(t.spark, f"{t.dir}/{{{table}.parquet}}", t.raw(table).schema)
 
 
 class _Streamed(Tables):

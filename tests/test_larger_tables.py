@@ -28,3 +28,9 @@ def test_sync_summaries_of_part_keys_beyond_a_million(spark, tmp_path):
     duckdb.sql(f"""COPY (SELECT 1 + i // 7 AS l_orderkey, (i * 700001) % 3000000 AS l_partkey, i % 5 AS l_suppkey, (1 + i % 7)::INTEGER AS l_linenumber,
         'R' AS l_returnflag FROM range(700) r(i)) TO '{path}' (FORMAT parquet)""")
     same_as_sql(spark, "sync_summaries", tmp_path, lineitem=path)
+
+
+def test_streamed_ingest_of_a_folder_of_files(spark, tmp_path):
+    path = tmp_path / "conversations.parquet"
+    spark.read.parquet(f"{SF}/conversations.parquet").repartition(3).write.parquet(str(path))
+    same_as_sql(spark, "streamed_ingest", tmp_path, conversations=f"{path}/*.parquet")
