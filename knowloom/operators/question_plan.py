@@ -44,6 +44,8 @@ def run(spark: SparkSession, index: str, entities: DataFrame, claims: DataFrame,
     of the three steps are written once and feed ranking, plan steps, related entities, answers and the audit row alike.
     Questions that nothing matches end in the fixed answer without evidence.
     """
+    # Vectors may be costly: they are made once, by all cores, and every step reads them.
+    questions = materialize(questions.repartition(max(8, spark.sparkContext.defaultParallelism)), "plan-questions")
     hits = materialize(search_index.search(spark, index, questions, mode, limit), "plan-hits")
     matched = materialize(retrieval.entity_search(entities, questions, entity_limit), "plan-entities")
     found = materialize(retrieval.claim_search(claims, questions, limit), "plan-claims")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from knowloom.functions.layout import spread
 from knowloom.functions.text import query_tokens
 from knowloom.functions.vectors import hash_embedding, hash_embedding_sql
 from knowloom.operators import answers, approximate, chunking, question_plan, retrieval, search_index
@@ -163,7 +164,7 @@ def _part_questions(t: Tables) -> DataFrame:
 
 
 def _part_claims(t: Tables) -> DataFrame:
-    return t.raw("part").select(
+    return spread(t.raw("part")).select(
         F.col("p_partkey").alias("claim_id"), F.col("p_brand").alias("owner_id"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("subject_entity_id"),
         F.col("p_type").alias("predicate"), F.col("p_name").alias("object_value"), F.round(F.col("p_size") / 50, 2).alias("confidence"),
         F.when(F.col("p_retailprice") < 1500, "active").otherwise("retracted").alias("status"))

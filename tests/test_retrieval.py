@@ -210,3 +210,22 @@ def test_substring_search_of_long_values(spark):
     texts = {"k1": ["p", long], "k2": ["p", "漢字 and é"], "k3": ["p"]}
     want = {(q, k) for q, x in questions if x for k, ts in texts.items() if any(x.lower() in t.lower() for t in ts)}
     assert {(r["query_id"], r["claim_id"]) for r in retrieval.claim_search(claims, asked).collect()} == want
+
+
+def test_question_plan_makes_each_question_vector_once(spark, tmp_path):
+    chunks = spark.createDataFrame([("o", "c1", "Python runs the loom", [1.0, 0.0])], CHUNK + ", embedding array<double>")
+    search_index.write_index(chunks, str(tmp_path / "i"))
+    entities = spark.createDataFrame([("e1", "o", "Python", ["Py"])], "entity_id string, owner_id string, canonical_name string, aliases array<string>")
+    claims = spark.createDataFrame([], "claim_id string, owner_id string, subject_entity_id string, predicate string, object_value string, confidence double, status string")
+    nodes = spark.createDataFrame([("e1", "entity", "Python")], "node_id string, node_type string, label string")
+    edges = spark.createDataFrame([], "edge_id string, edge_type string, src string, dst string")
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<double>")
+    def vector(text):
+        made.add(1)
+        return [1.0, 0.0]
+
+    asked = spark.createDataFrame([(f"q{i}", "o", f"python {i}") for i in range(20)], "query_id string, owner_id string, question string").withColumn("vector", vector("question"))
+    plan = question_plan.run(spark, str(tmp_path / "i"), entities, claims, nodes, edges, asked)
+    assert plan.answers.count() == 20 and made.value == 20
