@@ -1,3 +1,4 @@
+import glob
 import json
 import random
 import time
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType
 
 from knowloom.operators import canonical, extraction, graph, metrics, triage
+from knowloom.sources.sinks import materialize, work_folder, work_tables
 from knowloom.streaming import jobs
 
 
@@ -164,6 +166,21 @@ def test_change_log_of_a_hot_object_and_nulls(spark, tmp_path):
     assert sorted(r["seq"] for r in got if r["object_id"] == "n") == [1, 2, 3]
 
 
+def test_work_tables_leave_with_their_batch(spark, tmp_path):
+    """Only state and output stay, so the disk a stream takes does not grow with the steps of its batches."""
+    written = lambda: set(glob.glob(work_folder(spark, "stream-").rsplit("/", 1)[0].removeprefix("file:") + "/stream-*"))
+    with work_tables(spark):
+        inner = materialize(spark.range(3).toDF("x"), "stream-seen")
+        assert inner.count() == 3 and any("stream-seen" in w for w in written())
+    assert not any("stream-seen" in w for w in written())
+    before, rows = written(), _outbox()
+    spark.createDataFrame(rows, EVENT).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = jobs.read_files(spark, str(tmp_path / "in"), EVENT)
+    jobs.project_outbox(stream, str(tmp_path / "out"), str(tmp_path / "cp"), buckets=2).awaitTermination()
+    assert written() == before
+    assert jobs.read_projection(stream, str(tmp_path / "out"), buckets=2)[0].count() == 26
+
+
 LEDGER_ROW = "version_id string, status string, proposals_created long, requires_review_count long, error_summary string"
 
 
