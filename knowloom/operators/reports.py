@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from knowloom.functions import jsonx
+from knowloom.functions.layout import once
 from knowloom.functions.skew import hot_join, is_small, small_side, top_k
 from knowloom.operators.canonical import active_in, claims_by_predicate, entities_by_type
 from knowloom.sources.sinks import materialize
@@ -14,6 +15,8 @@ PROJECT_PREDICATES = (("decisions", "has_decision"), ("tasks", "has_task"), ("ev
 DASHBOARD_TYPES = (("projects", "project"), ("people", "person"), ("repositories", "repository"),
                    ("technologies", "technology"))
 STRINGS = "array<string>"
+#: Owners whose lists (some 20 kB each) are broadcast to their projects.
+BROADCAST_OWNERS = 1000
 
 # Report texts.
 NOTHING = "_Nincs rögzített tétel._"
@@ -135,59 +138,63 @@ def project_subgraphs(
     """One row per project: claims of the project or without subject, risks, technologies, citations.
 
     Lists hold the newest ``limit`` claims per project and predicate and citations are those of the listed
-    claims; ``*_total`` counts all claims and open findings. Claims without subject are cut per owner before
-    they meet the owner's projects, so rows stay within projects x predicates x ``limit``.
+    claims; ``*_total`` counts all claims and open findings. What an owner's projects share is put together once
+    per owner, claims without subject with their references too, and meets each project's own list inside the
+    project's row: no claim is repeated per project and no row of a report is shuffled.
     """
     predicates = tuple(p for _, p in PROJECT_PREDICATES)
     active = active_in(claims, since, until).filter(F.col("predicate").isin(*predicates))
     named = projects.select("owner_id", F.col("entity_id").alias("project_id"), F.col("canonical_name").alias("project_name"))
-    keys = named.select("owner_id", "project_id")
     newest = [F.desc("created_at"), F.desc("claim_id")]
     fields = ["owner_id", "predicate", "claim_id", "created_at", "object_value"]
     own = hot_join(
         active.select(*fields, F.col("subject_entity_id").alias("project_id")).filter("project_id is not null"),
-        keys, ["owner_id", "project_id"],
+        named.select("owner_id", "project_id"), ["owner_id", "project_id"],
     )
     common = active.filter("subject_entity_id is null").select(*fields)
-    shared = hot_join(
-        top_k(common, ["owner_id", "predicate"], newest, limit).drop("rank"), keys, ["owner_id"]
-    )
-    listed = top_k(
-        top_k(own, ["project_id", "predicate"], newest, limit).drop("rank").unionByName(shared),
-        ["project_id", "predicate"], newest, limit,
-    )
-    listed = materialize(listed.select("project_id", "predicate", "rank", "claim_id", "object_value"), "report-claims")
-    c = listed.groupBy("project_id").agg(
-        *[_list_per("object_value", F.col("predicate") == p).alias(n) for n, p in PROJECT_PREDICATES]
-    )
-    # Only provenance of listed claims is opened, once per claim and not per project.
-    ids = listed.select("claim_id").distinct()
+    own_top = materialize(top_k(own, ["project_id", "predicate"], newest, limit).drop("rank"), "report-claims")
+    common_top = materialize(top_k(common, ["owner_id", "predicate"], newest, limit).drop("rank"), "report-shared")
+    # Only provenance of claims that may be listed is opened, once per claim and not per project.
+    ids = own_top.select("claim_id").union(common_top.select("claim_id")).distinct()
     known = provenance.join(small_side(ids, is_small(ids)), "claim_id", "left_semi")
-    per_claim = _claim_refs(known).groupBy("claim_id").agg(F.collect_set("ref").alias("refs"))
-    refs = hot_join(listed.select("claim_id", "project_id"), per_claim, ["claim_id"]).groupBy("project_id").agg(
-        F.sort_array(F.array_distinct(F.flatten(F.collect_list("refs")))).alias("citations")
-    )
+    per_claim = materialize(_claim_refs(known).groupBy("claim_id").agg(F.collect_set("ref").alias("refs")), "report-refs")
+
+    def gathered(top: DataFrame, key: str, name: str) -> DataFrame:
+        item = F.struct("created_at", "claim_id", "predicate", "object_value", F.coalesce("refs", F.array().cast(STRINGS)).alias("refs"))
+        return hot_join(top, per_claim, ["claim_id"], "left").groupBy(key).agg(F.collect_list(item).alias(name))
+
     totals = [f"{n}_total" for n, _ in PROJECT_PREDICATES]
-    own_counts = _claim_counts(own, "project_id")
-    shared_counts = _claim_counts(common).withColumnsRenamed({t: f"_{t}" for t in totals})
-    t = entities_by_type(entities, technologies, ("technology",)).groupBy("owner_id").agg(
-        _list_per("canonical_name").alias("technologies")
-    )
     open_findings = findings.filter(F.col("status") == "open")
-    r = top_k(open_findings, ["owner_id"], [F.desc("created_at"), F.desc("finding_id")], risks).groupBy("owner_id").agg(
-        _list_per("summary").alias("risks")
-    )
-    risk_counts = open_findings.groupBy("owner_id").agg(F.count(F.lit(1)).alias("risks_total"))
+    of_owners = (
+        gathered(common_top, "owner_id", "_shared"),
+        _claim_counts(common).withColumnsRenamed({t: f"_{t}" for t in totals}),
+        entities_by_type(entities, technologies, ("technology",)).groupBy("owner_id").agg(
+            _list_per("canonical_name").alias("technologies")),
+        top_k(open_findings, ["owner_id"], [F.desc("created_at"), F.desc("finding_id")], risks).groupBy("owner_id").agg(
+            _list_per("summary").alias("risks")),
+        open_findings.groupBy("owner_id").agg(F.count(F.lit(1)).alias("risks_total")),
+    )
+    owners = projects.select("owner_id").distinct()
+    for part in of_owners:
+        owners = hot_join(owners, part, ["owner_id"], "left")
+    owners = materialize(owners, "report-owners")
     out = named
-    for part in (c, refs, own_counts):
+    for part in (gathered(own_top, "project_id", "_own"), _claim_counts(own, "project_id")):
         out = out.join(part, "project_id", "left")
-    for part in (shared_counts, t, r, risk_counts):
-        out = hot_join(out, part, ["owner_id"], "left")
+    out = hot_join(out, small_side(owners, is_small(owners, BROADCAST_OWNERS)), ["owner_id"], "left")
     out = out.na.fill(0, [*totals, *[f"_{t}" for t in totals], "risks_total"])
+    every = F.concat(*[F.coalesce(c, F.array().cast(out.schema[c].dataType)) for c in ("_own", "_shared")])
+
+    def listed(predicate: str) -> Column:
+        return F.slice(F.sort_array(F.filter(every, lambda x: x["predicate"] == predicate), asc=False), 1, limit)
+
+    out = once(out, **{f"_{n}": listed(p) for n, p in PROJECT_PREDICATES})
     lists = [n for n, _ in PROJECT_PREDICATES]
+    refs = F.flatten(F.transform(F.concat(*[F.col(f"_{n}") for n in lists]), lambda x: x["refs"]))
+    out = once(out, citations=F.sort_array(F.array_distinct(refs)), **{n: F.transform(f"_{n}", lambda x: x["object_value"]) for n in lists})
     return out.select(
-        "owner_id", "project_id", "project_name",
-        *[v.alias(n) for n, v in _or_empty(*lists, "technologies", "risks", "citations").items()],
+        "owner_id", "project_id", "project_name", *lists,
+        *[v.alias(n) for n, v in _or_empty("technologies", "risks").items()], "citations",
         *[(F.col(t) + F.col(f"_{t}")).alias(t) for t in totals], "risks_total",
     )
 
@@ -239,13 +246,14 @@ def render_reports(subgraphs: DataFrame, since=None, until=None) -> DataFrame:
 
 def report_ledger(requests: DataFrame, reports: DataFrame) -> DataFrame:
     """``requests(owner_id, project_id)`` -> completed with counts, or failed when the project is unknown."""
-    r = reports.select("owner_id", "project_id", "title", "markdown",
+    r = reports.select("owner_id", "project_id", "title", "markdown", F.col("markdown").isNotNull().alias("_done"),
                        F.size("citations").alias("citation_count"), F.size("risks").alias("risk_count"))
     joined = requests.join(r, ["owner_id", "project_id"], "left")
-    done = F.col("markdown").isNotNull()
+    # Who asks for the status alone does not move the texts.
+    done = F.coalesce("_done", F.lit(False))
     return joined.withColumn("status", F.when(done, "completed").otherwise("failed")).withColumn(
         "error_summary", F.when(~done, F.lit("Project not found"))
-    )
+    ).drop("_done")
 
 
 STATUSES = ("pending", "completed", "failed", "skipped")

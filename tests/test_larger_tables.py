@@ -34,3 +34,19 @@ def test_streamed_ingest_of_a_folder_of_files(spark, tmp_path):
     path = tmp_path / "conversations.parquet"
     spark.read.parquet(f"{SF}/conversations.parquet").repartition(3).write.parquet(str(path))
     same_as_sql(spark, "streamed_ingest", tmp_path, conversations=f"{path}/*.parquet")
+
+
+@pytest.mark.parametrize("name", ["project_reports", "report_ledger"])
+def test_reports_repeat_no_claim_per_project(spark, tmp_path, name):
+    """300 projects of one owner share 300 claims, which meet them as one row: no list is ranked again per project."""
+    sql = {
+        "customer": "SELECT i AS c_custkey, 7 AS c_nationkey, 'C' || i AS c_name, CASE WHEN i % 10 < 9 THEN 'MACHINERY' ELSE 'OTHER' END AS c_mktsegment FROM range(333) r(i)",
+        "orders": """SELECT i AS o_orderkey, (i * 7) % 333 AS o_custkey, CASE WHEN i % 3 THEN 300000.0 ELSE 1.0 END AS o_totalprice, 'O' AS o_orderstatus,
+            (['1-URGENT', '2-HIGH', '3-MEDIUM'])[1 + i % 3] AS o_orderpriority, TIMESTAMP '1997-01-01' + to_days((i % 50)::INT) AS o_orderdate FROM range(900) r(i)""",
+        "lineitem": "SELECT i % 900 AS l_orderkey, i AS l_partkey, i % 40 AS l_suppkey, DATE '1997-01-01' AS l_shipdate FROM range(2700) r(i)",
+        "supplier": "SELECT i AS s_suppkey, 7 AS s_nationkey, 'S' || i AS s_name, 1.0 AS s_acctbal FROM range(40) r(i)"}
+    for table, q in sql.items():
+        duckdb.sql(f"COPY ({q}) TO '{tmp_path}/{table}.parquet' (FORMAT parquet)")
+    same_as_sql(spark, name, tmp_path, **{t: tmp_path / f"{t}.parquet" for t in sql})
+    plan = entry.queries()[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
