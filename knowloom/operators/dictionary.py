@@ -27,22 +27,26 @@ def dictionary_mentions(documents: DataFrame, dictionary: DataFrame) -> DataFram
 
     Case is ignored; a name must stand between non-word characters and match to the letter, separators included.
     Only places whose word begins some name form runs, of the lengths that names with this word have; a run's hash
-    joins the names and the text confirms it. Neither the names nor the texts are ever gathered, and texts do not
-    travel with the places. A dictionary of a checked size is broadcast.
+    joins the names and its spelling, put together from its words and the gaps between them, confirms it. Neither the
+    names nor the texts are ever gathered, and texts do not meet the places again. A dictionary of a checked size is broadcast.
     """
     names = _names(dictionary)
     few = is_small(names, NAME_BOUND)
     starts = names.groupBy("first").agg(F.sort_array(F.collect_set("n")).alias("lengths"))  # as many as words in the longest name
     texts = documents.select("version_id", "text").filter("text is not null")
-    tokens = once(texts, spans=find_spans(F.col("text"), WORD))
+    tokens = once(texts, spans=find_spans(F.col("text"), WORD), gaps=F.split("text", WORD))
     words = F.transform("spans", lambda s: F.lower(s["match"]))
-    placed = once(tokens.select("version_id", "spans"), words=words)
+    # The gap before each word, then the word.
+    pieces = F.flatten(F.zip_with(F.slice("gaps", F.lit(1), F.size("spans")), "spans", lambda gap, s: F.array(gap, s["match"])))
+    placed = once(tokens.select("version_id", "spans", "gaps"), words=words, pieces=pieces).drop("gaps")
     longest = names.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
 
     def runs(i: Column) -> Column:
-        """For every number of words up to the longest name: hash and end of the run that begins at ``i``."""
-        one = [F.struct(F.lit(n).alias("n"), F.xxhash64(F.slice("words", i + 1, n)).alias("key"), F.get("spans", i + (n - 1))["end"].cast("int").alias("end")) for n in range(1, longest + 1)]
-        return F.array(*one) if one else F.array().cast("array<struct<n:int,key:bigint,end:int>>")
+        """For every number of words up to the longest name: hash, end and spelling of the run that begins at ``i``."""
+        one = [F.struct(
+            F.lit(n).alias("n"), F.xxhash64(F.slice("words", i + 1, n)).alias("key"), F.get("spans", i + (n - 1))["end"].cast("int").alias("end"),
+            F.array_join(F.slice("pieces", 2 * i + 2, 2 * n - 1), "").alias("spelled")) for n in range(1, longest + 1)]
+        return F.array(*one) if one else F.array().cast("array<struct<n:int,key:bigint,end:int,spelled:string>>")
 
     at = F.transform("spans", lambda s, i: F.struct(F.get("words", i).alias("first"), s["start"].cast("int").alias("start"), runs(i).alias("runs")))
     places = placed.select("version_id", F.explode(at).alias("p")).select("version_id", "p.*")
@@ -51,9 +55,7 @@ def dictionary_mentions(documents: DataFrame, dictionary: DataFrame) -> DataFram
     keyed = begun.select("version_id", "start", F.explode(wanted).alias("r")).select("version_id", "start", "r.*")
     by_key = names.select("key", "n", "name")
     met = keyed.join(F.broadcast(by_key), ["key", "n"]) if few else hot_join(keyed, by_key, ["key", "n"])
-    found = hot_join(met.select("version_id", "start", "end", "name"), texts, ["version_id"])
-    spelled = F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start"))
-    return found.withColumn("spelled", spelled).filter(F.lower("spelled") == F.col("name")).select("version_id", "name", "spelled", "start", "end")
+    return met.filter(F.lower("spelled") == F.col("name")).select("version_id", "name", "spelled", "start", "end")
 
 
 def _apart(spans: Column) -> Column:

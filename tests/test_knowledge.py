@@ -386,3 +386,17 @@ def test_merges_move_claims_relationships_and_later_references(spark):
     refs = spark.createDataFrame([("o", "r", "x")], "owner_id string, run_id string, ref string")
     assert canonical.resolve_refs(refs, "ref", proposals, entities).first()["entity_id"] == "c"
     assert canonical.resolve_refs(refs, "ref", proposals, entities, final).first()["entity_id"] == "a"
+
+
+def test_dictionary_places_do_not_meet_the_texts_again(spark):
+    """One join for the word that begins a name, one for the name: a frequent name copies no text."""
+    text = "Äpfel, Redis!\U0001F600 redis  cluster;Redis Cluster redis cluster." + " der" * 500
+    docs = spark.createDataFrame([("v", text), ("v", "der"), ("w", None), ("x", "")], "version_id string, text string")
+    names = spark.createDataFrame([("Redis Cluster",), ("der",), ("äpfel",), ("redis",)], "name string")
+    found = dictionary.dictionary_mentions(docs, names)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2
+    got = sorted((r["name"], r["spelled"], r["start"], r["end"]) for r in found.collect())
+    want = [("der", "der", m.start(), m.end()) for t in (text, "der") for m in re.finditer(r"\bder\b", t)]
+    for name in ("redis", "äpfel", "redis cluster"):
+        want += [(name, m.group(), m.start(), m.end()) for m in re.finditer(rf"(?i)\b{name}\b", text)]
+    assert got == sorted(want)
