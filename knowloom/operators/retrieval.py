@@ -19,6 +19,7 @@ from knowloom.functions.hashing import stable_id
 from knowloom.functions.layout import once
 from knowloom.functions.skew import SALTS, hot_join, is_small, small_side, top_k
 from knowloom.functions.text import bind
+from knowloom.sources.sinks import materialize
 
 # Common English words that carry no search meaning.
 STOP_WORDS = (
@@ -70,7 +71,10 @@ def keyword_search(
         "query_id", "owner_id", F.array_sort(F.array_distinct(terms(F.col("question"), stop_words))).alias("q_terms")
     ).filter(F.size("q_terms") > 0)
     small = is_small(asked.select(F.explode("q_terms")), TERM_BOUND)
-    tokens = once(chunks.select("owner_id", "chunk_id", "text"), tokens=terms(F.col("text"), stop_words)).drop("text")
+    # Cutting and tokenising the texts is most of the work: it is done once for the counts and the postings.
+    stored = materialize(chunks.select("owner_id", "chunk_id", terms(F.col("text"), stop_words).alias("_stored")), "search-tokens")
+    # Taken out of the columns once per chunk, not once per term.
+    tokens = once(stored, tokens=F.transform("_stored", lambda x: x)).drop("_stored")
     distinct = asked.select("owner_id", "q_terms").distinct().withColumn("q_key", F.xxhash64("owner_id", "q_terms"))
     per_term = distinct.select("owner_id", "q_key", F.size("q_terms").alias("wanted"), F.explode("q_terms").alias("term"))
     stats = term_statistics(tokens, per_term.select("owner_id", "term").distinct(), small)

@@ -229,3 +229,11 @@ def test_question_plan_makes_each_question_vector_once(spark, tmp_path):
     asked = spark.createDataFrame([(f"q{i}", "o", f"python {i}") for i in range(20)], "query_id string, owner_id string, question string").withColumn("vector", vector("question"))
     plan = question_plan.run(spark, str(tmp_path / "i"), entities, claims, nodes, edges, asked)
     assert plan.answers.count() == 20 and made.value == 20
+
+
+def test_keyword_search_tokenises_its_chunks_once(spark):
+    chunks = spark.createDataFrame([("o", "a", "redis cluster redis"), ("o", "b", "redis"), ("p", "c", None)], "owner_id string, chunk_id string, text string")
+    asked = spark.createDataFrame([("q", "o", "Redis"), ("r", "o", "cluster redis"), ("s", "p", "redis")], "query_id string, owner_id string, question string")
+    found = retrieval.keyword_search(chunks, asked)
+    assert "lower(text" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r["query_id"], r["chunk_id"]) for r in found.collect()) == [("q", "a"), ("q", "b"), ("r", "a")]
