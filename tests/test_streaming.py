@@ -68,6 +68,15 @@ def test_contradictions_do_not_depend_on_batches(spark, tmp_path, packing):
     assert {f[:2] for f in found} == {("1", "2"), ("2", "3"), ("4", "5"), ("1", "6")}
 
 
+def test_topics_of_a_single_value_open_no_stored_claims(spark):
+    columns = "claim_id string, owner_id string, subject_entity_id string, predicate string, object_value string, status string, created_at int, source_proposal_id string"
+    values = lambda rows: canonical.claim_values(spark.createDataFrame(rows, columns))
+    one, two = ("2", "o", "s", "p", "A", "active", 2, "x"), ("3", "o", "t", "p", "A", "active", 2, "x")
+    earlier, other = ("1", "o", "s", "p", "a", "active", 1, "x"), ("4", "o", "t", "p", "B", "active", 1, "x")
+    moved = canonical.moved_topics(values([one, two]), values([one, two, earlier, other]))
+    assert [r["subject_entity_id"] for r in moved.collect()] == ["t"]
+
+
 EVENT = "event_id string, event_type string, payload string, status string, retry_count int, created_at int"
 
 
