@@ -12,10 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from knowloom.functions.skew import hot_join, is_small, small_side
-from knowloom.llm.shared import connected_components, materialize
+from knowloom.llm.shared import arrow_rows, connected_components, materialize
 
 MAX_BUCKET = 8192
 _STEP = 65_536
+#: Texts or sets in an Arrow batch, shingles counted at a time and possible pairs made at a time: they bound a worker's memory.
+BATCH_ROWS = 1000
+COUNTED = 1 << 21
+PAIRS = 1 << 18
 
 
 def shingle_hashes(text: bytes, words: int, seed: int) -> np.ndarray:
@@ -191,9 +195,9 @@ def _frequent(base: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
             for t in batch.column(0):
                 held.append(np.unique(shingle_hashes(t.as_py() or b"", words, 1).astype(np.uint32)))
                 size += len(held[-1])
-            if size > 1 << 22:
-                yield flush()
-                held, size = [], 0
+                if size > COUNTED:
+                    yield flush()
+                    held, size = [], 0
         if held:
             yield flush()
 
@@ -207,7 +211,8 @@ def _frequent(base: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
 def _prefixes(base: DataFrame, words: int, similarity: float, all_up_to: int) -> DataFrame:
     """node, id, digest of the shingle set (null if empty), its size n and SimHash fp, and the first n - ceil(similarity n) + 1 shingles,
     rare ones first; ``often`` marks those known to be in more than ``all_up_to`` sets."""
-    common = base.sparkSession.sparkContext.broadcast(_frequent(base, words))
+    with arrow_rows(base.sparkSession, BATCH_ROWS):
+        common = base.sparkSession.sparkContext.broadcast(_frequent(base, words))
 
     def run(batches):
         tokens, counts = common.value
@@ -232,7 +237,8 @@ def _prefixes(base: DataFrame, words: int, similarity: float, all_up_to: int) ->
                 pa.array(often, pa.list_(pa.bool_())), pa.array(prints, pa.int64())], ["node", "id", "digest", "n", "head", "often", "fp"])
 
     rows = base.select("node", "id", F.col("text").cast("binary"))
-    return materialize(rows.mapInArrow(run, "node long, id long, digest long, n int, head array<int>, often array<boolean>, fp long"), "near-heads")
+    with arrow_rows(base.sparkSession, BATCH_ROWS):
+        return materialize(rows.mapInArrow(run, "node long, id long, digest long, n int, head array<int>, often array<boolean>, fp long"), "near-heads")
 
 
 def _possible(n1, p1, n2, p2, similarity: float):
@@ -254,7 +260,7 @@ def _meet(similarity: float, all_up_to: int):
         lengths = np.diff(np.concatenate([starts, [len(token)]]))
         for length in np.unique(lengths[(lengths > 1) & (lengths <= all_up_to)]).tolist():
             i, j = np.triu_indices(length, 1)
-            for some in np.array_split(starts[lengths == length], max(1, int((lengths == length).sum()) * len(i) >> 20)):
+            for some in np.array_split(starts[lengths == length], max(1, -(-int((lengths == length).sum()) * len(i) // PAIRS))):
                 x, y = (some[:, None] + i).ravel(), (some[:, None] + j).ravel()
                 ok = (part[x] != part[y]) & _possible(n[x], p[x], n[y], p[y], similarity)
                 a, b = node[x[ok]], node[y[ok]]
@@ -365,7 +371,8 @@ def _crossing(rows: DataFrame, base: DataFrame, heads: DataFrame, words: int, si
     # A cell of two blocks needs both sides.
     alone = (F.col("c") == F.col("d")) & (F.col("u") == F.col("v"))
     cells = cells.filter(alone | (F.exists("rows", lambda r: r["side"] == 0) & F.exists("rows", lambda r: r["side"] == 1)))
-    return materialize(cells.select("rows").mapInArrow(_cell_links(similarity), "a long, b long").distinct(), "near-crossing")
+    with arrow_rows(base.sparkSession, BATCH_ROWS):
+        return materialize(cells.select("rows").mapInArrow(_cell_links(similarity), "a long, b long").distinct(), "near-crossing")
 
 
 def _sets(asked: DataFrame, base: DataFrame, heads: DataFrame, words: int) -> DataFrame:
@@ -373,7 +380,8 @@ def _sets(asked: DataFrame, base: DataFrame, heads: DataFrame, words: int) -> Da
     first = heads.filter("digest is not null").groupBy("digest").agg(F.min("node").alias("_node"))
     asked = materialize(first.join(small_side(asked, is_small(asked)), "digest"), "near-asked")
     texts = base.join(small_side(asked, is_small(asked)), F.col("node") == F.col("_node")).select(F.col("digest").alias("node"), "text")
-    return materialize(shingle_sets(texts, words).dropDuplicates(["node"]), "near-sets")
+    with arrow_rows(base.sparkSession, BATCH_ROWS):
+        return materialize(shingle_sets(texts, words).dropDuplicates(["node"]), "near-sets")
 
 
 def _alike(similarity: float):
@@ -393,12 +401,14 @@ def _alike(similarity: float):
 
 def _verified(pairs: DataFrame, base: DataFrame, heads: DataFrame, words: int, similarity: float) -> DataFrame:
     """Of pairs (a, b) of set digests those whose whole sets have the similarity."""
-    pairs = materialize(pairs.distinct(), "near-pairs")
+    with arrow_rows(base.sparkSession, BATCH_ROWS):
+        pairs = materialize(pairs.distinct(), "near-pairs")
     sets = _sets(pairs.select(F.col("a").alias("digest")).union(pairs.select(F.col("b").alias("digest"))).distinct(), base, heads, words)
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     compared = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return materialize(compared.mapInArrow(_alike(similarity), "a long, b long"), "near-links")
+    with arrow_rows(base.sparkSession, BATCH_ROWS):
+        return materialize(compared.mapInArrow(_alike(similarity), "a long, b long"), "near-links")
 
 
 def _close_pairs(heads: DataFrame, radius: int) -> DataFrame:

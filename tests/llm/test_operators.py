@@ -308,6 +308,22 @@ def test_near_copies_of_short_texts_are_all_found(spark):
     assert len(lost) > 150 and left == {d for d, _ in data} - lost
 
 
+def test_near_dedup_bounds_what_a_worker_holds(spark):
+    # 1000 shingles of 64 sets each: two million possible pairs must not be made at a time.
+    n = 64_000
+    token, node = np.repeat(np.arange(1000, dtype=np.int32), 64), np.arange(n)
+    batch = pa.RecordBatch.from_arrays([pa.array(token), pa.array(node), pa.array(np.full(n, 100, np.int32)), pa.array(np.zeros(n, np.int32)), pa.array(node)],
+                                       ["token", "digest", "n", "p", "part"])
+    sizes = [out.num_rows for out in simhash._meet(0.8, 64)([batch])]
+    assert sum(sizes) == 1000 * 64 * 63 // 2 and max(sizes) <= simhash.PAIRS + 64 * 63 // 2
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    with shared.arrow_rows(spark, simhash.BATCH_ROWS):
+        rows = spark.range(3000, numPartitions=1).mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in batches), "n long")
+        assert max(r[0] for r in rows.collect()) <= simhash.BATCH_ROWS
+    assert spark.conf.get(name) == before
+
+
 def test_near_copies_meet_by_covering_simhash_first(spark):
     """Long texts with one changed word are within three bits: the covering tables alone propose nearly all of them, in fewer pairs than rows."""
     texts = []
