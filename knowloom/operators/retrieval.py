@@ -278,11 +278,12 @@ def _gram_hash(letters: Column, start: Column, n: Column | int) -> Column:
     return F.xxhash64(F.slice(letters, start, n))
 
 
-def substring_matches(table: DataFrame, key: str, texts: Column, questions: DataFrame) -> DataFrame:
-    """Rows of ``table`` (unique by ``key``) where one of ``texts`` contains the whole question, with its query_id.
+def substring_matches(table: DataFrame, texts: Column, questions: DataFrame) -> DataFrame:
+    """Rows of ``table`` where one of ``texts`` contains the whole question, with its query_id.
 
-    Case-insensitive. A question asks with the hash of its first ``GRAM`` letters (all of a shorter one); a text emits
-    the different hashes of its runs of the asked lengths, at most ``GRAM`` for each letter. Only (key, hash) rows meet the
+    Case-insensitive. Rows of the same owner and texts are one unit: units are searched, and their rows meet the hits afterwards, so
+    the work on letters follows the different texts and not the rows. A question asks with the hash of its first ``GRAM`` letters (all of a shorter one); a text emits
+    the different hashes of its runs of the asked lengths, at most ``GRAM`` for each letter. Only (unit, hash) rows meet the
     questions, texts and questions join the pairs afterwards and ``contains`` confirms them. Hashes of a checked
     number of questions are broadcast; otherwise rows without any asked hash are dropped first and hot ones are salted.
     """
@@ -291,7 +292,11 @@ def substring_matches(table: DataFrame, key: str, texts: Column, questions: Data
     head = F.least(F.length("needle"), F.lit(GRAM))
     grams = asked.select("query_id", "owner_id", head.alias("n"), F.xxhash64(F.slice(letters, F.lit(1), head)).alias("gram"))
     lengths = sorted(r[0] for r in grams.select("n").distinct().collect())  # at most GRAM numbers
-    rows = table.withColumn("_texts", F.transform(F.filter(texts, lambda t: t.isNotNull()), F.lower))
+    table = table.withColumn("_texts", F.array_distinct(F.transform(F.filter(texts, lambda t: t.isNotNull()), F.lower)))
+    # Small in bytes, much work a row: all cores take part.
+    cores = max(table.sparkSession.sparkContext.defaultParallelism, int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    units = table.select("owner_id", "_texts").filter("owner_id is not null").distinct().repartition(cores)
+    rows = materialize(units.withColumn("_unit", F.monotonically_increasing_id()), "search-units")
 
     def runs(text: Column) -> Column:
         def of(parts: Column) -> Column:
@@ -304,20 +309,24 @@ def substring_matches(table: DataFrame, key: str, texts: Column, questions: Data
         return bind(F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, "")), of)
 
     hashes = F.array_distinct(F.flatten(F.transform("_texts", runs)))
-    keyed = rows.select(key, "owner_id", F.explode(hashes).alias("gram"))
+    keyed = rows.select("_unit", "owner_id", F.explode(hashes).alias("gram"))
     if is_small(grams, QUESTION_BOUND):
         met = keyed.join(F.broadcast(grams.drop("n")), ["owner_id", "gram"])
     else:
         keyed = keyed.join(grams.select("owner_id", "gram").distinct(), ["owner_id", "gram"], "left_semi")
         met = hot_join(keyed, grams.drop("n"), ["owner_id", "gram"], salts=SALTS)
-    pairs = hot_join(met.select(key, "query_id"), asked.select("query_id", "needle"), ["query_id"])
-    found = hot_join(pairs, rows, [key])
-    return found.filter(F.exists("_texts", lambda t: F.contains(t, F.col("needle")))).drop("_texts", "needle")
+    pairs = hot_join(met.select("_unit", "query_id"), asked.select("query_id", "needle"), ["query_id"])
+    found = hot_join(pairs, rows, ["_unit"]).filter(F.exists("_texts", lambda t: F.contains(t, F.col("needle"))))
+    hits = materialize(found.select("owner_id", "_texts", "query_id"), "search-hits")
+    # Rows are only scanned where the hits of the units are few.
+    same = ["owner_id", "_texts"]
+    met = table.join(F.broadcast(hits), same) if is_small(hits) else hot_join(table, hits, same)
+    return met.select("query_id", *[c for c in table.columns if c != "_texts"])
 
 
 def entity_search(entities: DataFrame, questions: DataFrame, limit: int = 5) -> DataFrame:
     names = F.concat(F.array("canonical_name"), F.coalesce("aliases", F.array().cast("array<string>")))
-    hits = substring_matches(entities.select("owner_id", "entity_id", "canonical_name", "aliases"), "entity_id", names, questions)
+    hits = substring_matches(entities.select("owner_id", "entity_id", "canonical_name", "aliases"), names, questions)
     return top_k(hits.select("query_id", "entity_id", "canonical_name"), ["query_id"],
                  [F.col("canonical_name"), F.col("entity_id")], limit)
 
@@ -326,7 +335,7 @@ def claim_search(claims: DataFrame, questions: DataFrame, limit: int = 20) -> Da
     active = claims.filter(F.col("status") == "active").select(
         "owner_id", "claim_id", "subject_entity_id", "predicate", "object_value", "confidence"
     )
-    hits = substring_matches(active, "claim_id", F.array("predicate", "object_value"), questions).drop("owner_id")
+    hits = substring_matches(active, F.array("predicate", "object_value"), questions).drop("owner_id")
     return top_k(hits, ["query_id"], [F.desc("confidence"), F.col("claim_id")], limit)
 
 
@@ -338,7 +347,7 @@ def relationship_search(relationships: DataFrame, entities: DataFrame, questions
     named = hot_join(hot_join(relationships, src, ["source_entity_id"]), dst, ["target_entity_id"])
     hits = substring_matches(
         named.select("owner_id", "relationship_id", "relationship_type", "source_name", "target_name"),
-        "relationship_id", F.array("relationship_type", "source_name", "target_name"), questions,
+        F.array("relationship_type", "source_name", "target_name"), questions,
     )
     return top_k(hits.drop("owner_id"), ["query_id"], [F.col("relationship_id")], limit)
 

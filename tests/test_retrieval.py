@@ -237,3 +237,21 @@ def test_keyword_search_tokenises_its_chunks_once(spark):
     found = retrieval.keyword_search(chunks, asked)
     assert "lower(text" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((r["query_id"], r["chunk_id"]) for r in found.collect()) == [("q", "a"), ("q", "b"), ("r", "a")]
+
+
+def test_rows_of_equal_texts_are_searched_once(spark, monkeypatch):
+    seen = {}
+
+    def kept(df, name, write=retrieval.materialize):
+        seen[name] = write(df, name)
+        return seen[name]
+
+    monkeypatch.setattr(retrieval, "materialize", kept)
+    rows = [(i, "a" if i % 2 else "b", ["Blue Ring", "RING"] if i % 3 else ["green bolt", None]) for i in range(600)]
+    table = spark.createDataFrame(rows, "id int, owner_id string, names array<string>")
+    asked = spark.createDataFrame([("q1", "a", "ring"), ("q2", "b", "n bo"), ("q3", "a", "nothing"), ("q4", "a", "blue ring"), ("q5", None, "ring")], "query_id string, owner_id string, question string")
+    got = retrieval.substring_matches(table.union(spark.createDataFrame([(900, None, ["ring"])], table.schema)), F.col("names"), asked)
+    want = {(q, i) for q, o, w in asked.collect() for i, p, names in rows if o == p and any(w in n.lower() for n in names if n)}
+    assert got.columns == ["query_id", "id", "owner_id", "names"]
+    assert sorted((r["query_id"], r["id"]) for r in got.collect()) == sorted(want)
+    assert seen["search-units"].count() == 4
