@@ -12,7 +12,7 @@ from knowloom.operators import answers, approximate, chunking, question_plan, re
 from knowloom.plans.registry import query
 from knowloom.plans.sql import CHUNKS
 from knowloom.plans.tables import Tables, joined
-from knowloom.sources.sinks import work_folder
+from knowloom.sources.sinks import materialize, work_folder
 
 _STOP = ", ".join(f"'{w}'" for w in retrieval.STOP_WORDS)
 
@@ -210,7 +210,7 @@ top AS (SELECT * FROM ranked WHERE rank <= 12)"""
 def _citations(t: Tables) -> DataFrame:
     nodes = _entity_hits(t).select("query_id", F.col("entity_id").alias("node_id"), F.col("canonical_name").alias("label"), F.lit("entity").alias("node_type"))
     parts = [retrieval.graph_citations(nodes), retrieval.claim_citations(_claim_hits(t))]
-    return retrieval.rank_citations(parts, 12)
+    return materialize(retrieval.rank_citations(parts, 12), "citations")  # read several times by answers and audits
 
 
 @query(f"WITH {_CITED} SELECT query_id, citation_id, excerpt, score, signal, rank FROM top")
@@ -230,8 +230,8 @@ UNION ALL SELECT query_id, 2, 'canonical', 'canonical claim lookup', (SELECT cou
 
 
 def _steps(t: Tables) -> DataFrame:
-    none = _claim_hits(t).filter("false")
-    return retrieval.plan_steps(_part_questions(t), none, _entity_hits(t), _claim_hits(t))
+    claims = _claim_hits(t)
+    return retrieval.plan_steps(_part_questions(t), claims.filter("false"), _entity_hits(t), claims)
 
 
 @query(f"WITH {_PARTS}, {_STEPS} SELECT query_id, step, signal, description, n AS result_count FROM steps")
