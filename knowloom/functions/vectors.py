@@ -27,20 +27,22 @@ def unit(v: Column) -> Column:
 
 
 def hash_embedding(dimension: int):
-    """Arrow-batched pseudo-embedding: chained sha256 digests read as big-endian uint32 in [-1, 1)."""
+    """Pseudo-embedding of a text column: chained sha256 digests read as big-endian uint32 in [-1, 1).
+
+    The first digest is made in the JVM, so that digests and not texts move to Python and back.
+    """
     import hashlib
 
     rounds = -(-dimension // 8)
 
     @F.pandas_udf("array<double>")
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
+        for digests in batches:
             out = []
-            for text in texts:
-                if text is None:
+            for digest in digests:
+                if digest is None:
                     out.append(None)
                     continue
-                digest = hashlib.sha256(text.encode("utf-8")).digest()
                 buf = bytearray(digest)
                 for _ in range(rounds - 1):
                     digest = hashlib.sha256(digest).digest()
@@ -48,9 +50,9 @@ def hash_embedding(dimension: int):
                 v = np.frombuffer(bytes(buf), dtype=">u4")[:dimension].astype("float64") / 2**32 * 2 - 1
                 length = float(np.sqrt((v * v).sum()))
                 out.append(v / length if length else v)
-            yield pd.Series(out, index=texts.index)
+            yield pd.Series(out, index=digests.index)
 
-    return embed
+    return lambda text: embed(F.unhex(F.sha2(text.cast("binary"), 256)))
 
 
 def hash_embedding_sql(text: Column, dimension: int) -> Column:

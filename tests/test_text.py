@@ -133,3 +133,12 @@ def test_spans_and_totals_of_many_matches(spark):
 def test_first_positions(spark):
     keys = spark.createDataFrame([(["b", "a", "b", None, "a", None, "c"],), ([],)], "k array<string>")
     assert [r["x"] for r in keys.select(text.first_positions(F.col("k")).alias("x")).collect()] == [[0, 1, 3, 6], []]
+
+
+def test_hash_embedding_sends_digests_to_python(spark):
+    texts = spark.createDataFrame([(1, ""), (2, "été"), (3, None), (4, "long " * 5000)], "id int, t string")
+    rows = texts.select("id", hash_embedding(32)(F.col("t")).alias("a"), hash_embedding_sql(F.col("t"), 32).alias("b"))
+    for r in rows.collect():
+        assert r["a"] is None if r["id"] == 3 else max(abs(x - y) for x, y in zip(r["a"], r["b"], strict=True)) < 1e-12
+    plan = rows.select("a")._jdf.queryExecution().optimizedPlan().toString()
+    assert "embed(unhex(sha2(" in plan
