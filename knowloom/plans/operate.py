@@ -386,10 +386,11 @@ class _Streamed(Tables):
 UNION ALL SELECT 'dead letter', event_id::VARCHAR, 'failed', '1' FROM outbox WHERE kind = 'error' AND status = 'pending'
 UNION ALL SELECT 'processed', event_id::VARCHAR, 'processed', '' FROM outbox WHERE kind <> 'error' AND status = 'pending'""")
 def streamed_outbox(t: Tables) -> DataFrame:
-    """Outbox rows in three files, one a batch: edges often come before their ends."""
+    """Outbox rows in three batches, each of as many files as keep the cores at work: edges often come before their ends."""
     out = work_folder(t.spark, "outbox")
-    t.outbox().repartition(3, F.xxhash64("event_id")).write.option("compression", "zstd").parquet(f"{out}/arriving")
-    events = jobs.read_files(t.spark, f"{out}/arriving", t.outbox().schema, max_files=1)
+    files = -(-t.spark.sparkContext.defaultParallelism // 3)
+    t.outbox().repartition(3 * files, F.xxhash64("event_id")).write.option("compression", "zstd").parquet(f"{out}/arriving")
+    events = jobs.read_files(t.spark, f"{out}/arriving", t.outbox().schema, max_files=files)
     jobs.project_outbox(events, out, f"{out}/checkpoint").awaitTermination()
     nodes, edges = jobs.read_projection(events, out)
     dead, done = t.spark.read.parquet(f"{out}/dead_letters"), t.spark.read.parquet(f"{out}/projected")

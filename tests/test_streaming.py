@@ -219,3 +219,13 @@ def test_stream_listener_writes_a_ledger_row_per_batch(spark, tmp_path):
         spark.streams.removeListener(listener)
     got = {(r["run_id"], r["status"], r["versions"]) for r in listener.ledger(spark).collect()}
     assert got == {("ledger/0", "completed", 1), ("ledger/1", "failed", 2)} or got == {("ledger/0", "failed", 2), ("ledger/1", "completed", 1)}
+
+
+def test_streamed_outbox_writes_and_reads_a_batch_by_all_cores(spark, tmp_path, monkeypatch):
+    from knowloom.plans import catalog, operate
+
+    monkeypatch.setattr(operate, "work_folder", lambda session, name: f"{tmp_path}/{name}")
+    catalog.QUERIES["streamed_outbox"](spark, "/root/testdata/sf0.001")
+    files = list((tmp_path / "outbox" / "arriving").glob("*.parquet"))
+    assert len(files) >= spark.sparkContext.defaultParallelism
+    assert len(list((tmp_path / "outbox" / "graph" / "manifest").glob("batch=*"))) == 3
