@@ -503,9 +503,13 @@ def outbox_events(
     return out
 
 
-def claims_with_provenance(claims: DataFrame, provenance: DataFrame) -> DataFrame:
-    """One row per claim and provenance row (struct ``provenance``, null without any)."""
-    return attach_rows(claims, provenance, "claim_id", "provenance")
+def claims_with_provenance(claims: DataFrame, provenance: DataFrame, key: str = "claim_id") -> DataFrame:
+    """One row per claim and provenance row (struct ``provenance``, null without any).
+
+    ``key`` is what a provenance row belongs to. Rows that all claims of a proposal share are given once, by the proposal's
+    id, and need not be repeated for each claim beforehand.
+    """
+    return attach_rows(claims, provenance, key, "provenance")
 
 
 def entities_by_type(entities: DataFrame, limit: int = 20, types: tuple[str, ...] | None = None) -> DataFrame:

@@ -400,3 +400,11 @@ def test_dictionary_places_do_not_meet_the_texts_again(spark):
     for name in ("redis", "äpfel", "redis cluster"):
         want += [(name, m.group(), m.start(), m.end()) for m in re.finditer(rf"(?i)\b{name}\b", text)]
     assert got == sorted(want)
+
+
+def test_provenance_that_claims_share_is_given_once_per_proposal(spark):
+    claims = spark.createDataFrame([("a", 1), ("b", 1), ("c", 2), ("d", None)], "claim_id string, proposal_id long")
+    shared = spark.createDataFrame([(1, 7, "x"), (1, 7, "y"), (3, 8, "z")], "proposal_id long, chunk_id long, evidence_id string")
+    out = canonical.claims_with_provenance(claims, shared, "proposal_id")
+    got = sorted((r["claim_id"], r["proposal_id"] or 0, r["provenance"] and tuple(r["provenance"])) for r in out.collect())
+    assert got == [("a", 1, (7, "x")), ("a", 1, (7, "y")), ("b", 1, (7, "x")), ("b", 1, (7, "y")), ("c", 2, None), ("d", 0, None)]
