@@ -408,3 +408,28 @@ def test_provenance_that_claims_share_is_given_once_per_proposal(spark):
     out = canonical.claims_with_provenance(claims, shared, "proposal_id")
     got = sorted((r["claim_id"], r["proposal_id"] or 0, r["provenance"] and tuple(r["provenance"])) for r in out.collect())
     assert got == [("a", 1, (7, "x")), ("a", 1, (7, "y")), ("b", 1, (7, "x")), ("b", 1, (7, "y")), ("c", 2, None), ("d", 0, None)]
+
+
+def test_expansion_repeats_no_hop_and_sums_up_rings(spark, monkeypatch):
+    pairs = [(i, (7 * i + 3) % 40) for i in range(40)] + [(0, i) for i in range(1, 30)]
+    edges = spark.createDataFrame([(f"e{i}", "R", f"n{a:02}", f"n{b:02}") for i, (a, b) in enumerate(pairs)], "edge_id string, edge_type string, src string, dst string")
+    roots = edges.select("src").distinct().withColumnRenamed("src", "root_id")
+    monkeypatch.setattr(graph, "TASK_NODES", 40)  # more partitions than the session's
+    out = graph.expand(edges, roots, 3, 15)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2
+    near = {}
+    for a, b in pairs:
+        near.setdefault(f"n{a:02}", set()).add(f"n{b:02}")
+        near.setdefault(f"n{b:02}", set()).add(f"n{a:02}")
+    want = []
+    for root in sorted(near):
+        got = [(0, root)]
+        for hop in (1, 2, 3):
+            new = {x for d, node in got if d == hop - 1 for x in near[node]} - {node for _, node in got}
+            got += [(hop, x) for x in sorted(new)]
+        want += [(root, node, d, i + 1) for i, (d, node) in enumerate(got[:15])]
+    rows = sorted((r["root_id"], r["node"], r["distance"], r["rank"]) for r in out.collect())
+    assert rows == sorted(want)
+    rings = {(root, d): [n for r, n, e, _ in rows if (r, e) == (root, d)] for root, _, d, _ in rows}
+    assert {(r["root_id"], r["distance"]): (r["nodes"], r["first_node"], r["last_node"]) for r in graph.rings(edges, roots, 3, 15).collect()} == {
+        k: (len(v), min(v), max(v)) for k, v in rings.items()}
