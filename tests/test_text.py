@@ -142,3 +142,14 @@ def test_hash_embedding_sends_digests_to_python(spark):
         assert r["a"] is None if r["id"] == 3 else max(abs(x - y) for x, y in zip(r["a"], r["b"], strict=True)) < 1e-12
     plan = rows.select("a")._jdf.queryExecution().optimizedPlan().toString()
     assert "embed(unhex(sha2(" in plan
+
+
+def test_terms_look_stop_words_up_in_a_set(spark):
+    """Words are not compared with each stop word in turn; without stop words all stay."""
+    from knowloom.operators.retrieval import terms
+
+    df = spark.createDataFrame([("The Ärger, of a the REDIS_9  x!",), ("",), (None,)], "t string")
+    out = df.select(terms(F.col("t")).alias("some"), terms(F.col("t"), ()).alias("all"))
+    assert "array_contains" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r["some"], r["all"]) for r in out.collect()] == [
+        (["ärger", "redis_9", "x"], ["the", "ärger", "of", "a", "the", "redis_9", "x"]), ([], []), (None, None)]
