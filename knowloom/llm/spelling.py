@@ -121,7 +121,8 @@ def near_words(words: DataFrame, parts: int = 5) -> DataFrame:
                 keys = np.array([signature_keys(w, parts, cache) for w in some.to_pylist()], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), some.take(pa.array(np.repeat(np.arange(len(some)), keys.shape[1])))], ["key", "word"])
 
-    keyed = words.select("word").mapInArrow(run, "key long, word string")
+    # Spark sizes the keys by the file of the words, some 400 times too low: the join is told not to broadcast them.
+    keyed = words.select("word").mapInArrow(run, "key long, word string").hint("merge")
     left, right = keyed.select("key", F.col("word").alias("a")), keyed.select(F.col("key").alias("_key"), F.col("word").alias("b"))
     met = left.join(right, (F.col("key") == F.col("_key")) & (F.col("a") < F.col("b")) & (F.levenshtein("a", "b", 1) == 1))
     return met.select("a", "b").distinct()
@@ -137,6 +138,7 @@ def spelling_variants(docs: DataFrame, letters: int = 6, least: int = 5, ratio:
 
     Near words come from PartEnum signatures (``signature_keys``), joined by equality, and are verified; none is missed.
     Forms at least multiply n, so chains are short: roots come from doubling, which ends when no word moves.
+    No table of words is broadcast: the size of its compressed file, which Spark goes by, is far below that of its rows.
 
     Null texts have no words; a null doc_id counts as the empty string in the hash; repeated rows count again. An
     empty table gives no row. Extra columns are ignored.
@@ -144,20 +146,20 @@ def spelling_variants(docs: DataFrame, letters: int = 6, least: int = 5, ratio:
     words = materialize(word_counts(docs, letters, one_in).filter(F.col("n") >= least), "spelling-words")
     pairs = materialize(near_words(words, parts), "spelling-pairs")
     both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    known = words.select(F.col("word").alias("b"), F.col("n").alias("_n"))
+    known = words.select(F.col("word").alias("b"), F.col("n").alias("_n")).hint("merge")
     best = hot_join(both, known, ["b"]).groupBy("a").agg(
         F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("_n")).alias("m"), F.col("b").alias("w"))).alias("_best"))
-    rows = words.join(best, words["word"] == best["a"], "left")
+    rows = words.join(best.hint("merge"), words["word"] == best["a"], "left")
     fits = F.coalesce(-F.col("_best.m") >= ratio * F.col("n"), F.lit(False))
     rows = materialize(rows.select(
         "word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(fits, F.col("_best.w")).alias("form"), F.when(fits, -F.col("_best.m")).alias("form_n")), "spelling-forms")
     steps = materialize(rows.filter("form is not null").select("word", F.col("form").alias("to")), "spelling-roots")
     while True:
-        further = steps.select(F.col("word").alias("to"), F.col("to").alias("_next"))
+        further = steps.select(F.col("word").alias("to"), F.col("to").alias("_next")).hint("merge")
         moved = hot_join(steps, further, ["to"], "left").select("word", F.coalesce("_next", "to").alias("to"), F.col("_next").isNotNull().alias("_moved"))
         moved = materialize(moved, "spelling-roots")
         steps = moved.select("word", "to")
         if moved.filter("_moved").isEmpty():
             break
-    roots = steps.select("word", F.col("to").alias("_root"))
+    roots = steps.select("word", F.col("to").alias("_root")).hint("merge")
     return rows.join(roots, "word", "left").select("word", "form", F.coalesce("_root", "word").alias("root"), "n", "n_near", "form_n")

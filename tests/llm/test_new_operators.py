@@ -132,6 +132,22 @@ def test_spelling_variants(spark, letters, least, alphabet):
     assert any(r[1] != r[2] for r in want if r[1])
 
 
+def test_spelling_broadcasts_no_words(spark, monkeypatch):
+    plans = []
+    write = spelling.materialize
+
+    def seen(df, name):
+        plans.append(df)
+        return write(df, name)
+
+    monkeypatch.setattr(spelling, "materialize", seen)
+    text = "spelling spellings spellling speling " * 5 + "spelling " * 30
+    plans.append(spelling.spelling_variants(documents(spark, [(1, text)])))
+    joins = [df._jdf.queryExecution().executedPlan().toString() for df in plans]
+    assert not any("Broadcast" in plan for plan in joins) and sum("SortMergeJoin" in plan for plan in joins) >= 4
+    assert {r.word: r.form for r in plans[-1].collect()} == {"spelling": None, "spellings": "spelling", "spellling": "spelling", "speling": "spelling"}
+
+
 def test_spelling_pieces_and_empty(spark, monkeypatch):
     text = ("é" * 37 + " word lettersé, ").encode() * 50
     whole = Counter(spelling._RUN.findall(text))
