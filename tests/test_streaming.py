@@ -5,11 +5,11 @@ import time
 
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType
+from pyspark.sql.types import IntegerType, StringType, StructType
 
 from knowloom.operators import canonical, extraction, graph, metrics, triage
 from knowloom.sources.sinks import materialize, work_folder, work_tables
-from knowloom.streaming import jobs
+from knowloom.streaming import jobs, state
 
 
 def _drop(df, folder, i):
@@ -229,3 +229,39 @@ def test_streamed_outbox_writes_and_reads_a_batch_by_all_cores(spark, tmp_path,
     files = list((tmp_path / "outbox" / "arriving").glob("*.parquet"))
     assert len(files) >= spark.sparkContext.defaultParallelism
     assert len(list((tmp_path / "outbox" / "graph" / "manifest").glob("batch=*"))) == 3
+
+
+def test_a_batch_stores_its_own_nodes_and_findings_only(spark, tmp_path):
+    def ev(i, kind, **p):
+        return (f"{i:03d}", kind, json.dumps(p), "pending", 0, i)
+
+    src, out, seen = str(tmp_path / "in"), str(tmp_path / "out"), []
+    name = lambda k, n: {"entity_id": f"e{k}", "owner_id": "o", "entity_type": "t", "canonical_name": n}
+    # The second batch restates e0 later and e1 earlier than the first one did.
+    batches = [[ev(10 + k, "entity.materialized", **name(k, "old")) for k in range(6)], [ev(30, "entity.materialized", **name(0, "new")), ev(5, "entity.materialized", **name(1, "late")), ev(31, "entity.materialized", **name(9, "new"))]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, EVENT).coalesce(1).write.parquet(f"{src}/p{i}")
+    stream = jobs.read_files(spark, f"{src}/*", EVENT, max_files=1)
+    jobs.project_outbox(stream, out, str(tmp_path / "cp"), buckets=1).awaitTermination()
+    for i, n in enumerate((6, 2)):
+        assert spark.read.parquet(f"{out}/graph/nodes/batch={i}").count() == n
+    nodes = {r["node_id"]: r["label"] for r in jobs.read_projection(stream, out, buckets=1)[0].collect()}
+    assert nodes == {"e0": "new", "e1": "old", "e2": "old", "e3": "old", "e4": "old", "e5": "old", "e9": "new"}
+    switch = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    jobs.start(stream, lambda batch, epoch: seen.append(batch.sparkSession.conf.get(switch)), str(tmp_path / "cp2"), "seen").awaitTermination()
+    assert seen == ["true", "true"] and spark.conf.get(switch) == "false"
+
+
+def test_versions_of_many_batches_become_one_piece(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(state, "PIECES", 3)
+    schema = StructType().add("k", StringType()).add("v", IntegerType())
+    tables, want = state.Tables(spark, str(tmp_path / "t"), {"rows": ("k",)}, {"rows": schema}, 2, {"rows": ("k",)}), {}
+    for epoch in range(8):
+        now = tables.at(epoch)
+        rows = [(f"k{(epoch + j) % 5}", epoch) for j in range(2)] + [(None, epoch)]
+        now.add_versions("rows", spark.createDataFrame(rows, schema), spark.createDataFrame([*rows, ("k4", 0)], schema))
+        now.commit()
+        want = {k: v for k, v in want.items() if k != "k4"} | dict(rows)
+        latest = tables.latest()
+        assert sorted(map(repr, latest.live("rows").select("k", "v").toLocalIterator())) == sorted(map(repr, spark.createDataFrame(list(want.items()), schema).collect()))
+        assert max(map(len, latest.pieces.values())) <= 4
