@@ -249,6 +249,15 @@ def test_a_batch_stores_its_own_nodes_only(spark, tmp_path):
     assert nodes == {"e0": "new", "e1": "old", "e2": "old", "e3": "old", "e4": "old", "e5": "old", "e9": "new"}
 
 
+def test_streamed_contradictions_reads_a_batch_by_all_cores(spark, tmp_path, monkeypatch):
+    from knowloom.plans import catalog, operate
+
+    monkeypatch.setattr(operate, "work_folder", lambda session, name: f"{tmp_path}/{name}")
+    catalog.QUERIES["streamed_contradictions"](spark, "/root/testdata/sf0.001")
+    assert len(list((tmp_path / "claims" / "arriving").glob("*.parquet"))) >= spark.sparkContext.defaultParallelism
+    assert len(list((tmp_path / "claims" / "topics" / "manifest").glob("batch=*"))) == 4
+
+
 def test_versions_of_many_batches_become_one_piece(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(state, "PIECES", 3)
     schema = StructType().add("k", StringType()).add("v", IntegerType())
